@@ -10,12 +10,13 @@ window - v + 1 words. The steps:
 
 1. hash the anchors only (4 of 13 positions), count each hash over the corpus, keep those that occur twice;
 2. give each document the repeated anchors it holds; only windows around such an anchor can be repeated, and those
-   are extended to their full length and hashed with 128 bits;
+   are extended to their full length and hashed with 96 bits;
 3. find the first start of each such window; all later ones are removed.
 
 Copies of a whole text are settled by a digest of the text: only the first copy goes through step 2 and 3, the others
-lose all their words (a text shorter than a window keeps them). No pairs are made anywhere. Hot anchors or windows are
-counted map-side first and reach the documents through joins that Spark can split.
+lose all their words (a text shorter than a window keeps them). No pairs are made anywhere. Hot anchors are counted
+map-side first and reach the documents through joins that Spark can split; a hot window leaves each batch once, and is
+gone through as a sorted stream.
 
 Defined cases: a null text or one without words has no words; a text shorter than a window loses nothing; null ids
 come after all others and count as one id; rows that share an id are ordered among themselves by position alone, so
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def _held(window: int):
 
 
 def _extended(window: int):
-    """128-bit hashes of the windows that hold a repeated anchor."""
+    """96-bit hashes of the windows that hold a repeated anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -108,13 +110,58 @@ def _extended(window: int):
             fits = start + window <= words.first[of + 1]
             start, of = start[fits], of[fits]
             h1 = window_hashes(hashes, start, position_keys(window, 2)).view(np.int64)
-            h2 = window_hashes(hashes, start, position_keys(window, 3)).view(np.int64)
+            h2 = (window_hashes(hashes, start, position_keys(window, 3)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ids = batch.column("_id").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids), pa.array((start - words.first[of]).astype(np.int32))], ["h1", "h2", "_id", "at"])
+            at = (start - words.first[of]).astype(np.int32)
+            order = np.lexsort((at, ids, h2, h1))
+            h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids), pa.array(at), pa.nulls(len(at), pa.binary())], ["h1", "h2", "_id", "at", "sure"]).filter(pa.array(~_after_first(h1, h2, ids, at)[0]))
+            yield _sure(h1, h2, ids, at)
 
     return run
 
 
+def _after_first(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by hash, id and position: which start later than the first of their hash, and where hashes begin."""
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+    return (ids != ids[first]) | (at != at[first]), first
+
+
+def _sure(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """What is later than another of the same batch, as one row for each document. Its hash only spreads the rows."""
+    later = _after_first(h1, h2, ids, at)[0]
+    ids, at = ids[later], at[later]
+    order = np.argsort(ids, kind="stable")
+    ids, at = ids[order], at[order]
+    own, begin = np.unique(ids, return_index=True)
+    lists = [x.tobytes() for x in np.split(at, begin[1:])] if len(own) else []
+    n = len(own)
+    return pa.RecordBatch.from_arrays([pa.array(own * np.int64(0x5851F42D4C957F2D)), pa.array(np.zeros(n, np.int32)), pa.array(own, pa.int64()), pa.array([None] * n, pa.int32()), pa.array(lists, pa.binary())], ["h1", "h2", "_id", "at", "sure"])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by hash, id and position; only the first of the current hash is kept in mind."""
+    mind = None
+    for batch in batches:
+        sure = batch.filter(pc.is_valid(batch.column("sure")))
+        batch = batch.filter(pc.is_null(batch.column("sure")))
+        ids, at = batch.column("_id").to_numpy(), batch.column("at").to_numpy().astype(np.int32)
+        h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+        if mind is not None:
+            h1, h2, ids, at = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(mind, (h1, h2, ids, at), strict=True))
+        later, first = _after_first(h1, h2, ids, at)
+        if len(first):
+            mind = tuple(x[first[-1]] for x in (h1, h2, ids, at))
+        ids, at = ids[later], at[later]
+        order = np.argsort(ids, kind="stable")
+        ids, at = ids[order], at[order]
+        own, begin = np.unique(ids, return_index=True)
+        lists = [x.tobytes() for x in np.split(at, begin[1:])] if len(own) else []
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(own, pa.int64()), sure.column("_id")]), pa.concat_arrays([pa.array(lists, pa.binary()), sure.column("sure")])], ["_id", "at"])
+
+
 def _pair(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     """A wrong match only makes a window be looked at that needn't be."""
     return h.astype(np.int64) ^ (doc.astype(np.int64) * np.int64(0x5851F42D4C957F2D))
@@ -127,8 +174,9 @@ def _cut(window: int):
             n = words.counts()
             gone = np.zeros(len(words.starts) + 1, np.int32)
             lists = batch.column("later")
-            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            at = lists.flatten().to_numpy().astype(np.int64)
+            size = [sum(map(len, x)) // 4 for x in lists.to_pylist()]
+            of = np.repeat(np.arange(len(lists)), size)
+            at = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.int32).astype(np.int64)
             fits = at + window <= n[of]  # of several texts under one id, a position may belong to another
             at = at[fits] + words.first[of[fits]]
             np.add.at(gone, at, 1)
@@ -170,14 +218,14 @@ def _cut_rows(rows: DataFrame, window: int) -> DataFrame:
     # both joins below read one exchange of the texts, by id
     full = rows.withColumn("dg", F.xxhash64("text")).join(facts, "_id", "left")
     full = full.withColumn("copy", F.coalesce(F.array_contains("dgs", F.col("dg")), F.lit(False)))
-    windows = full.filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "text", "hs").mapInArrow(_extended(window), "h1 long, h2 long, _id long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "at")).alias("first"), F.max(F.struct("_id", "at")).alias("last")).filter("first < last")
-    later = windows.join(first.drop("last"), ["h1", "h2"]).filter(F.struct("_id", "at") > F.col("first"))
-    later = stored(later.groupBy("_id").agg(F.collect_set("at").alias("later")), "later")
-    del windows, first
+    windows = full.filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "text", "hs").mapInArrow(_extended(window), "h1 long, h2 int, _id long, at int, sure binary")
+    # within a batch, all but the first of a window are known to be later: a hot window is dealt once for each batch
+    dealt = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "at")
+    later = stored(dealt.mapInArrow(_later, "_id long, at binary").groupBy("_id").agg(F.collect_list("at").alias("later")), "later")
+    del windows, dealt
     free_shuffles(spark)
     whole = full.select("_id", "text", "dg", "copy").join(later, "_id", "left")
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<binary>")
     return whole.select("_id", "dg", "text", "copy", F.coalesce("later", none).alias("later")).mapInArrow(_cut(window), "_id long, dg long, n_words long, n_removed long, kept string")
 
 
