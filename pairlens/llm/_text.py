@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
@@ -43,6 +45,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    _give_back()
+
+
+def _give_back() -> None:
+    """A worker is used again: what a task has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Words:

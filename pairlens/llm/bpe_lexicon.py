@@ -144,7 +144,7 @@ def _tools(path: str):
 def _word_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, special, characters, _ = _tools(path)
-        for batch in steps(batches, limit=8 << 20):
+        for batch in steps(batches, limit=2 << 20):
             coded = PreTokens(batch.column("text"), characters, special, attach=False, fold=True).words.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
             rows = pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._text import steps, text_buffer
 
 BUCKETS, GRAMS = 1 << 15, 4
-PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 500, 256, 512, 1e-4
+PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 500, 256, 384, 1e-4
 NONE = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -83,13 +83,18 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     langs = sorted({lang for lang, _ in chosen})
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in chosen), np.uint8).reshape(len(chosen), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    at = np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int))
-    near = x[at]
-    k, g = (x @ near.T).astype(np.float64), (near @ near.T).astype(np.float64)
+    bits = np.frombuffer(b"".join(b for _, b in chosen), np.uint8).reshape(len(chosen), -1)
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    at = np.unique(np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int))
+    near = unit(bits[at])
+    k = np.concatenate([unit(bits[lo : lo + 128]) @ near.T for lo in range(0, len(bits), 128)]).astype(np.float64)
+    g = k[at]
     y = np.array([[float(lang == c) for c in langs] for lang, _ in chosen])
-    alpha = np.linalg.solve(k.T @ k + RIDGE * len(x) * g + 1e-6 * np.eye(len(at)), k.T @ y)
+    alpha = np.linalg.solve(k.T @ k + RIDGE * len(bits) * g + 1e-6 * np.eye(len(at)), k.T @ y)
     return langs, (near.T @ alpha).astype(np.float32)
 
 
