@@ -1,0 +1,119 @@
+"""Text functions: Columns to Columns, all built-in."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .dialect import POSTFIX_MARKS, POSTFIX_RUN, WHITE, Dialect
+
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def strip_marks(text: Column, dialect: Dialect) -> Column:
+    return F.regexp_replace(text, f"[{dialect.marks}]", "")
+
+
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(text, WHITE), lambda t: t != "")
+
+
+def tokens(text: Column, dialect: Dialect) -> Column:
+    """Words without marks, punctuation and (Arabic) stop words, lower case. Materialise as a column before scoring."""
+    bare = F.lower(strip_marks(F.coalesce(text, F.lit("")), dialect))
+    words = F.filter(F.split(F.regexp_replace(bare, NOT_WORD, " "), " "), lambda t: t != "")
+    return F.filter(words, lambda t: ~t.isin(*dialect.stop_words)) if dialect.stop_words else words
+
+
+def normalise(text: Column, dialect: Dialect) -> Column:
+    return F.array_join(tokens(text, dialect), " ")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(split_words(F.coalesce(text, F.lit(""))))
+
+
+def trim_white(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+
+
+def first_line(text: Column) -> Column:
+    return trim_white(F.substring_index(trim_white(text), "\n", 1))
+
+
+def postfix_word(run: Column) -> Column:
+    """Letters first, then the marks, each in their order."""
+    return F.concat(F.regexp_replace(run, f"[{POSTFIX_MARKS}]", ""), F.regexp_replace(run, f"[^{POSTFIX_MARKS}]", ""))
+
+
+def postfix_reorder(text: Column) -> Column:
+    parts = F.regexp_extract_all(text, F.lit(f"([{POSTFIX_RUN}]+|[^{POSTFIX_RUN}]+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(f"^[{POSTFIX_RUN}]")), postfix_word(p)).otherwise(p)), "")
+
+
+def same_characters(a: Column, b: Column) -> Column:
+    """Whether b only reorders a."""
+    return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
+
+
+def sentences(text: Column) -> Column:
+    return F.split(text, rf"(?<=[.!?]){WHITE}+")
+
+
+def chunk_pack(text: Column, most: int) -> Column:
+    """Sentences packed greedily into chunks of about `most` characters; longer sentences are cut. The first sentence of
+    all counts one more than its length, one that opens a chunk after another does not."""
+    state = "struct<done:array<string>,open:string,size:int>"
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size")).cast(state)
+
+    def step(acc: Column, s: Column) -> Column:
+        n = F.length(s)
+        full = (acc["size"] + n > most) & (acc["open"] != "")
+        opened = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(opened).alias("open"), F.when(full, n).otherwise(acc["size"] + n + 1).cast("int").alias("size")
+        ).cast(state)
+
+    packed = F.aggregate(sentences(text), start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return F.flatten(F.transform(packed, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(most)), lambda k: F.substring(c, k, F.lit(most)))))
+
+
+def join_chunks(chunks: Column) -> Column:
+    return F.array_join(chunks, " ")
+
+
+def flatten_answers(answers: Column, dialect: Dialect) -> Column:
+    """Texts and aliases of the accepted answer types, in order."""
+    kept = F.filter(answers, lambda a: a["type"].isin(*dialect.answer_types))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(kept, lambda a: F.concat(F.when(F.coalesce(a["text"], F.lit("")) != "", F.array(a["text"])).otherwise(none), F.coalesce(a["aliases"], none))))
+
+
+def has_context(context: Column) -> Column:
+    return F.coalesce(context, F.lit("")) != ""
+
+
+def render(template: str, **fields: Column) -> Column:
+    """The template with {name} replaced."""
+    out, rest = [], template
+    while rest:
+        head, brace, tail = rest.partition("{")
+        out += [F.lit(head)] if head else []
+        name, _, rest = tail.partition("}")
+        out += [F.coalesce(fields[name], F.lit(""))] if brace else []
+    return F.concat(*out)
+
+
+def prompt(context: Column, question: Column, extractive: str = "Context: {context}\nQuestion: {question}\nAnswer:", open_domain: str = "Question: {question}\nAnswer:") -> Column:
+    return F.when(has_context(context), render(extractive, context=context, question=question)).otherwise(render(open_domain, question=question))
+
+
+def judge_message(question: Column, answers: Column, prediction: Column, context: Column | None = None) -> Column:
+    head = F.when(has_context(context), F.concat(F.lit("Context: "), context, F.lit("\n"))).otherwise(F.lit("")) if context is not None else F.lit("")
+    return F.concat(head, F.lit("Question: "), question, F.lit("\nGold answers: "), F.array_join(answers, " | "), F.lit("\nPrediction: "), prediction)
+
+
+def parse_label(reply: Column, labels: tuple[str, ...] = ("CORRECT", "INCORRECT")) -> Column:
+    """label of a JSON reply; ERROR unless it is one of labels."""
+    label = F.upper(F.trim(F.from_json(reply, "label string")["label"]))
+    return F.when(label.isin(*labels), label).otherwise("ERROR")
