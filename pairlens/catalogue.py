@@ -1,4 +1,452 @@
 """All queries by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import score as sc
+from .functions import text as tx
+from .functions.dialect import ARABIC, HEBREW
+from .operators import agreement, delta, fragmentation, judging, sampling
+from .plans import fixtures as fx
+from .streaming import ledger as lg
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STRUCT = "'éèêóíñüöäçÉÈÊÓÍÑÜÖÄÇ', 'eeeoinuoacEEEOINUOAC'"
+_QA = rf"""
+d0 AS (SELECT doc_id AS id, lang AS source, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+d1 AS (SELECT *, list_transform(w, lambda x: translate(x, {_STRUCT})) AS pw FROM d0),
+qa AS (SELECT id, source, list_slice(pw, 1, 6) AS gold, list_slice(pw, 3, 6) AS gold2, list_slice(pw, 1, 3 + id % 5) AS base, list_slice(w, 1 + id % 3, 5 + id % 3) AS treated FROM d1)"""
+
+
+def _common(p: str, g: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda x: x = t)), len(list_filter({g}, lambda x: x = t))))), 0)"
+
+
+def _f1(p: str, g: str) -> str:
+    c = _common(p, g)
+    return f"(CASE WHEN {c} > 0 THEN round_even(2.0::DOUBLE * {c} / (len({p}) + len({g})), 4) ELSE 0.0::DOUBLE END)"
+
+
+_SCORED = f"""WITH {_QA}, s AS (
+  SELECT id, source, base, treated, gold, (base = gold)::INT AS base_em, (treated = gold)::INT AS treated_em, {_f1('base', 'gold')} AS base_f1, {_f1('treated', 'gold')} AS treated_f1 FROM qa
+), p AS (SELECT *, treated_em - base_em AS delta_em, round_even(treated_f1 - base_f1, 4) AS delta_f1 FROM s)"""
+_DEC = lambda c: f"sum({c}::DECIMAL(18,4))::DOUBLE"
+
+
+def _sides(spark, sf_dir):
+    q = fx.qa(spark, sf_dir)
+    side = lambda c: q.select("id", "source", F.col(c).alias("p"), "gold").withColumns({"em": sc.exact_match(F.col("p"), F.array("gold")), "f1": sc.token_f1(F.col("p"), F.array("gold")), "prediction": F.array_join("p", " ")})
+    return side("base"), side("treated")
+
+
+@query(f"""{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits,
+ {_DEC('base_f1')} AS base_f1_sum, {_DEC('treated_f1')} AS treated_f1_sum, {_DEC('delta_f1')} AS delta_f1_sum, count(*) FILTER (delta_em > 0) AS helped, count(*) FILTER (delta_em < 0) AS hurt
+ FROM p GROUP BY ROLLUP (source)""")
+def delta_by_source(spark, sf_dir):
+    return delta.delta_by_source(delta.paired(*_sides(spark, sf_dir)))
+
+
+@query(f"{_SCORED} SELECT id, source, base_em, treated_em, base_f1, treated_f1, delta_em, delta_f1 FROM p")
+def per_example_delta(spark, sf_dir):
+    return delta.paired(*_sides(spark, sf_dir)).drop("base_pred", "treated_pred")
+
+
+@query(f"{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum FROM p GROUP BY ROLLUP (source)")
+def score_by_source(spark, sf_dir):
+    return delta.score_by_source(_sides(spark, sf_dir)[0])
+
+
+@query(f"{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum, sum(len(base))::BIGINT AS pred_len_sum FROM p GROUP BY ROLLUP (source)")
+def score_by_source_with_len(spark, sf_dir):
+    return delta.score_by_source(_sides(spark, sf_dir)[0].withColumn("pred_len_words", tx.word_count(F.col("prediction"))), lengths=True)
+
+
+@query(f"{_SCORED} SELECT source, count(*) FILTER (delta_em <> 0) AS churn, sum(len(treated) - len(base))::BIGINT AS delta_len FROM p GROUP BY source")
+def churn_and_verbosity(spark, sf_dir):
+    p = delta.paired(*_sides(spark, sf_dir))
+    return p.groupBy("source").agg(F.count_if(F.col("delta_em") != 0).alias("churn"), F.sum(tx.word_count(F.col("treated_pred")) - tx.word_count(F.col("base_pred"))).alias("delta_len"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 7 = 0")
+def unmatched_ids(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return delta.unmatched(d, d.filter("id % 7 <> 0"))
+
+
+@query(f"""{_SCORED} SELECT count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits, {_DEC('base_f1')} AS base_f1_sum, {_DEC('treated_f1')} AS treated_f1_sum,
+ count(*) FILTER (base_em = 0 AND treated_em = 1) AS helped, count(*) FILTER (base_em = 1 AND treated_em = 0) AS hurt FROM p JOIN labels ON id = doc_id WHERE quality = 1""")
+def filtered_delta(spark, sf_dir):
+    quality = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return delta.filtered_delta(delta.paired(*_sides(spark, sf_dir)), quality, [1])
+
+
+@query(f"SELECT doc_id, md5(translate(text, {_STRUCT})) AS plain FROM documents")
+def strip_marks_latin(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", fx.MARKED, fx.BARE)).alias("plain"))
+
+
+def _with_marks(spark, sf_dir, mark):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "([aeiou])", f"$1{mark}").alias("marked"))
+
+
+@query("SELECT doc_id, md5(text) AS plain, true AS same FROM documents")
+def strip_marks_hebrew(spark, sf_dir):
+    s = tx.strip_marks(F.col("marked"), HEBREW)
+    return _with_marks(spark, sf_dir, "ָ").select("doc_id", F.md5(s).alias("plain"), (s == F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, md5(text) AS plain, true AS same FROM documents")
+def strip_marks_arabic(spark, sf_dir):
+    s = tx.strip_marks(F.col("marked"), ARABIC)
+    return _with_marks(spark, sf_dir, "َ").select("doc_id", F.md5(s).alias("plain"), (s == F.col("text")).alias("same"))
+
+
+_NORM = r"SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> ''), ' ')) AS norm FROM documents"
+
+
+@query(_NORM)
+def normalize_he(spark, sf_dir):
+    return _with_marks(spark, sf_dir, "ָ").select("doc_id", F.md5(tx.normalise(F.col("marked"), HEBREW)).alias("norm"))
+
+
+@query(_NORM)
+def normalize_ar(spark, sf_dir):
+    return _with_marks(spark, sf_dir, "َ").select("doc_id", F.md5(tx.normalise(F.concat("marked", F.lit(" في هذا")), ARABIC)).alias("norm"))
+
+
+@query(f"WITH {_QA} SELECT id, (base = gold OR base = gold2)::INT AS em FROM qa")
+def exact_match_multi_gold(spark, sf_dir):
+    return fx.qa(spark, sf_dir).select("id", sc.exact_match(F.col("base"), F.array("gold", "gold2")).alias("em"))
+
+
+@query(f"WITH {_QA} SELECT id, greatest({_f1('base', 'gold')}, {_f1('base', 'gold2')}) AS f1 FROM qa")
+def token_f1_multi_gold(spark, sf_dir):
+    return fx.qa(spark, sf_dir).select("id", sc.token_f1(F.col("base"), F.array("gold", "gold2")).alias("f1"))
+
+
+@query(f"WITH {_QA} SELECT id, {_f1('base', 'gold')} AS f1 FROM qa")
+def token_f1_exploded(spark, sf_dir):
+    return sc.token_f1_exploded(fx.qa(spark, sf_dir), "id", "base", "gold")
+
+
+_TRANSLIT = ("bdfklmnrst", "بدفكلمنرست")
+
+
+def _arabic(spark, sf_dir):
+    t = F.regexp_replace(F.translate("text", *_TRANSLIT), "([aeiou])", "َ")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+
+
+_POST = rf"""WITH a AS (SELECT doc_id, regexp_replace(translate(text, '{_TRANSLIT[0]}', '{_TRANSLIT[1]}'), '([aeiou])', chr(1614), 'g') AS t FROM documents),
+r AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '[\x{{0621}}-\x{{063A}}\x{{0640}}-\x{{065F}}\x{{0670}}]+|[^\x{{0621}}-\x{{063A}}\x{{0640}}-\x{{065F}}\x{{0670}}]+'),
+ lambda p: regexp_replace(p, '[\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g') || regexp_replace(p, '[^\x{{064B}}-\x{{065F}}\x{{0670}}]', '', 'g')) AS parts FROM a)"""
+
+
+@query(f"{_POST} SELECT doc_id, md5(array_to_string(parts, '')) AS moved FROM r")
+def postfix_reorder(spark, sf_dir):
+    return _arabic(spark, sf_dir).select("doc_id", F.md5(tx.postfix_reorder(F.col("t"))).alias("moved"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def postfix_multiset_check(spark, sf_dir):
+    return _arabic(spark, sf_dir).select("doc_id", tx.same_characters(F.col("t"), tx.postfix_reorder(F.col("t"))).alias("same"))
+
+
+@query(r"SELECT doc_id, len(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::INT AS n FROM documents")
+def sentence_split(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n"))
+
+
+@query()
+def chunk_pack(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunk_pack(F.col("text"), 400)).alias("chunk", "part"))
+
+
+@query()
+def chunk_roundtrip(spark, sf_dir):
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", (bare(tx.join_chunks(tx.chunk_pack(F.col("text"), 400))) == bare(F.col("text"))).alias("same"))
+
+
+@query(r"SELECT conv_id, turn, trim(string_split(trim(text, ' ' || chr(10)), chr(10))[1], ' ' || chr(10)) AS line FROM conversations")
+def first_line(spark, sf_dir):
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.first_line(F.col("text")).alias("line"))
+
+
+@query(r"SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::INT AS n FROM conversations")
+def word_count(spark, sf_dir):
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.word_count(F.col("text")).alias("n"))
+
+
+_CONV = """WITH c AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT conv_id, turn, text AS question, answer FROM c WHERE role = 'user' AND nr = 'assistant')"""
+
+
+@query(f"{_CONV} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'Context: ' || answer || chr(10) ELSE '' END || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM q")
+def prompt_render(spark, sf_dir):
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.prompt(F.when(F.col("conv_id") % 2 == 0, F.col("answer")), F.col("question")).alias("prompt"))
+
+
+@query(f"{_CONV} SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Gold answers: ' || answer || ' | yes' || chr(10) || 'Prediction: ' || answer AS message FROM q")
+def judge_message_render(spark, sf_dir):
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.judge_message(F.col("question"), F.array("answer", F.lit("yes")), F.col("answer")).alias("message"))
+
+
+@query(f"WITH {_QA} SELECT id, array_to_string(CASE WHEN id % 3 = 0 THEN [] ELSE [source] || list_slice(gold, 1, 2) END, '|') AS flat FROM qa")
+def answers_flatten(spark, sf_dir):
+    kind = F.when(F.col("id") % 3 == 0, "unanswerable").otherwise("entity")
+    rows = fx.qa(spark, sf_dir).select("id", F.array(F.struct(kind.alias("type"), F.col("source").alias("text"), F.slice("gold", 1, 2).alias("aliases"))).alias("a"))
+    return rows.select("id", F.array_join(tx.flatten_answers(F.col("a"), HEBREW), "|").alias("flat"))
+
+
+@query("SELECT 'doc_' || doc_id AS id, 'documents' AS source FROM documents UNION ALL SELECT 'bench_' || item_id, 'benchmark' FROM benchmark")
+def unify_sources(spark, sf_dir):
+    one = lambda t, k, p: fx.table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("id"), F.lit(t).alias("source"))
+    return one("documents", "doc_id", "doc_").unionByName(one("benchmark", "item_id", "bench_"))
+
+
+def _frag(spark, sf_dir, name):
+    d = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "text", F.translate("text", fx.MARKED, fx.BARE).alias("plain"))
+    count = fragmentation.COUNTERS[name]
+    return fragmentation.fragmentation(fragmentation.token_totals(d, count(F.col("plain"))), fragmentation.token_totals(d, count(F.col("text"))))
+
+
+_FRAG = f"SELECT lang AS source, sum(strlen(translate(text, {_STRUCT})))::BIGINT AS no_tok_count, sum(strlen(text))::BIGINT AS with_tok_count, sum(strlen(text))::DOUBLE / sum(strlen(translate(text, {_STRUCT})))::DOUBLE AS frag_ratio FROM documents GROUP BY lang"
+
+
+@query(_FRAG)
+def fragmentation_by_source(spark, sf_dir):
+    return _frag(spark, sf_dir, "bytes")
+
+
+@query(f"""WITH r AS (SELECT lang AS source, text, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)
+SELECT source, sum(strlen(translate(text, {_STRUCT})))::BIGINT AS no_tok_count, sum(strlen(text))::BIGINT AS with_tok_count FROM r WHERE r <= 50 GROUP BY source""")
+def fragmentation_sampled(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), "text")
+    d = d.join(fragmentation.sampled_ids(d, d, 50).select("id"), "id")
+    total = lambda c: fragmentation.token_totals(d, F.octet_length(c))
+    return fragmentation.fragmentation(total(F.translate("text", fx.MARKED, fx.BARE)), total(F.col("text"))).drop("frag_ratio")
+
+
+@query(f"WITH f AS ({_FRAG}) SELECT round(corr(no_tok_count::DOUBLE, with_tok_count::DOUBLE), 9) AS r, count(*) AS n FROM f")
+def fragmentation_pearson(spark, sf_dir):
+    return fragmentation.pearson(_frag(spark, sf_dir, "bytes"), "no_tok_count", "with_tok_count").withColumn("r", F.round("r", 9))
+
+
+def _docs(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text", "n_chars")
+
+
+@query("""WITH r AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r, (SELECT count(DISTINCT lang) FROM documents) AS k, (SELECT count(*) FROM documents) AS n FROM documents)
+SELECT id, lang FROM r WHERE n <= 100 OR r <= 100 // k""")
+def stratified_cap(spark, sf_dir):
+    return sampling.stratified_cap(_docs(spark, sf_dir), 100, "lang").select("id", "lang")
+
+
+_LEVEL = "CASE WHEN n_chars >= 2000 THEN 'high' WHEN n_chars >= 500 THEN 'mid' ELSE 'low' END"
+
+
+@query(f"""WITH a AS (SELECT doc_id AS id, lang, {_LEVEL} AS f1_level, md5('42:' || doc_id) AS h FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, f1_level ORDER BY h, id) AS k FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY (k <= CASE f1_level WHEN 'high' THEN 2 WHEN 'mid' THEN 1 ELSE 2 END)::INT DESC, h, id) AS r FROM b)
+SELECT id, lang, f1_level FROM c WHERE r <= 5""")
+def pilot_cell_sample(spark, sf_dir):
+    level = F.when(F.col("n_chars") >= 2000, "high").when(F.col("n_chars") >= 500, "mid").otherwise("low")
+    return sampling.cell_sample(_docs(spark, sf_dir).withColumn("f1_level", level), ARABIC.pilot_cell, ARABIC.pilot_levels, ["lang"]).select("id", "lang", "f1_level")
+
+
+@query("""WITH s AS (SELECT lang AS bucket, count(*) AS pool, min(doc_id) AS o FROM documents GROUP BY lang),
+t AS (SELECT *, sum(pool) OVER () AS total, round_even(100.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM s),
+u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+SELECT bucket, pool, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(pool, CASE WHEN last THEN 100 - before ELSE share END) END)::BIGINT AS quota FROM u""")
+def proportional_sample(spark, sf_dir):
+    return sampling.proportional_quotas(_docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket")), 100)
+
+
+@query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text[:doc_id % 120], '\\s+'), lambda x: x <> '')) AS n FROM documents)")
+def length_bucket(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("id", sc.answer_length_bucket(F.array(F.substring("text", F.lit(1), (F.col("id") % 120).cast("int")))).alias("bucket"))
+
+
+@query(f"{_SCORED} SELECT id, CASE WHEN base_f1 >= 0.8 THEN 'high' WHEN base_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")
+def f1_bucket(spark, sf_dir):
+    return _sides(spark, sf_dir)[0].select("id", sc.f1_level(F.col("f1")).alias("level"))
+
+
+def _mix(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.array("html").alias("answers"), F.lit("x").alias("prediction"))
+    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.array("text").alias("answers"), F.when(F.col("doc_id") % 9 == 0, " ").otherwise("x").alias("prediction"))
+    return pages.unionByName(docs)
+
+
+_MIXED = "WITH m AS (SELECT 'p' || page_id AS id, html AS a, 'x' AS p FROM pages UNION ALL SELECT 'd' || doc_id, text, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE 'x' END FROM documents), b AS (SELECT *, a IS NULL OR trim(a) = '' OR regexp_matches(a, '<[^>]+>') OR regexp_matches(a, '(?i)parsoid') AS bad FROM m)"
+
+
+@query(f"{_MIXED} SELECT id FROM b WHERE bad")
+def corrupted_answers(spark, sf_dir):
+    return _mix(spark, sf_dir).filter(sc.corrupted_answers(F.col("answers"))).select("id")
+
+
+@query(f"{_MIXED} SELECT CASE WHEN bad THEN 'corrupted' WHEN trim(p) = '' THEN 'empty' ELSE 'kept' END AS reject, count(*) AS n FROM b GROUP BY 1")
+def reject_counts(spark, sf_dir):
+    return judging.reject_reason(_mix(spark, sf_dir)).groupBy(F.coalesce("reject", F.lit("kept")).alias("reject")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, min(doc_id) AS id FROM documents GROUP BY lang, text")
+def question_dedupe_first(spark, sf_dir):
+    return sc.first_of_each(_docs(spark, sf_dir), ["lang", "text"], "id").select("lang", "id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_selected(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id").join(fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_selected(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id").join(fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+
+
+def _results(spark, sf_dir):
+    q = fx.qa(spark, sf_dir)
+    cell = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(c).alias("condition"), F.array_join(p, " ").alias("prediction")) for m in ("m1", "m2") for c, p in (("marked", "treated"), ("plain", "base")))))
+    return q.select(F.col("id").alias("example_id"), cell.alias("r")).select("example_id", "r.*").withColumn("prediction", F.when((F.col("example_id") % 11 == 0) & (F.col("model") == "m2"), "").otherwise(F.col("prediction")))
+
+
+@query(f"""WITH {_QA}, r AS (SELECT id AS example_id, source, m AS model, c AS condition, CASE WHEN id % 11 = 0 AND m = 'm2' THEN '' WHEN c = 'plain' THEN array_to_string(base, ' ') ELSE array_to_string(treated, ' ') END AS prediction
+ FROM qa, (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['marked', 'plain']) AS c))
+SELECT row_number() OVER (ORDER BY model, condition, source, example_id)::INT AS row_id, example_id, model, condition, prediction = '' AS pre_labeled, CASE WHEN prediction = '' THEN 'INCORRECT' END AS judge_label FROM r""")
+def judge_input_expand(spark, sf_dir):
+    questions = fx.qa(spark, sf_dir).select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
+    return judging.judge_inputs(questions, _results(spark, sf_dir)).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
+
+
+@query("SELECT 4::BIGINT AS cells, true AS equal_counts, true AS equal_sets")
+def pairing_check(spark, sf_dir):
+    return judging.pairing(_results(spark, sf_dir), ["model", "condition"])
+
+
+def _judged(spark, sf_dir):
+    r = fx.ratings(spark, sf_dir)
+    cell = F.explode(F.array(F.struct(F.lit("plain").alias("condition"), F.col("human").alias("judge_label")), F.struct(F.lit("marked").alias("condition"), F.col("judge").alias("judge_label"))))
+    rows = r.select(F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model"), F.col("lang").alias("source"), F.col("doc_id").alias("example_id"), F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("answer_length_bucket"), cell.alias("c"))
+    return rows.select("model", "source", "example_id", "answer_length_bucket", "c.*")
+
+
+_RATED = """WITH p AS (SELECT 'm' || (d.doc_id % 2) AS model, lang AS source, 'b' || (d.doc_id % 3) AS bucket, (quality = 1)::INT AS plain, (n_chars >= 500)::INT AS marked,
+ CASE WHEN quality = 1 THEN 'CORRECT' ELSE 'INCORRECT' END AS human, CASE WHEN n_chars >= 500 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge, d.source AS src, d.doc_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+_MOVES = "count(*) AS n, count(*) FILTER (plain = 1 AND marked = 1) AS cc, count(*) FILTER (plain = 1 AND marked = 0) AS ci, count(*) FILTER (plain = 0 AND marked = 1) AS ic, count(*) FILTER (plain = 0 AND marked = 0) AS ii, sum(plain)::BIGINT AS plain_hits, sum(marked)::BIGINT AS marked_hits, count(*) FILTER (plain = 1 AND marked = 0) - count(*) FILTER (plain = 0 AND marked = 1) AS net_churn"
+
+
+@query(f"{_RATED} SELECT model, source, CASE WHEN grouping(model) = 1 THEN 'all' WHEN grouping(source) = 1 THEN 'model' ELSE 'model+source' END AS level, {_MOVES} FROM p GROUP BY GROUPING SETS ((model, source), (model), ())")
+def judge_accuracy_delta(spark, sf_dir):
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model", "source"), ("model",), ()])
+
+
+@query(f"{_RATED} SELECT model, bucket, 'model+bucket' AS level, {_MOVES} FROM p GROUP BY model, bucket")
+def judge_delta_by_bucket(spark, sf_dir):
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model", "bucket")])
+
+
+@query(f"{_RATED} SELECT model, 'model' AS level, {_MOVES} FROM p GROUP BY model")
+def transitions(spark, sf_dir):
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model",)])
+
+
+@query(f"{_RATED} SELECT human, count(*) FILTER (judge = 'CORRECT') AS \"CORRECT\", count(*) FILTER (judge = 'INCORRECT') AS \"INCORRECT\" FROM p GROUP BY human")
+def confusion_matrix(spark, sf_dir):
+    return agreement.confusion(fx.ratings(spark, sf_dir))
+
+
+@query(f"""{_RATED}, c AS (SELECT count(*) AS n, count(*) FILTER (human = judge) AS agree, count(*) FILTER (human = 'CORRECT') AS h, count(*) FILTER (judge = 'CORRECT') AS j FROM p),
+e AS (SELECT n, agree, (h * j + (n - h) * (n - j))::DOUBLE / (n * n)::DOUBLE AS expected FROM c)
+SELECT n, agree, round(expected, 9) AS expected, round((agree::DOUBLE / n::DOUBLE - expected) / (1 - expected), 9) AS kappa FROM e""")
+def cohen_kappa(spark, sf_dir):
+    return agreement.kappa(fx.ratings(spark, sf_dir)).withColumns({"expected": F.round("expected", 9), "kappa": F.round("kappa", 9)})
+
+
+@query(f"""{_RATED}, l AS (SELECT unnest(['CORRECT', 'INCORRECT']) AS label), c AS (SELECT label, count(*) FILTER (human = label AND judge = label) AS tp, count(*) FILTER (human <> label AND judge = label) AS fp, count(*) FILTER (human = label AND judge <> label) AS fn FROM l, p GROUP BY label)
+SELECT label, tp, fp, fn, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c""")
+def per_class_prf(spark, sf_dir):
+    return agreement.per_class(fx.ratings(spark, sf_dir))
+
+
+@query(f"""{_RATED}, d AS (SELECT *, human || '->' || judge AS direction FROM p WHERE human <> judge), u AS (SELECT 'lang' AS dimension, source AS value FROM d UNION ALL SELECT 'source', src FROM d UNION ALL SELECT 'direction', direction FROM d UNION ALL SELECT 'total', 'all' FROM d)
+SELECT dimension, value, count(*) AS n FROM u GROUP BY dimension, value""")
+def disagreements_by(spark, sf_dir):
+    return agreement.disagreements(fx.ratings(spark, sf_dir), ["lang", "source"])
+
+
+@query(f"{_RATED} SELECT human || '->' || judge AS direction, count(*) AS n FROM p WHERE human <> judge GROUP BY 1 ORDER BY n DESC, direction LIMIT 5")
+def top_disagreement_directions(spark, sf_dir):
+    return agreement.top_directions(fx.ratings(spark, sf_dir))
+
+
+@query("WITH t AS (SELECT doc_id FROM labels ORDER BY md5('99:' || doc_id), doc_id LIMIT 15) SELECT 15::BIGINT AS n, count(*) FILTER (doc_id % 4 <> 0) AS agree, 0::BIGINT AS skipped FROM t")
+def consistency_duplicates(spark, sf_dir):
+    rows = sampling.with_duplicates(fx.ratings(spark, sf_dir).select(F.col("doc_id").alias("pilot_id"), "human"), 15)
+    other = F.when(F.col("human") == "CORRECT", "INCORRECT").otherwise("CORRECT")
+    return agreement.consistency(rows.withColumn("judge_label", F.when(F.col("is_duplicate") & (F.col("pilot_id_original") % 4 == 0), other).otherwise(F.col("human"))))
+
+
+_LED = "WITH l AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge_label FROM events)"
+
+
+@query(f"{_LED}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (judge_label <> 'ERROR')::INT DESC, ts DESC, event_id DESC) AS r FROM l) SELECT user_id, event_id, judge_label FROM r WHERE r = 1")
+def ledger_latest_valid(spark, sf_dir):
+    return lg.latest(fx.ledger(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "judge_label")
+
+
+@query(f"{_LED} SELECT event_id FROM l WHERE judge_label = 'ERROR' OR event_id % 10 = 3")
+def ledger_pending(spark, sf_dir):
+    rows = fx.ledger(spark, sf_dir)
+    return lg.pending(rows.select("event_id"), rows.filter("event_id % 10 <> 3"), "event_id", lg.valid_label())
+
+
+@query(f"{_LED} SELECT event_id FROM l WHERE judge_label = 'ERROR'")
+def completeness_gap(spark, sf_dir):
+    rows = fx.ledger(spark, sf_dir)
+    return lg.completeness(rows, rows, "event_id")
+
+
+@query(f"{_LED} SELECT event_type, judge_label, count(*) AS n FROM l GROUP BY event_type, judge_label")
+def label_histogram(spark, sf_dir):
+    return fx.ledger(spark, sf_dir).groupBy("event_type", "judge_label").agg(F.count("*").alias("n"))
+
+
+@query(f"{_RATED}, u AS (SELECT model, 'plain' AS condition, plain AS hit FROM p UNION ALL SELECT model, 'marked', marked FROM p) SELECT model, condition, count(*) AS n, count(*) FILTER (hit = 1) AS hits FROM u GROUP BY model, condition")
+def model_condition_accuracy(spark, sf_dir):
+    return judging.accuracy(_judged(spark, sf_dir), ["model", "condition"])
+
+
+@query()
+def ledger_stream(spark, sf_dir):
+    """The ledger goes through a file stream, twice; the second run finds nothing new."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="pairlens-")
+    base = f"{base}/ledger-{uuid.uuid4().hex}"
+    fx.ledger(spark, sf_dir).select("event_id", "judge_label").repartition(4, "event_id").write.json(f"{base}/in")
+    for _ in range(2):
+        lg.run_stream(spark, f"{base}/in", "event_id long, judge_label string", f"{base}/out", f"{base}/at", lambda b: b.filter(lg.valid_label()), files=2).awaitTermination()
+    return lg.read_ledger(spark, f"{base}/out").select("event_id", "judge_label")
