@@ -61,21 +61,23 @@ def sentences(text: Column) -> Column:
 
 
 def chunk_pack(text: Column, most: int) -> Column:
-    """Sentences packed greedily into chunks of about `most` characters; longer sentences are cut. The first sentence of
-    all counts one more than its length, one that opens a chunk after another does not."""
+    """Sentences packed greedily into chunks of at most `most` characters; longer sentences are cut. A sentence counts one
+    more than its length, except where it opens a chunk after another. A short text is one chunk, an empty or null one none."""
     state = "struct<done:array<string>,open:string,size:int>"
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size")).cast(state)
 
     def step(acc: Column, s: Column) -> Column:
         n = F.length(s)
-        full = (acc["size"] + n > most) & (acc["open"] != "")
+        full = (acc["size"] + n + 1 > most) & (acc["open"] != "")
         opened = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(opened).alias("open"), F.when(full, n).otherwise(acc["size"] + n + 1).cast("int").alias("size")
         ).cast(state)
 
     packed = F.aggregate(sentences(text), start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    return F.flatten(F.transform(packed, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(most)), lambda k: F.substring(c, k, F.lit(most)))))
+    cut = F.flatten(F.transform(packed, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(most)), lambda k: F.substring(c, k, F.lit(most)))))
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.length(text) <= most, F.array(text)).otherwise(cut)
 
 
 def join_chunks(chunks: Column) -> Column:
