@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ._merges import Merger
 from ._pretokens import Characters, PreTokens, load_tokenizer
+from ._shared import stored
 from ._text import ranges, steps
 
 #: Words in the transducer, and the most bytes of each.
@@ -156,7 +157,17 @@ def _word_counts(path: str):
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]:
     """The most frequent words of all documents, at most `size` of them; of equally frequent ones the smaller."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = stored(counts, "words")
+    # a histogram of a few hundred rows tells from which count on there are enough words
+    step = F.floor(F.log2("n") * 8)
+    held, least = 0, 0
+    for r in sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r.b):
+        held, least = held + r["count"], r.b
+        if held >= size:
+            break
+    # written, so that the cut to `size` rows is made in a task and not on the driver
+    chosen = stored(counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(size), "lexicon")
+    return [r.word for r in chosen.orderBy("word").collect()]
 
 
 def compile_lexicon(words: list[str], path: str) -> Transducer:
