@@ -6,7 +6,7 @@ number of common features over the geometric mean of their numbers. Kernel ridge
 rest, is solved on Nyström landmarks. The landmark part of the solution folds into one matrix, so that a batch of texts is
 scored by one product of its presence matrix with it, divided by the norms.
 
-What is learned from: at most PER_LANGUAGE texts of each of at most LANGUAGES languages, chosen by a hash of the text;
+What is learned from: at most PER_LANGUAGE texts of each of at most LANGUAGES languages, chosen by a hash of the text (copies once);
 the rows' features are computed where the rows are, and BUCKETS / 8 bytes of each go to the driver.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is everything if nothing can be learned; a
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import steps, text_buffer
@@ -75,7 +75,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     h = F.xxhash64("text")
     part = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 30, int(1.5 * per_language / r["count"] * (1 << 30)) + 1))))
     sample = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < part[F.col("lang")])
-    found = sample.limit(3 * per_language * len(counts)).mapInArrow(_featured, "lang string, h long, bits binary").collect()
+    # copies of a text count once, however many there are
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * per_language)
+    found = sample.mapInArrow(_featured, "lang string, h long, bits binary").collect()
     by: dict[str, dict[int, bytes]] = {r.lang: {} for r in counts}
     for r in found:
         by[r.lang][r.h % (1 << 62)] = bytes(r.bits)
