@@ -152,7 +152,7 @@ class ShardStore:
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
-    """Documents arrive in 16 shards and are compacted: doc_id, n_bytes (of the text) and the shard's tier (files of the shard)."""
+    """Documents arrive in 16 shards and are compacted; what is read back: doc_id, n_bytes and text_sha256 (null for a null text)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append(docs.withColumn("arrival", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(16))), by="arrival")
