@@ -12,10 +12,10 @@ Defined cases: a null url or html is an empty one; repeated rows are separate re
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import stored
@@ -23,23 +23,27 @@ from ._shared import stored
 RECORDS, FAN = 1024, 16
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """page_id, shard, seq, offset, length, record (binary)."""
+def records(pages: DataFrame, held: Callable[[Column], Column] = lambda record: record) -> DataFrame:
+    """page_id, shard, seq, offset, length, digest, record (binary). Order and ranges are those of the records as made;
+    record and digest are of what `held` leaves of them (a replica's bytes). The digest is taken before the records are
+    put in order, so that who doesn't ask for the records themselves moves none of them."""
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.regexp_replace(url, r"[\r\n]+", " "), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
     )
-    rows = pages.select("page_id", url.alias("_u"), F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8").alias("record"))
-    shard = F.coalesce(F.floor(F.col("page_id") / RECORDS), -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20)))
-    rows = rows.withColumns({"shard": shard.cast("long"), "length": F.length("record").cast("long")})
-    order = Window.partitionBy("shard").orderBy("page_id", "_u", "record")
+    made = pages.select("page_id", url.alias("_u"), F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8").alias("_made"))
+    shard = F.coalesce(F.floor(F.col("page_id") / RECORDS), -1 - F.pmod(F.xxhash64("_made"), F.lit(1 << 20)))
+    rows = made.select("page_id", "_u", shard.cast("long").alias("shard"), F.length("_made").cast("long").alias("length"), F.sha2("_made", 256).alias("_d"), held(F.col("_made")).alias("record"))
+    rows = rows.withColumn("digest", F.sha2("record", 256))
+    order = Window.partitionBy("shard").orderBy("page_id", "_u", "_d")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("page_id", "shard", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "record")
+    return rows.select("page_id", "shard", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(before, F.lit(0)).alias("offset"), "length", "digest", "record")
 
 
 def leaves(archive: DataFrame) -> DataFrame:
-    digest = F.sha2(F.col("record"), 256)
+    """Of an archive without records, the digests are taken as they are."""
+    digest = F.sha2(F.col("record"), 256) if "record" in archive.columns else F.col("digest")
     span = F.concat_ws(":", digest, F.col("offset").cast("string"), F.col("length").cast("string"))
     return archive.select("shard", F.lit(0).alias("level"), F.col("seq").alias("at"), "offset", "length", digest.alias("digest"), F.sha2(span, 256).alias("hash"))
 
@@ -101,12 +105,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op9_warc_audit(spark, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica in which the records of ids divisible by 97 have lost a byte's case:
     page_id, shard, offset, length, digest, damaged."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    archive = records(pages)
-    hurt = F.when(F.col("page_id") % 97 == 0, F.encode(F.concat(F.lit("warc"), F.substring(F.decode("record", "UTF-8"), 5, 1 << 30)), "UTF-8")).otherwise(F.col("record"))
-    left, right = tree(archive), tree(archive.withColumn("record", hurt))
-    found = audit(left, right).select("shard", F.col("at").alias("seq"), F.lit(True).alias("damaged"))
-    rows = archive.select("page_id", "shard", "seq", "offset", "length").join(left[0].select("shard", F.col("at").alias("seq"), "digest"), ["shard", "seq"]).join(found, ["shard", "seq"], "left")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+
+    def hurt(record: Column) -> Column:
+        return F.when(F.col("page_id") % 97 == 0, F.encode(F.concat(F.lit("warc"), F.substring(F.decode(record, "UTF-8"), 5, 1 << 30)), "UTF-8")).otherwise(record)
+
+    archive = stored(records(pages).drop("record"), "archive")
+    found = audit(tree(archive), tree(records(pages, hurt).drop("record"))).select("shard", F.col("at").alias("seq"), F.lit(True).alias("damaged"))
+    rows = archive.join(found, ["shard", "seq"], "left")
     return rows.select("page_id", "shard", "offset", "length", "digest", F.coalesce("damaged", F.lit(False)).alias("damaged"))
 
 
@@ -116,6 +122,6 @@ WITH r AS (
     || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages
 )
-SELECT page_id, shard::BIGINT AS shard, coalesce(sum(strlen(rec)) OVER (PARTITION BY shard ORDER BY page_id, url, rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+SELECT page_id, shard::BIGINT AS shard, coalesce(sum(strlen(rec)) OVER (PARTITION BY shard ORDER BY page_id, url, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
   strlen(rec)::BIGINT AS length, sha256(rec) AS digest, page_id % 97 = 0 AS damaged FROM r
 """
