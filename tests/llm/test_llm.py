@@ -130,6 +130,15 @@ def test_language(spark):
     assert lang_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_with_a_hot_text(spark):
+    rng = random.Random(6)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(30))
+    rows = [(d, text("abcdefgh" if d % 2 else "hijklmno"), "xx" if d % 2 else "yy") for d in range(120)]
+    rows += [(1000 + k, "the very same", "yy") for k in range(400)]
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40).collect()}
+    assert len(got) == 520 and all(got[d] == ("xx" if d % 2 else "yy") for d in range(120))
+
+
 @pytest.mark.parametrize("block", [16 << 20, 60])
 def test_contamination(spark, block):
     rng = random.Random(4)
@@ -227,6 +236,12 @@ def test_warc(spark, tmp_path):
     assert warc.audit(list(same), list(same)).count() == 0
     assert warc.audit(list(same), list(hurt)).count() == 2
     assert warc.audit(list(same), list(lost)).count() == 301 - 5
+    # trees of digests alone are those of the records
+    bare = warc.tree(a.drop("record"))
+    held = warc.records(pages, lambda r: F.when(F.col("page_id") == 7, F.lit(b"x")).otherwise(r))
+    assert warc.audit(list(same), list(bare)).count() == 0
+    assert [r.at for r in warc.audit(list(bare), warc.tree(held.drop("record"))).collect()] == [8]  # page 3 is there twice
+    assert warc.audit(warc.tree(warc.records(pages.limit(0))), warc.tree(warc.records(pages.limit(0)))).count() == 0
     blob = b"".join(bytes(r.record) for r in a.orderBy("shard", "seq").collect())
     (tmp_path / "a.warc").write_bytes(blob)
     back = warc.read_warc(spark, f"file://{tmp_path}/a.warc").collect()
