@@ -6,11 +6,15 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+from ._pretokens import load_tokenizer
 from ._text import ranges
 
 _NONE = np.int64(1) << np.int64(62)
 _ODD = 0x9E3779B97F4A7C15
+#: Bytes beyond which a word goes through the library: all words are merged in lockstep, one merge of each at a time.
+LONG = 512
 
 
 def byte_alphabet() -> list[str]:
@@ -81,9 +85,21 @@ class Merger:
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.final = np.array([vocab[c + suffix] for c in letters], np.int32)
         self.strings = {i: s for s, i in vocab.items()}
+        self.letters, self.model = letters, load_tokenizer(path).model
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and the number of each word's ids."""
+        long = pc.greater(pc.binary_length(words), LONG)
+        at = np.flatnonzero(long.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return self._lockstep(words)
+        flat, count = self._lockstep(pc.if_else(long, pa.scalar("", words.type), words))
+        own = [np.array([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, words[k].as_py().encode())))], np.int32) for k in at.tolist()]
+        parts = np.split(flat, (np.cumsum(count) - count)[at])
+        count[at] = [len(x) for x in own]
+        return np.concatenate([parts[0], *(x for pair in zip(own, parts[1:], strict=True) for x in pair)]), count
+
+    def _lockstep(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
         ends = np.frombuffer(words.buffers()[1], kind)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
         raw = words.buffers()[2] if len(words) else None
