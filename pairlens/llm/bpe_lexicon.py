@@ -157,7 +157,12 @@ def _word_counts(path: str):
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]:
     """The most frequent words of all documents, at most `size` of them; of equally frequent ones the smaller."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "words")
+    chosen = most_frequent(stored(counts, "words"), size)
+    return [r.word for r in chosen.orderBy("word").collect()]
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The `size` rows of counts (word, n, ...) that have the highest n; of equal ones those of smaller words."""
     # a histogram of a few hundred rows tells from which count on there are enough words
     step = F.floor(F.log2("n") * 8)
     held, least = 0, 0
@@ -166,8 +171,7 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]
         if held >= size:
             break
     # written, so that the cut to `size` rows is made in a task and not on the driver
-    chosen = stored(counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(size), "lexicon")
-    return [r.word for r in chosen.orderBy("word").collect()]
+    return stored(counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(size), "lexicon")
 
 
 def compile_lexicon(words: list[str], path: str) -> Transducer:
