@@ -1,8 +1,9 @@
 """A table of small immutable shards, compacted by size tiers, with versioned manifests.
 
 Arrivals are appended as shards: directories of Parquet files that never change. A compaction merges runs of at least
-`fan_in` shards of one size tier (sizes within a power of fan_in) into files of about target_bytes; shards of
-target_bytes or more are left alone. No row is shuffled: a merge reads its run's files and writes them in fewer.
+`fan_in` shards of one size tier (sizes within a power of fan_in) into files of about target_bytes. A shard of
+target_bytes or more whose files are small is a run of its own; what is in files of about target_bytes is settled and left
+alone. No row is shuffled: a merge reads its run's files and writes them in fewer.
 A manifest lists the live shards of one version. It is written to a name of its own and then renamed to the
 version's name, which fails if another writer was first; then the change is planned again from the newer version. Readers
 of an older version keep their files until vacuum().
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ class Shard:
     name: str
     bytes: int
     files: int
+    settled: bool = False
 
 
 class ManifestConflict(Exception):
@@ -39,15 +41,19 @@ class ManifestConflict(Exception):
 
 
 def tiers(shards: list[Shard], fan_in: int, target: int) -> list[list[Shard]]:
-    """Runs to merge: for each tier below the target, its shards if there are at least fan_in of them."""
+    """Runs to merge: for each tier below the target, its shards if there are at least fan_in of them; and each larger
+    shard whose files have less than half the target on average."""
     by: dict[int, list[Shard]] = {}
-    for s in sorted(shards, key=lambda s: (s.bytes, s.name)):
+    alone = []
+    for s in sorted((s for s in shards if not s.settled), key=lambda s: (s.bytes, s.name)):
         if s.bytes < target:
             tier, top = 0, 1 << 20
             while s.bytes > top:
                 tier, top = tier + 1, top * fan_in
             by.setdefault(tier, []).append(s)
-    return [run for _, run in sorted(by.items()) if len(run) >= fan_in]
+        elif s.bytes * 2 < s.files * target:
+            alone.append([s])
+    return [run for _, run in sorted(by.items()) if len(run) >= fan_in] + alone
 
 
 class ShardStore:
@@ -123,8 +129,7 @@ class ShardStore:
                 name = f"shards/{uuid.uuid4().hex}"
                 self._read(run).coalesce(max(1, round(held / self.target))).write.parquet(f"{self.root}/{name}")
                 new = self._measured(name)
-                # several target-sized files count as settled
-                self._change([Shard(name, max(new.bytes, self.target) if new.files > 1 or new.bytes * 2 > self.target else new.bytes, new.files)], run)
+                self._change([replace(new, settled=new.files > 1 or new.bytes * 2 > self.target)], run)
                 merges += 1
         return merges
 
