@@ -99,8 +99,9 @@ def _sets(words: int):
                 for x in buckets:
                     own = x["tile"]
                     rows += [(x["bucket"], min(own, t), max(own, t), own) for t in range(x["tiles"])]
-                for lo in range(0, len(rows), 64):
-                    part = rows[lo : lo + 64]
+                most = max(1, min(64, (8 << 20) // max(1, len(held))))  # copies of a long set in one batch
+                for lo in range(0, len(rows), most):
+                    part = rows[lo : lo + most]
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))), pa.array([name] * len(part), pa.binary()), pa.array([held] * len(part), pa.binary()), pa.array([ids] * len(part), pa.list_(pa.int64()))],
                         ["bucket", "ti", "tj", "own", "node", "held", "ids"],
