@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._text import Words, position_keys, steps, window_hashes
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Words that one cursor goes over.
 STRETCH = 256
 
