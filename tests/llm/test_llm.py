@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,15 +164,31 @@ def test_contamination(spark, block):
     assert decontamination.find_contamination(d, b.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_token_counts(docs):
+@pytest.mark.parametrize("common", [token_count.COMMON, 7])
+def test_token_counts(docs, common):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    got = {r.doc_id: tuple(r)[1:] for r in token_count.count_tokens(docs, path).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in token_count.count_tokens(docs, path, common=common).collect()}
     for d, text, *_ in corpus():
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         assert got[d] == (len((text or "").encode()), n, n > 512)
+    twice = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert sorted(r.n_tokens for r in token_count.count_tokens(twice.unionByName(twice), path, common=common).collect()) == sorted([x[1] for x in got.values()] * 2)
+    assert token_count.count_tokens(docs.limit(0), path, common=common).count() == 0
+
+
+def test_long_words():
+    from pairlens.llm._merges import Merger
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    words = ["hello", "", "ab" * 400, "x", "q" * 50_000, "é" * 900]
+    flat, count = Merger(path).encode(pa.array(words, pa.large_string()))
+    t = Tokenizer.from_file(path)
+    want = [t.encode(w, add_special_tokens=False).ids for w in words]
+    assert count.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
 
 
 def test_codec(docs):
@@ -228,6 +245,21 @@ def test_shards(spark, docs, tmp_path):
     assert store.vacuum() and store.read().count() == 124
 
 
+def test_tiers():
+    shard = lambda name, size, files=1, settled=False: sharding.Shard(name, size, files, settled)
+    small = [shard(f"s{k}", 900) for k in range(3)]
+    runs = sharding.tiers([*small, shard("loose", 5000, 20), shard("whole", 5000, 5), shard("done", 5000, 20, True), shard("mid", 2 << 20)], 3, 1000)
+    assert runs == [small, [shard("loose", 5000, 20)]]
+
+
+def test_large_arrivals_of_small_files_are_merged(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
+    store.append(spark.range(4000).repartition(12))
+    assert store.shards()[0].files == 12
+    assert store.compact() == 1 and store.compact() == 0
+    assert store.shards()[0].files < 12 and store.shards()[0].settled and store.read().count() == 4000
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>ü" * (k % 5)) for k in range(300)] + [(None, None, None), (3, "http://x/3", "again")], "page_id long, url string, html string")
     a = warc.records(pages)
