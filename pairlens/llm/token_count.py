@@ -32,7 +32,7 @@ from .bpe_lexicon import most_frequent
 
 LIMIT = 512
 #: Pre-tokens that are broadcast, and the most bytes of a pre-token that is a key.
-COMMON, WORD_BYTES = 32_768, 256
+COMMON, WORD_BYTES = 131_072, 256
 PIECE_BYTES = 2 << 20
 
 
