@@ -69,11 +69,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, and the matrix (BUCKETS x languages). labelled: text, lang."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    h = F.xxhash64("text")
+    # rows decide which languages are learned, distinct texts how large a part of a language is taken
+    copies = rows.groupBy("lang", h.alias("h")).count()
+    counts = copies.groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    h = F.xxhash64("text")
-    part = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 30, int(1.5 * per_language / r["count"] * (1 << 30)) + 1))))
+    part = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 30, int(1.5 * per_language / r.texts * (1 << 30)) + 1))))
     sample = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < part[F.col("lang")])
     # copies of a text count once, however many there are
     sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))

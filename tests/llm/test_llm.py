@@ -140,6 +140,18 @@ def test_language_with_a_hot_text(spark):
     assert len(got) == 520 and all(got[d] == ("xx" if d % 2 else "yy") for d in range(120))
 
 
+def test_language_learns_as_many_texts_whatever_is_copied(spark, monkeypatch):
+    rng, learned = random.Random(8), []
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(30))
+    rows = [(d, text("abcdefgh" if d % 2 else "hijklmno"), "xx" if d % 2 else "yy") for d in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.lit("abba hag").alias("text"), F.lit("xx").alias("lang"))
+    linspace = np.linspace
+    monkeypatch.setattr(lang_id.np, "linspace", lambda a, b, n: learned.append(b + 1) or linspace(a, b, n))
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify(df.unionByName(hot), per_language=40).collect()}
+    assert learned == [80] and all(got[d] == ("xx" if d % 2 else "yy") for d in range(200))
+
+
 @pytest.mark.parametrize("block", [16 << 20, 60])
 def test_contamination(spark, block):
     rng = random.Random(4)
