@@ -144,6 +144,87 @@ def token_f1_exploded(spark, sf_dir):
     return sc.token_f1_exploded(fx.qa(spark, sf_dir), "id", "base", "gold")
 
 
+# The queries above score slices of the first words, as their SQL does. Those below score whole texts and have no SQL.
+
+
+def _whole_sides(spark, sf_dir):
+    q = fx.whole_qa(spark, sf_dir)
+    f1 = sc.bag_f1(q, "id", {"base_f1": ("base", "gold"), "treated_f1": ("treated", "gold")})
+    em = lambda c: sc.exact_match(F.col(c), F.array("gold")).alias(f"{c}_em")
+    rows = q.select("id", "source", em("base"), em("treated"), F.size("base").alias("base_len"), F.size("treated").alias("treated_len")).join(f1, "id")
+    return rows.withColumns({"delta_em": F.col("treated_em") - F.col("base_em"), "delta_f1": F.bround(F.col("treated_f1") - F.col("base_f1"), 4)})
+
+
+def _whole_base(spark, sf_dir):
+    return _whole_sides(spark, sf_dir).select("id", "source", F.col("base_em").alias("em"), F.col("base_f1").alias("f1"), F.col("base_len").alias("pred_len_words"))
+
+
+@query()
+def whole_delta_by_source(spark, sf_dir):
+    return delta.delta_by_source(_whole_sides(spark, sf_dir))
+
+
+@query()
+def whole_per_example_delta(spark, sf_dir):
+    return _whole_sides(spark, sf_dir).drop("base_len", "treated_len")
+
+
+@query()
+def whole_score_by_source(spark, sf_dir):
+    return delta.score_by_source(_whole_base(spark, sf_dir))
+
+
+@query()
+def whole_score_by_source_with_len(spark, sf_dir):
+    return delta.score_by_source(_whole_base(spark, sf_dir), lengths=True)
+
+
+@query()
+def whole_churn_and_verbosity(spark, sf_dir):
+    return _whole_sides(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("delta_em") != 0).alias("churn"), F.sum(F.col("treated_len") - F.col("base_len")).alias("delta_len"))
+
+
+@query()
+def whole_filtered_delta(spark, sf_dir):
+    quality = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return delta.filtered_delta(_whole_sides(spark, sf_dir), quality, [1])
+
+
+@query()
+def whole_exact_match_multi_gold(spark, sf_dir):
+    return fx.whole_qa(spark, sf_dir).select("id", sc.exact_match(F.col("mixed"), F.array("gold", "gold2")).alias("em"))
+
+
+@query()
+def whole_token_f1_multi_gold(spark, sf_dir):
+    f1 = sc.bag_f1(fx.whole_qa(spark, sf_dir), "id", {"a": ("mixed", "gold"), "b": ("mixed", "gold2")})
+    return f1.select("id", F.greatest("a", "b").alias("f1"))
+
+
+@query()
+def whole_token_f1_exploded(spark, sf_dir):
+    return sc.token_f1_exploded(fx.whole_qa(spark, sf_dir), "id", "treated", "gold")
+
+
+@query()
+def whole_f1_bucket(spark, sf_dir):
+    return _whole_sides(spark, sf_dir).select("id", sc.f1_level(F.col("treated_f1")).alias("level"))
+
+
+@query()
+def whole_answers_flatten(spark, sf_dir):
+    kind = F.when(F.col("id") % 3 == 0, "unanswerable").otherwise("entity")
+    rows = fx.whole_qa(spark, sf_dir).select("id", F.array(F.struct(kind.alias("type"), F.col("source").alias("text"), F.col("gold").alias("aliases"))).alias("a"))
+    return rows.select("id", F.array_join(tx.flatten_answers(F.col("a"), HEBREW), "|").alias("flat"))
+
+
+@query()
+def whole_judge_input_expand(spark, sf_dir):
+    q = fx.whole_qa(spark, sf_dir)
+    questions = q.select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
+    return judging.judge_inputs(questions, _results(q)).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
+
+
 _TRANSLIT = ("bdfklmnrst", "بدفكلمنرست")
 
 
@@ -323,8 +404,7 @@ def anti_selected(spark, sf_dir):
     return _docs(spark, sf_dir).select("id").join(fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
-def _results(spark, sf_dir):
-    q = fx.qa(spark, sf_dir)
+def _results(q):
     cell = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(c).alias("condition"), F.array_join(p, " ").alias("prediction")) for m in ("m1", "m2") for c, p in (("marked", "treated"), ("plain", "base")))))
     return q.select(F.col("id").alias("example_id"), cell.alias("r")).select("example_id", "r.*").withColumn("prediction", F.when((F.col("example_id") % 11 == 0) & (F.col("model") == "m2"), "").otherwise(F.col("prediction")))
 
@@ -334,12 +414,12 @@ def _results(spark, sf_dir):
 SELECT row_number() OVER (ORDER BY model, condition, source, example_id)::INT AS row_id, example_id, model, condition, prediction = '' AS pre_labeled, CASE WHEN prediction = '' THEN 'INCORRECT' END AS judge_label FROM r""")
 def judge_input_expand(spark, sf_dir):
     questions = fx.qa(spark, sf_dir).select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
-    return judging.judge_inputs(questions, _results(spark, sf_dir)).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
+    return judging.judge_inputs(questions, _results(fx.qa(spark, sf_dir))).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
 
 
 @query("SELECT 4::BIGINT AS cells, true AS equal_counts, true AS equal_sets")
 def pairing_check(spark, sf_dir):
-    return judging.pairing(_results(spark, sf_dir), ["model", "condition"])
+    return judging.pairing(_results(fx.qa(spark, sf_dir)), ["model", "condition"])
 
 
 def _judged(spark, sf_dir):
