@@ -359,6 +359,18 @@ def proportional_sample(spark, sf_dir):
     return sampling.proportional_quotas(_docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket")), 100)
 
 
+@query("""WITH s AS (SELECT lang AS bucket, count(*) AS pool, min(doc_id) AS o FROM documents GROUP BY lang),
+t AS (SELECT *, sum(pool) OVER () AS total, round_even(100.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM s),
+u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+q AS (SELECT bucket, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(pool, CASE WHEN last THEN 100 - before ELSE share END) END)::BIGINT AS quota FROM u),
+r AS (SELECT doc_id AS id, lang AS bucket, md5('42:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents),
+k AS (SELECT id, r.bucket, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM r JOIN q ON r.bucket = q.bucket)
+SELECT id, bucket FROM k WHERE k <= 100""")
+def proportional_sample_rows(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket"))
+    return sampling.proportional_sample(rows, 100).select("id", "bucket")
+
+
 @query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text[:doc_id % 120], '\\s+'), lambda x: x <> '')) AS n FROM documents)")
 def length_bucket(spark, sf_dir):
     d = _docs(spark, sf_dir)
