@@ -377,6 +377,11 @@ def length_bucket(spark, sf_dir):
     return d.select("id", sc.answer_length_bucket(F.array(F.substring("text", F.lit(1), (F.col("id") % 120).cast("int")))).alias("bucket"))
 
 
+@query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
+def whole_length_bucket(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", sc.answer_length_bucket(F.array("text")).alias("bucket"))
+
+
 @query(f"{_SCORED} SELECT id, CASE WHEN base_f1 >= 0.8 THEN 'high' WHEN base_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")
 def f1_bucket(spark, sf_dir):
     return _sides(spark, sf_dir)[0].select("id", sc.f1_level(F.col("f1")).alias("level"))
