@@ -147,7 +147,10 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 def with_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs without the rows that have no language (no text or no letter in it)."""
-    out = predict(docs, fit(docs.filter(~held_out()), per_language)).filter(F.col("lang_pred") != NONE)
+    langs, weights = fit(docs.filter(~held_out()), per_language)
+    # if nothing can be learned, all texts with letters are of one language
+    model = (langs, weights) if langs else (["any"], np.zeros((BUCKETS, 1), np.float32))
+    out = predict(docs, model).filter(F.col("lang_pred") != NONE)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 

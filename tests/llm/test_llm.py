@@ -290,3 +290,9 @@ def test_warc(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(blob)
     back = warc.read_warc(spark, f"file://{tmp_path}/a.warc").collect()
     assert len(back) == 302 and hashlib.sha256(blob[back[5].offset :][:8]).hexdigest() == hashlib.sha256(b"WARC/1.0").hexdigest()
+
+
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "some words", None), (2, "12 %", None), (3, None, None), (4, "слово", None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in lang_id.with_language(df).collect()) == [1, 4]
