@@ -118,7 +118,10 @@ class ShardStore:
             return self._change([self._measured(run)])
         writer.partitionBy(by).parquet(f"{self.root}/{run}")
         parts = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{run}")) if s.isDirectory())
-        return self._change([self._measured(f"{run}/{p}") for p in parts if "=" in p])
+        added = [self._measured(f"{run}/{p}") for p in parts if "=" in p]
+        if not added and not self.shards():
+            return self.append(rows.limit(0).drop(by))
+        return self._change(added)
 
     def compact(self) -> int:
         """Merges until no tier has a run; returns the number of merges."""

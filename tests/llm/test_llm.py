@@ -296,3 +296,15 @@ def test_without_labels_only_texts_without_letters_go(spark):
     rows = [(1, "some words", None), (2, "12 %", None), (3, None, None), (4, "слово", None), (5, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in lang_id.with_language(df).collect()) == [1, 4]
+
+
+def test_an_empty_table_is_sharded(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, arrival int")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/e")
+    store.append(rows.limit(0), by="arrival")
+    store.compact()
+    store.vacuum()
+    assert store.read().columns == ["doc_id", "text"] and store.read().count() == 0
+    store.append(rows.limit(0), by="arrival")
+    store.append(rows, by="arrival")
+    assert len(store.shards()) == 2 and [tuple(r) for r in store.read().collect()] == [(1, "a")]
