@@ -18,6 +18,15 @@ STOP_WORDS = (
     "أو", "ثم", "حتى", "إذا", "بعد", "قبل", "كل", "بين",
 )
 
+# fixed values: prompts for a model, with and without a passage
+HEBREW_EXTRACTIVE = "קרא את הקטע הבא וענה על השאלה. כתוב את התשובה בדיוק כפי שהיא מופיעה בקטע, ללא הסבר נוסף.\n\nקטע: {context}\n\nשאלה: {question}\n\nתשובה:"
+HEBREW_OPEN = "ענה על השאלה הבאה בקצרה. כתוב רק את התשובה.\n\nשאלה: {question}\n\nתשובה:"
+ARABIC_EXTRACTIVE = "اقرأ النص التالي وأجب على السؤال. اكتب الإجابة كما وردت في النص بالضبط، دون أي شرح إضافي.\n\nالنص: {context}\n\nالسؤال: {question}\n\nالإجابة:"
+ARABIC_OPEN = "أجب على السؤال التالي باختصار. اكتب الإجابة فقط.\n\nالسؤال: {question}\n\nالإجابة:"
+# fixed values: messages for a judge
+JUDGE = "Question: {question}\n\nGold answer(s): {gold_answers}\n\nCandidate answer: {prediction}"
+JUDGE_WITH_CONTEXT = "Question: {question}\n\nContext: {context}\n\nGold answer(s): {gold_answers}\n\nCandidate answer: {prediction}"
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -25,7 +34,8 @@ class Dialect:
     marks: str
     plain: str
     marked: str
-    lower_first: bool = True
+    extractive: str
+    open_domain: str
     stop_words: tuple[str, ...] = ()
     answer_types: tuple[str, ...] = ("entity", "short_phrase", "value")
     pilot_cell: int = 5
@@ -33,8 +43,12 @@ class Dialect:
     targets: dict[str, int] = field(default_factory=dict, hash=False)
 
 
-HEBREW = Dialect("hebrew", HEBREW_MARKS, "no_niqud", "with_niqud", pilot_cell=7, pilot_levels={"high": 3, "mid": 1, "low": 3}, targets={"heq": 600, "parashoot": 500, "mkqa": 400})
+# fixed values: pilot quotas of the levels of F1, and target sizes of the sources
+HEBREW = Dialect(
+    "hebrew", HEBREW_MARKS, "no_niqud", "with_niqud", HEBREW_EXTRACTIVE, HEBREW_OPEN, pilot_cell=7, pilot_levels={"high": 3, "mid": 1, "low": 3},
+    targets={"heq": 600, "parashoot": 500, "mkqa": 400},
+)
 ARABIC = Dialect(
-    "arabic", ARABIC_MARKS, "no_tashkeel", "with_tashkeel", lower_first=False, stop_words=STOP_WORDS, answer_types=("entity", "short_phrase", "value", "number_with_unit"),
+    "arabic", ARABIC_MARKS, "no_tashkeel", "with_tashkeel", ARABIC_EXTRACTIVE, ARABIC_OPEN, stop_words=STOP_WORDS, answer_types=("entity", "short_phrase", "value", "number_with_unit"),
     pilot_cell=5, pilot_levels={"high": 2, "mid": 1, "low": 2}, targets={"arcd": 500, "tydiqa": 600, "mkqa": 400},
 )

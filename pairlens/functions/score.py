@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import split_words, trim_white
+from .text import blank, split_words
 
 
 def common_tokens(p: Column, g: Column) -> Column:
@@ -37,16 +40,20 @@ def token_f1_exploded(rows: DataFrame, key: str, p: str, g: str) -> DataFrame:
 
 
 def bag_f1(rows: DataFrame, key: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """key (one row each) and, by name, the token F1 of each pair of columns (prediction, gold): words of all columns are
-    counted in one shuffle, in time linear in the texts."""
+    """key (one row each) and, by name, the token F1 of each pair of columns (prediction, gold). Words are counted in time
+    linear in the texts, and only of pairs that aren't the same word for word."""
+    rows = rows.repartition(key)  # texts move once; all that is grouped by more than the key stays where it is
     sides = sorted({c for pair in pairs.values() for c in pair})
-    whole = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in sides}
+    none = F.array().cast("array<string>")
+    whole = {c: F.coalesce(F.col(c), none) for c in sides}
+    differ = {name: whole[p] != whole[g] for name, (p, g) in pairs.items()}
+    asked = {c: F.when(reduce(operator.or_, (differ[name] for name, pair in pairs.items() if c in pair)), whole[c]).otherwise(none) for c in sides}
     side = lambda k: lambda t: F.struct(t.alias("t"), F.lit(k).alias("side"))
-    tagged = F.concat(*(F.transform(whole[c], side(k)) for k, c in enumerate(sides)))
+    tagged = F.concat(*(F.transform(asked[c], side(k)) for k, c in enumerate(sides)))
     bags = rows.select(key, F.explode(tagged).alias("w")).groupBy(key, "w.t").agg(*(F.count_if(F.col("w.side") == k).alias(c) for k, c in enumerate(sides)))
     common = bags.groupBy(key).agg(*(F.sum(F.least(p, g)).alias(name) for name, (p, g) in pairs.items()))
-    sizes = rows.select(key, *((F.size(whole[p]) + F.size(whole[g])).alias(f"_{name}") for name, (p, g) in pairs.items()))
-    f1 = lambda name: F.when(F.col(name) > 0, 2.0 * F.col(name) / F.col(f"_{name}")).otherwise(F.lit(0.0))
+    sizes = rows.select(key, *(F.when(differ[name], F.size(whole[p]) + F.size(whole[g])).when(F.size(whole[p]) > 0, -1).otherwise(0).alias(f"_{name}") for name, (p, g) in pairs.items()))
+    f1 = lambda name: F.when(F.col(f"_{name}") < 0, 1.0).when((F.col(f"_{name}") > 0) & (F.col(name) > 0), 2.0 * F.col(name) / F.col(f"_{name}")).otherwise(F.lit(0.0))
     return sizes.join(common, key, "left").select(key, *(F.bround(f1(name), 4).alias(name) for name in pairs))
 
 
@@ -56,25 +63,27 @@ def f1_level(value: Column) -> Column:
 
 def answer_length_bucket(answers: Column) -> Column:
     """By the shortest answer that isn't blank; none: short."""
-    n = F.array_min(F.transform(F.filter(answers, lambda a: trim_white(a) != ""), lambda a: F.size(split_words(a))))
+    n = F.array_min(F.transform(F.filter(answers, lambda a: ~blank(a)), lambda a: F.size(split_words(a))))
     return F.when(n.isNull() | (n <= 1), "short").when(n <= 5, "medium").when(n <= 15, "long").otherwise("very_long")
 
 
 def corrupted_answers(answers: Column) -> Column:
-    bad = lambda a: a.isNull() | (trim_white(a) == "") | F.rlike(a, F.lit("<[^>]+>")) | F.rlike(a, F.lit("(?i)parsoid"))
+    bad = lambda a: blank(a) | F.rlike(a, F.lit("<[^>]+>")) | F.rlike(a, F.lit("(?i)parsoid"))
     return F.coalesce(F.size(answers), F.lit(0)).__le__(0) | F.coalesce(F.exists(answers, bad), F.lit(False))
 
 
-def blank(text: Column) -> Column:
-    return F.coalesce(trim_white(text), F.lit("")) == ""
+def _picked(rows: DataFrame, key: list[str], order: str, by) -> DataFrame:
+    """One row of each key, chosen before the shuffle in each task already. Of strings in the key the digest is grouped by."""
+    kinds = dict(rows.dtypes)
+    digest = [F.md5(F.col(k)) if kinds[k] == "string" else F.col(k) for k in key]
+    out = rows.groupBy(*(d.alias(f"_k{i}") for i, d in enumerate(digest))).agg(by(F.struct(*rows.columns), F.struct(order)).alias("_row"))
+    return out.select("_row.*")
 
 
 def last_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The last row of each key."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return _picked(rows, key, order, F.max_by)
 
 
 def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return _picked(rows, key, order, F.min_by)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .dialect import POSTFIX_MARKS, POSTFIX_RUN, WHITE, Dialect
+from .dialect import JUDGE, JUDGE_WITH_CONTEXT, POSTFIX_MARKS, POSTFIX_RUN, WHITE, Dialect
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -37,6 +41,11 @@ def trim_white(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 
 
+def blank(text: Column) -> Column:
+    """Whether a text is null or nothing but white space; looks no further than its first other character."""
+    return ~F.coalesce(F.rlike(text, F.lit(f"[^{WHITE[1:-1]}]")), F.lit(False))
+
+
 def first_line(text: Column) -> Column:
     return trim_white(F.substring_index(trim_white(text), "\n", 1))
 
@@ -46,9 +55,34 @@ def postfix_word(run: Column) -> Column:
     return F.concat(F.regexp_replace(run, f"[{POSTFIX_MARKS}]", ""), F.regexp_replace(run, f"[^{POSTFIX_MARKS}]", ""))
 
 
-def postfix_reorder(text: Column) -> Column:
-    parts = F.regexp_extract_all(text, F.lit(f"([{POSTFIX_RUN}]+|[^{POSTFIX_RUN}]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(f"^[{POSTFIX_RUN}]")), postfix_word(p)).otherwise(p)), "")
+def _ranged(spec: str) -> list[tuple[int, int]]:
+    """First and last code point of each part of a character class."""
+    parts = spec.replace("}-\\x{", "-").replace("\\x{", " ").replace("}", " ").split()
+    return [(int(a, 16), int(b or a, 16)) for a, _, b in (p.partition("-") for p in parts)]
+
+
+def _within(codes: np.ndarray, spec: str) -> np.ndarray:
+    out = np.zeros(len(codes), bool)
+    for a, b in _ranged(spec):
+        out |= (codes >= a) & (codes <= b)
+    return out
+
+
+@F.arrow_udf(StringType())
+def postfix_reorder(text: pa.Array) -> pa.Array:
+    """Of each run of word characters the letters come first, then the marks, each in their order; the rest stays. One stable
+    sort of a batch's characters by run and kind, where built-in functions would make an array element of every word."""
+    held = pc.fill_null(text, "").to_pylist()
+    codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([0, *map(len, held)])
+    inside = _within(codes, POSTFIX_RUN)
+    turn = np.ones(len(codes) + 1, bool)
+    turn[1:-1] = inside[1:] != inside[:-1]
+    turn[ends] = True
+    key = np.cumsum(turn[:-1]) * 2 + _within(codes, POSTFIX_MARKS)
+    moved = codes[np.argsort(key, kind="stable")].tobytes().decode("utf-32-le")
+    ends = ends.tolist()
+    return pa.array([moved[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], pc.is_valid(text).to_pylist(), strict=True)], pa.string())
 
 
 def same_characters(a: Column, b: Column) -> Column:
@@ -56,6 +90,12 @@ def same_characters(a: Column, b: Column) -> Column:
     return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
 
 
+def checked_reorder(text: Column) -> Column:
+    """postfix_reorder; an error is raised if it does anything but reorder."""
+    moved = postfix_reorder(text)
+    return F.when(text.isNull(), text).when(F.assert_true(same_characters(text, moved), F.lit("characters were changed, not reordered")).isNull(), moved)
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, rf"(?<=[.!?]){WHITE}+")
 
@@ -106,16 +146,26 @@ def render(template: str, **fields: Column) -> Column:
     return F.concat(*out)
 
 
-def prompt(context: Column, question: Column, extractive: str = "Context: {context}\nQuestion: {question}\nAnswer:", open_domain: str = "Question: {question}\nAnswer:") -> Column:
-    return F.when(has_context(context), render(extractive, context=context, question=question)).otherwise(render(open_domain, question=question))
+def prompt(context: Column, question: Column, dialect: Dialect) -> Column:
+    return F.when(has_context(context), render(dialect.extractive, context=context, question=question)).otherwise(render(dialect.open_domain, question=question))
+
 
+def chat(message: Column, template: str | None = None) -> Column:
+    """A message in a model's chat template ({message} stands for it), or as it is if the model has none."""
+    return message if template is None else render(template, message=message)
 
-def judge_message(question: Column, answers: Column, prediction: Column, context: Column | None = None) -> Column:
-    head = F.when(has_context(context), F.concat(F.lit("Context: "), context, F.lit("\n"))).otherwise(F.lit("")) if context is not None else F.lit("")
-    return F.concat(head, F.lit("Question: "), question, F.lit("\nGold answers: "), F.array_join(answers, " | "), F.lit("\nPrediction: "), prediction)
+
+def judge_message(question: Column, answers: Column, prediction: Column, context: Column | None = None, plain: str = JUDGE, with_context: str = JUDGE_WITH_CONTEXT) -> Column:
+    fields = {"question": question, "gold_answers": F.array_join(answers, " | "), "prediction": prediction}
+    bare = render(plain, **fields)
+    return bare if context is None else F.when(has_context(context), render(with_context, context=context, **fields)).otherwise(bare)
 
 
 def parse_label(reply: Column, labels: tuple[str, ...] = ("CORRECT", "INCORRECT")) -> Column:
     """label of a JSON reply; ERROR unless it is one of labels."""
     label = F.upper(F.trim(F.from_json(reply, "label string")["label"]))
     return F.when(label.isin(*labels), label).otherwise("ERROR")
+
+
+def parse_reason(reply: Column) -> Column:
+    return F.coalesce(F.from_json(reply, "reason string")["reason"], F.lit(""))

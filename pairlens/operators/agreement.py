@@ -20,8 +20,9 @@ def paired_raters(human: DataFrame, judge: DataFrame) -> DataFrame:
 
 
 def confusion(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """human, and a count for each label of the judge; zero-filled for labels that occur."""
-    return rows.groupBy("human").pivot("judge", list(labels)).count().na.fill(0)
+    """human, and a count for each label of the judge; a row for each label, with zeros where nothing occurs."""
+    cell = lambda h, j: F.count_if((F.col("human") == h) & (F.col("judge") == j)).alias(j)
+    return rows.agg(F.array(*(F.struct(F.lit(h).alias("human"), *(cell(h, j) for j in labels)) for h in labels)).alias("c")).select(F.inline("c"))
 
 
 def kappa(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
@@ -47,11 +48,19 @@ def per_class(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
 
 def disagreements(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counts by each column alone, by direction and in total: dimension, value, n."""
-    differ = rows.filter("human <> judge").withColumn("direction", F.concat("human", F.lit("->"), "judge"))
+    differ = rows.filter("human <> judge").withColumn("direction", F.concat(F.lit("human="), "human", F.lit(" -> judge="), "judge"))
     cells = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in [*by, "direction"]), F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")))
     return differ.select(F.inline(cells)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+EXAMPLE = ("pilot_id", "source", "condition", "f1_level", "f1", "question", "gold_answers", "prediction", "human", "judge", "judge_reason")
+
+
+def disagreement_examples(rows: DataFrame) -> DataFrame:
+    """The rows on which the raters differ; what they don't hold of EXAMPLE is null."""
+    return rows.filter("human <> judge").select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in EXAMPLE))
+
+
 def top_directions(rows: DataFrame, k: int = 5) -> DataFrame:
     return disagreements(rows, []).filter("dimension = 'direction'").select(F.col("value").alias("direction"), "n").orderBy(F.desc("n"), "direction").limit(k)
 

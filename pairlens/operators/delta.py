@@ -44,6 +44,29 @@ def delta_by_source(pairs: DataFrame) -> DataFrame:
     return rolled.withColumn("source", F.when(F.col("_all") == 1, "overall").otherwise(F.col("source"))).drop("_all")
 
 
+def verbosity(pairs: DataFrame) -> DataFrame:
+    """Per source and for all: churn (helped and hurt), sums of the words of both predictions and of their difference, means
+    of the words. pairs: base_len, treated_len, delta_em."""
+    rolled = pairs.rollup("source").agg(
+        F.count("*").alias("n"), F.count_if(F.col("delta_em") != 0).alias("churn"), F.sum("base_len").alias("base_len_sum"), F.sum("treated_len").alias("treated_len_sum"),
+        F.sum(F.col("treated_len") - F.col("base_len")).alias("delta_len"), F.grouping("source").alias("_all"),
+    )
+    mean = lambda c: F.col(f"{c}_sum").cast("double") / F.col("n")
+    rolled = rolled.withColumns({"base_len_mean": mean("base_len"), "treated_len_mean": mean("treated_len"), "source": F.when(F.col("_all") == 1, "overall").otherwise(F.col("source"))})
+    return rolled.drop("_all")
+
+
+def of_source(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose id begins with the prefix, with raw_id for what follows it."""
+    return rows.filter(F.startswith("id", F.lit(prefix))).withColumn("raw_id", F.substring("id", len(prefix) + 1, 1 << 30))
+
+
+def compared(filtered: DataFrame, original: DataFrame, key: str = "model") -> DataFrame:
+    """Filtered figures beside those of all rows, for models that have both."""
+    side = lambda x, name: x.select(key, *(F.col(c).alias(f"{name}_{c}") for c in x.columns if c != key))
+    return side(original, "original").join(side(filtered, "filtered"), key)
+
+
 def score_by_source(rows: DataFrame, lengths: bool = False) -> DataFrame:
     more = [F.sum("pred_len_words").alias("pred_len_sum")] if lengths else []
     rolled = rows.rollup("source").agg(F.count("*").alias("n"), F.sum("em").alias("em_hits"), _exact("f1").alias("f1_sum"), *more, F.grouping("source").alias("_all"))
@@ -52,8 +75,11 @@ def score_by_source(rows: DataFrame, lengths: bool = False) -> DataFrame:
 
 def filtered_delta(pairs: DataFrame, quality: DataFrame, keep: list, column: str = "quality") -> DataFrame:
     """Sums over the pairs whose quality is one of keep; rows without one go. quality (id, quality) is a lookup table."""
-    kept = pairs.join(quality, "id", "left").filter(F.col(column).isin(*keep))
-    return kept.agg(
+    return sums(pairs.join(quality, "id", "left").filter(F.col(column).isin(*keep)))
+
+
+def sums(pairs: DataFrame, *by: str) -> DataFrame:
+    return pairs.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("base_em").alias("base_em_hits"), F.sum("treated_em").alias("treated_em_hits"), _exact("base_f1").alias("base_f1_sum"), _exact("treated_f1").alias("treated_f1_sum"),
         F.count_if((F.col("base_em") == 0) & (F.col("treated_em") == 1)).alias("helped"), F.count_if((F.col("base_em") == 1) & (F.col("treated_em") == 0)).alias("hurt"),
     )

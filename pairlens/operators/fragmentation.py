@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_count
 
-#: Counters that need no model; providers.TokenCounter gives others.
+#: Counters that need no model; others are columns made by providers.apply.
 COUNTERS = {"bytes": F.octet_length, "chars": F.length, "words": word_count}
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.score import answer_length_bucket, blank, corrupted_answers, last_of_each
+from ..functions.score import answer_length_bucket, corrupted_answers, last_of_each
+from ..functions.text import blank
 from .sampling import numbered
 
 LABELS = ("CORRECT", "INCORRECT")
@@ -34,6 +35,24 @@ def blinded(rows: DataFrame) -> DataFrame:
     return rows.select("pilot_id", "question", "context", F.array_join("answers", " | ").alias("gold_answers"), "prediction", F.lit("").alias("human_label"), F.lit("").alias("human_notes"))
 
 
+METADATA = ("pilot_id", "source", "model_key", "condition", "f1_level", "f1", "em")
+
+
+def metadata(rows: DataFrame) -> DataFrame:
+    """What blinded() hides, to be joined again by pilot_id after labelling."""
+    return rows.select(*METADATA)
+
+
+def cells(rows: DataFrame, dimensions: dict[str, list], *measures) -> DataFrame:
+    """A row for each combination of the listed values, with the measures of its rows (null, for a count 0, where there are none)."""
+    grid = None
+    for name, values in dimensions.items():
+        own = F.explode(F.array(*map(F.lit, values))).alias(name)
+        grid = rows.sparkSession.range(1).select(own) if grid is None else grid.select("*", own)
+    found = rows.groupBy(*dimensions).agg(F.count("*").alias("n"), *measures)
+    return F.broadcast(grid).join(found, list(dimensions), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def pairing(rows: DataFrame, by: list[str]) -> DataFrame:
     """Whether all cells have as many rows, and whether they have the same examples."""
     cells = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.xxhash64("example_id").cast("decimal(38,0)")).alias("h"))

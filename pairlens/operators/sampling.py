@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import first_of_each
+from ..storage import mark, release, stored
 
 
 def seeded(seed: int, key: str = "id") -> Column:
@@ -16,25 +17,45 @@ def seeded_rank(by: list[str], seed: int = 42, key: str = "id") -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(seeded(seed, key), key))
 
 
+def first_ranks(rows: DataFrame, by: list[str], most: int, seed: int = 42, key: str = "id", name: str = "_r") -> DataFrame:
+    """The rows of rank 1 .. most in each stratum, with the rank. A literal bound, so that each task passes on `most` rows only."""
+    return rows.withColumn(name, seeded_rank(by, seed, key)).filter(F.col(name) <= most)
+
+
 def stratified_cap(rows: DataFrame, most: int, by: str = "source", seed: int = 42) -> DataFrame:
     """most // strata rows of each stratum, if there are more than `most` in all."""
-    facts = rows.agg(F.count("*").alias("_n"), F.countDistinct(by).alias("_k"))
-    ranked = rows.withColumn("_r", seeded_rank([by], seed)).crossJoin(F.broadcast(facts))  # one row of facts
-    return ranked.filter((F.col("_n") <= most) | (F.col("_r") <= F.floor(F.lit(most) / F.col("_k")))).drop("_r", "_n", "_k")
+    facts = rows.agg(F.count("*").alias("n"), F.countDistinct(by).alias("k")).first()
+    if facts.n <= most:
+        return rows
+    return first_ranks(rows, [by], most // max(1, facts.k), seed).drop("_r")
 
 
 def cell_sample(rows: DataFrame, size: int, levels: dict[str, int], by: list[str], level: str = "f1_level", seed: int = 42) -> DataFrame:
     """Of each cell: each level's quota, then others up to `size`."""
     quota = F.create_map(*(F.lit(x) for kv in levels.items() for x in kv))
-    ranked = rows.withColumn("_in", seeded_rank([*by, level], seed))
+    # no cell takes more than `size` rows of a level
+    ranked = first_ranks(rows, [*by, level], size, seed, name="_in")
     ranked = ranked.withColumn("_first", (F.col("_in") <= F.coalesce(quota[F.col(level)], F.lit(0))).cast("int"))
     order = Window.partitionBy(*by).orderBy(F.desc("_first"), seeded(seed), "id")
     return ranked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size).drop("_in", "_first", "_r")
 
 
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
-    """Sequential numbers over a total order; for samples, whose size is bounded."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Sequential numbers (long, from 1) over a total order: rows are sorted by ranges into a table, and the sizes of the ranges,
+    one row for each task, give what is added to the places within them. No task holds more than a range."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    spark, since = rows.sparkSession, mark()
+    rows = stored(rows, "rows")  # a sort by ranges looks at its input twice
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    release(spark, since, placed)
+    task = F.shiftright("_at", 33)
+    offsets, before = [], 0
+    for r in sorted(placed.groupBy(task.alias("t")).count().collect()):
+        offsets.append((r.t, before))
+        before += r["count"]
+    found = spark.createDataFrame(offsets, "_t long, _before long")
+    out = placed.withColumn("_t", task).join(F.broadcast(found), "_t")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_t", "_before", "_at")
 
 
 def proportional_quotas(rows: DataFrame, size: int, bucket: str = "bucket") -> DataFrame:
@@ -53,10 +74,10 @@ def proportional_quotas(rows: DataFrame, size: int, bucket: str = "bucket") -> D
 def proportional_sample(rows: DataFrame, size: int, bucket: str = "bucket", seed: int = 42) -> DataFrame:
     """rows: id, ord, bucket. Quota of each bucket, then a top-up from the rest to `size`."""
     quotas = proportional_quotas(rows, size, bucket)
-    ranked = rows.withColumn("_r", seeded_rank([bucket], seed)).join(F.broadcast(quotas), bucket)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("_in"), seeded(seed), "id")
+    # no bucket gives more than `size` rows
+    ranked = first_ranks(rows, [bucket], size, seed).join(F.broadcast(quotas), bucket)
     ranked = ranked.withColumn("_in", (F.col("_r") <= F.col("quota")).cast("int"))
-    return ranked.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= size).drop("_r", "_in", "_k", "pool", "quota")
+    return ranked.orderBy(F.desc("_in"), seeded(seed), "id").limit(size).select(*rows.columns)
 
 
 def sample_sources(rows: DataFrame, targets: dict[str, int], seed: int = 42) -> DataFrame:

@@ -11,6 +11,10 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions.text import chunk_pack, parse_label, parse_reason
+from .storage import unused
 
 
 class Provider(Protocol):
@@ -27,6 +31,26 @@ class Echo:
         return [" ".join((x or "").split()[: self.words]) for x in inputs]
 
 
+class Marker:
+    """An offline stand-in of a diacritizer: a mark after each of the given letters."""
+
+    def __init__(self, mark: str, after: str = "aeiou"):
+        self.table = str.maketrans({c: c + mark for c in after})
+
+    def __call__(self, inputs: list[str]) -> list[str]:
+        return [x.translate(self.table) for x in inputs]
+
+
+class TokenCounter:
+    """Counts the pieces that `cut` makes of a text; an offline stand-in of a tokenizer without special tokens."""
+
+    def __init__(self, cut: Callable[[str], list]):
+        self.cut = cut
+
+    def __call__(self, inputs: list[str]) -> list[int]:
+        return [len(self.cut(x)) if x else 0 for x in inputs]
+
+
 class Retrying:
     """One call a row, with bounded concurrency; the reply after the last failure is `failed`."""
 
@@ -60,3 +84,32 @@ def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kinds[kind])], [*part.schema.names, name])
 
     return frame.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), f"`{name}` {kind}"]))
+
+
+def apply_chunks(frame: DataFrame, make: Callable[[], Provider], column: str, most: int, batch: int = 32) -> DataFrame:
+    """frame with `column` put through the provider in chunks of at most `most` characters, which are joined by blanks again;
+    a null stays null. All other columns are carried along."""
+    names = frame.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for rows in batches:
+            lists = rows.column(rows.num_columns - 1).to_pylist()
+            flat = [c for x in lists for c in x]
+            done = [y for lo in range(0, len(flat), batch) for y in provider(flat[lo : lo + batch])]
+            out, at = [], 0
+            for old, x in zip(rows.column(column).to_pylist(), lists, strict=True):
+                out.append(None if old is None else " ".join(done[at : at + len(x)]))
+                at += len(x)
+            kept = [pa.array(out, pa.string()) if n == column else rows.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(kept, names)
+
+    return frame.select(*names, chunk_pack(F.col(column), most).alias(unused(names, "chunks"))).mapInArrow(run, kinds)
+
+
+def judged(frame: DataFrame, make: Callable[[], Provider], message: str = "message") -> DataFrame:
+    """frame with judge_label (ERROR if the reply has no valid one) and judge_reason of the provider's JSON replies."""
+    reply = unused(frame.columns, "reply")
+    out = apply(frame, make, message, reply)
+    return out.withColumns({"judge_label": parse_label(F.col(reply)), "judge_reason": parse_reason(F.col(reply))}).drop(reply)

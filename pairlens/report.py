@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def percent(hits: float, n: int, digits: int = 2) -> float | None:
@@ -31,8 +31,31 @@ def judge_block(row: dict) -> dict:
     return {"n": n, "plain": plain, "marked": marked, "delta": delta_of_rounded(marked, plain), "harmed": percent(row["ci"], n), "helped": percent(row["ic"], n), "net_churn": row["net_churn"]}
 
 
+def ordered(rows: DataFrame, key: str = "source", last: str = "overall") -> DataFrame:
+    """Report rows by key, the grand total last."""
+    return rows.orderBy(F.col(key) == last, key)
+
+
+def delta_block(row: dict) -> dict:
+    """Percentages of a row of delta_by_source."""
+    n = row["n"]
+    return {
+        "n": n, "base_em": percent(row["base_em_hits"], n), "treated_em": percent(row["treated_em_hits"], n), "delta_em": percent(row["treated_em_hits"] - row["base_em_hits"], n),
+        "base_f1": percent(row["base_f1_sum"], n), "treated_f1": percent(row["treated_f1_sum"], n), "delta_f1": mean_of_deltas(row["delta_f1_sum"], n), "helped": percent(row["helped"], n), "hurt": percent(row["hurt"], n),
+    }
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written by the driver, in any store that Spark can write."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_json(frame: DataFrame, path: str) -> None:
-    Path(path).write_text(json.dumps([r.asDict(True) for r in frame.collect()], ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    """A report (aggregates, in the frame's order) as one pretty document."""
+    write_text(frame.sparkSession, path, json.dumps([r.asDict(True) for r in frame.collect()], ensure_ascii=False, indent=2, default=str))
 
 
 def write_examples(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -47,9 +70,20 @@ def write_ids(frame: DataFrame, path: str, column: str = "example_id") -> None:
     frame.select(frame[column].cast("string")).write.text(path)
 
 
+def write_metadata(frame: DataFrame, path: str) -> None:
+    frame.write.mode("errorifexists").option("header", True).csv(path)
+
+
 def mirror(frame: DataFrame, path: str) -> None:
-    """One directory for each source."""
+    """A directory {source}.jsonl for each source, as read_directory() reads it."""
+    spark = frame.sparkSession
     frame.write.partitionBy("source").json(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith("source="):
+            fs.rename(found.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, f"{name[7:]}.jsonl"))
 
 
 def table(rows: list[dict]) -> str:
@@ -60,5 +94,21 @@ def table(rows: list[dict]) -> str:
     return "\n".join("  ".join(str(r[c]).ljust(w) for c, w in zip(cols, wide, strict=True)).rstrip() for r in [dict(zip(cols, cols, strict=True)), *rows])
 
 
-def estimate(rows: int, seconds_a_call: float = 3.24, workers: int = 4) -> dict:
-    return {"calls": rows, "minutes": rows * seconds_a_call / workers / 60}
+# fixed values: the price of a call, the margin of the upper estimate, seconds a call
+CALL_COST, MARGIN, CALL_SECONDS = 0.02 / 105, 1.20, 3.24
+
+
+def estimate(rows: int, seconds_a_call: float = CALL_SECONDS, workers: int = 4) -> dict:
+    cost = rows * CALL_COST
+    return {"calls": rows, "cost_low": round(cost, 2), "cost_high": round(cost * MARGIN, 2), "minutes": rows * seconds_a_call / workers / 60}
+
+
+def progress(done: int, total: int, errors: int, elapsed: float) -> dict:
+    """How far a stage is, and the hours it has to go at its rate so far."""
+    rate = done / elapsed if elapsed > 0 else 0
+    return {"done": done, "total": total, "percent": percent(done, total, 1), "errors": errors, "cost": round(done * CALL_COST, 2), "eta_hours": round((total - done) / rate / 3600, 1) if rate else 0.0}
+
+
+def progress_of(ledger: DataFrame, total: int, elapsed: float) -> dict:
+    found = ledger.agg(F.count("*").alias("n"), F.count_if(F.col("judge_label") == "ERROR").alias("errors")).first()
+    return progress(found.n, total, found.errors, elapsed)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect
-from ..functions.text import flatten_answers, strip_marks, trim_white
+from ..functions.text import blank, flatten_answers, strip_marks
 
 EXAMPLE = "id string, source string, context string, question string, answers array<string>, answer_start array<int>"
 ANSWERS = "struct<text:array<string>,answer_start:array<string>>"
@@ -26,6 +26,36 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return rows.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
+def read_directory(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
+    """All files (or directories written as such) of a directory, by name: `file` has the name, `source` what it is of. An
+    empty directory is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    if not len(found):
+        raise FileNotFoundError(f"{path}/{pattern}")
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json([f.getPath().toString() for f in found])
+    ends = pattern.lstrip("*").replace(".", r"\.")
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+{ends})(?:/[^/]*)?$", 1)
+    return rows.select("*", name.alias("file")).filter("_corrupt_record is null").drop("_corrupt_record").withColumn("source", source_of_file(F.col("file")))
+
+
+def read_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Files of one JSON document each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], reader: str = "parquet") -> DataFrame:
+    """The splits that are there, one below the other, with their names as `split`."""
+    out = None
+    for split, path in paths.items():
+        if existing(spark, [path]):
+            rows = spark.read.format(reader).load(path).withColumn("split", F.lit(split))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(", ".join(paths.values()))
+    return out
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Of optional files those that are there."""
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
@@ -34,7 +64,7 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """The examples of a run's JSON document."""
-    return spark.read.schema(RUN).option("multiLine", True).json(path).select("model", F.posexplode("examples").alias("ord", "e")).select("model", "ord", "e.*")
+    return read_documents(spark, path, RUN).select("model", F.posexplode("examples").alias("ord", "e")).select("model", "ord", "e.*")
 
 
 def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -43,13 +73,14 @@ def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_answers(text: Column) -> Column:
-    """A struct written as JSON or with Python's quotes and constants."""
+    """A struct written as JSON or with Python's quotes, constants and hexadecimal escapes; null where it is neither."""
+    text = F.regexp_replace(text, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
     return F.from_json(plain, ANSWERS, {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true"})
 
 
 def _clean(rows: DataFrame) -> DataFrame:
-    return rows.filter((F.size("answers") > 0) & (trim_white(F.col("question")) != "")).select("id", "source", "context", "question", "answers", "answer_start")
+    return rows.filter((F.size("answers") > 0) & ~blank(F.col("question"))).select("id", "source", "context", "question", "answers", "answer_start")
 
 
 def heq(raw: DataFrame, dialect: Dialect) -> DataFrame:
@@ -78,26 +109,31 @@ def mkqa(raw: DataFrame, dialect: Dialect, language: str) -> DataFrame:
     return _clean(rows)
 
 
-def two_conditions(raw: DataFrame, source: str, key: str, plain: tuple[Column, Column], marked: tuple[Column, Column], answers: Column, starts: Column | None = None) -> DataFrame:
+def two_conditions(raw: DataFrame, source: str, key: Column, plain: tuple[Column, Column], marked: tuple[Column, Column], answers: Column, starts: Column | None = None) -> DataFrame:
     """One scan to both conditions; each pair is (context, question). The column condition is plain or marked."""
     both = F.array(*(F.struct(F.lit(n).alias("condition"), c.alias("context"), q.alias("question")) for n, (c, q) in (("plain", plain), ("marked", marked))))
-    rows = raw.select(F.concat(F.lit(f"{source}_"), F.col(key)).alias("id"), F.lit(source).alias("source"), answers.alias("answers"), (F.lit(None).cast("array<int>") if starts is None else starts).alias("answer_start"), F.inline(both))
-    return rows.filter((F.size("answers") > 0) & (trim_white(F.col("question")) != ""))
+    rows = raw.select(key.alias("id"), F.lit(source).alias("source"), answers.alias("answers"), (F.lit(None).cast("array<int>") if starts is None else starts).alias("answer_start"), F.inline(both))
+    return rows.filter((F.size("answers") > 0) & ~blank(F.col("question")))
+
+
+def _split_id(source: str) -> Column:
+    return F.concat(F.lit(f"{source}_"), F.col("split"), F.lit("_"), F.col("id"))
 
 
-def arcd(raw: DataFrame, split: str) -> DataFrame:
+def arcd(raw: DataFrame) -> DataFrame:
+    """raw: as read_splits() gives it."""
     c = F.col
-    return two_conditions(raw, f"arcd_{split}", "id", (c("context"), c("question")), (c("context_tashkeel"), c("question_tashkeel")), c("answers.text"), c("answers.answer_start")).withColumn("source", F.lit("arcd"))
+    return two_conditions(raw, "arcd", _split_id("arcd"), (c("context"), c("question")), (c("context_tashkeel"), c("question_tashkeel")), c("answers.text"), c("answers.answer_start"))
 
 
-def tydiqa(raw: DataFrame, split: str) -> DataFrame:
+def tydiqa(raw: DataFrame) -> DataFrame:
     c = F.col
-    return two_conditions(raw, f"tydiqa_{split}", "id", (c("passage_text_clean"), c("question_text_clean")), (c("passage_text_tashkeel"), c("question_text_tashkeel")), c("answers.text")).withColumn("source", F.lit("tydiqa"))
+    return two_conditions(raw, "tydiqa", _split_id("tydiqa"), (c("passage_text_clean"), c("question_text_clean")), (c("passage_text_tashkeel"), c("question_text_tashkeel")), c("answers.text"))
 
 
 def mkqa_conditions(raw: DataFrame, dialect: Dialect) -> DataFrame:
     none = F.lit(None).cast("string")
-    return two_conditions(raw, "mkqa", "example_id", (none, F.col("query_ar")), (none, F.col("query_ar_tashkeel")), flatten_answers(F.col("answers_ar"), dialect))
+    return two_conditions(raw, "mkqa", F.concat(F.lit("mkqa_"), "example_id"), (none, F.col("query_ar")), (none, F.col("query_ar_tashkeel")), flatten_answers(F.col("answers_ar"), dialect))
 
 
 def source_of_file(name: Column) -> Column:

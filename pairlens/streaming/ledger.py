@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.judging import LABELS
+from ..sources.ingest import existing
 
 
 def valid_label() -> Column:
@@ -20,8 +23,8 @@ def pending(rows: DataFrame, ledger: DataFrame, key: str = "row_id", done: Colum
 
 def latest(ledger: DataFrame, key: str, *order: str) -> DataFrame:
     """One row for each key: the latest valid one, or if there is none the latest."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.coalesce(valid_label(), F.lit(False)).cast("int")), *(F.desc(c) for c in order))
-    return ledger.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    newest = F.struct(F.coalesce(valid_label(), F.lit(False)).alias("valid"), *order)
+    return ledger.groupBy(key).agg(F.max_by(F.struct(*ledger.columns), newest).alias("_row")).select("_row.*")
 
 
 def completeness(expected: DataFrame, ledger: DataFrame, key: str = "row_id") -> DataFrame:
@@ -39,5 +42,22 @@ def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoi
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_ledger(spark: SparkSession, out: str) -> DataFrame:
+def read_ledger(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
+    """What has been written. Before the first batch an empty frame, for which the schema is needed."""
+    if not existing(spark, [out]):
+        return spark.createDataFrame([], schema)
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+
+
+def resume(rows: DataFrame, out: str, step: Callable[[DataFrame], DataFrame], key: str = "id", done: Column | None = None, ready: DataFrame | None = None) -> DataFrame:
+    """One run of a stage that can be stopped and run again: rows that the ledger `out` hasn't done go through step() and are
+    appended. ready: rows that need no step (labelled before), written by the first run only. Returns the whole ledger. A
+    run that fails adds nothing, as Spark commits an append as a whole."""
+    spark = rows.sparkSession
+    started = bool(existing(spark, [out]))
+    todo = pending(rows, spark.read.parquet(out), key, done) if started else rows
+    made = step(todo)
+    if ready is not None and not started:
+        made = made.unionByName(ready)
+    made.write.mode("append").parquet(out)
+    return spark.read.parquet(out)
