@@ -1,8 +1,7 @@
-"""All queries by name, and their SQL."""
+"""Queries over the tables, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import score as sc
@@ -10,76 +9,92 @@ from .functions import text as tx
 from .functions.dialect import ARABIC, HEBREW
 from .operators import agreement, delta, fragmentation, judging, sampling
 from .plans import fixtures as fx
+from .registry import QUERIES, SQL, query
+from .storage import scratch
 from .streaming import ledger as lg
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 _STRUCT = "'éèêóíñüöäçÉÈÊÓÍÑÜÖÄÇ', 'eeeoinuoacEEEOINUOAC'"
-_QA = rf"""
-d0 AS (SELECT doc_id AS id, lang AS source, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
-d1 AS (SELECT *, list_transform(w, lambda x: translate(x, {_STRUCT})) AS pw FROM d0),
-qa AS (SELECT id, source, list_slice(pw, 1, 6) AS gold, list_slice(pw, 3, 6) AS gold2, list_slice(pw, 1, 3 + id % 5) AS base, list_slice(w, 1 + id % 3, 5 + id % 3) AS treated FROM d1)"""
+_WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')".format
+_QA = f"""
+d0 AS (SELECT doc_id AS id, lang AS source, {_WORDS("coalesce(text, '')")} AS w, {_WORDS(f"translate(coalesce(text, ''), {_STRUCT})")} AS pw FROM documents),
+qa AS (SELECT id, source, CASE WHEN id % 2 = 0 THEN pw ELSE w END AS gold, CASE WHEN id % 2 = 0 THEN w ELSE pw END AS gold2, pw AS base, CASE WHEN id % 3 = 0 THEN list_append(w, 'x') ELSE w END AS treated FROM d0)"""
+_BAGS = """
+sides AS (SELECT id, 'base' AS s, unnest(base) AS t FROM qa UNION ALL SELECT id, 'treated', unnest(treated) FROM qa UNION ALL SELECT id, 'gold', unnest(gold) FROM qa UNION ALL SELECT id, 'gold2', unnest(gold2) FROM qa),
+bags AS (SELECT id, t, count(*) FILTER (s = 'base') AS b, count(*) FILTER (s = 'treated') AS tr, count(*) FILTER (s = 'gold') AS g, count(*) FILTER (s = 'gold2') AS g2 FROM sides GROUP BY id, t),
+common AS (SELECT id, sum(least(b, g)) AS bg, sum(least(b, g2)) AS bg2, sum(least(tr, g)) AS tg FROM bags GROUP BY id)"""
 
 
-def _common(p: str, g: str) -> str:
-    return f"coalesce(list_sum(list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda x: x = t)), len(list_filter({g}, lambda x: x = t))))), 0)"
+def _f1(c: str, p: str, g: str) -> str:
+    return f"(CASE WHEN coalesce({c}, 0) > 0 THEN round_even(2.0::DOUBLE * {c}::DOUBLE / (len({p}) + len({g})), 4) ELSE 0.0::DOUBLE END)"
 
 
-def _f1(p: str, g: str) -> str:
-    c = _common(p, g)
-    return f"(CASE WHEN {c} > 0 THEN round_even(2.0::DOUBLE * {c} / (len({p}) + len({g})), 4) ELSE 0.0::DOUBLE END)"
-
-
-_SCORED = f"""WITH {_QA}, s AS (
-  SELECT id, source, base, treated, gold, (base = gold)::INT AS base_em, (treated = gold)::INT AS treated_em, {_f1('base', 'gold')} AS base_f1, {_f1('treated', 'gold')} AS treated_f1 FROM qa
+_SCORED = f"""WITH {_QA}, {_BAGS}, s AS (
+  SELECT qa.id AS id, source, base, treated, gold, (base = gold)::INT AS base_em, (treated = gold)::INT AS treated_em, {_f1('bg', 'base', 'gold')} AS base_f1, {_f1('tg', 'treated', 'gold')} AS treated_f1,
+  greatest({_f1('bg', 'base', 'gold')}, {_f1('bg2', 'base', 'gold2')}) AS best_f1 FROM qa LEFT JOIN common ON qa.id = common.id
 ), p AS (SELECT *, treated_em - base_em AS delta_em, round_even(treated_f1 - base_f1, 4) AS delta_f1 FROM s)"""
 _DEC = lambda c: f"sum({c}::DECIMAL(18,4))::DOUBLE"
+_SOURCE = "CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source"
 
 
-def _sides(spark, sf_dir):
+def _pairs(spark, sf_dir):
+    """Both conditions from one scan, whole texts."""
     q = fx.qa(spark, sf_dir)
-    side = lambda c: q.select("id", "source", F.col(c).alias("p"), "gold").withColumns({"em": sc.exact_match(F.col("p"), F.array("gold")), "f1": sc.token_f1(F.col("p"), F.array("gold")), "prediction": F.array_join("p", " ")})
-    return side("base"), side("treated")
+    f1 = sc.bag_f1(q, "id", {"base_f1": ("base", "gold"), "treated_f1": ("treated", "gold")})
+    em = lambda c: sc.exact_match(F.col(c), F.array("gold")).alias(f"{c}_em")
+    rows = q.repartition("id").select("id", "source", em("base"), em("treated"), F.size("base").alias("base_len"), F.size("treated").alias("treated_len")).join(f1, "id")
+    return rows.withColumns({"delta_em": F.col("treated_em") - F.col("base_em"), "delta_f1": F.bround(F.col("treated_f1") - F.col("base_f1"), 4)})
+
+
+def _base(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("id", "source", F.col("base_em").alias("em"), F.col("base_f1").alias("f1"), F.col("base_len").alias("pred_len_words"))
+
 
+def _run(spark, sf_dir, side):
+    """One condition alone, as a run's result has it."""
+    return _pairs(spark, sf_dir).select("id", "source", F.col(f"{side}_em").alias("em"), F.col(f"{side}_f1").alias("f1"), F.lit(side).alias("prediction"))
 
-@query(f"""{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits,
+
+@query(f"""{_SCORED} SELECT {_SOURCE}, count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits,
  {_DEC('base_f1')} AS base_f1_sum, {_DEC('treated_f1')} AS treated_f1_sum, {_DEC('delta_f1')} AS delta_f1_sum, count(*) FILTER (delta_em > 0) AS helped, count(*) FILTER (delta_em < 0) AS hurt
  FROM p GROUP BY ROLLUP (source)""")
 def delta_by_source(spark, sf_dir):
-    return delta.delta_by_source(delta.paired(*_sides(spark, sf_dir)))
+    return delta.delta_by_source(_pairs(spark, sf_dir))
 
 
 @query(f"{_SCORED} SELECT id, source, base_em, treated_em, base_f1, treated_f1, delta_em, delta_f1 FROM p")
 def per_example_delta(spark, sf_dir):
-    return delta.paired(*_sides(spark, sf_dir)).drop("base_pred", "treated_pred")
+    return _pairs(spark, sf_dir).drop("base_len", "treated_len")
+
+
+@query(f"{_SCORED} SELECT id, source, base_em, treated_em, base_f1, treated_f1, delta_em, delta_f1 FROM p WHERE id % 7 <> 0")
+def paired_join(spark, sf_dir):
+    """Two runs, of which the second lacks every seventh example, joined by id."""
+    return delta.paired(_run(spark, sf_dir, "base"), _run(spark, sf_dir, "treated").filter("id % 7 <> 0")).drop("base_pred", "treated_pred")
 
 
-@query(f"{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum FROM p GROUP BY ROLLUP (source)")
+@query("SELECT doc_id AS id, 0::INT AS em, round_even(2.0::DOUBLE * 2 / (3 + 2), 4) AS f1 FROM documents")
+def scored_texts(spark, sf_dir):
+    """Raw texts through the dialect's normalisation to scores, by the array form: of short texts, here languages and sources."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(", ", "lang", "source", "lang").alias("prediction"), F.array(F.concat_ws(" ", "source", "lang"), F.col("lang")).alias("answers"))
+    return delta.scored(d, HEBREW).select(F.col("doc_id").alias("id"), "em", "f1")
+
+
+@query(f"{_SCORED} SELECT {_SOURCE}, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum FROM p GROUP BY ROLLUP (source)")
 def score_by_source(spark, sf_dir):
-    return delta.score_by_source(_sides(spark, sf_dir)[0])
+    return delta.score_by_source(_base(spark, sf_dir))
 
 
-@query(f"{_SCORED} SELECT CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS source, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum, sum(len(base))::BIGINT AS pred_len_sum FROM p GROUP BY ROLLUP (source)")
+@query(f"{_SCORED} SELECT {_SOURCE}, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum, sum(len(base))::BIGINT AS pred_len_sum FROM p GROUP BY ROLLUP (source)")
 def score_by_source_with_len(spark, sf_dir):
-    return delta.score_by_source(_sides(spark, sf_dir)[0].withColumn("pred_len_words", tx.word_count(F.col("prediction"))), lengths=True)
+    return delta.score_by_source(_base(spark, sf_dir), lengths=True)
 
 
-@query(f"{_SCORED} SELECT source, count(*) FILTER (delta_em <> 0) AS churn, sum(len(treated) - len(base))::BIGINT AS delta_len FROM p GROUP BY source")
+@query(f"""{_SCORED} SELECT {_SOURCE}, count(*) AS n, count(*) FILTER (delta_em <> 0) AS churn, sum(len(base))::BIGINT AS base_len_sum, sum(len(treated))::BIGINT AS treated_len_sum,
+ sum(len(treated) - len(base))::BIGINT AS delta_len, sum(len(base))::DOUBLE / count(*) AS base_len_mean, sum(len(treated))::DOUBLE / count(*) AS treated_len_mean FROM p GROUP BY ROLLUP (source)""")
 def churn_and_verbosity(spark, sf_dir):
-    p = delta.paired(*_sides(spark, sf_dir))
-    return p.groupBy("source").agg(F.count_if(F.col("delta_em") != 0).alias("churn"), F.sum(tx.word_count(F.col("treated_pred")) - tx.word_count(F.col("base_pred"))).alias("delta_len"))
+    return delta.verbosity(_pairs(spark, sf_dir))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 7 = 0")
@@ -88,11 +103,27 @@ def unmatched_ids(spark, sf_dir):
     return delta.unmatched(d, d.filter("id % 7 <> 0"))
 
 
-@query(f"""{_SCORED} SELECT count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits, {_DEC('base_f1')} AS base_f1_sum, {_DEC('treated_f1')} AS treated_f1_sum,
- count(*) FILTER (base_em = 0 AND treated_em = 1) AS helped, count(*) FILTER (base_em = 1 AND treated_em = 0) AS hurt FROM p JOIN labels ON id = doc_id WHERE quality = 1""")
+_SUMS = f"""count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)::BIGINT AS treated_em_hits, {_DEC('base_f1')} AS base_f1_sum, {_DEC('treated_f1')} AS treated_f1_sum,
+ count(*) FILTER (base_em = 0 AND treated_em = 1) AS helped, count(*) FILTER (base_em = 1 AND treated_em = 0) AS hurt"""
+
+
+@query(f"{_SCORED} SELECT {_SUMS} FROM p JOIN labels ON id = doc_id WHERE quality = 1")
 def filtered_delta(spark, sf_dir):
     quality = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return delta.filtered_delta(delta.paired(*_sides(spark, sf_dir)), quality, [1])
+    return delta.filtered_delta(_pairs(spark, sf_dir), quality, [1])
+
+
+_FIGURES = ("n", "base_em_hits", "treated_em_hits", "base_f1_sum", "treated_f1_sum", "helped", "hurt")
+
+
+@query(f"""{_SCORED}, m AS (SELECT *, source AS model FROM p WHERE source <> 'en'), o AS (SELECT model, {_SUMS} FROM m GROUP BY model), f AS (SELECT model, {_SUMS} FROM m JOIN labels ON id = doc_id WHERE quality = 1 GROUP BY model)
+SELECT o.model AS model, {', '.join(f'o.{c} AS original_{c}, f.{c} AS filtered_{c}' for c in _FIGURES)} FROM o JOIN f ON o.model = f.model""")
+def filtered_against_original(spark, sf_dir):
+    """Ids carry their source as a prefix; of one prefix's rows, those of good quality against all."""
+    rows = _pairs(spark, sf_dir).withColumn("id", F.concat(F.when(F.col("source") == "en", "en_").otherwise("heq_"), F.col("id").cast("string"))).withColumn("model", F.col("source"))
+    own = delta.of_source(rows, "heq_")
+    quality = fx.table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("raw_id"))
+    return delta.compared(delta.sums(own.join(quality, "raw_id", "left_semi"), "model"), delta.sums(own, "model"))
 
 
 @query(f"SELECT doc_id, md5(translate(text, {_STRUCT})) AS plain FROM documents")
@@ -129,100 +160,20 @@ def normalize_ar(spark, sf_dir):
     return _with_marks(spark, sf_dir, "َ").select("doc_id", F.md5(tx.normalise(F.concat("marked", F.lit(" في هذا")), ARABIC)).alias("norm"))
 
 
-@query(f"WITH {_QA} SELECT id, (base = gold OR base = gold2)::INT AS em FROM qa")
+@query(f"WITH {_QA} SELECT id, (treated = gold OR treated = gold2)::INT AS em FROM qa")
 def exact_match_multi_gold(spark, sf_dir):
-    return fx.qa(spark, sf_dir).select("id", sc.exact_match(F.col("base"), F.array("gold", "gold2")).alias("em"))
+    return fx.qa(spark, sf_dir).select("id", sc.exact_match(F.col("treated"), F.array("gold", "gold2")).alias("em"))
 
 
-@query(f"WITH {_QA} SELECT id, greatest({_f1('base', 'gold')}, {_f1('base', 'gold2')}) AS f1 FROM qa")
+@query(f"{_SCORED} SELECT id, best_f1 AS f1 FROM p")
 def token_f1_multi_gold(spark, sf_dir):
-    return fx.qa(spark, sf_dir).select("id", sc.token_f1(F.col("base"), F.array("gold", "gold2")).alias("f1"))
-
-
-@query(f"WITH {_QA} SELECT id, {_f1('base', 'gold')} AS f1 FROM qa")
-def token_f1_exploded(spark, sf_dir):
-    return sc.token_f1_exploded(fx.qa(spark, sf_dir), "id", "base", "gold")
-
-
-# The queries above score slices of the first words, as their SQL does. Those below score whole texts and have no SQL.
-
-
-def _whole_sides(spark, sf_dir):
-    q = fx.whole_qa(spark, sf_dir)
-    f1 = sc.bag_f1(q, "id", {"base_f1": ("base", "gold"), "treated_f1": ("treated", "gold")})
-    em = lambda c: sc.exact_match(F.col(c), F.array("gold")).alias(f"{c}_em")
-    rows = q.select("id", "source", em("base"), em("treated"), F.size("base").alias("base_len"), F.size("treated").alias("treated_len")).join(f1, "id")
-    return rows.withColumns({"delta_em": F.col("treated_em") - F.col("base_em"), "delta_f1": F.bround(F.col("treated_f1") - F.col("base_f1"), 4)})
-
-
-def _whole_base(spark, sf_dir):
-    return _whole_sides(spark, sf_dir).select("id", "source", F.col("base_em").alias("em"), F.col("base_f1").alias("f1"), F.col("base_len").alias("pred_len_words"))
-
-
-@query()
-def whole_delta_by_source(spark, sf_dir):
-    return delta.delta_by_source(_whole_sides(spark, sf_dir))
-
-
-@query()
-def whole_per_example_delta(spark, sf_dir):
-    return _whole_sides(spark, sf_dir).drop("base_len", "treated_len")
-
-
-@query()
-def whole_score_by_source(spark, sf_dir):
-    return delta.score_by_source(_whole_base(spark, sf_dir))
-
-
-@query()
-def whole_score_by_source_with_len(spark, sf_dir):
-    return delta.score_by_source(_whole_base(spark, sf_dir), lengths=True)
-
-
-@query()
-def whole_churn_and_verbosity(spark, sf_dir):
-    return _whole_sides(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("delta_em") != 0).alias("churn"), F.sum(F.col("treated_len") - F.col("base_len")).alias("delta_len"))
-
-
-@query()
-def whole_filtered_delta(spark, sf_dir):
-    quality = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return delta.filtered_delta(_whole_sides(spark, sf_dir), quality, [1])
-
-
-@query()
-def whole_exact_match_multi_gold(spark, sf_dir):
-    return fx.whole_qa(spark, sf_dir).select("id", sc.exact_match(F.col("mixed"), F.array("gold", "gold2")).alias("em"))
-
-
-@query()
-def whole_token_f1_multi_gold(spark, sf_dir):
-    f1 = sc.bag_f1(fx.whole_qa(spark, sf_dir), "id", {"a": ("mixed", "gold"), "b": ("mixed", "gold2")})
+    f1 = sc.bag_f1(fx.qa(spark, sf_dir), "id", {"a": ("base", "gold"), "b": ("base", "gold2")})
     return f1.select("id", F.greatest("a", "b").alias("f1"))
 
 
-@query()
-def whole_token_f1_exploded(spark, sf_dir):
-    return sc.token_f1_exploded(fx.whole_qa(spark, sf_dir), "id", "treated", "gold")
-
-
-@query()
-def whole_f1_bucket(spark, sf_dir):
-    return _whole_sides(spark, sf_dir).select("id", sc.f1_level(F.col("treated_f1")).alias("level"))
-
-
-@query()
-def whole_answers_flatten(spark, sf_dir):
-    kind = F.when(F.col("id") % 3 == 0, "unanswerable").otherwise("entity")
-    rows = fx.whole_qa(spark, sf_dir).select("id", F.array(F.struct(kind.alias("type"), F.col("source").alias("text"), F.col("gold").alias("aliases"))).alias("a"))
-    return rows.select("id", F.array_join(tx.flatten_answers(F.col("a"), HEBREW), "|").alias("flat"))
-
-
-@query()
-def whole_judge_input_expand(spark, sf_dir):
-    q = fx.whole_qa(spark, sf_dir)
-    questions = q.select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
-    return judging.judge_inputs(questions, _results(q)).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
+@query(f"{_SCORED} SELECT id, treated_f1 AS f1 FROM p")
+def token_f1_exploded(spark, sf_dir):
+    return sc.token_f1_exploded(fx.qa(spark, sf_dir), "id", "treated", "gold")
 
 
 _TRANSLIT = ("bdfklmnrst", "بدفكلمنرست")
@@ -243,7 +194,7 @@ def postfix_reorder(spark, sf_dir):
     return _arabic(spark, sf_dir).select("doc_id", F.md5(tx.postfix_reorder(F.col("t"))).alias("moved"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query(f"{_POST} SELECT doc_id, list_sort(string_split(t, '')) = list_sort(string_split(array_to_string(parts, ''), '')) AS same FROM r")
 def postfix_multiset_check(spark, sf_dir):
     return _arabic(spark, sf_dir).select("doc_id", tx.same_characters(F.col("t"), tx.postfix_reorder(F.col("t"))).alias("same"))
 
@@ -253,15 +204,24 @@ def sentence_split(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n"))
 
 
-@query()
+#: A fold over the sentences; done holds the closed chunks.
+_PACKED = r"""WITH d AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text <> ''),
+f AS (SELECT doc_id, text, list_reduce(list_transform(ss, lambda s: {'done': []::VARCHAR[], 'open': s, 'size': len(s) + 1}), lambda a, x:
+  CASE WHEN a.size + x.size > 400 AND a.open <> '' THEN {'done': list_append(a.done, a.open), 'open': x.open, 'size': x.size - 1}
+  ELSE {'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || ' ' || x.open END, 'size': a.size + x.size} END) AS r FROM d),
+c AS (SELECT doc_id, CASE WHEN len(text) <= 400 THEN [text] ELSE flatten(list_transform(CASE WHEN r.open <> '' THEN list_append(r.done, r.open) ELSE r.done END, lambda c: list_transform(range(1, greatest(len(c), 1) + 1, 400), lambda k: substr(c, k, 400)))) END AS cs FROM f)"""
+
+
+@query(f"{_PACKED} SELECT doc_id, unnest(range(len(cs)))::INT AS chunk, unnest(cs) AS part FROM c")
 def chunk_pack(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.chunk_pack(F.col("text"), 400)).alias("chunk", "part"))
 
 
-@query()
+@query(f"{_PACKED} SELECT doc_id, md5(array_to_string(cs, ' ')) AS joined, regexp_replace(array_to_string(cs, ' '), '\\s+', '', 'g') = regexp_replace(text, '\\s+', '', 'g') AS same FROM c JOIN (SELECT doc_id AS k, text FROM documents) ON k = doc_id")
 def chunk_roundtrip(spark, sf_dir):
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return fx.table(spark, sf_dir, "documents").select("doc_id", (bare(tx.join_chunks(tx.chunk_pack(F.col("text"), 400))) == bare(F.col("text"))).alias("same"))
+    joined = tx.join_chunks(tx.chunk_pack(F.col("text"), 400))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(joined).alias("joined"), (bare(joined) == bare(F.col("text"))).alias("same"))
 
 
 @query(r"SELECT conv_id, turn, trim(string_split(trim(text, ' ' || chr(10)), chr(10))[1], ' ' || chr(10)) AS line FROM conversations")
@@ -278,21 +238,50 @@ _CONV = """WITH c AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS an
 q AS (SELECT conv_id, turn, text AS question, answer FROM c WHERE role = 'user' AND nr = 'assistant')"""
 
 
-@query(f"{_CONV} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'Context: ' || answer || chr(10) ELSE '' END || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM q")
+@query(f"""{_CONV} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0
+ THEN 'קרא את הקטע הבא וענה על השאלה. כתוב את התשובה בדיוק כפי שהיא מופיעה בקטע, ללא הסבר נוסף.' || chr(10) || chr(10) || 'קטע: ' || answer || chr(10) || chr(10) || 'שאלה: ' || question || chr(10) || chr(10) || 'תשובה:'
+ ELSE 'ענה על השאלה הבאה בקצרה. כתוב רק את התשובה.' || chr(10) || chr(10) || 'שאלה: ' || question || chr(10) || chr(10) || 'תשובה:' END AS prompt FROM q""")
 def prompt_render(spark, sf_dir):
-    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.prompt(F.when(F.col("conv_id") % 2 == 0, F.col("answer")), F.col("question")).alias("prompt"))
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.prompt(F.when(F.col("conv_id") % 2 == 0, F.col("answer")), F.col("question"), HEBREW).alias("prompt"))
+
+
+@query(f"""{_CONV} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0
+ THEN 'اقرأ النص التالي وأجب على السؤال. اكتب الإجابة كما وردت في النص بالضبط، دون أي شرح إضافي.' || chr(10) || chr(10) || 'النص: ' || answer || chr(10) || chr(10) || 'السؤال: ' || question || chr(10) || chr(10) || 'الإجابة:'
+ ELSE 'أجب على السؤال التالي باختصار. اكتب الإجابة فقط.' || chr(10) || chr(10) || 'السؤال: ' || question || chr(10) || chr(10) || 'الإجابة:' END AS prompt FROM q""")
+def prompt_render_ar(spark, sf_dir):
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.prompt(F.when(F.col("conv_id") % 2 == 0, F.col("answer")), F.col("question"), ARABIC).alias("prompt"))
+
+
+@query(f"{_CONV} SELECT conv_id, turn, '<|user|>' || question || '<|assistant|>' AS chat, question AS bare FROM q")
+def chat_template(spark, sf_dir):
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.chat(F.col("question"), "<|user|>{message}<|assistant|>").alias("chat"), tx.chat(F.col("question")).alias("bare"))
 
 
-@query(f"{_CONV} SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Gold answers: ' || answer || ' | yes' || chr(10) || 'Prediction: ' || answer AS message FROM q")
+@query(f"""{_CONV} SELECT conv_id, turn, 'Question: ' || question || chr(10) || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'Context: ' || answer || chr(10) || chr(10) ELSE '' END
+ || 'Gold answer(s): ' || answer || ' | yes' || chr(10) || chr(10) || 'Candidate answer: ' || answer AS message FROM q""")
 def judge_message_render(spark, sf_dir):
-    return fx.conversations(spark, sf_dir).select("conv_id", "turn", tx.judge_message(F.col("question"), F.array("answer", F.lit("yes")), F.col("answer")).alias("message"))
+    message = tx.judge_message(F.col("question"), F.array("answer", F.lit("yes")), F.col("answer"), F.when(F.col("conv_id") % 2 == 0, F.col("answer")))
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", message.alias("message"))
 
 
-@query(f"WITH {_QA} SELECT id, array_to_string(CASE WHEN id % 3 = 0 THEN [] ELSE [source] || list_slice(gold, 1, 2) END, '|') AS flat FROM qa")
+_REPLY = "'{\"label\": \"' || l || '\", \"reason\": \"r' || turn || '\"}'"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' correct ' WHEN 1 THEN 'INCORRECT' WHEN 2 THEN 'maybe' ELSE 'Correct' END AS l FROM conversations)
+SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'ERROR' WHEN upper(trim(l)) IN ('CORRECT', 'INCORRECT') THEN upper(trim(l)) ELSE 'ERROR' END AS label, CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE 'r' || turn END AS reason FROM r""")
+def label_parse(spark, sf_dir):
+    """Replies of a judge, some with other labels and some that aren't JSON."""
+    k = F.col("conv_id") + F.col("turn")
+    label = F.when(k % 5 == 0, " correct ").when(k % 5 == 1, "INCORRECT").when(k % 5 == 2, "maybe").otherwise("Correct")
+    reply = F.when(k % 7 == 0, "no JSON").otherwise(F.to_json(F.struct(label.alias("label"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("reason"))))
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.parse_label(reply).alias("label"), tx.parse_reason(reply).alias("reason"))
+
+
+@query(f"WITH {_QA} SELECT id, md5(array_to_string(CASE WHEN id % 3 = 0 THEN [] ELSE [source] || gold END, '|')) AS flat FROM qa")
 def answers_flatten(spark, sf_dir):
     kind = F.when(F.col("id") % 3 == 0, "unanswerable").otherwise("entity")
-    rows = fx.qa(spark, sf_dir).select("id", F.array(F.struct(kind.alias("type"), F.col("source").alias("text"), F.slice("gold", 1, 2).alias("aliases"))).alias("a"))
-    return rows.select("id", F.array_join(tx.flatten_answers(F.col("a"), HEBREW), "|").alias("flat"))
+    rows = fx.qa(spark, sf_dir).select("id", F.array(F.struct(kind.alias("type"), F.col("source").alias("text"), F.col("gold").alias("aliases"))).alias("a"))
+    return rows.select("id", F.md5(F.array_join(tx.flatten_answers(F.col("a"), HEBREW), "|")).alias("flat"))
 
 
 @query("SELECT 'doc_' || doc_id AS id, 'documents' AS source FROM documents UNION ALL SELECT 'bench_' || item_id, 'benchmark' FROM benchmark")
@@ -315,6 +304,43 @@ def fragmentation_by_source(spark, sf_dir):
     return _frag(spark, sf_dir, "bytes")
 
 
+_COUNTED = lambda a, b: f"SELECT lang AS source, sum({a})::BIGINT AS no_tok_count, sum({b})::BIGINT AS with_tok_count, sum({b})::DOUBLE / sum({a})::DOUBLE AS frag_ratio FROM documents GROUP BY lang"
+
+
+@query(_COUNTED("length(text)", "length(text)"))
+def fragmentation_chars(spark, sf_dir):
+    return _frag(spark, sf_dir, "chars")
+
+
+_N_WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
+
+
+@query(_COUNTED(_N_WORDS, _N_WORDS))
+def fragmentation_words(spark, sf_dir):
+    return _frag(spark, sf_dir, "words")
+
+
+@query(_COUNTED(f"strlen(translate(text, {_STRUCT})) + {_N_WORDS}", f"strlen(text) + {_N_WORDS}"))
+def fragmentation_provider(spark, sf_dir):
+    """Token counts by a provider: here a piece for each byte and one for each word's end."""
+    from . import providers
+
+    d = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "text", F.translate("text", fx.MARKED, fx.BARE).alias("plain"))
+    for c in ("text", "plain"):
+        d = providers.apply(d, lambda: providers.TokenCounter(lambda x: [*x.encode(), *x.split()]), c, f"{c}_n", kind="long")
+    return fragmentation.fragmentation(fragmentation.token_totals(d, F.col("plain_n")), fragmentation.token_totals(d, F.col("text_n")))
+
+
+@query(f"""{_SCORED}, f AS ({_FRAG}), e AS (SELECT source, count(*) AS n, sum(delta_em)::BIGINT AS delta_em, {_DEC('delta_f1')} AS delta_f1 FROM p WHERE source <> 'es' GROUP BY source)
+SELECT f.*, coalesce(n, 0) AS n, delta_em, delta_f1 FROM f LEFT JOIN e ON f.source = e.source""")
+def fragmentation_with_delta(spark, sf_dir):
+    """One source has no delta."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "text", F.translate("text", fx.MARKED, fx.BARE).alias("plain"))
+    deltas = _pairs(spark, sf_dir).filter("source <> 'es'").groupBy("source").agg(F.count("*").alias("n"), F.sum("delta_em").alias("delta_em"), F.sum(F.col("delta_f1").cast("decimal(18,4)")).cast("double").alias("delta_f1"))
+    total = lambda c: fragmentation.token_totals(d, F.octet_length(c))
+    return fragmentation.fragmentation(total("plain"), total("text"), deltas)
+
+
 @query(f"""WITH r AS (SELECT lang AS source, text, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents)
 SELECT source, sum(strlen(translate(text, {_STRUCT})))::BIGINT AS no_tok_count, sum(strlen(text))::BIGINT AS with_tok_count FROM r WHERE r <= 50 GROUP BY source""")
 def fragmentation_sampled(spark, sf_dir):
@@ -329,6 +355,14 @@ def fragmentation_pearson(spark, sf_dir):
     return fragmentation.pearson(_frag(spark, sf_dir, "bytes"), "no_tok_count", "with_tok_count").withColumn("r", F.round("r", 9))
 
 
+@query(f"""WITH f AS ({_FRAG}), r AS (SELECT corr(no_tok_count::DOUBLE, with_tok_count::DOUBLE) AS r FROM f UNION ALL SELECT corr(no_tok_count::DOUBLE, -with_tok_count::DOUBLE) FROM f UNION ALL SELECT NULL)
+SELECT round(r, 6) AS r, CASE WHEN r IS NULL THEN 'Undefined' WHEN r < -0.2 THEN 'Negative' WHEN abs(r) < 0.2 THEN 'None' ELSE 'Positive' END AS reading FROM r""")
+def correlation_reading(spark, sf_dir):
+    points = _frag(spark, sf_dir, "bytes").withColumn("down", -F.col("with_tok_count"))
+    r = [fragmentation.pearson(x, "no_tok_count", y).select("r") for x, y in ((points, "with_tok_count"), (points, "down"), (points.limit(1), "down"))]
+    return r[0].unionByName(r[1]).unionByName(r[2]).select(F.round("r", 6).alias("r"), fragmentation.interpretation(F.col("r")).alias("reading"))
+
+
 def _docs(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "text", "n_chars")
 
@@ -355,7 +389,7 @@ def pilot_cell_sample(spark, sf_dir):
 t AS (SELECT *, sum(pool) OVER () AS total, round_even(100.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM s),
 u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
 SELECT bucket, pool, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(pool, CASE WHEN last THEN 100 - before ELSE share END) END)::BIGINT AS quota FROM u""")
-def proportional_sample(spark, sf_dir):
+def proportional_quotas(spark, sf_dir):
     return sampling.proportional_quotas(_docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket")), 100)
 
 
@@ -366,25 +400,38 @@ q AS (SELECT bucket, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(poo
 r AS (SELECT doc_id AS id, lang AS bucket, md5('42:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents),
 k AS (SELECT id, r.bucket, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM r JOIN q ON r.bucket = q.bucket)
 SELECT id, bucket FROM k WHERE k <= 100""")
-def proportional_sample_rows(spark, sf_dir):
+def proportional_sample(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket"))
     return sampling.proportional_sample(rows, 100).select("id", "bucket")
 
 
-@query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text[:doc_id % 120], '\\s+'), lambda x: x <> '')) AS n FROM documents)")
+@query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
 def length_bucket(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("id", sc.answer_length_bucket(F.array(F.substring("text", F.lit(1), (F.col("id") % 120).cast("int")))).alias("bucket"))
+    return _docs(spark, sf_dir).select("id", sc.answer_length_bucket(F.array("text")).alias("bucket"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
-def whole_length_bucket(spark, sf_dir):
-    return _docs(spark, sf_dir).select("id", sc.answer_length_bucket(F.array("text")).alias("bucket"))
+def _sampled(source: str, size: int, pool: str, name: str) -> str:
+    """CTEs of a proportional sample over `pool` (id, question, bucket); the sample is `name`."""
+    return f"""{name}_s AS (SELECT bucket, count(*) AS pool, min(id) AS o FROM {pool} GROUP BY bucket),
+{name}_t AS (SELECT *, sum(pool) OVER () AS total, round_even({size}.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM {name}_s),
+{name}_u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}_t),
+{name}_q AS (SELECT bucket, greatest(0, CASE WHEN total <= {size} THEN pool ELSE least(pool, CASE WHEN last THEN {size} - before ELSE share END) END)::BIGINT AS quota FROM {name}_u),
+{name}_r AS (SELECT *, md5('42:' || id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || id), id) AS r FROM {pool}),
+{name}_k AS (SELECT x.*, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM {name}_r AS x JOIN {name}_q AS y ON x.bucket = y.bucket),
+{name} AS (SELECT id, question, bucket, '{source}' AS source FROM {name}_k WHERE k <= {size})"""
 
 
-@query(f"{_SCORED} SELECT id, CASE WHEN base_f1 >= 0.8 THEN 'high' WHEN base_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")
+@query(f"""WITH d AS (SELECT doc_id AS id, text AS question, source, lang AS bucket FROM documents), pa AS (SELECT min(id) AS id, question, any_value(bucket) AS bucket FROM d WHERE source = 'src1' GROUP BY question),
+{_sampled('src1', 40, 'pa', 'a')}, pb AS (SELECT min(id) AS id, question, min_by(bucket, id) AS bucket FROM d WHERE source = 'src0' AND question NOT IN (SELECT question FROM a) GROUP BY question), {_sampled('src0', 25, 'pb', 'b')}
+SELECT id, source, bucket FROM a UNION ALL SELECT id, source, bucket FROM b""")
+def sample_sources(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("text").alias("question"), "source", F.col("lang").alias("bucket"))
+    return sampling.sample_sources(rows, {"src1": 40, "src0": 25}).select("id", "source", "bucket")
+
+
+@query(f"{_SCORED} SELECT id, CASE WHEN treated_f1 >= 0.8 THEN 'high' WHEN treated_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")
 def f1_bucket(spark, sf_dir):
-    return _sides(spark, sf_dir)[0].select("id", sc.f1_level(F.col("f1")).alias("level"))
+    return _pairs(spark, sf_dir).select("id", sc.f1_level(F.col("treated_f1")).alias("level"))
 
 
 def _mix(spark, sf_dir):
@@ -428,15 +475,32 @@ def _results(q):
 
 @query(f"""WITH {_QA}, r AS (SELECT id AS example_id, source, m AS model, c AS condition, CASE WHEN id % 11 = 0 AND m = 'm2' THEN '' WHEN c = 'plain' THEN array_to_string(base, ' ') ELSE array_to_string(treated, ' ') END AS prediction
  FROM qa, (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['marked', 'plain']) AS c))
-SELECT row_number() OVER (ORDER BY model, condition, source, example_id)::INT AS row_id, example_id, model, condition, prediction = '' AS pre_labeled, CASE WHEN prediction = '' THEN 'INCORRECT' END AS judge_label FROM r""")
+SELECT row_number() OVER (ORDER BY model, condition, source, example_id)::BIGINT AS row_id, example_id, model, condition, prediction = '' AS pre_labeled, CASE WHEN prediction = '' THEN 'INCORRECT' END AS judge_label FROM r""")
 def judge_input_expand(spark, sf_dir):
     questions = fx.qa(spark, sf_dir).select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
     return judging.judge_inputs(questions, _results(fx.qa(spark, sf_dir))).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
 
 
-@query("SELECT 4::BIGINT AS cells, true AS equal_counts, true AS equal_sets")
+_CELLS = """WITH r AS (SELECT doc_id AS example_id, m AS model, c AS condition FROM documents, (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['marked', 'plain']) AS c) WHERE doc_id % 5 <> 1 OR m = 'm1'),
+n AS (SELECT model, condition, count(*) AS n, list(example_id ORDER BY example_id) AS ids FROM r GROUP BY model, condition)"""
+
+
+def _cells(spark, sf_dir):
+    rows = _results(fx.qa(spark, sf_dir))
+    return rows, rows.filter("example_id % 5 <> 1 or model = 'm1'")
+
+
+@query(f"{_CELLS} SELECT count(*) AS cells, count(DISTINCT n) <= 1 AS equal_counts, count(DISTINCT ids) <= 1 AS equal_sets FROM n UNION ALL SELECT count(*), count(DISTINCT n) <= 1, count(DISTINCT ids) <= 1 FROM n WHERE model = 'm1'")
 def pairing_check(spark, sf_dir):
-    return judging.pairing(_results(fx.qa(spark, sf_dir)), ["model", "condition"])
+    """Of cells that lack rows, and of those that don't."""
+    whole, holes = _cells(spark, sf_dir)
+    return judging.pairing(holes, ["model", "condition"]).unionByName(judging.pairing(whole.filter("model = 'm1'"), ["model", "condition"]))
+
+
+@query(f"{_CELLS}, g AS (SELECT m AS model, c AS condition FROM (SELECT unnest(['m1', 'm2', 'm3']) AS m), (SELECT unnest(['marked', 'plain']) AS c)) SELECT g.model AS model, g.condition AS condition, coalesce(n, 0) AS n FROM g LEFT JOIN n ON g.model = n.model AND g.condition = n.condition")
+def cells_of_all(spark, sf_dir):
+    """A row for each cell, also for those without rows."""
+    return judging.cells(_cells(spark, sf_dir)[1], {"model": ["m1", "m2", "m3"], "condition": ["marked", "plain"]})
 
 
 def _judged(spark, sf_dir):
@@ -466,11 +530,37 @@ def transitions(spark, sf_dir):
     return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model",)])
 
 
-@query(f"{_RATED} SELECT human, count(*) FILTER (judge = 'CORRECT') AS \"CORRECT\", count(*) FILTER (judge = 'INCORRECT') AS \"INCORRECT\" FROM p GROUP BY human")
+@query(f"{_RATED} SELECT l.human AS human, count(*) FILTER (judge = 'CORRECT') AS \"CORRECT\", count(*) FILTER (judge = 'INCORRECT') AS \"INCORRECT\" FROM (SELECT unnest(['CORRECT', 'INCORRECT']) AS human) AS l LEFT JOIN p ON p.human = l.human GROUP BY l.human")
 def confusion_matrix(spark, sf_dir):
     return agreement.confusion(fx.ratings(spark, sf_dir))
 
 
+@query(f"{_RATED} SELECT l.human AS human, count(*) FILTER (judge = 'CORRECT') AS \"CORRECT\", count(*) FILTER (judge = 'INCORRECT') AS \"INCORRECT\" FROM (SELECT unnest(['CORRECT', 'INCORRECT']) AS human) AS l LEFT JOIN p ON p.human = l.human AND p.human = 'CORRECT' GROUP BY l.human")
+def confusion_of_one_label(spark, sf_dir):
+    """A label that no one gives has its row of zeros."""
+    return agreement.confusion(fx.ratings(spark, sf_dir).filter("human = 'CORRECT'"))
+
+
+@query(f"""{_RATED}, h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lower(human) WHEN 1 THEN ' ' || human ELSE human END AS label FROM p WHERE doc_id % 9 <> 0),
+j AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'ERROR' ELSE judge END AS judge FROM p WHERE doc_id % 6 <> 0)
+SELECT h.doc_id::INT AS pilot_id, upper(trim(label)) AS human, judge FROM h JOIN j ON h.doc_id = j.doc_id WHERE judge <> 'ERROR' AND h.doc_id % 13 <> 0""")
+def judge_against_human(spark, sf_dir):
+    """Untidy human labels, some blank or of other words; judgments with errors, and duplicates under ids that are no numbers."""
+    r = fx.ratings(spark, sf_dir)
+    k = F.col("doc_id")
+    messy = F.when(k % 13 == 0, "PARTIALLY_CORRECT").when(k % 4 == 0, F.lower("human")).when(k % 4 == 1, F.concat(F.lit(" "), F.col("human"))).otherwise(F.col("human"))
+    human = r.filter(k % 9 != 0).select(k.cast("string").alias("pilot_id"), messy.alias("human_label"))
+    dup = F.concat(k.cast("string"), F.when(k % 6 == 0, "_dup").otherwise(""))
+    judge = r.select(dup.alias("pilot_id"), F.when(k % 11 == 0, "ERROR").otherwise(F.col("judge")).alias("judge_label"))
+    return agreement.paired_raters(human, judge).select("pilot_id", "human", "judge")
+
+
+@query(f"{_RATED} SELECT doc_id::VARCHAR AS pilot_id, src AS source, source AS condition, human, judge FROM p WHERE human <> judge")
+def disagreement_examples(spark, sf_dir):
+    r = fx.ratings(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pilot_id"), "source", F.col("lang").alias("condition"), "human", "judge")
+    return agreement.disagreement_examples(r).select("pilot_id", "source", "condition", "human", "judge")
+
+
 @query(f"""{_RATED}, c AS (SELECT count(*) AS n, count(*) FILTER (human = judge) AS agree, count(*) FILTER (human = 'CORRECT') AS h, count(*) FILTER (judge = 'CORRECT') AS j FROM p),
 e AS (SELECT n, agree, (h * j + (n - h) * (n - j))::DOUBLE / (n * n)::DOUBLE AS expected FROM c)
 SELECT n, agree, round(expected, 9) AS expected, round((agree::DOUBLE / n::DOUBLE - expected) / (1 - expected), 9) AS kappa FROM e""")
@@ -478,28 +568,44 @@ def cohen_kappa(spark, sf_dir):
     return agreement.kappa(fx.ratings(spark, sf_dir)).withColumns({"expected": F.round("expected", 9), "kappa": F.round("kappa", 9)})
 
 
+@query(f"""{_RATED}, c AS (SELECT model, count(*) AS n, count(*) FILTER (human = judge) AS agree, count(*) FILTER (human = 'CORRECT') AS h, count(*) FILTER (judge = 'CORRECT') AS j FROM p GROUP BY model),
+e AS (SELECT model, agree::DOUBLE / n AS o, (h * j + (n - h) * (n - j))::DOUBLE / (n * n)::DOUBLE AS x FROM c), k AS (SELECT model, 100 * o AS share, (o - x) / (1 - x) AS k FROM e)
+SELECT model, round(share, 6) AS agreement, CASE WHEN k >= 0.8 THEN 'almost perfect' WHEN k >= 0.6 THEN 'substantial' WHEN k >= 0.4 THEN 'moderate' WHEN k >= 0.2 THEN 'fair' ELSE 'slight' END AS band,
+ CASE WHEN k >= 0.6 AND share >= 80 THEN 'PROCEED' WHEN k >= 0.4 THEN 'REFINE' ELSE 'REDESIGN' END AS decision FROM k""")
+def agreement_reading(spark, sf_dir):
+    """Agreement in percent, kappa's band and the decision, by model."""
+    r = fx.ratings(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")))
+    out = None
+    for m in ("m0", "m1"):
+        k = agreement.kappa(r.filter(F.col("model") == m)).withColumn("share", 100 * F.col("agree").cast("double") / F.col("n"))
+        k = k.select(F.lit(m).alias("model"), F.round("share", 6).alias("agreement"), agreement.kappa_band(F.col("kappa")).alias("band"), agreement.decision(F.col("kappa"), F.col("share")).alias("decision"))
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
 @query(f"""{_RATED}, l AS (SELECT unnest(['CORRECT', 'INCORRECT']) AS label), c AS (SELECT label, count(*) FILTER (human = label AND judge = label) AS tp, count(*) FILTER (human <> label AND judge = label) AS fp, count(*) FILTER (human = label AND judge <> label) AS fn FROM l, p GROUP BY label)
 SELECT label, tp, fp, fn, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c""")
 def per_class_prf(spark, sf_dir):
     return agreement.per_class(fx.ratings(spark, sf_dir))
 
 
-@query(f"""{_RATED}, d AS (SELECT *, human || '->' || judge AS direction FROM p WHERE human <> judge), u AS (SELECT 'lang' AS dimension, source AS value FROM d UNION ALL SELECT 'source', src FROM d UNION ALL SELECT 'direction', direction FROM d UNION ALL SELECT 'total', 'all' FROM d)
+@query(f"""{_RATED}, d AS (SELECT *, 'human=' || human || ' -> judge=' || judge AS direction FROM p WHERE human <> judge), u AS (SELECT 'lang' AS dimension, source AS value FROM d UNION ALL SELECT 'source', src FROM d UNION ALL SELECT 'direction', direction FROM d UNION ALL SELECT 'total', 'all' FROM d)
 SELECT dimension, value, count(*) AS n FROM u GROUP BY dimension, value""")
 def disagreements_by(spark, sf_dir):
     return agreement.disagreements(fx.ratings(spark, sf_dir), ["lang", "source"])
 
 
-@query(f"{_RATED} SELECT human || '->' || judge AS direction, count(*) AS n FROM p WHERE human <> judge GROUP BY 1 ORDER BY n DESC, direction LIMIT 5")
+@query(f"{_RATED} SELECT 'human=' || human || ' -> judge=' || judge AS direction, count(*) AS n FROM p WHERE human <> judge GROUP BY 1 ORDER BY n DESC, direction LIMIT 5")
 def top_disagreement_directions(spark, sf_dir):
     return agreement.top_directions(fx.ratings(spark, sf_dir))
 
 
-@query("WITH t AS (SELECT doc_id FROM labels ORDER BY md5('99:' || doc_id), doc_id LIMIT 15) SELECT 15::BIGINT AS n, count(*) FILTER (doc_id % 4 <> 0) AS agree, 0::BIGINT AS skipped FROM t")
+@query("WITH t AS (SELECT doc_id FROM labels ORDER BY md5('99:' || doc_id), doc_id LIMIT 15) SELECT count(*) FILTER (doc_id % 5 <> 0) AS n, count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 5 <> 0) AS agree, count(*) FILTER (doc_id % 5 = 0) AS skipped FROM t")
 def consistency_duplicates(spark, sf_dir):
     rows = sampling.with_duplicates(fx.ratings(spark, sf_dir).select(F.col("doc_id").alias("pilot_id"), "human"), 15)
     other = F.when(F.col("human") == "CORRECT", "INCORRECT").otherwise("CORRECT")
-    return agreement.consistency(rows.withColumn("judge_label", F.when(F.col("is_duplicate") & (F.col("pilot_id_original") % 4 == 0), other).otherwise(F.col("human"))))
+    label = F.when(F.col("is_duplicate") & (F.col("pilot_id_original") % 5 == 0), "ERROR").when(F.col("is_duplicate") & (F.col("pilot_id_original") % 4 == 0), other).otherwise(F.col("human"))
+    return agreement.consistency(rows.withColumn("judge_label", label))
 
 
 _LED = "WITH l AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge_label FROM events)"
@@ -532,18 +638,14 @@ def model_condition_accuracy(spark, sf_dir):
     return judging.accuracy(_judged(spark, sf_dir), ["model", "condition"])
 
 
-@query()
+@query(f"{_LED} SELECT event_id, judge_label FROM l WHERE judge_label <> 'ERROR'")
 def ledger_stream(spark, sf_dir):
     """The ledger goes through a file stream, twice; the second run finds nothing new."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="pairlens-")
-    base = f"{base}/ledger-{uuid.uuid4().hex}"
+    base = scratch(spark, "ledger")
     fx.ledger(spark, sf_dir).select("event_id", "judge_label").repartition(4, "event_id").write.json(f"{base}/in")
     for _ in range(2):
         lg.run_stream(spark, f"{base}/in", "event_id long, judge_label string", f"{base}/out", f"{base}/at", lambda b: b.filter(lg.valid_label()), files=2).awaitTermination()
     return lg.read_ledger(spark, f"{base}/out").select("event_id", "judge_label")
+
+
+from . import raw_catalogue  # noqa: E402, F401  enters its queries

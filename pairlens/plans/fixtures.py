@@ -19,21 +19,15 @@ def words(text):
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source, golds, base and treated predictions as token arrays."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), words(F.col("text")).alias("w"))
-    d = d.withColumn("pw", F.transform("w", lambda t: F.translate(t, MARKED, BARE)))
-    k = lambda n: (F.col("id") % n).cast("int")
-    return d.select("id", "source", F.slice("pw", 1, 6).alias("gold"), F.slice("pw", 3, 4).alias("gold2"), F.slice("pw", F.lit(1), 3 + k(5)).alias("base"), F.slice("w", 1 + k(3), F.lit(5)).alias("treated"))
-
-
-def whole_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source and whole texts as token arrays: golds are the plain and the marked text, the base prediction is plain, the
-    treated one marked, the mixed one marked in every other word."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    plain = lambda t: F.translate(t, MARKED, BARE)
-    mixed = F.transform("w", lambda t, i: F.when(i % 2 == 0, t).otherwise(plain(t)))
-    d = d.select("id", "source", "w", F.transform("w", plain).alias("pw"), mixed.alias("mixed"))
-    return d.select("id", "source", F.col("pw").alias("gold"), F.col("w").alias("gold2"), F.col("pw").alias("base"), F.col("w").alias("treated"), "mixed")
+    """id, source and whole texts as token arrays: golds are the plain and the marked text, in turn by id; the base prediction
+    is plain, the treated one marked, with a word more in every third row."""
+    text = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), words(text).alias("w"), words(F.translate(text, MARKED, BARE)).alias("pw"))
+    even, third = F.col("id") % 2 == 0, F.col("id") % 3 == 0
+    return d.select(
+        "id", "source", F.when(even, F.col("pw")).otherwise(F.col("w")).alias("gold"), F.when(even, F.col("w")).otherwise(F.col("pw")).alias("gold2"), F.col("pw").alias("base"),
+        F.when(third, F.concat("w", F.array(F.lit("x")))).otherwise(F.col("w")).alias("treated"),
+    )
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
