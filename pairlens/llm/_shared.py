@@ -1,44 +1,41 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""What the operators share: ids, joins that spread hot keys, and giving back of shuffle files."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import mark, release, shared_dir, stored, unused
+
+__all__ = ["LAST_ID", "free_shuffles", "id_order", "joined_spread", "mark", "release", "shared_dir", "stored", "unused"]
+
 #: Stands for a null id inside an operator: such rows come after all others.
 LAST_ID = (1 << 63) - 1
+#: A key of more than this part of all rows is hot; there are fewer than 1 / HOT of them.
+HOT = 1e-3
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a new local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pairlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def id_order(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut, and lost executors cost no more than one stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def joined_spread(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to the one row that facts has for a key; `count` says how many rows the key has. Hot keys, at most 1 / HOT
+    of them whatever the input, are joined by broadcast, where their rows are; all others by a shuffle."""
+    facts = stored(facts, "facts")
+    total, most = facts.agg(F.sum(count), F.max(count)).first()
+    least = (total or 0) * HOT
+    if (most or 0) <= least:
+        return rows.join(facts, key)
+    hot = F.broadcast(facts.filter(F.col(count) > least))
+    cold = rows.join(F.broadcast(facts.filter(F.col(count) > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(facts.filter(F.col(count) <= least), key))
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nobody holds any more."""
-    for _ in range(3):  # Python's proxies go first, then Spark's plans, then what only they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def id_order(name: str = "doc_id") -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
+    """Spark deletes the files of a shuffle when the driver has collected the plan that made it, which on a large heap may
+    come long after the plan was dropped. Asks for it once a step's result is stored, so that no two steps' files add up."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import mark, release, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type. Returns node, root (the smallest node of its component), for nodes with an
-    edge to another. Every round is one table in the shared folder; rounds grow with the logarithm of the nodes."""
+    edge to another. Every round is one table in the shared folder, of which the last stays; rounds grow with the logarithm
+    of the nodes."""
+    spark, since = edges.sparkSession, mark()
     e = edges.select("a", "b").filter("a <> b")
     e = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -23,6 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         e = stored(small.filter("a <> b").distinct(), "edges")
+        release(spark, since, e)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
