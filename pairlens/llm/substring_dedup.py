@@ -9,19 +9,20 @@ delta < v puts both i + delta and j + delta into the cover, so two equal windows
 window - v + 1 words. The steps:
 
 1. hash the anchors only (4 of 13 positions), count each hash over the corpus, keep those that occur twice;
-2. give each document the repeated anchors it holds; only windows around such an anchor can be repeated, and those
-   are extended to their full length and hashed with 96 bits;
+2. give each row the repeated anchors it holds; only windows around such an anchor can be repeated, and those
+   are extended to their full length and hashed with 96 bits, taken by two keys from 64-bit hashes of the words: two
+   sequences are taken for one if the hashes of differing words agree, which for one pair of words has a chance of 2 ** -64;
 3. find the first start of each such window; all later ones are removed.
 
 Copies of a whole text are settled by a digest of the text: only the first copy goes through step 2 and 3, the others
 lose all their words (a text shorter than a window keeps them). No pairs are made anywhere. Hot anchors are counted
-map-side first and reach the documents through joins that Spark can split; a hot window leaves each batch once, and is
-gone through as a sorted stream.
+map-side first and reach the rows through joins that Spark can split; a hot window leaves each task about once, and is
+gone through as a sorted stream; hot digests are joined by broadcast.
 
 Defined cases: a null text or one without words has no words; a text shorter than a window loses nothing; null ids
-come after all others and count as one id; rows that share an id are ordered among themselves by position alone, so
-what they repeat of each other at the same position stays; repeated rows each give a row; an empty table gives an
-empty one.
+come after all others and count as one id, but their rows are kept apart by their texts; rows that share an id are ordered
+among themselves by position alone, so what they repeat of each other at the same position stays; repeated rows each give a
+row; an empty table gives an empty one; other columns keep their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_shuffles, id_order, stored
+from ._shared import LAST_ID, free_shuffles, id_order, joined_spread, mark, release, stored, unused
 from ._text import Words, position_keys, ranges, steps, window_hashes
 
 WINDOW = 20
 #: A difference cover: every difference modulo PERIOD is one of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+#: Windows of earlier batches that a task keeps in mind.
+MIND = 1 << 13
 _SIDE = np.zeros(PERIOD, bool)
 _SIDE[list(COVER)] = True
 
@@ -76,20 +79,25 @@ def _held(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             doc, _, h = _anchor_hashes(Words(batch.column("text")), window)
-            ids = batch.column("_id").to_numpy()
+            ids = batch.column("k").to_numpy()
             order = np.lexsort((doc, h))
             doc, h = doc[order], h[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[doc[new]])], ["h", "_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[doc[new]])], ["h", "k"])
 
     return run
 
 
+WINDOWS = "h1 long, h2 int, _id long, dg long, at int, sure binary"
+
+
 def _extended(window: int):
-    """96-bit hashes of the windows that hold a repeated anchor."""
+    """96-bit hashes of the windows that hold a repeated anchor: a row for each that may be the first of its hash, and for
+    each text one with the starts (sure) of those that are later than another of the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mind = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32))
         for batch in steps(batches):
             words = Words(batch.column("text"))
             hashes = words.hashes()
@@ -111,12 +119,29 @@ def _extended(window: int):
             start, of = start[fits], of[fits]
             h1 = window_hashes(hashes, start, position_keys(window, 2)).view(np.int64)
             h2 = (window_hashes(hashes, start, position_keys(window, 3)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            ids = batch.column("_id").to_numpy()[of]
-            at = (start - words.first[of]).astype(np.int32)
+            own_id, own_dg = batch.column("_id").to_numpy(), batch.column("dg").to_numpy()
+            old = len(mind[0])
+            h1, h2, ids, at = (np.concatenate([x, y]) for x, y in zip(mind, (h1, h2, own_id[of], (start - words.first[of]).astype(np.int32)), strict=True))
+            of = np.concatenate([np.full(old, -1), of])
             order = np.lexsort((at, ids, h2, h1))
-            h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids), pa.array(at), pa.nulls(len(at), pa.binary())], ["h1", "h2", "_id", "at", "sure"]).filter(pa.array(~_after_first(h1, h2, ids, at)[0]))
-            yield _sure(h1, h2, ids, at)
+            h1, h2, ids, at, of = (x[order] for x in (h1, h2, ids, at, of))
+            later, first = _after_first(h1, h2, ids, at)
+            new = of >= 0
+            rows = np.flatnonzero(new & ~later)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (h1[rows], h2[rows], ids[rows], own_dg[of[rows]], at[rows])] + [pa.nulls(len(rows), pa.binary())], ["h1", "h2", "_id", "dg", "at", "sure"]
+            )
+            rows = np.flatnonzero(new & later)
+            own, dg, listed = _listed(ids[rows], own_dg[of[rows]], at[rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((own ^ dg) * np.int64(0x5851F42D4C957F2D)), pa.array(np.zeros(len(own), np.int32)), pa.array(own), pa.array(dg), pa.nulls(len(own), pa.int32()), pa.array(listed, pa.binary())],
+                ["h1", "h2", "_id", "dg", "at", "sure"],
+            )
+            # kept in mind is what has occurred again, then what is new, then what is old
+            heads, size = np.unique(first, return_counts=True)
+            rank = np.where(size > 1, 0, np.where(new[heads], 1, 2))
+            kept = heads[np.argsort(rank, kind="stable")[:MIND]]
+            mind = tuple(x[kept] for x in (h1, h2, ids, at))
 
     return run
 
@@ -129,16 +154,14 @@ def _after_first(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray
     return (ids != ids[first]) | (at != at[first]), first
 
 
-def _sure(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """What is later than another of the same batch, as one row for each document. Its hash only spreads the rows."""
-    later = _after_first(h1, h2, ids, at)[0]
-    ids, at = ids[later], at[later]
-    order = np.argsort(ids, kind="stable")
-    ids, at = ids[order], at[order]
-    own, begin = np.unique(ids, return_index=True)
-    lists = [x.tobytes() for x in np.split(at, begin[1:])] if len(own) else []
-    n = len(own)
-    return pa.RecordBatch.from_arrays([pa.array(own * np.int64(0x5851F42D4C957F2D)), pa.array(np.zeros(n, np.int32)), pa.array(own, pa.int64()), pa.array([None] * n, pa.int32()), pa.array(lists, pa.binary())], ["h1", "h2", "_id", "at", "sure"])
+def _listed(ids: np.ndarray, dg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The starts of each text, named by id and digest."""
+    order = np.lexsort((dg, ids))
+    ids, dg, at = ids[order], dg[order], at[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (dg[1:] != dg[:-1])
+    begin = np.flatnonzero(new)
+    return ids[begin], dg[begin], [x.tobytes() for x in np.split(at.astype(np.int32), begin[1:])] if len(begin) else []
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +170,17 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sure = batch.filter(pc.is_valid(batch.column("sure")))
         batch = batch.filter(pc.is_null(batch.column("sure")))
-        ids, at = batch.column("_id").to_numpy(), batch.column("at").to_numpy().astype(np.int32)
-        h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+        columns = [batch.column(c).to_numpy() for c in ("h1", "h2", "_id", "at", "dg")]
         if mind is not None:
-            h1, h2, ids, at = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(mind, (h1, h2, ids, at), strict=True))
-        later, first = _after_first(h1, h2, ids, at)
+            columns = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(mind, columns, strict=True)]
+        later, first = _after_first(*columns[:4])
         if len(first):
-            mind = tuple(x[first[-1]] for x in (h1, h2, ids, at))
-        ids, at = ids[later], at[later]
-        order = np.argsort(ids, kind="stable")
-        ids, at = ids[order], at[order]
-        own, begin = np.unique(ids, return_index=True)
-        lists = [x.tobytes() for x in np.split(at, begin[1:])] if len(own) else []
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(own, pa.int64()), sure.column("_id")]), pa.concat_arrays([pa.array(lists, pa.binary()), sure.column("sure")])], ["_id", "at"])
+            mind = tuple(x[first[-1]] for x in columns)
+        _, _, ids, at, dg = (x[later] for x in columns)
+        ids, dg, listed = _listed(ids.astype(np.int64), dg.astype(np.int64), at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(ids), sure.column("_id")]), pa.concat_arrays([pa.array(dg), sure.column("dg")]), pa.concat_arrays([pa.array(listed, pa.binary()), sure.column("sure")])], ["_id", "dg", "at"]
+        )
 
 
 def _pair(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -195,38 +216,43 @@ def _cut(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept (the kept words joined by one space)."""
     cut = _cut_rows(docs.select(id_order().alias("_id"), F.col("text").cast("string").alias("text")), window)
-    return cut.select(F.when(F.col("_id") != F.lit((1 << 63) - 1), F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return cut.select(F.when(F.col("_id") != LAST_ID, F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def _later_copies(rows: DataFrame) -> DataFrame:
     """(_id, dg) of texts that a smaller id has, too; one row each."""
-    texts = rows.filter(F.length("text") > 0).select("_id", F.unhex(F.md5("text")).alias("m"), F.xxhash64("text").alias("dg"))
-    first = texts.groupBy("m").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last").select("m", "first")
-    return texts.join(first, "m").filter(F.col("_id") > F.col("first")).select("_id", "dg").distinct()
+    texts = stored(rows.filter(F.length("text") > 0).select("_id", "dg", F.unhex(F.md5("text")).alias("m")), "digests")
+    first = texts.groupBy("m").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count("*").alias("c")).filter("first < last").select("m", "first", "c")
+    return joined_spread(texts, first, "m", "c").filter("_id > first").select("_id", "dg").distinct()
 
 
 def _cut_rows(rows: DataFrame, window: int) -> DataFrame:
-    spark = rows.sparkSession
+    """rows: _id, text. Steps 1 to 3; k stands for a row's id and text where a confusion does no harm, (_id, dg) where it would."""
+    spark, since = rows.sparkSession, mark()
+    rows = rows.withColumn("dg", F.xxhash64("text"))
+    k = F.xxhash64("_id", "dg").alias("k")
     repeated = rows.select("text").mapInArrow(_counted(window), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    held = rows.mapInArrow(_held(window), "h long, _id long").join(repeated, "h", "left_semi")
-    per_doc = held.groupBy("_id").agg(F.collect_set("h").alias("hs"))
-    copies = _later_copies(rows).groupBy("_id").agg(F.collect_set("dg").alias("dgs"))
-    facts = stored(per_doc.join(copies, "_id", "full_outer"), "anchors")
-    del repeated, held, per_doc, copies
+    held = rows.select(k, "text").mapInArrow(_held(window), "h long, k long").join(repeated, "h", "left_semi")
+    per_row = held.groupBy("k").agg(F.collect_set("h").alias("hs"))
+    copies = _later_copies(rows).groupBy(k).agg(F.collect_set(F.struct("_id", "dg")).alias("copies"))
+    facts = stored(per_row.join(copies, "k", "full_outer"), "anchors")
+    release(spark, since, facts)
+    del repeated, held, per_row, copies
     free_shuffles(spark)
 
-    # both joins below read one exchange of the texts, by id
-    full = rows.withColumn("dg", F.xxhash64("text")).join(facts, "_id", "left")
-    full = full.withColumn("copy", F.coalesce(F.array_contains("dgs", F.col("dg")), F.lit(False)))
-    windows = full.filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "text", "hs").mapInArrow(_extended(window), "h1 long, h2 int, _id long, at int, sure binary")
-    # within a batch, all but the first of a window are known to be later: a hot window is dealt once for each batch
+    full = rows.withColumn("k", k).join(facts, "k", "left")
+    full = full.withColumn("copy", F.coalesce(F.array_contains("copies", F.struct("_id", "dg")), F.lit(False)))
+    windows = full.filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "dg", "text", "hs").mapInArrow(_extended(window), WINDOWS)
+    # within a task, all but the first of a window are known to be later: a hot window is dealt about once for each task
     dealt = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "at")
-    later = stored(dealt.mapInArrow(_later, "_id long, at binary").groupBy("_id").agg(F.collect_list("at").alias("later")), "later")
-    del windows, dealt
+    found = dealt.mapInArrow(_later, "_id long, dg long, at binary")
+    later = stored(found.groupBy(k).agg(F.collect_list(F.struct("_id", "dg", "at")).alias("later")), "later")
+    del windows, dealt, found
     free_shuffles(spark)
-    whole = full.select("_id", "text", "dg", "copy").join(later, "_id", "left")
+    whole = full.select("k", "_id", "text", "dg", "copy").join(later, "k", "left")
+    own = F.transform(F.filter("later", lambda x: (x["_id"] == F.col("_id")) & (x["dg"] == F.col("dg"))), lambda x: x["at"])
     none = F.array().cast("array<binary>")
-    return whole.select("_id", "dg", "text", "copy", F.coalesce("later", none).alias("later")).mapInArrow(_cut(window), "_id long, dg long, n_words long, n_removed long, kept string")
+    return whole.select("_id", "dg", "text", "copy", F.coalesce(own, none).alias("later")).mapInArrow(_cut(window), "_id long, dg long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -234,16 +260,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     nothing goes stay as they are, character for character; a document that loses its last word goes. All other
     columns stay. Several rows under one id and text each stay or go alike."""
     names = docs.columns
-    given = docs.withColumns({"_pl_id": id_order(), "_pl_dg": F.xxhash64(F.col("text").cast("string"))})
-    cut = _cut_rows(given.select(F.col("_pl_id").alias("_id"), F.col("text").cast("string").alias("text")), window).filter("n_removed > 0")
+    own, dg, cut = (unused(names, c) for c in ("id", "dg", "cut"))
+    given = docs.withColumns({own: id_order(), dg: F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))})
+    made = _cut_rows(given.select(F.col(own).alias("_id"), F.col("text").cast("string").alias("text")), window).filter("n_removed > 0")
     # one text under one id is cut in one way
-    cut = cut.groupBy(F.col("_id").alias("_pl_id"), F.col("dg").alias("_pl_dg")).agg(F.max(F.struct("n_removed", "n_words", "kept")).alias("_pl_cut"))
-    out = given.join(cut, ["_pl_id", "_pl_dg"], "left").filter("_pl_cut is null or _pl_cut.n_removed < _pl_cut.n_words")
-    text = F.when(F.col("_pl_cut").isNull(), F.col("text")).otherwise(F.col("_pl_cut.kept"))
+    made = made.groupBy(F.col("_id").alias(own), F.col("dg").alias(dg)).agg(F.max(F.struct("n_removed", "n_words", "kept")).alias(cut))
+    found = F.col(cut)
+    out = given.join(made, [own, dg], "left").filter(found.isNull() | (found["n_removed"] < found["n_words"]))
+    text = F.when(found.isNull(), F.col("text").cast("string")).otherwise(found["kept"])
     out = out.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_pl_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(found.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in names))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
