@@ -10,8 +10,8 @@ it. A cursor stands on the last block of a possible window and moves on by the s
 bucket gives the patterns that end so, a hash of the whole window picks among them and a comparison of the bytes
 confirms. Each document is cut into stretches with one cursor each, and all cursors of a batch step together.
 
-The patterns are broadcast. Their source is read in blocks of at most BLOCK_BYTES of text, each compiled and searched
-by its own pass over the batch, so a growing benchmark adds passes, not memory.
+The patterns are broadcast in blocks compiled from at most BLOCK_BYTES of benchmark text each. One pass over the documents
+searches all blocks, of which a task holds one at a time, so a growing benchmark adds time, not memory.
 
 Defined cases: null texts have no words; items of equal id count as one; items are named by their id as a string, null
 ids by "null"; repeated rows each give a row; empty documents or benchmarks give no hits.
@@ -20,7 +20,6 @@ ids by "null"; repeated rows each give a row; empty documents or benchmarks give
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, position_keys, steps, window_hashes
+from ._text import STEP_BYTES, Words, position_keys, ranges, steps, window_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Text searched at once if there are several blocks, so that a block is seldom loaded.
+PIECE_BYTES = 16 << 20
 #: Words that one cursor goes over.
 STRETCH = 256
 
@@ -50,31 +51,56 @@ def _blocks(h: np.ndarray, ends: np.ndarray, wide: int) -> np.ndarray:
     return window_hashes(h, ends - wide + 1, _BLOCK[:wide])
 
 
+def _same_words(a: Words, at: np.ndarray, b: Words, to: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words of a from each `at` are, byte for byte, those of b from each `to`."""
+    step = np.arange(m)
+    i, j = at[:, None] + step, to[:, None] + step
+    size = a.ends[i] - a.starts[i]
+    same = (size == b.ends[j] - b.starts[j]).all(1)
+    some = np.flatnonzero(same)
+    if not len(some):
+        return same
+    size = size[some].ravel()
+    differ = a.data[ranges(a.starts[i[some]].ravel(), size)] != b.data[ranges(b.starts[j[some]].ravel(), size)]
+    ends = np.cumsum(size.reshape(-1, m).sum(1))
+    total = np.concatenate([[0], np.cumsum(differ)])
+    same[some] = total[ends] == total[np.concatenate([[0], ends[:-1]])]
+    return same
+
+
 class PatternSet:
-    """Patterns of m words each."""
-
-    def __init__(self, m: int, found: dict[bytes, tuple[np.ndarray, list[str]]]):
-        self.m, self.wide = m, min(2, m)
-        self.texts = list(found)
-        self.items = [x[1] for x in found.values()]
-        h = np.concatenate([x[0] for x in found.values()])
-        n = len(found)
-        self.bits = max(10, math.ceil(math.log2(16 * n * m)))
-        self.shift = np.full(1 << self.bits, m - self.wide + 1, np.uint16)
-        first = np.arange(n) * m
-        for end in range(self.wide - 1, m):
-            np.minimum.at(self.shift, self.slot(_blocks(h, first + end, self.wide)), m - 1 - end)
+    """Patterns of m words each, from windows that begin at `first` (words of `words`, hashes h) and are of `item`s."""
+
+    def __init__(self, m: int, words: Words, h: np.ndarray, first: np.ndarray, item: np.ndarray):
+        self.m, self.wide, self.words = m, min(2, m), words
         whole = window_hashes(h, first, position_keys(m, 12))
         suffix = _blocks(h, first + m - 1, self.wide)
-        # the bucket of a suffix holds its patterns in order of their whole hash
         order = np.lexsort((whole, suffix))
-        self.suffix, self.whole, self.pattern = suffix[order], whole[order], order
+        whole, suffix, first, item = whole[order], suffix[order], first[order], item[order]
+        # equal windows are one pattern: those of a run of equal hashes that have the bytes of its first
+        new = np.ones(len(first), bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (suffix[1:] != suffix[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        new |= ~_same_words(words, first, words, first[head], m)
+        head = np.where(new, np.arange(len(first)), head)
+        pattern = (np.cumsum(new) - 1)[head]
+        pairs = np.unique(np.stack([pattern, item], axis=1), axis=0)
+        self.begin, self.item = np.searchsorted(pairs[:, 0], np.arange(new.sum() + 1)), pairs[:, 1]
+        # the bucket of a suffix holds its patterns in order of their whole hash
+        self.whole, self.first = whole[new], first[new]
+        self.suffix, self.bucket = np.unique(suffix[new], return_index=True)
+        self.bucket = np.append(self.bucket, len(self.first))
+        n = len(self.first)
+        self.bits = max(10, math.ceil(math.log2(16 * n * m)))
+        self.shift = np.full(1 << self.bits, m - self.wide + 1, np.uint16)
+        for end in range(self.wide - 1, m):
+            np.minimum.at(self.shift, self.slot(_blocks(h, self.first + end, self.wide)), m - 1 - end)
 
     def slot(self, block: np.ndarray) -> np.ndarray:
         return (block >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def search(self, words: Words, h: np.ndarray) -> list[tuple[int, int]]:
-        """(first word, pattern) of every occurrence."""
+    def search(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and pattern of every occurrence."""
         m, n = self.m, words.counts()
         docs = np.flatnonzero(n >= m)
         ends = n[docs] - m + 1  # possible last words of windows in each document
@@ -82,111 +108,115 @@ class PatternSet:
         piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         at = np.repeat(words.first[docs], pieces) + m - 1 + piece * STRETCH
         to = np.minimum(at + STRETCH, np.repeat(words.first[docs] + n[docs], pieces))
-        out: list[tuple[int, int]] = []
+        last, blocks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while len(at):
             block = _blocks(h, at, self.wide)
             move = self.shift[self.slot(block)].astype(np.int64)
             here = np.flatnonzero(move == 0)
             if len(here):
-                out += self.confirmed(words, h, at[here], block[here])
+                last.append(at[here])
+                blocks.append(block[here])
                 move[here] = 1
             at = at + move
             on = at < to
             at, to = at[on], to[on]
-        return out
-
-    def confirmed(self, words: Words, h: np.ndarray, last: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
-        lo, hi = np.searchsorted(self.suffix, block, "left"), np.searchsorted(self.suffix, block, "right")
-        some = hi > lo
-        last, lo, hi = last[some], lo[some], hi[some]
-        whole = window_hashes(h, last - self.m + 1, position_keys(self.m, 12))
-        out = []
-        for end, a, b, x in zip(last.tolist(), lo.tolist(), hi.tolist(), whole.tolist(), strict=True):
-            k = a + int(np.searchsorted(self.whole[a:b], np.uint64(x)))
-            if k < b and int(self.whole[k]) == x:
-                start = end - self.m + 1
-                text = b" ".join(words.data[s:e].tobytes() for s, e in zip(words.starts[start : end + 1].tolist(), words.ends[start : end + 1].tolist(), strict=True))
-                if text == self.texts[p := int(self.pattern[k])]:
-                    out.append((start, p))
-        return out
-
-
-def compiled(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[PatternSet]:
-    words = alnum_words(pa.array([t for _, t in items], pa.string()))
-    h = words.hashes()
-    sets: dict[int, dict[bytes, tuple[np.ndarray, list[str]]]] = defaultdict(dict)
-    for d, (item, _) in enumerate(items):
-        lo, hi = int(words.first[d]), int(words.first[d + 1])
-        m = min(window, hi - lo)
-        for s in range(lo, hi - m + 1) if m else ():
-            text = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.starts[s : s + m], words.ends[s : s + m], strict=True))
-            names = sets[m].setdefault(text, (h[s : s + m], []))[1]
-            if item not in names:
-                names.append(item)
-    return [PatternSet(m, found) for m, found in sorted(sets.items())]
-
-
-def _searched(patterns, text: str, last: bool):
+        return self.confirmed(words, h, np.concatenate(last), np.concatenate(blocks))
+
+    def confirmed(self, words: Words, h: np.ndarray, last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = np.minimum(np.searchsorted(self.suffix, block), len(self.suffix) - 1)
+        some = self.suffix[bucket] == block
+        start, bucket = last[some] - self.m + 1, bucket[some]
+        whole = window_hashes(h, start, position_keys(self.m, 12))
+        lo, stop = self.bucket[bucket], self.bucket[bucket + 1]
+        # the first pattern of each bucket whose hash isn't smaller, for all at once
+        hi = stop.copy()
+        while (on := lo < hi).any():
+            mid = (lo + hi) // 2
+            less = on & (self.whole[np.minimum(mid, len(self.whole) - 1)] < whole)
+            lo, hi = np.where(less, mid + 1, lo), np.where(on & ~less, mid, hi)
+        starts, patterns = [], []
+        while True:  # patterns of one hash stand side by side
+            on = (lo < stop) & (self.whole[np.minimum(lo, len(self.whole) - 1)] == whole)
+            start, lo, stop, whole = start[on], lo[on], stop[on], whole[on]
+            if not len(start):
+                break
+            same = _same_words(words, start, self.words, self.first[lo], self.m)
+            starts.append(start[same])
+            patterns.append(lo[same])
+            lo = lo + 1
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *starts]), np.concatenate([none, *patterns])
+
+
+def compiled(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[list[str], list[PatternSet]]:
+    """Names of items, and a pattern set for each length of windows."""
+    names = sorted({i for i, _ in items})
+    place = {x: k for k, x in enumerate(names)}
+    words = alnum_words(pa.array([t for _, t in items], pa.large_string()))
+    h, n = words.hashes(), words.counts()
+    item, m = np.array([place[i] for i, _ in items], np.int64), np.minimum(n, window)
+    sets = []
+    for size in np.unique(m[m > 0]).tolist():
+        own = np.flatnonzero(m == size)
+        many = n[own] - size + 1
+        sets.append(PatternSet(size, words, h, ranges(words.first[own], many), np.repeat(item[own], many)))
+    return names, sets
+
+
+def _searched(blocks: list, text: str):
+    """A row's own columns, then n_words, n_hit and items. blocks: broadcasts of compiled patterns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text):
+        for batch in steps(batches, text, STEP_BYTES if len(blocks) == 1 else PIECE_BYTES):
             words = alnum_words(batch.column(text))
             h = words.hashes()
-            n = len(batch)
-            spans: list[list[int]] = [list(x) for x in batch.column("_spans").to_pylist()]
-            names = [set(x) for x in batch.column("_items").to_pylist()]
-            for p in patterns.value:
-                for start, k in p.search(words, h):
-                    d = int(np.searchsorted(words.first, start, "right")) - 1
-                    spans[d] += [start - int(words.first[d]), p.m]
-                    names[d].update(p.items[k])
-            if not last:
-                keep = [batch.column(i) for i in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(spans, pa.list_(pa.int32())), pa.array([list(x) for x in names], pa.list_(pa.string()))], batch.schema.names)
-                continue
-            hit = np.zeros(n, np.int64)
-            for d in (d for d in range(n) if spans[d]):
-                edge = np.zeros(int(words.first[d + 1] - words.first[d]) + 1, np.int64)
-                pairs = np.array(spans[d]).reshape(-1, 2)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 0] + pairs[:, 1], -1)
-                hit[d] = int((np.cumsum(edge[:-1]) > 0).sum())
-            keep = [batch.column(i) for i, c in enumerate(batch.schema.names[:-2]) if c != text]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(words.counts().astype(np.int64)), pa.array(hit), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                [*(c for c in batch.schema.names[:-2] if c != text), "n_words", "n_hit", "items"],
-            )
+            edge = np.zeros(len(h) + 1, np.int32)
+            held: dict[int, set[str]] = {}
+            for shared in blocks:
+                names, sets = shared.value
+                for p in sets:
+                    start, pattern = p.search(words, h)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + p.m, -1)
+                    doc = np.searchsorted(words.first, start, "right") - 1
+                    many = p.begin[pattern + 1] - p.begin[pattern]
+                    found = np.unique(np.stack([np.repeat(doc, many), p.item[ranges(p.begin[pattern], many)]], axis=1), axis=0)
+                    for d, k in found.tolist():
+                        held.setdefault(d, set()).add(names[k])
+                if len(blocks) > 1:
+                    del names, sets, shared._value  # is read from the task's copy of the broadcast when asked for again
+            total = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+            hit = total[words.first[1:]] - total[words.first[:-1]]
+            rest = [c for c in batch.schema.names if c != text]
+            listed = pa.array([sorted(held.get(d, ())) for d in range(len(batch))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(words.counts().astype(np.int64)), pa.array(hit.astype(np.int64)), listed], [*rest, "n_words", "n_hit", "items"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items (ids of items with occurring windows, sorted); with
-    keep_text, also all of docs' columns, named c0, c1, ... in a struct-free row, for callers that go on with them."""
-    spark = docs.sparkSession
+def _with_hits(rows: DataFrame, benchmark: DataFrame, text: str, window: int, block_bytes: int) -> DataFrame:
+    """rows without `text`, with n_words, n_hit and items."""
+    spark = rows.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
     held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-held // block_bytes))
-    rows = docs if keep_text else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if keep_text:
-        rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    text = "_text" if keep_text else "text"
-    rows = rows.withColumns({"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        patterns = spark.sparkContext.broadcast(compiled([tuple(r) for r in part.collect()], window))
-        last = k == blocks - 1
-        if last:
-            fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (text, "_spans", "_items")]
-            schema = ", ".join([*fields, "n_words long", "n_hit long", "items array<string>"])
-        else:
-            schema = rows.schema
-        rows = rows.mapInArrow(_searched(patterns, text, last), schema)
-    return rows
+    count = max(1, -(-held // block_bytes))
+    blocks = []
+    for k in range(count):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else items
+        blocks.append(spark.sparkContext.broadcast(compiled([tuple(r) for r in part.collect()], window)))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text]
+    return rows.mapInArrow(_searched(blocks, text), ", ".join([*fields, "n_words long", "n_hit long", "items array<string>"]))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, items (ids of items with occurring windows, sorted)."""
+    return _with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, "text", window, block_bytes)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, with their columns."""
-    clean = find_contamination(docs, benchmark, window, keep_text=True).filter("n_hit = 0")
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    clean = _with_hits(rows, benchmark, "_text", window, BLOCK_BYTES).filter("n_hit = 0")
     return clean.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
