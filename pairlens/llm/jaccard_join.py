@@ -7,19 +7,27 @@ if the Jaccard similarity of their sets is at least `least`; linked nodes are of
 A repetition begins with one token of each set, sampled by a minimum hash; nodes that share it form a bucket. A bucket of
 more than SPLIT nodes is split again by BRANCH sampled tokens, so that each node goes on along BRANCH longer paths, up
 to DEPTH tokens or until a token splits off no half of its bucket. A pair of similarity s shares the first token with
-probability s, and each further level with 1 - (1 - s) ** BRANCH; with 8 repetitions that is a recall of 1 - 3e-6 at
-0.8 for buckets that need no split, and above 0.999 through all levels. Buckets of equal members are compared once.
-What cannot be split is a group of near copies: such buckets, over all repetitions, are united where they overlap, and
-each union is compared in tiles of bounded size, every tile with every other, so no bucket is capped. A bucket or a pair
-of tiles is compared exactly, on the sets themselves, by products of presence matrices; it gives numbers of links and
-the edges of a spanning star, never pairs. A pair that shares several buckets counts in the first of them only.
+probability s, and each further level with 1 - (1 - s) ** BRANCH; there are as many repetitions as it takes for a pair of
+similarity `least` to meet with probability `recall` even if every bucket is split to the last level (8 for 0.8 and 0.9999).
+Buckets of equal members are compared once. A bucket is compared exactly, on the sets themselves, by products of presence
+matrices; it gives numbers of links and the edges of a spanning star, never pairs. A pair that shares several buckets counts
+in the first of them only.
+
+What cannot be split is a group of near copies: such buckets, over all repetitions, are united where they overlap. In a union
+of more nodes than one task compares, each set is sent once and compared with one of them (the base): its size and its
+overlap with the base are its profile. Two profiles often decide at once for all pairs of their nodes, since two sets have at
+least overlap + overlap - |base| and at most the smaller overlap and the smaller remainder in common; such links are counted
+by numbers of nodes. Only nodes whose profile leaves a pair open are dealt to tiles of bounded size, every tile with every
+other, and only open pairs count there. So nothing is capped, and the work grows with the square of what is open.
 
 Defined cases: a null text or one without words has no set and is its own class; null ids come after all others;
-repeated rows and copies are of one class and no link; an empty table gives an empty one.
+repeated rows and copies are of one class and no link; an empty table gives an empty one; one_of_each_class keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LAST_ID, free_shuffles, id_order, stored
+from ._shared import LAST_ID, id_order, joined_spread, mark, release, stored, unused
 from ._text import mixed, position_keys, steps, window_hashes
 from .decontamination import alnum_words
 from .graph import connected_components
 
-WORDS, LEAST = 5, 0.8
-REPETITIONS, TOKENS = 8, 20
+WORDS, LEAST, RECALL = 5, 0.8, 0.9999
 SPLIT, BRANCH, DEPTH = 256, 2, 4
-#: Nodes and shingles in one tile.
-TILE, TILE_SHINGLES = 2048, 1 << 20
+#: Sampled tokens for the levels after the first.
+LATER = 12
+#: Nodes and shingles in one tile; profiles of a union that are decided pair by pair.
+TILE, TILE_SHINGLES, PROFILES = 2048, 1 << 20, 4096
+
+
+def repetitions(least: float, recall: float) -> int:
+    one = least * (1 - (1 - least) ** BRANCH) ** (DEPTH - 1)
+    return 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +77,8 @@ def _digests(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[ends[1:]] - s[ends[:-1]] for s in sums], axis=1)
 
 
-def _nodes(words: int):
-    keys = position_keys(TOKENS, 22)
+def _nodes(words: int, tokens: int):
+    keys = position_keys(tokens, 22)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -72,45 +86,120 @@ def _nodes(words: int):
             size = np.diff(ends)
             some = np.flatnonzero(size)
             node = _digests(flat, ends)
-            least = np.stack([np.minimum.reduceat(mixed(flat * k + (k >> np.uint64(7))), ends[:-1][some]) for k in keys], axis=1) if len(some) else np.zeros((0, TOKENS), np.uint64)
+            least = np.stack([np.minimum.reduceat(mixed(flat * k + (k >> np.uint64(7))), ends[:-1][some]) for k in keys], axis=1) if len(some) else np.zeros((0, tokens), np.uint64)
             names = [node[d].tobytes() if size[d] else None for d in range(len(size))]
-            sig: list = [None] * len(size)
-            for d, row in zip(some.tolist(), least.view(np.int64).tolist(), strict=True):
-                sig[d] = row
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("th"), pa.array(names, pa.binary()), pa.array(size), pa.array(sig, pa.list_(pa.int64()))], ["_id", "th", "node", "n", "sig"]
-            )
+            begin = np.concatenate([[0], np.cumsum(size > 0)]).astype(np.int32) * tokens
+            sig = pa.ListArray.from_arrays(pa.array(begin), pa.array(least.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("th"), pa.array(names, pa.binary()), pa.array(size), sig], ["_id", "th", "node", "n", "sig"])
 
     return run
 
 
-def _sets(words: int):
-    """The sets of the nodes, once for every bucket (pair of tiles) that compares them."""
+def _held_sets(words: int, rows_of):
+    """For each text of a node, the rows that rows_of(its buckets) asks for, with its set. Columns: those of rows_of, node, held, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             flat, ends = shingle_sets(batch.column("text"), words)
             node = _digests(flat, ends)
             for d, (name, buckets) in enumerate(zip(batch.column("node").to_pylist(), batch.column("buckets").to_pylist(), strict=True)):
-                if node[d].tobytes() != name:  # another text under the same id
+                if node[d].tobytes() != name:  # another text of the same id and digest
                     continue
                 held = flat[ends[d] : ends[d + 1]].tobytes()
-                rows, ids = [], sorted(x["bucket"] for x in buckets)
-                for x in buckets:
-                    own = x["tile"]
-                    rows += [(x["bucket"], min(own, t), max(own, t), own) for t in range(x["tiles"])]
+                rows, ids = rows_of(buckets), sorted(x["bucket"] for x in buckets)
                 most = max(1, min(64, (8 << 20) // max(1, len(held))))  # copies of a long set in one batch
                 for lo in range(0, len(rows), most):
                     part = rows[lo : lo + most]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))), pa.array([name] * len(part), pa.binary()), pa.array([held] * len(part), pa.binary()), pa.array([ids] * len(part), pa.list_(pa.int64()))],
-                        ["bucket", "ti", "tj", "own", "node", "held", "ids"],
-                    )
+                    own = [pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), *[pa.int32()] * 5))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(part), pa.binary()), pa.array([held] * len(part), pa.binary()), pa.array([ids] * len(part), pa.list_(pa.int64()))], SET_NAMES)
+
+    return run
+
+
+SET_NAMES = ["bucket", "ti", "tj", "own", "c", "bn", "node", "held", "ids"]
+SETS = "bucket long, ti int, tj int, own int, c int, bn int, node binary, held binary, ids array<long>"
+
+
+def _in_tiles(buckets: list[dict]) -> list[tuple]:
+    """A row for each pair of tiles that the node takes part in."""
+    return [(x["bucket"], min(x["tile"], t), max(x["tile"], t), x["tile"], x["c"], x["bn"]) for x in buckets for t in range(x["tiles"])]
+
+
+def _beside_base(buckets: list[dict]) -> list[tuple]:
+    """A row for the node's own tile; the base (own: 0) goes to every tile."""
+    rows = []
+    for x in buckets:
+        rows += [(x["bucket"], t, 0, 0, -1, -1) for t in range(x["tiles"])] if x["is_base"] else []
+        rows.append((x["bucket"], x["tile"], 0, 1, -1, -1))
+    return rows
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and tile, the base first. Size, overlap with the base and the base's size for each node."""
+    base = np.zeros(0, np.uint64)
+    for batch in batches:
+        out: list[tuple] = []
+        for bucket, own, node, held in zip(*(batch.column(c).to_pylist() for c in ("bucket", "own", "node", "held")), strict=True):
+            x = np.frombuffer(held, np.uint64)
+            if own == 0:
+                base = x
+            else:
+                at = np.minimum(np.searchsorted(base, x), len(base) - 1)
+                out.append((bucket, node, len(x), int((base[at] == x).sum()), len(base)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()))], ["bucket", "node", "n", "c", "bn"])
+
+
+def _reached(common, total, least: float):
+    """Whether sets of `total` members together have the similarity `least`, `common` of them being shared."""
+    return common >= least * (total - common) - 1e-4
+
+
+def _bounds(n: np.ndarray, c: np.ndarray, n2: np.ndarray, c2: np.ndarray, bn, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of profiles: whether their sets are linked for certain, and whether they may be."""
+    total = n[:, None] + n2
+    low = np.maximum(c[:, None] + c2 - bn, 0)
+    high = np.minimum(c[:, None], c2) + np.minimum((n - c)[:, None], n2 - c2)
+    return _reached(low, total, least), _reached(high, total, least)
+
+
+def _decided(least: float):
+    """For each profile of a union: links that are certain, a node of their component, and whether a pair is left open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, bn, rows in zip(*(batch.column(x).to_pylist() for x in ("bucket", "bn", "profiles")), strict=True):
+                n, c, k = (np.array([r[x] for r in rows], np.int64) for x in ("n", "c", "k"))
+                p = len(rows)
+                links, label, still = np.zeros(p, np.int64), np.arange(p), np.ones(p, bool)
+                if p <= PROFILES:
+                    sure, may = np.zeros((p, p), bool), np.zeros((p, p), bool)
+                    for lo in range(0, p, 256):
+                        hi = min(p, lo + 256)
+                        sure[lo:hi], may[lo:hi] = _bounds(n[lo:hi], c[lo:hi], n, c, bn, least)
+                    links = sure @ k - np.diag(sure)
+                    still = may & ~sure
+                    still[np.arange(p), np.arange(p)] &= k > 1
+                    still = still.any(1)
+                    label = _components(sure)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(p, bucket)), *(pa.array(x.astype(np.int32)) for x in (n, c)), pa.array(links), pa.array([rows[int(x)]["rep"] for x in label], pa.binary()), pa.array(still), pa.array(np.full(p, p <= PROFILES))],
+                    ["bucket", "n", "c", "links", "root", "still", "bounded"],
+                )
 
     return run
 
 
-def _links(held: list[bytes], own: np.ndarray, ids: list[list[int]], key: tuple[int, int, int], least: float) -> np.ndarray:
+def _components(linked: np.ndarray) -> np.ndarray:
+    label = np.arange(len(linked))
+    while True:
+        near = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked)))
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
+def _links(held: list[bytes], own: np.ndarray, c: np.ndarray, bn: int, ids: list[list[int]], key: tuple[int, int, int], least: float) -> np.ndarray:
     """Boolean matrix of the pairs that count here."""
     bucket, ti, tj = key
     size = np.array([len(x) // 8 for x in held])
@@ -134,10 +223,15 @@ def _links(held: list[bytes], own: np.ndarray, ids: list[list[int]], key: tuple[
         x = np.zeros((g, min(wide, top - lo)), np.float32)
         x[owner[a:b], column[a:b] - lo] = 1
         both += x @ x.T
-    linked = both >= least * (size[:, None] + size[None, :] - both) - 1e-4
+    linked = _reached(both, size[:, None] + size[None, :], least)
     np.fill_diagonal(linked, False)
     if ti != tj:
         linked &= own[:, None] != own[None, :]
+    if (c >= 0).all():  # pairs that the profiles have decided are counted already
+        for lo in range(0, g, 256):
+            hi = min(g, lo + 256)
+            sure, may = _bounds(size[lo:hi], c[lo:hi], size, c, bn, least)
+            linked[lo:hi] &= may & ~sure
     lower: dict[int, list[int]] = {}
     for k, x in enumerate(ids):
         for i in x:
@@ -153,20 +247,15 @@ def _compared(least: float):
     """Rows sorted by bucket and tiles; one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, own, ids, nodes = None, [], [], [], []
+        names = ("held", "own", "c", "bn", "ids", "node")
+        key, group = None, {x: [] for x in names}
         out: list[tuple] = []
 
         def close():
+            nodes = group["node"]
             if len(nodes) > 1:
-                linked = _links(held, np.array(own), ids, key, least)
-                n = linked.sum(1)
-                label = np.arange(len(nodes))
-                while True:
-                    near = np.minimum(label, np.where(linked, label[None, :], len(nodes)).min(1))
-                    near = near[near]
-                    if (near == label).all():
-                        break
-                    label = near
+                linked = _links(group["held"], np.array(group["own"]), np.array(group["c"]), group["bn"][0], group["ids"], key, least)
+                n, label = linked.sum(1), _components(linked)
                 for k in np.flatnonzero(n).tolist():
                     out.append((nodes[k], nodes[int(label[k])], int(n[k])))
 
@@ -174,15 +263,13 @@ def _compared(least: float):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "ti", "tj", "own", "node", "held", "ids")]
-            for b, ti, tj, o, node, h, i in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "ti", "tj", *names)]
+            for b, ti, tj, *rest in zip(*cols, strict=True):
                 if (b, ti, tj) != key:
                     close()
-                    key, held, own, ids, nodes = (b, ti, tj), [], [], [], []
-                held.append(h)
-                own.append(o)
-                ids.append(i)
-                nodes.append(node)
+                    key, group = (b, ti, tj), {x: [] for x in names}
+                for x, value in zip(names, rest, strict=True):
+                    group[x].append(value)
             if len(out) > 5000:
                 yield table()
                 out.clear()
@@ -194,27 +281,28 @@ def _compared(least: float):
 
 def _sized(rows: DataFrame) -> DataFrame:
     """(path, node, ...) of paths with several nodes, with their number c."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1")
-    return rows.join(sizes, "path")
+    return joined_spread(rows, rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), "path", "c")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): the leaves of all chosen paths; negative buckets are unions of those that cannot be split."""
-    first = F.transform(F.slice("sig", 1, REPETITIONS), lambda x, i: F.xxhash64(i, x))
-    level = stored(_sized(nodes.select(F.explode(first).alias("path"), "node")), "paths")
+def _buckets(nodes: DataFrame, first: int) -> DataFrame:
+    """(bucket, node): the leaves of all chosen paths; negative buckets are unions of those that cannot be split. first: number of
+    first tokens in a node's signature; the others are those of further levels."""
+    begun = F.transform(F.slice("sig", 1, first), lambda x, i: F.xxhash64(i, x))
+    level = stored(_sized(nodes.select(F.explode(begun).alias("path"), "node")), "paths")
     leaves, dense = [level.filter(F.col("c") <= SPLIT).select("path", "node")], []
     parent = level.filter(F.col("c") > SPLIT)
+    each = LATER // BRANCH
     for depth in range(1, DEPTH):
         if parent.isEmpty():
             break
         further = parent.join(nodes.select("node", "sig"), "node")
         for k in range(BRANCH):
             # the path itself chooses the next tokens, the same for all its nodes
-            at = F.pmod(F.xxhash64("path", F.lit(k)), F.lit((TOKENS - REPETITIONS) // BRANCH)).cast("int") + REPETITIONS + k * ((TOKENS - REPETITIONS) // BRANCH)
+            at = F.pmod(F.xxhash64("path", F.lit(k)), F.lit(each)).cast("int") + first + k * each
             token = F.xxhash64("path", at, F.get("sig", at)).alias("path")
             step = further.select(token, "node", F.col("c").alias("above"))
             further_k = step if k == 0 else further_k.unionByName(step)
-        level = stored(_sized(further_k), "paths")
+        level = stored(_sized(stored(further_k, "further")), "paths")
         leaves.append(level.filter(F.col("c") <= SPLIT).select("path", "node"))
         stuck = (F.col("c") > SPLIT) & ((F.col("c") * 2 > F.col("above")) if depth < DEPTH - 1 else F.lit(True))
         dense.append(level.filter(stuck).select("path", "node"))
@@ -230,71 +318,105 @@ def _buckets(nodes: DataFrame) -> DataFrame:
         hard = dense[0]
         for x in dense[1:]:
             hard = hard.unionByName(x)
-        stars = hard.join(hard.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b")
+        least = hard.groupBy("path").agg(F.min("node").alias("b"), F.count("*").alias("c"))
+        stars = joined_spread(hard, least, "path", "c").select(F.col("node").alias("a"), "b")
         united = connected_components(stars)
         found = found.unionByName(united.select((-F.shiftrightunsigned(F.xxhash64("root"), 1) - 1).alias("bucket"), "node"))
     return found
 
 
-def _joined(rows: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows: _id, text. Returns members (_id, th, node), classes (node, root) and links (node, n_links); the last two of
-    linked nodes only."""
-    spark = rows.sparkSession
-    members = stored(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_nodes(words), "_id long, th long, node binary, n long, sig array<long>"), "members")
-    nodes = stored(members.filter("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    buckets = _buckets(nodes).join(nodes.select("node", "n"), "node")
-    tiles = buckets.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    placed = buckets.join(tiles, "bucket").select("node", F.struct("bucket", "tiles", F.pmod(F.xxhash64("node", "bucket"), F.col("tiles")).cast("int").alias("tile")).alias("b"))
-    placed = placed.groupBy("node").agg(F.collect_list("b").alias("buckets")).join(nodes.select("node", "_id"), "node")
-    placed = stored(placed, "buckets")
-    free_shuffles(spark)
-    sets = rows.join(placed, "_id").select("text", "node", "buckets").mapInArrow(_sets(words), "bucket long, ti int, tj int, own int, node binary, held binary, ids array<long>")
-    # several rows may have one id and text
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, n, ...) with the number of tiles of their bucket, their own tile, and the bucket's least node."""
+    tiles = F.greatest(F.lit(1), F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    sizes = rows.groupBy("bucket").agg(tiles.alias("tiles"), F.count("*").alias("many"), F.min("node").alias("base"))
+    return joined_spread(rows, sizes, "bucket", "many").withColumn("tile", F.pmod(F.xxhash64("node", "bucket"), F.col("tiles")).cast("int"))
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, entries: DataFrame, words: int, rows_of) -> DataFrame:
+    """entries: node and what its bucket struct holds."""
+    packed = entries.groupBy("node").agg(F.collect_list(F.struct(*(c for c in entries.columns if c != "node"))).alias("buckets"))
+    placed = packed.join(nodes.select("node", "m._id", "m.th"), "node")
+    return texts.join(placed, ["_id", "th"]).select("text", "node", "buckets").mapInArrow(_held_sets(words, rows_of), SETS)
+
+
+def _by_profile(texts: DataFrame, nodes: DataFrame, large: DataFrame, words: int, least: float) -> DataFrame:
+    """large: _tiled rows of unions of several tiles. (bucket, node, n, c, bn, links, root, still): links that the profiles decide."""
+    entries = large.select("node", "bucket", "tiles", "tile", (F.col("node") == F.col("base")).alias("is_base"))
+    sets = _sets_of(texts, nodes, entries, words, _beside_base).repartition("bucket", "ti").sortWithinPartitions("bucket", "ti", "own")
+    found = stored(sets.mapInArrow(_profiled, "bucket long, node binary, n int, c int, bn int"), "profiles")
+    counts = found.groupBy("bucket", "n", "c").agg(F.count("*").alias("k"), F.min("node").alias("rep"), F.first("bn").alias("bn"))
+    unions = counts.groupBy("bucket").agg(F.first("bn").alias("bn"), F.collect_list(F.struct("n", "c", "k", "rep")).alias("profiles"))
+    decided = unions.mapInArrow(_decided(least), "bucket long, n int, c int, links long, root binary, still boolean, bounded boolean")
+    key = F.struct("bucket", "n", "c").alias("key")
+    facts = decided.select(key, "links", "root", "still", "bounded").join(counts.select(key, "k"), "key")
+    rows = joined_spread(found.select("*", key), facts, "key", "k")
+    # of a union with too many profiles nothing is decided
+    return stored(rows.select("bucket", "node", "n", F.when(F.col("bounded"), F.col("c")).otherwise(-1).alias("c"), "bn", "links", "root", "still"), "decided")
+
+
+def _joined(rows: DataFrame, words: int, least: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: _id, text. Returns members (_id, th, node), nodes (node, m: its smallest row, c: its rows, root: of its class, null
+    if it has no link) and links (node, n_links), of linked nodes only."""
+    spark, since = rows.sparkSession, mark()
+    first = repetitions(least, recall)
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    members = stored(rows.mapInArrow(_nodes(words, first + LATER), "_id long, th long, node binary, n long, sig array<long>"), "members")
+    nodes = stored(members.filter("node is not null").groupBy("node").agg(F.min(F.struct("_id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c")), "nodes")
+    buckets = stored(_buckets(nodes, first).join(nodes.select("node", "n"), "node"), "buckets")
+    release(spark, since, members, nodes, buckets)
+    tiled = stored(_tiled(buckets), "tiled")
+    # one row for each text of an id; repeated rows meet where they are first
+    texts = rows.groupBy("_id", "th").agg(F.first("text").alias("text"))
+    entries = tiled.filter("tiles = 1").select("node", "bucket", "tiles", "tile", F.lit(-1).alias("c"), F.lit(-1).alias("bn"))
+    sure = None
+    large = tiled.filter("tiles > 1")
+    if not large.isEmpty():
+        profiles = _by_profile(texts, nodes, large, words, least)
+        sure = profiles.filter("links > 0").select(F.col("node").alias("a"), F.col("root").alias("b"), F.col("links").alias("n"))
+        still = _tiled(profiles.filter("still").select("bucket", "node", "n", "c", "bn")).select("node", "bucket", "tiles", "tile", "c", "bn")
+        # nodes of which all pairs are decided still say that they share the bucket
+        done = profiles.filter("not still").select("node", "bucket", F.lit(0).alias("tiles"), F.lit(0).alias("tile"), "c", "bn")
+        entries = entries.unionByName(still).unionByName(done)
+    sets = _sets_of(texts, nodes, entries, words, _in_tiles)
     sets = sets.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj", "node")
-    found = stored(sets.mapInArrow(_distinct, sets.schema).mapInArrow(_compared(least), "a binary, b binary, n long"), "links")
-    free_shuffles(spark)
+    found = sets.mapInArrow(_compared(least), "a binary, b binary, n long")
+    found = stored(found if sure is None else found.unionByName(sure), "links")
+    release(spark, since, members, nodes, found)
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    return members.select("_id", "th", "node"), connected_components(found), links
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
-    for batch in batches:
-        keep = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ti", "tj", "node")), strict=True):
-            keep.append(row != last)
-            last = row
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    return members.select("_id", "th", "node"), nodes.select("node", "m", "c").join(connected_components(found), "node", "left"), links
 
 
-def _classes(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, class): class is the smallest (_id, th) of the class."""
-    nodes = members.filter("node is not null").groupBy("node").agg(F.min(F.struct("_id", "th")).alias("m"))
-    nodes = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return nodes.join(nodes.groupBy("root").agg(F.min("m").alias("class")), "root").select("node", "class")
+def _classes(nodes: DataFrame) -> DataFrame:
+    """(node, c, class): class is the smallest (_id, th) of the class."""
+    linked = nodes.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("m").alias("class"), F.count("*").alias("many"))
+    found = joined_spread(linked.select("root", "node", "c"), least, "root", "many").select("node", "c", "class")
+    return found.unionByName(nodes.filter("root is null").select("node", "c", F.col("m").alias("class")))
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, class_id (the smallest doc_id of its class), n_links (other texts linked to
-    it)."""
-    members, classes, links = _joined(docs.select(id_order().alias("_id"), F.col("text").cast("string").alias("text")), words, least)
-    out = members.join(_classes(members, classes), "node", "left").join(links, "node", "left")
-    own = F.when(F.col("_id") != LAST_ID, F.col("_id"))
-    of = F.when(F.col("class").isNull(), own).when(F.col("class._id") != LAST_ID, F.col("class._id"))
-    return out.select(own.alias("doc_id"), of.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    it). recall: the chance of finding a pair of similarity `least`."""
+    members, nodes, links = _joined(docs.select(id_order().alias("_id"), F.col("text").cast("string").alias("text")), words, least, recall)
+    facts = _classes(nodes).join(links, "node", "left")
+    out = joined_spread(members.filter("node is not null"), facts, "node", "c").select("_id", F.col("class._id").alias("of"), "n_links")
+    out = out.unionByName(members.filter("node is null").select("_id", F.col("_id").alias("of"), F.lit(None).cast("long").alias("n_links")))
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return out.select(known("_id").alias("doc_id"), known("of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def one_of_each_class(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+def one_of_each_class(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """docs with one row of each class, that of the smallest id; rows without words all stay."""
-    given = docs.withColumns({"_pl_id": id_order(), "_pl_th": F.xxhash64(F.col("text").cast("string"))})
-    members, classes, _ = _joined(given.select(F.col("_pl_id").alias("_id"), F.col("text").cast("string").alias("text")), words, least)
-    kept = _classes(members, classes).select(F.col("class._id").alias("_pl_id"), F.col("class.th").alias("_pl_th")).distinct()
-    bare = members.filter("node is null").select(F.col("_id").alias("_pl_id"), F.col("th").alias("_pl_th")).distinct().withColumn("_pl_bare", F.lit(True))
-    kept = kept.withColumn("_pl_bare", F.lit(False)).unionByName(bare)
-    out = given.join(kept, ["_pl_id", "_pl_th"])
+    names = docs.columns
+    own, th = unused(names, "id"), unused(names, "th")
+    text = F.col("text").cast("string")
+    given = docs.withColumns({own: id_order(), th: F.xxhash64(text)})
+    _, nodes, _ = _joined(given.select(F.col(own).alias("_id"), text.alias("text")), words, least, recall)
+    kept = _classes(nodes).select(F.col("class._id").alias(own), F.col("class.th").alias(th)).distinct()
+    worded = F.coalesce(F.rlike(text, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")), F.lit(False))
     # repeated rows: one stays, unless they have no words
-    alone = out.filter("not _pl_bare").dropDuplicates(["_pl_id", "_pl_th"])
-    return alone.unionByName(out.filter("_pl_bare")).select(*docs.columns)
+    alone = given.filter(worded).dropDuplicates([own, th]).join(kept, [own, th], "left_semi")
+    return alone.unionByName(given.filter(~worded)).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
