@@ -6,11 +6,14 @@ number of common features over the geometric mean of their numbers. Kernel ridge
 rest, is solved on Nyström landmarks. The landmark part of the solution folds into one matrix, so that a batch of texts is
 scored by one product of its presence matrix with it, divided by the norms.
 
-What is learned from: at most PER_LANGUAGE texts of each of at most LANGUAGES languages, chosen by a hash of the text (copies once);
-the rows' features are computed where the rows are, and BUCKETS / 8 bytes of each go to the driver.
+What is learned from, a bounded sample of the labelled rows: at most PER_LANGUAGE distinct texts of each language (fewer
+where there are so many languages that these would be more than SAMPLE in all), chosen by a hash of the text, copies once;
+the rows' features are computed where the rows are, and BUCKETS / 8 bytes of each go to the driver, 64 MB at most. Every
+language is learned; more than SAMPLE of them are an error. There are LANDMARKS landmarks, or four for each language.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is everything if nothing can be learned; a
-null doc_id counts as held out; repeated rows each give a row; an empty table gives an empty one.
+language that has no text with a letter isn't learned; a null doc_id counts as held out; repeated rows each give a row; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from ._text import steps, text_buffer
 
 BUCKETS, GRAMS = 1 << 15, 4
-PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 500, 256, 384, 1e-4
+PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 500, 16_384, 512, 1e-4
 NONE = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -70,38 +73,51 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     """Languages, and the matrix (BUCKETS x languages). labelled: text, lang."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     h = F.xxhash64("text")
-    # rows decide which languages are learned, distinct texts how large a part of a language is taken
-    copies = rows.groupBy("lang", h.alias("h")).count()
-    counts = copies.groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    # distinct texts decide how large a part of a language is taken
+    copies = rows.select("lang", h.alias("h")).distinct()
+    counts = copies.groupBy("lang").agg(F.count("*").alias("texts")).orderBy("lang").limit(SAMPLE + 1).collect()
     if not counts:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    part = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1 << 30, int(1.5 * per_language / r.texts * (1 << 30)) + 1))))
-    sample = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < part[F.col("lang")])
+    if len(counts) > SAMPLE:
+        raise ValueError(f"more than {SAMPLE} languages")
+    most = min(per_language, SAMPLE // len(counts))
+    # half as many again, for texts without letters
+    facts = labelled.sparkSession.createDataFrame([(r.lang, min(1 << 30, int(1.5 * most / r.texts * (1 << 30)) + 1)) for r in counts], "lang string, part long")
+    sample = rows.withColumn("h", h).join(F.broadcast(facts), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("part"))
     # copies of a text count once, however many there are
     sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    sample = sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * per_language)
+    sample = sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most)
     found = sample.mapInArrow(_featured, "lang string, h long, bits binary").collect()
     by: dict[str, dict[int, bytes]] = {r.lang: {} for r in counts}
     for r in found:
         by[r.lang][r.h % (1 << 62)] = bytes(r.bits)
-    chosen = [(lang, bits) for lang in sorted(by) for _, bits in sorted(by[lang].items())[:per_language]]
+    chosen = [(lang, bits) for lang in sorted(by) for _, bits in sorted(by[lang].items())[:most]]
     langs = sorted({lang for lang, _ in chosen})
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
+    at = {c: k for k, c in enumerate(langs)}
     bits = np.frombuffer(b"".join(b for _, b in chosen), np.uint8).reshape(len(chosen), -1)
+    return langs, ridge(bits, np.array([at[lang] for lang, _ in chosen]), len(langs))
+
+
+def ridge(bits: np.ndarray, label: np.ndarray, languages: int) -> np.ndarray:
+    """Weights (BUCKETS x languages) of packed presence rows, ordered by label."""
 
     def unit(rows: np.ndarray) -> np.ndarray:
         x = np.unpackbits(rows, axis=1).astype(np.float32)
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
-    at = np.unique(np.linspace(0, len(bits) - 1, min(LANDMARKS, len(bits))).astype(int))
-    near = unit(bits[at])
-    k = np.concatenate([unit(bits[lo : lo + 128]) @ near.T for lo in range(0, len(bits), 128)]).astype(np.float64)
+    at = np.unique(np.linspace(0, len(bits) - 1, min(max(LANDMARKS, 4 * languages), len(bits))).astype(int))
+    near = bits[at]
+    # all but bits in pieces, so that memory doesn't grow with the landmarks
+    cuts = [near[lo : lo + 128] for lo in range(0, len(near), 128)]
+    k = np.concatenate([np.concatenate([x @ unit(c).T for c in cuts], axis=1) for x in (unit(bits[lo : lo + 128]) for lo in range(0, len(bits), 128))]).astype(np.float64)
     g = k[at]
-    y = np.array([[float(lang == c) for c in langs] for lang, _ in chosen])
+    y = np.zeros((len(bits), languages))
+    y[np.arange(len(bits)), label] = 1
     alpha = np.linalg.solve(k.T @ k + RIDGE * len(bits) * g + 1e-6 * np.eye(len(at)), k.T @ y)
-    return langs, (near.T @ alpha).astype(np.float32)
+    return sum(unit(c).T @ alpha[lo : lo + 128] for lo, c in zip(range(0, len(near), 128), cuts, strict=True)).astype(np.float32)
 
 
 def _scored(model):
@@ -128,7 +144,7 @@ def _scored(model):
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs (with all its columns as c0, c1, ...), lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), "lang_pred string", "score double"])
     return rows.mapInArrow(_scored(shared), schema)
 
@@ -145,13 +161,19 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs without the rows that have no language (no text or no letter in it)."""
-    langs, weights = fit(docs.filter(~held_out()), per_language)
-    # if nothing can be learned, all texts with letters are of one language
+def with_language(docs: DataFrame, per_language: int = PER_LANGUAGE, least: float = 0.0) -> DataFrame:
+    """docs without the rows that have no language (no text, no letter in it, or a score below `least`). Where lang is null,
+    the predicted language takes its place; if there is no such column, or nothing to learn from, texts with letters stay as
+    they are."""
+    names = docs.columns
+    known = "lang" in names and "doc_id" in names
+    langs, weights = fit(docs.filter(~held_out()), per_language) if known else ([], None)
     model = (langs, weights) if langs else (["any"], np.zeros((BUCKETS, 1), np.float32))
-    out = predict(docs, model).filter(F.col("lang_pred") != NONE)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    out = predict(docs, model).filter((F.col("lang_pred") != NONE) & (F.col("score") >= least if langs else F.lit(True)))
+    kept = {c: F.col(f"c{i}") for i, c in enumerate(names)}
+    if langs:
+        kept["lang"] = F.coalesce(kept["lang"], F.col("lang_pred")).cast(docs.schema["lang"].dataType)
+    return out.select(*(x.alias(c) for c, x in kept.items()))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
