@@ -8,7 +8,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         substring_dedup.op1_substring_dedup, url_filter.op2_url_filters, jaccard_join.op3_ngram_jaccard_join, lang_id.op4_language_id, decontamination.op5_benchmark_decontamination,
-        token_count.op6_token_counts, sharding.op7_sharding, bpe_lexicon.op8_bpe_codec, warc.op9_warc_audit, knn_join.op10_topk_search,
+        token_count.op6_token_counts, sharding.op7_sharding, sharding.sharding_layout, bpe_lexicon.op8_bpe_codec, warc.op9_warc_audit, knn_join.op10_topk_search,
     )
 }
 

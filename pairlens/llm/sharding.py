@@ -2,30 +2,41 @@
 
 Arrivals are appended as shards: directories of Parquet files that never change. A compaction merges runs of at least
 `fan_in` shards of one size tier (sizes within a power of fan_in) into files of about target_bytes. A shard of
-target_bytes or more whose files are small is a run of its own; what is in files of about target_bytes is settled and left
-alone. No row is shuffled: a merge reads its run's files and writes them in fewer.
-A manifest lists the live shards of one version. It is written to a name of its own and then renamed to the
-version's name, which fails if another writer was first; then the change is planned again from the newer version. Readers
-of an older version keep their files until vacuum().
+target_bytes or more whose files are small, or far larger than target_bytes, is a run of its own; what is in files of about
+target_bytes is settled and left alone. No row is shuffled: a merge reads its run's files and writes them in fewer, or cuts
+them by numbers of records.
 
-All files are reached through Hadoop's file system, so the root may be in any store that Spark can write.
+A manifest lists the live shards of one version. It is written to a name of its own and then renamed to the version's name.
+The rename must fail if that name is there, or else two writers can both believe that they were first: SAFE names the file
+systems that keep this promise, and on any other a store must be opened with single_writer. A writer that wasn't first plans
+its change again from the newer version; a compaction whose run is gone by then plans its merges again. A commit checks that
+the files it adds are there. Readers of an older version keep their files until vacuum(), which only removes what is older
+than its grace period, so that a writer can finish what it has begun.
+
+All files are reached through Hadoop's file system.
 
 Defined cases: an empty arrival adds a shard without rows only if nothing else is there to give the schema; null and
-repeated rows are kept as they are; unused shards of a failed commit are removed by vacuum().
+repeated rows are kept as they are; no name of a column is reserved; unused shards of a failed commit are removed by vacuum().
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir
+from ..storage import scratch
+from ._shared import unused
 
 TARGET_BYTES, FAN_IN = 128 << 20, 4
+#: File systems whose rename is atomic and refuses a name that is taken.
+SAFE = ("file", "hdfs", "viewfs", "ofs", "o3fs", "abfs", "abfss")
+#: Seconds for which vacuum() leaves what no manifest lists.
+GRACE = 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -42,7 +53,7 @@ class ManifestConflict(Exception):
 
 def tiers(shards: list[Shard], fan_in: int, target: int) -> list[list[Shard]]:
     """Runs to merge: for each tier below the target, its shards if there are at least fan_in of them; and each larger
-    shard whose files have less than half the target on average."""
+    shard whose files have less than half the target on average, or more than twice."""
     by: dict[int, list[Shard]] = {}
     alone = []
     for s in sorted((s for s in shards if not s.settled), key=lambda s: (s.bytes, s.name)):
@@ -51,16 +62,18 @@ def tiers(shards: list[Shard], fan_in: int, target: int) -> list[list[Shard]]:
             while s.bytes > top:
                 tier, top = tier + 1, top * fan_in
             by.setdefault(tier, []).append(s)
-        elif s.bytes * 2 < s.files * target:
+        elif s.bytes * 2 < s.files * target or s.bytes > 2 * s.files * target:
             alone.append([s])
     return [run for _, run in sorted(by.items()) if len(run) >= fan_in] + alone
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, single_writer: bool = False):
         self.spark, self.root, self.target, self.fan_in = spark, root.rstrip("/"), target_bytes, fan_in
         self.jvm = spark._jvm
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not single_writer and self.fs.getUri().getScheme() not in SAFE:
+            raise ValueError(f"{self.fs.getUri().getScheme()} doesn't promise a rename that only one writer can win; open the store with single_writer")
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -94,6 +107,9 @@ class ShardStore:
             raise ManifestConflict(version)
 
     def _change(self, added: list[Shard], removed: list[Shard] = ()) -> int:
+        for s in added:
+            if s.files and not self._measured(s.name).files:
+                raise FileNotFoundError(f"{self.root}/{s.name}")
         while True:
             version = (self.versions() or [0])[-1]
             live = self.shards(version) if version else []
@@ -106,7 +122,8 @@ class ShardStore:
                 continue
 
     def _measured(self, name: str) -> Shard:
-        files = [s for s in self.fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().startswith("part-")]
+        at = self._path(f"{self.root}/{name}")
+        files = [s for s in (self.fs.listStatus(at) if self.fs.exists(at) else ()) if s.getPath().getName().startswith("part-")]
         return Shard(name, sum(s.getLen() for s in files), len(files))
 
     def append(self, rows: DataFrame, by: str | None = None) -> int:
@@ -128,11 +145,18 @@ class ShardStore:
         merges = 0
         while runs := tiers(self.shards(), self.fan_in, self.target):
             for run in runs:
-                held = sum(s.bytes for s in run)
-                name = f"shards/{uuid.uuid4().hex}"
-                self._read(run).coalesce(max(1, round(held / self.target))).write.parquet(f"{self.root}/{name}")
+                held, name = sum(s.bytes for s in run), f"shards/{uuid.uuid4().hex}"
+                files, rows = max(1, round(held / self.target)), self._read(run)
+                if files <= sum(s.files for s in run):
+                    rows.coalesce(files).write.parquet(f"{self.root}/{name}")
+                else:  # files that are too large are cut
+                    rows.write.option("maxRecordsPerFile", max(1, -(-rows.count() // files))).parquet(f"{self.root}/{name}")
                 new = self._measured(name)
-                self._change([replace(new, settled=new.files > 1 or new.bytes * 2 > self.target)], run)
+                try:
+                    self._change([replace(new, settled=new.files > 1 or new.bytes * 2 > self.target)], run)
+                except ManifestConflict:  # another writer has merged the run: what is live now is planned anew
+                    self.fs.delete(self._path(f"{self.root}/{name}"), True)
+                    break
                 merges += 1
         return merges
 
@@ -142,31 +166,57 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.shards(version))
 
-    def vacuum(self) -> int:
-        """Removes shards that the last version doesn't list, and older manifests; returns how many shards."""
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Removes shards that the last version doesn't list, and older manifests, if they are older than `grace` seconds;
+        returns how many shards."""
+        until = (time.time() - grace) * 1000
         live, gone = {s.name for s in self.shards()}, 0
-        for run in self.fs.listStatus(self._path(f"{self.root}/shards")):
+        old = lambda at: self.fs.getFileStatus(at).getModificationTime() <= until
+        top = self._path(f"{self.root}/shards")
+        for run in self.fs.listStatus(top) if self.fs.exists(top) else ():
             name = f"shards/{run.getPath().getName()}"
-            parts = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory()]
+            parts = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory() and p.getPath().getName()[0] not in "_."]
             for x in parts or [name]:
-                if x not in live:
+                if x not in live and old(self._path(f"{self.root}/{x}")):
                     self.fs.delete(self._path(f"{self.root}/{x}"), True)
                     gone += 1
-            if parts and not any(p in live for p in parts):
+            if parts and not any(p in live for p in parts) and old(run.getPath()):
                 self.fs.delete(run.getPath(), True)
         for v in self.versions()[:-1]:
-            self.fs.delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
+            at = self._path(f"{self.root}/manifests/v{v:012d}.json")
+            if old(at):
+                self.fs.delete(at, False)
         return gone
 
 
-def op7_sharding(spark, sf_dir: str) -> DataFrame:
-    """Documents arrive in 16 shards and are compacted; what is read back: doc_id, n_bytes and text_sha256 (null for a null text)."""
+ARRIVALS = 16
+
+
+def _compacted(spark, sf_dir: str) -> tuple[ShardStore, int]:
+    """Documents that have arrived in ARRIVALS shards and were compacted; and how many shards there were before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(docs.withColumn("arrival", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(16))), by="arrival")
+    store = ShardStore(spark, scratch(spark, "shards"), single_writer=True)
+    arrival = unused(docs.columns, "arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(ARRIVALS))), by=arrival)
+    before = len(store.shards())
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # nobody else knows this store
+    return store, before
+
+
+def op7_sharding(spark, sf_dir: str) -> DataFrame:
+    """What is read back from the compacted store: doc_id, n_bytes and text_sha256 (null for a null text)."""
+    store, _ = _compacted(spark, sf_dir)
     return store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def sharding_layout(spark, sf_dir: str) -> DataFrame:
+    """The live shards of the compacted store, as its manifest has them: shard, bytes, files, settled, n_rows; and the number
+    of shards before. SQL has no notion of it."""
+    store, before = _compacted(spark, sf_dir)
+    rows = store.read().select(F.col("_metadata.file_path").alias("f")).groupBy(F.regexp_extract("f", r"(shards/.*)/[^/]*$", 1).alias("shard")).count().withColumnRenamed("count", "n_rows")
+    live = spark.createDataFrame([(s.name, s.bytes, s.files, s.settled, before) for s in store.shards()], "shard string, bytes long, files int, settled boolean, shards_before int")
+    return live.join(rows, "shard", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+
+
 OP7_SQL = "SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents"
