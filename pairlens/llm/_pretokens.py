@@ -1,8 +1,10 @@
 """Pre-tokens of whole Arrow batches, cut with numpy where the tokenizers library would cut them.
 
 The classes of characters (letter, number, other, white space) are asked of the library itself, once for each character
-that occurs. Texts that hold the string of an added token are left to the library as a whole, and for the lower-casing
-tokenizer also texts with characters that composition or lower-casing could change together with their neighbours.
+that occurs. Texts that hold the string of an added token are left to the library as a whole. For the lower-casing
+tokenizer a stretch between white space that has a character which composition or lower-casing could change together with
+its neighbours (marks, vowels of Hangul) is one odd word, spelled as it stands: no composition, case or pre-token reaches
+over white space, so the library gives the same ids for the stretch alone.
 """
 
 from __future__ import annotations
@@ -96,47 +98,65 @@ def _starts(codes: np.ndarray, kind: np.ndarray, doc_start: np.ndarray, attach:
     return start
 
 
+#: White space that nothing composes with.
+_WHITE = np.array([0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20], np.uint32)
+
+
+def _odd_stretches(codes: np.ndarray, kind: np.ndarray, doc_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters are in a stretch with one that is HARD, and where such stretches begin."""
+    white = np.isin(codes, _WHITE) & (kind == SPACE)
+    new = doc_start | white
+    new[1:] |= white[:-1]
+    stretch = np.cumsum(new) - 1
+    odd = np.zeros(int(stretch[-1]) + 1, bool)
+    odd[stretch[kind == HARD]] = True
+    inside = odd[stretch]
+    return inside, inside & new
+
+
 class PreTokens:
-    """words: all pre-tokens of the documents that are not hard, in order; first[d]:first[d + 1] are those of document d."""
+    """words: all pre-tokens of the documents that are not hard, in order; first[d]:first[d + 1] are those of document d;
+    odd: which of them are for the library to encode."""
 
     def __init__(self, texts: pa.Array, characters: Characters, special: list[str], attach: bool, fold: bool):
         hard = np.zeros(len(texts), bool)
         for s in special:
             hard |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
         data, offsets = text_buffer(texts)
-        if fold or hard.any():
-            hard = self._hard(data, offsets, hard, characters) if fold else hard
-            if hard.any():
-                keep = np.repeat(~hard, np.diff(offsets))
-                data = data[keep]
-                offsets = np.concatenate([[0], np.cumsum(np.where(hard, 0, np.diff(offsets)))])
+        if hard.any():
+            keep = np.repeat(~hard, np.diff(offsets))
+            data = data[keep]
+            offsets = np.concatenate([[0], np.cumsum(np.where(hard, 0, np.diff(offsets)))])
         self.hard = hard
         codes, at = _codes(data, offsets)
         characters.learn(codes)
         kind = characters.kind[codes]
-        if fold:
-            codes = characters.lower[codes]
         doc_start = np.zeros(len(codes) + 1, bool)
         doc_start[at[:-1]] = True
-        start = _starts(codes, kind, doc_start[:-1], attach, single_numbers=fold) if len(codes) else np.zeros(0, bool)
+        doc_start = doc_start[:-1]
+        odd = np.zeros(len(codes), bool)
+        if fold:
+            lower = characters.lower[codes]
+            if (kind == HARD).any():
+                odd, begins = _odd_stretches(codes, kind, doc_start)
+                lower = np.where(odd, codes, lower)
+                kind = np.where(odd, LETTER, kind)
+            codes = lower
+        start = _starts(codes, kind, doc_start, attach, single_numbers=fold) if len(codes) else np.zeros(0, bool)
+        if odd.any():
+            start[odd] = begins[odd]
         if fold:
             solid = kind != SPACE
             at = np.concatenate([[0], np.cumsum(solid)])[at]
-            codes, start = codes[solid], start[solid]
+            codes, start, odd = codes[solid], start[solid], odd[solid]
             data = np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8)
         where = np.flatnonzero(start)
+        self.odd = odd[where]
         self.first = np.searchsorted(where, at)
         byte = np.flatnonzero((data & 0xC0) != 0x80)
         ends = np.append(byte[where], len(data)).astype(np.int64)
         self.words = pa.Array.from_buffers(pa.large_string(), len(where), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
-    @staticmethod
-    def _hard(data, offsets, hard, characters):
-        codes, at = _codes(data, offsets)
-        characters.learn(codes)
-        bad = np.concatenate([[0], np.cumsum(characters.kind[codes] == HARD)])
-        return hard | (np.diff(bad[at]) > 0)
-
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points, and the offsets in code points."""

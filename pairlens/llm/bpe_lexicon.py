@@ -3,13 +3,18 @@
 The words (pre-tokens) of all documents are counted; the LEXICON most frequent are encoded once and compiled into a
 minimal acyclic transducer: words share prefixes and suffixes, and the numbers on the arcs of a word's path add up to
 its place in the lexicon, which leads to its ids. The transducer is one flat buffer, broadcast; each Python worker puts
-it into a file of its own, unlinked at once, and maps it. All distinct words of a batch walk the transducer in lockstep;
-words that it lacks are merged exactly, pair by pair in rank order. LEXICON bounds the driver's and the workers' part.
+it into a private file, unlinked at once, and maps it (2 MB or so: executors share no folder for scratch files that could
+hold one copy for all). All distinct words of a batch walk the transducer in lockstep; words that it lacks are merged
+exactly, pair by pair in rank order. LEXICON bounds the driver's and the workers' part.
+
+Stretches between white space with characters that compose or fold together with their neighbours (marks of Arabic, Hebrew,
+Hindi or Thai, decomposed letters) are words like all others in the lexicon; those that it lacks are encoded by the library,
+each distinct one once for a batch.
 
 Decoding joins the tokens' strings as the library does for a file without a decoder.
 
-Defined cases: a null text is empty, has no ids and decodes to an empty text; repeated rows each give a row; texts with
-strings of added tokens or characters that compose with others go through the library as a whole.
+Defined cases: a null text is empty, has no ids and decodes to an empty text; repeated rows each give a row; texts
+with strings of added tokens go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._merges import Merger
-from ._pretokens import Characters, PreTokens, load_tokenizer
+from ._pretokens import HARD, Characters, PreTokens, load_tokenizer
 from ._shared import stored
 from ._text import ranges, steps
 
@@ -175,12 +180,25 @@ def most_frequent(counts: DataFrame, size: int) -> DataFrame:
 
 
 def compile_lexicon(words: list[str], path: str) -> Transducer:
-    merger = Merger(path)
+    tokenizer, _, characters, merger = _tools(path)
     spelled = sorted({w.encode() for w in words})
-    flat, count = merger.encode(pa.array([w.decode() for w in spelled], pa.string()))
-    ends = np.concatenate([[0], np.cumsum(count)]).tolist()
-    flat = flat.tolist()
-    return Transducer.build(spelled, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    texts = pa.array([w.decode() for w in spelled], pa.large_string())
+    odd = np.zeros(len(texts), bool)
+    if len(texts):
+        codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+        characters.learn(codes)
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy())
+        odd = np.diff(np.concatenate([[0], np.cumsum(characters.kind[codes] == HARD)])[np.concatenate([[0], ends])]) > 0
+    ids = _ids_of(texts, odd, tokenizer, merger)
+    return Transducer.build(spelled, [x.tolist() for x in ids])
+
+
+def _ids_of(words: pa.Array, odd: np.ndarray, tokenizer, merger: Merger) -> list[np.ndarray]:
+    """The ids of each word: by the library where it is odd, else merged."""
+    flat, count = merger.encode(words.filter(pa.array(~odd)))
+    merged = iter(np.split(flat, np.cumsum(count)[:-1])) if len(count) else iter(())
+    asked = iter(tokenizer.encode(w, add_special_tokens=False).ids for w in words.filter(pa.array(odd)).to_pylist())
+    return [np.array(next(asked), np.int64) if x else next(merged) for x in odd.tolist()]
 
 
 def _encoded(path: str, packed, text: str, decode: bool):
@@ -192,7 +210,9 @@ def _encoded(path: str, packed, text: str, decode: bool):
             pre = PreTokens(batch.column(text), characters, special, attach=False, fold=True)
             coded = pre.words.dictionary_encode()
             index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-            begin, count, ids = _word_ids(words, lexicon, merger)
+            odd = np.zeros(len(words), bool)
+            odd[index[pre.odd]] = True
+            begin, count, ids = _word_ids(words, odd, lexicon, tokenizer, merger)
             size = count[index]
             flat = ids[ranges(begin[index], size)]
             ends = np.concatenate([[0], np.cumsum(size)])[pre.first]
@@ -213,14 +233,19 @@ def _encoded(path: str, packed, text: str, decode: bool):
     return run
 
 
-def _word_ids(words: pa.Array, lexicon: Transducer, merger: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_ids(words: pa.Array, odd: np.ndarray, lexicon: Transducer, tokenizer, merger: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """begin, count and ids, so that word k has ids[begin[k]:begin[k] + count[k]]."""
     ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
     raw = words.buffers()[2] if len(words) else None
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     place = lexicon.find(data, ends)
-    unseen = np.flatnonzero(place < 0)
+    strange = np.flatnonzero((place < 0) & odd)
+    unseen = np.flatnonzero((place < 0) & ~odd)
     merged, size = merger.encode(words.take(pa.array(unseen)))
+    if len(strange):
+        asked = [tokenizer.encode(w, add_special_tokens=False).ids for w in words.take(pa.array(strange)).to_pylist()]
+        unseen, size = np.concatenate([unseen, strange]), np.concatenate([size, [len(x) for x in asked]]).astype(np.int64)
+        merged = np.concatenate([merged, np.array([i for x in asked for i in x], merged.dtype)])
     begin, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     seen = place >= 0
     begin[seen] = lexicon.begin[place[seen]]
@@ -266,9 +291,9 @@ def decode_ids(frame: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def with_ids(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
     """docs with all its columns, token_ids array<int> and n_tokens long (of such names, the older columns go)."""
-    own = [c for c in docs.columns if c not in ("token_ids", "n_tokens")]
+    own = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")]
     lexicon = compile_lexicon(frequent_words(docs, path, size), path)
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(own)))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
     out = encode_texts(rows, path, lexicon, text="_text")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)), F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"))
 
