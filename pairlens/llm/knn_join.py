@@ -1,25 +1,33 @@
 """Exact top-k inner products by a Voronoi join.
 
-Components become floor(64 * x). Pivots are a bounded sample of the vectors; queries are grouped by their nearest pivot.
-For a query q of the group of pivot p, within distance R of it, and any vector x,
+Components become floor(64 * x). About sqrt(n) pivots, a bounded sample of the vectors, divide queries and data into cells
+by the nearest pivot. With p the unit vector of a cell's pivot, a vector x is a = x.p along it and r = |x - a p| beside it, so
 
-    p.x - R|x| <= q.x <= p.x + R|x|,
+    q.x <= a(q) a(x) + r(q) r(x),
 
-so the (k+1)-th largest lower bound over all vectors is a score that every query of the group reaches with k others than
-itself (the threshold of the group). Vectors are grouped by pivots, too: from the summary of a group (pivot, radius) and
-that of a query group follows whether any of its members can reach the threshold; the members of those groups are tested
-by their own bound, and only vectors that pass are sent to the query group. Query groups are cut into blocks and their
-vectors into parts, so that no task holds more than a block and a part; each task multiplies its block and part, and the
-best k of each query's parts are ranked.
+and the summary of a cell's queries (the range of a(q), the largest r(q)) bounds their scores with x.
 
-Defined cases: null vectors or ids, empty vectors, and vectors with null or non-finite components take no part; of rows
-that share an id the smallest vector counts; a vector of another dimension than the query's is no candidate; components
-beyond 63 bits are held at the limit.
+1. Thresholds. Each query meets up to WITNESSES vectors of its cell, and of its neighbours where the cell holds too few. The
+   k-th best score among them is one that the query reaches; the least of a cell's queries is the threshold of the cell.
+2. Pairs of cells whose balls (pivot and radius) can't reach the threshold are left out as a whole; of the other cells
+   only the vectors whose own bound reaches the threshold of one of a group's cells are sent to that group. Neighbouring
+   cells of queries are one group, up to BLOCK queries, as each group may need its own copy of a vector.
+3. A group's vectors are dealt to as many parts as its cells' sizes call for; a task multiplies a block of queries with a
+   part, and the best k of each query's parts are ranked.
+
+How much is left out depends on the data: clustered vectors go to few groups; where all directions are alike (random
+vectors of many dimensions) no bound of this kind excludes much, and a vector goes to nearly every group.
+
+Defined cases: null vectors or ids, empty vectors, and vectors with null or non-finite components take no part; every other
+row is a candidate of all others, and a query if its id is, also where rows share an id; ties go to the smaller id; a vector
+of another dimension than the query's is no candidate; components beyond 63 bits are held at the limit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +37,13 @@ from pyspark.sql import functions as F
 from ._shared import stored
 
 K, EVERY = 20, 20
-#: Queries for one pivot, pivots, queries in one block, components in one part.
-PER_PIVOT, PIVOTS, BLOCK, PART = 1024, (4, 256), 4096, 1 << 22
+#: Least and most pivots, vectors of a cell that queries meet first, queries in one block.
+PIVOTS, WITNESSES, BLOCK = (4, 1024), 256, 4096
+#: Components in one part: a sixty-fourth of all, within these limits.
+PART = (1 << 19, 1 << 22)
 _SLACK = 1e-9
+#: Rows handled at once.
+_STEP = 2048
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,84 +66,162 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, dim)
 
 
-def _nearest(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
-    g = d.argmin(1)
-    return g, np.sqrt(((x - p[g]) ** 2).sum(1)) * (1 + _SLACK)
+def _units(pivots: np.ndarray) -> np.ndarray:
+    size = np.sqrt((pivots * pivots).sum(1, keepdims=True))
+    return pivots / np.where(size > 0, size, 1)
 
 
 def _grouped(shared, dim: int):
+    """Cell, distance from its pivot, and parts along and beside the pivot of each vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("v"), dim).astype(np.float64)
-            g, d = _nearest(x, shared.value) if len(x) else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(g.astype(np.int32)), pa.array(d), pa.array(np.sqrt((x * x).sum(1)))], ["vec_id", "v", "g", "d", "norm"])
+        p = shared.value
+        unit, half = _units(p), (p * p).sum(1) / 2
+        for whole in batches:
+            for lo in range(0, len(whole), _STEP):
+                batch = whole.slice(lo, _STEP)
+                x = _matrix(batch.column("v"), dim).astype(np.float64)
+                g = (half - x @ p.T).argmin(1)
+                d = np.sqrt(((x - p[g]) ** 2).sum(1)) * (1 + _SLACK)
+                along = (x * unit[g]).sum(1)
+                beside = np.sqrt(np.maximum((x * x).sum(1) - along * along, 0)) * (1 + _SLACK)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "vec_id", "v")), pa.array(g.astype(np.int32)), *map(pa.array, (d, along, beside))], ["rid", "vec_id", "v", "g", "d", "along", "beside"])
 
     return run
 
 
-def _lower_bounds(shared, dim: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius = shared.value
-        best = np.full((0, len(pivots)), 0.0)
-        for batch in batches:
-            x = _matrix(batch.column("v"), dim).astype(np.float64)
-            low = x @ pivots.T - np.sqrt((x * x).sum(1))[:, None] * radius
-            best = np.concatenate([best, low])
-            if len(best) > k + 1:
-                best = -np.partition(-best, k, axis=0)[: k + 1]
-        at = np.broadcast_to(np.arange(len(pivots)), best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), pa.array(best.ravel())], ["g", "low"])
+def _scores(left: pa.Table, right: pa.Table, dim: int):
+    """Rows of queries (a few at a time) with their exact scores."""
+    q, x = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
+    if float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * dim < 2.0**52:
+        q, x = q.astype(np.float64), x.astype(np.float64)
+    step = max(1, (1 << 21) // len(x))
+    for lo in range(0, len(q), step):
+        yield lo, q[lo : lo + step] @ x.T
+
+
+def _threshold(dim: int, k: int):
+    """The least, over the queries, of the k-th best score with another row of those given."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        least, cells = -math.inf, left.column("i")[:1] if left.num_rows else right.column("i")[:1]
+        if left.num_rows and right.num_rows > k:
+            qid, xid, found = left.column("rid").to_numpy(), right.column("rid").to_numpy(), []
+            for lo, s in _scores(left, right, dim):
+                s = np.where(xid[None, :] == qid[lo : lo + len(s), None], -np.inf, s.astype(np.float64))
+                found.append(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].min())
+            least = float(min(found))
+        return pa.table({"i": cells, "least": pa.array([least] if left.num_rows else [math.inf], pa.float64())})
 
     return run
 
 
-def _replicated(shared, dim: int, parts: int):
-    """Each vector for every query group (and each of its blocks) that it may matter to."""
+@dataclass
+class Cells:
+    """What the driver knows of the cells: a few numbers of each, and of each pair."""
+
+    pivots: np.ndarray
+    held: np.ndarray  # vectors
+    radius: np.ndarray
+    asked: np.ndarray  # queries
+    reach: np.ndarray  # of the queries from the pivot
+    low: np.ndarray  # least and most of the queries along the pivot
+    high: np.ndarray
+    beside: np.ndarray
+
+    def neighbours(self) -> np.ndarray:
+        """Distances of pivots."""
+        size = (self.pivots**2).sum(1)
+        return size[:, None] + size - 2 * self.pivots @ self.pivots.T
+
+    def homes(self, k: int) -> list[tuple[int, int]]:
+        """(cell of witnesses, cell of queries): the cell itself and as many of the nearest as give k others."""
+        near, out = self.neighbours(), []
+        for i in np.flatnonzero(self.asked).tolist():
+            got = 0
+            for j in np.argsort(near[i], kind="stable").tolist() if self.held[i] <= k else [i]:
+                got += int(min(self.held[j], WITNESSES))
+                out.append((j, i))
+                if got > 2 * k:
+                    break
+        return out
+
+    def groups(self) -> np.ndarray:
+        """The group of each cell with queries (else -1): neighbours together, up to BLOCK queries."""
+        group, near = np.full(len(self.held), -1), self.neighbours()
+        left = set(np.flatnonzero(self.asked).tolist())
+        at, number, size = (min(left) if left else None), 0, 0
+        while left:
+            left.discard(at)
+            if size and size + self.asked[at] > BLOCK:
+                number, size = number + 1, 0
+            group[at], size = number, size + self.asked[at]
+            if left:
+                rest = np.fromiter(left, int)
+                at = int(rest[near[at][rest].argmin()])
+        return group
+
+    def possible(self, least: np.ndarray) -> np.ndarray:
+        """Whether a vector of cell j can reach the threshold of cell i."""
+        size = np.sqrt((self.pivots**2).sum(1))
+        most = self.pivots @ self.pivots.T + self.reach[:, None] * size + size[:, None] * self.radius + self.reach[:, None] * self.radius
+        finite = np.where(np.isfinite(least), least, 0)
+        return (most >= least[:, None] - _SLACK * (1 + np.abs(finite))[:, None]) & (self.held > 0) & (self.asked > 0)[:, None]
+
+
+def _routed(shared, dim: int):
+    """Each vector for every group (and each of its blocks) that it may matter to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, least, blocks, possible = shared.value
-        for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
-            x = _matrix(batch.column("v"), dim).astype(np.float64)
-            norm = np.sqrt((x * x).sum(1))
-            high = x @ pivots.T + norm[:, None] * radius
-            wanted = (high >= least - _SLACK * (1 + np.abs(least))) & (blocks > 0) & possible[:, batch.column("g").to_numpy()].T
-            row, g = np.nonzero(wanted)
-            row, b = np.repeat(row, blocks[g]), np.concatenate([np.zeros(0, int), *(np.arange(n) for n in blocks[g])])
-            g = np.repeat(g, blocks[g])
-            for lo in range(0, len(row), 20_000):
-                r = row[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[lo : lo + 20_000].astype(np.int32)), pa.array(b[lo : lo + 20_000].astype(np.int32)), pa.array((ids[r] * 0x9E3779B1 >> 7) % parts).cast(pa.int32()), pa.array(ids[r]), batch.column("v").take(pa.array(r))],
-                    ["g", "b", "part", "vec_id", "v"],
-                )
+        cells, least, possible, group, blocks, parts = shared.value
+        used = np.flatnonzero(group >= 0)
+        used = used[np.argsort(group[used], kind="stable")]
+        begin = np.searchsorted(group[used], np.arange(len(blocks)))
+        unit, low, high, beside, least, possible = _units(cells.pivots)[used], cells.low[used], cells.high[used], cells.beside[used], least[used], possible[used]
+        for whole in batches:
+            for lo in range(0, len(whole), _STEP):
+                batch = whole.slice(lo, _STEP)
+                x = _matrix(batch.column("v"), dim).astype(np.float64)
+                along, norm = x @ unit.T, (x * x).sum(1)
+                side = np.sqrt(np.maximum(norm[:, None] - along * along, 0))
+                most = np.maximum(along * low, along * high) + side * beside
+                wanted = (most >= least - _SLACK * (1 + np.abs(most) + np.sqrt(norm)[:, None] * beside)) & possible[:, batch.column("g").to_numpy()].T
+                row, g = np.nonzero(np.logical_or.reduceat(wanted, begin, axis=1))
+                if not len(row):
+                    continue
+                many = blocks[g]
+                b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                row, g = np.repeat(row, many), np.repeat(g, many)
+                rid = batch.column("rid").to_numpy()
+                part = ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                for a in range(0, len(row), 20_000):
+                    r, own = row[a : a + 20_000], g[a : a + 20_000]
+                    at = pa.array(r)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own.astype(np.int32)), pa.array(b[a : a + 20_000].astype(np.int32)), pa.array((part[r] % parts[own]).astype(np.int32)), *(batch.column(c).take(at) for c in ("rid", "vec_id", "v"))],
+                        ["grp", "b", "part", "rid", "vec_id", "v"],
+                    )
 
     return run
 
 
 def _solved(dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        names = ("rid", "query_id", "vec_id", "other", "score")
         if not left.num_rows or not right.num_rows:
-            return none
-        right = right.sort_by("vec_id")
-        qid, xid = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        q, x = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
-        exact = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * dim < 2.0**52
-        if exact:
-            q, x = q.astype(np.float64), x.astype(np.float64)
-        out_q, out_x, out_s = [], [], []
-        step = max(1, (1 << 21) // len(xid))
-        for lo in range(0, len(qid), step):
-            for own, s in zip(qid[lo : lo + step].tolist(), q[lo : lo + step] @ x.T, strict=True):
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
+        right = right.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
+        qrid, qid = left.column("rid").to_numpy(), left.column("vec_id").to_numpy()
+        xrid, xid = right.column("rid").to_numpy(), right.column("vec_id").to_numpy()
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for lo, scores in _scores(left, right, dim):
+            for at, s in enumerate(scores, lo):
                 keep = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
-                keep = keep[xid[keep] != own]
-                keep = keep[np.lexsort((xid[keep], -s[keep]))[:k]]
-                out_q.append(np.full(len(keep), own))
-                out_x.append(xid[keep])
-                out_s.append(s[keep].astype(np.int64))
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_x), "score": np.concatenate(out_s)})
+                keep = keep[xrid[keep] != qrid[at]]
+                keep = keep[np.argsort(-s[keep], kind="stable")[:k]]  # equal scores stay in order of ids
+                for column, x in zip(out, (np.full(len(keep), qrid[at]), np.full(len(keep), qid[at]), xid[keep], xrid[keep], s[keep].astype(np.int64)), strict=True):
+                    column.append(x)
+        return pa.table({c: np.concatenate(x) for c, x in zip(names, out, strict=True)})
 
     return run
 
@@ -141,51 +231,72 @@ def top_k_join(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     query_id, rank, vec_id, score; ties go to the smaller id."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(_clean, "vec_id long, dim int, v binary").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s"))
-    rows = stored(rows.select("vec_id", "s.dim", "s.v"), "vectors")
+    # rows have their own numbers, made once, as they are written
+    rows = stored(rows.mapInArrow(_clean, "vec_id long, dim int, v binary").withColumn("rid", F.monotonically_increasing_id()), "vectors")
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).filter("q > 0").orderBy("dim").collect()
-    found = [_of_dimension(rows.filter(F.col("dim") == r.dim), r.dim, r.n, r.q, k, is_query) for r in sizes]
-    if not found:
+    out = None
+    for r in sizes:
+        asked, data = _dealt(rows.filter(F.col("dim") == r.dim).select("rid", "vec_id", "v"), r.dim, r.n, k, is_query)
+        found = asked.groupBy("grp", "b", "part").cogroup(data.groupBy("grp", "b", "part")).applyInArrow(_solved(r.dim, k), "rid long, query_id long, vec_id long, other long, score long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id", "other")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_dimension(rows: DataFrame, dim: int, n: int, queries: int, k: int, is_query) -> DataFrame:
+def _pivots(rows: DataFrame, dim: int, n: int) -> np.ndarray:
+    wanted = min(max(PIVOTS[0], math.isqrt(n)), PIVOTS[1])
+    h = F.xxhash64("rid")
+    # of a large table only as many rows as a hash lets through are looked at
+    some = rows.filter(F.pmod(h, F.lit(1 << 30)) < int(4 * wanted / n * (1 << 30))) if n > 8 * wanted else rows
+    found = [r.v for r in some.select("v", h.alias("h")).orderBy("h").limit(wanted).collect()] or [r.v for r in rows.select("v").limit(1).collect()]
+    return np.unique(np.frombuffer(b"".join(map(bytes, found)), "<i8").reshape(-1, dim), axis=0).astype(np.float64)
+
+
+def _summaries(grouped: DataFrame, pivots: np.ndarray, is_query) -> Cells:
+    of = lambda c: F.when(is_query, F.col(c))
+    facts = grouped.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.count_if(is_query).alias("q"), F.max(of("d")).alias("qr"), F.min(of("along")).alias("lo"), F.max(of("along")).alias("hi"), F.max(of("beside")).alias("b"))
+    cells = Cells(pivots, *(np.zeros(len(pivots), t) for t in (int, float, int, float, float, float, float)))
+    for f in facts.collect():
+        cells.held[f.g], cells.radius[f.g], cells.asked[f.g] = f.n, f.r, f.q
+        cells.reach[f.g], cells.low[f.g], cells.high[f.g], cells.beside[f.g] = (x or 0 for x in (f.qr, f.lo, f.hi, f.b))
+    return cells
+
+
+def _dealt(rows: DataFrame, dim: int, n: int, k: int, is_query) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors by group, block and part."""
     spark = rows.sparkSession
     share = spark.sparkContext.broadcast
-    wanted = min(max(PIVOTS[0], -(-queries // PER_PIVOT)), PIVOTS[1])
-    pivots = [r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()]
-    pivots = np.frombuffer(b"".join(map(bytes, pivots)), "<i8").reshape(-1, dim).astype(np.float64)
-    count = len(pivots)
-    grouped = rows.select("vec_id", "v").mapInArrow(_grouped(share(pivots), dim), "vec_id long, v binary, g int, d double, norm double")
-    facts = grouped.groupBy("g").agg(F.max("d").alias("r"), F.max(F.when(is_query, F.col("d"))).alias("qr"), F.max(F.when(is_query, F.col("norm"))).alias("qn"), F.count_if(is_query).alias("q")).collect()
-    reach, radius, norm, held = np.full(count, -1.0), np.zeros(count), np.zeros(count), np.zeros(count, int)
-    for f in facts:
-        reach[f.g], radius[f.g], norm[f.g], held[f.g] = f.r, f.qr or 0, f.qn or 0, f.q
-    # thresholds: bounded by pivots x (k + 1) rows from each task
-    low = rows.select("v").mapInArrow(_lower_bounds(share((pivots, radius)), dim, k), "g int, low double")
-    ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("low")))).filter(F.col("r") == k + 1)
-    least = np.full(count, -np.inf)
-    for f in ranked.collect():
-        least[f.g] = f.low
-    least[held == 0] = np.inf
-    # a group of vectors around p_j within r_j: q.x <= p_i.p_j + R_i |p_j| + |q| r_j
-    size = np.sqrt((pivots * pivots).sum(1))
-    most = pivots @ pivots.T + radius[:, None] * size + norm[:, None] * np.maximum(reach, 0)
-    possible = (most >= least[:, None] - _SLACK * (1 + np.abs(np.where(np.isfinite(least), least, 0)))[:, None]) & (reach >= 0)
-    finite = np.where(np.isfinite(least), least, np.where(held > 0, -1e300, 1e300))
-    blocks = -(-held // BLOCK)
-    parts = max(1, -(-n * dim // PART))
-    data = grouped.select("vec_id", "v", "g").mapInArrow(_replicated(share((pivots, radius, finite, blocks, possible)), dim, parts), "g int, b int, part int, vec_id long, v binary")
-    per_group = F.create_map(*(x for g in range(count) for x in (F.lit(g), F.lit(max(1, int(blocks[g]))))))
-    asked = grouped.filter(is_query).withColumn("b", F.pmod(F.xxhash64("vec_id"), per_group[F.col("g")]).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("g", "b", "part", "vec_id", "v")
-    return asked.groupBy("g", "b", "part").cogroup(data.groupBy("g", "b", "part")).applyInArrow(_solved(dim, k), "query_id long, vec_id long, score long")
+    pivots = _pivots(rows, dim, n)
+    grouped = stored(rows.mapInArrow(_grouped(share(pivots), dim), "rid long, vec_id long, v binary, g int, d double, along double, beside double"), "cells")
+    cells = _summaries(grouped, pivots, is_query)
+    blocks_of = np.maximum(1, -(-cells.asked // BLOCK))
+
+    h = F.xxhash64("rid")
+    homes = spark.createDataFrame([(j, i, int(blocks_of[i])) for j, i in cells.homes(k)], "g int, i int, blocks int")
+    near = grouped.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(h))).filter(F.col("r") <= WITNESSES).select("g", "rid", "v")
+    again = [F.col(c).alias(c) for c in ("rid", "v")]  # columns of their own, as both sides are of one table
+    near = near.join(F.broadcast(homes), "g").select("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), *again)
+    own = spark.createDataFrame([(i, int(blocks_of[i])) for i in np.flatnonzero(cells.asked).tolist()], "g int, blocks int")
+    asked = grouped.filter(is_query).join(F.broadcast(own), "g").select(F.col("g").alias("i"), F.pmod(h, F.col("blocks")).cast("int").alias("b"), "rid", "v")
+    found = asked.groupBy("i", "b").cogroup(near.groupBy("i", "b")).applyInArrow(_threshold(dim, k), "i int, least double")
+    least = np.full(len(pivots), np.inf)
+    for f in found.groupBy("i").agg(F.min("least").alias("least")).collect():
+        least[f.i] = f.least
+
+    group, possible = cells.groups(), cells.possible(least)
+    count = group.max() + 1
+    blocks, parts = np.ones(count, int), np.ones(count, int)
+    size = min(max(PART[0], n * dim // 64), PART[1])
+    for g in range(count):
+        blocks[g] = max(1, -(-int(cells.asked[group == g].sum()) // BLOCK))
+        parts[g] = max(1, -(-int(cells.held[possible[group == g].any(0)].sum()) * dim // size))
+    data = grouped.select("rid", "vec_id", "v", "g").mapInArrow(_routed(share((cells, least, possible, group, blocks, parts)), dim), "grp int, b int, part int, rid long, vec_id long, v binary")
+    places = spark.createDataFrame([(i, int(group[i]), int(blocks[group[i]]), int(parts[group[i]])) for i in np.flatnonzero(group >= 0).tolist()], "g int, grp int, blocks int, parts int")
+    asked = grouped.filter(is_query).join(F.broadcast(places), "g")
+    return asked.select("grp", F.pmod(h, F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rid", "vec_id", "v"), data
 
 
 def op10_topk_search(spark, sf_dir: str) -> DataFrame:
