@@ -86,23 +86,85 @@ def brute_classes(rows):
     for d, t in rows:
         w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[d] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    links = {d: {sets[e] for e in sets if sets[d] and sets[e] and sets[e] != sets[d] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])} for d in sets}
-    cls = {d: d for d in sets}
-    for _ in sets:
-        for d in sets:
-            cls[d] = min([cls[d], *(cls[e] for e in sets if sets[e] and (sets[e] == sets[d] or sets[e] in links[d]))])
-    return {d: (cls[d], len(links[d])) for d in sets}
+    linked = {d: [e for e in sets if sets[d] and sets[e] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])] for d in sets}
+    cls, before = {d: d for d in sets}, None
+    while cls != before:
+        before, cls = cls, {d: min([cls[d], *(cls[e] for e in linked[d])]) for d in sets}
+    return {d: (cls[d], len({sets[e] for e in linked[d]} - {sets[d]})) for d in sets}
 
 
-@pytest.mark.parametrize("split, tile", [(256, 2048), (2, 3)])
-def test_jaccard(spark, monkeypatch, split, tile):
+def near_copies(n, changed, length=300, seed=2):
+    rng, near = random.Random(seed), [f"w{k}" for k in range(length)]
+    return [(100 + k, " ".join("c" if rng.random() < changed else w for w in near)) for k in range(n)]
+
+
+@pytest.mark.parametrize("split, tile, profiles, changed", [(256, 2048, 4096, 0.004), (2, 3, 4096, 0.004), (2, 3, 4096, 0.015), (2, 3, 1, 0.004)])
+def test_jaccard(spark, monkeypatch, split, tile, profiles, changed):
     monkeypatch.setattr(jaccard_join, "SPLIT", split)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
-    base = corpus(1, 24)[:-1]
-    rng, near = random.Random(2), [f"w{k}" for k in range(300)]
-    rows = [r[:2] for r in base] + [(100 + k, " ".join("c" if rng.random() < 0.004 else w for w in near)) for k in range(14)]
+    monkeypatch.setattr(jaccard_join, "PROFILES", profiles)
+    rows = [r[:2] for r in corpus(1, 24)[:-1]] + near_copies(16, changed)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_profiles_decide_most_links_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPLIT", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    sent = []
+    sets_of = jaccard_join._sets_of
+
+    def counted(texts, nodes, entries, words, rows_of):
+        out = sets_of(texts, nodes, entries, words, rows_of)
+        sent.append(out.filter("bucket < 0").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_sets_of", counted)
+    rows = near_copies(150, 0.0015, length=400)
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
+    distinct = len({t for _, t in rows})
+    tiles = -(-distinct // 8)
+    # each set once and the base for each tile; dealt to all pairs of tiles it would be distinct * tiles
+    assert sent[0] <= distinct + tiles and sum(sent) < distinct * tiles / 4
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+@pytest.mark.parametrize("split", [256, 4])
+def test_recall_of_planted_pairs(spark, monkeypatch, least, split):
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    rng = random.Random(int(least * 10) + split)
+    common = [f"k{k}" for k in range(30)]  # words that all texts begin with, so that buckets grow
+    rows = []
+    for p in range(150):
+        w = [f"{p}x{k}" for k in range(120)]
+        v = list(w)
+        for _ in range(3 if least == 0.8 else 9):
+            v[rng.randrange(120)] = f"e{rng.getrandbits(40)}"
+        rows += [(2 * p, " ".join(common + w)), (2 * p + 1, " ".join(common + v))]
+    want = {d: x for d, x in brute_classes(rows).items()} if least == 0.8 else None
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    linked = [p for p in range(150) if len(sets[2 * p] & sets[2 * p + 1]) >= least * len(sets[2 * p] | sets[2 * p + 1])]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()}
+    found = [p for p in linked if got[2 * p + 1][0] == 2 * p]
+    assert len(linked) > 50 and len(found) == len(linked) and (want is None or got == want)
+
+
+def test_rows_with_null_ids_are_sent_once(spark, monkeypatch):
+    sent = []
+    sets_of = jaccard_join._sets_of
+
+    def counted(*given):
+        out = sets_of(*given)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_sets_of", counted)
+    texts = [t for _, t in near_copies(20, 0.01)]
+    rows = [(None, t) for t in texts for _ in range(20)] + [(7, texts[0]), (7, texts[1]), (8, texts[2])]
+    out = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {r.class_id for r in out if r.doc_id == 8} == {7} and sum(sent) <= 16 * len(texts)
+    assert jaccard_join.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_one_of_each_class(spark, docs):
@@ -228,21 +290,50 @@ def test_transducer_is_minimal():
     assert len(t.final) == 6  # t, a|o, p, s and the two of é: start, after t, after ta/to, after p, end, inside é
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_top_k(spark, monkeypatch, block):
+def brute_top(rows, k=20, every=20):
+    ok = [(i, np.floor(np.array(v, float) * 64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all()]
+    want = []
+    for at, (q, v) in enumerate(ok):
+        if q % every == 0:
+            s = sorted((-int(v @ x), i) for j, (i, x) in enumerate(ok) if j != at and len(x) == len(v))[:k]
+            want += [(q, r, i, -n) for r, (n, i) in enumerate(s, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("block, part", [(4096, 1 << 19), (5, 64)])
+def test_top_k(spark, monkeypatch, block, part):
     monkeypatch.setattr(knn_join, "BLOCK", block)
+    monkeypatch.setattr(knn_join, "PART", (part, part))
     rng = np.random.default_rng(5)
     vecs = {k: (rng.normal(size=8) + 4 * (k % 3)).round(1).tolist() for k in range(400)}
     vecs |= {500: vecs[20], 40: vecs[20], 41: vecs[20]}
-    rows = [*vecs.items(), (60, None), (601, [1.0, None] * 4), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (604, [])]
-    rows = [r for r in rows if r[0] != 60 or r[1] is None] + [(20, vecs[20])]
-    ok = {k: np.floor(np.array(v, float) * 64) for k, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all()}
-    want = []
-    for q in sorted(k for k in ok if k % 20 == 0):
-        s = sorted(((-int(ok[q] @ ok[x]), x) for x in ok if x != q))[:20]
-        want += [(q, r, x, -v) for r, (v, x) in enumerate(s, 1)]
-    got = knn_join.top_k_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    rows = [*vecs.items(), (60, None), (601, [1.0, None] * 4), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (604, []), (None, vecs[1]), (620, [1.0, 2.0]), (621, [0.5, 0.0])]
+    rows = [r for r in rows if r[0] != 60 or r[1] is None] + [(20, vecs[20]), (20, vecs[7]), (21, vecs[9])]  # rows that share an id
+    got = knn_join.top_k_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows)
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert knn_join.top_k_join(empty).count() == 0
+    assert knn_join.top_k_join(spark.createDataFrame([(20, [0.0, 0.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_clustered_vectors_go_to_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 12)) * 4
+    rows = [(k, (centres[k % 16] + rng.normal(size=12) * 0.2).tolist()) for k in range(3200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held, dealt = [], knn_join._dealt
+
+    def counted(*given):
+        asked, data = dealt(*given)
+        held.append((data.select("grp").distinct().count(), data.count()))
+        return asked, data
+
+    monkeypatch.setattr(knn_join, "_dealt", counted)
+    got = sorted(map(tuple, knn_join.top_k_join(df).collect()))
+    assert got == brute_top(rows)
+    groups, sent = held[0]
+    assert groups >= 12 and sent < 0.25 * groups * len(rows)
 
 
 def test_shards(spark, docs, tmp_path):
@@ -254,14 +345,15 @@ def test_shards(spark, docs, tmp_path):
     assert store.read(2).count() == store.read().count() == 124
     with pytest.raises(sharding.ManifestConflict):
         store.commit(1, [])
-    assert store.vacuum() and store.read().count() == 124
+    assert not store.vacuum() and store.vacuum(grace=0) and store.read().count() == 124
 
 
 def test_tiers():
     shard = lambda name, size, files=1, settled=False: sharding.Shard(name, size, files, settled)
     small = [shard(f"s{k}", 900) for k in range(3)]
     runs = sharding.tiers([*small, shard("loose", 5000, 20), shard("whole", 5000, 5), shard("done", 5000, 20, True), shard("mid", 2 << 20)], 3, 1000)
-    assert runs == [small, [shard("loose", 5000, 20)]]
+    assert runs == [small, [shard("loose", 5000, 20)], [shard("mid", 2 << 20)]]
+    assert sharding.tiers([shard("one", 5000), shard("two", 2000)], 3, 1000) == [[shard("one", 5000)]]
 
 
 def test_large_arrivals_of_small_files_are_merged(spark, tmp_path):
@@ -273,23 +365,36 @@ def test_large_arrivals_of_small_files_are_merged(spark, tmp_path):
 
 
 def test_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>ü" * (k % 5)) for k in range(300)] + [(None, None, None), (3, "http://x/3", "again")], "page_id long, url string, html string")
-    a = warc.records(pages)
-    same, hurt = warc.tree(a), warc.tree(a.withColumn("record", F.when(F.col("page_id").isin(7, 250), F.lit(b"x")).otherwise(F.col("record"))))
-    lost = warc.tree(a.filter("seq < 5"))
-    assert warc.audit(list(same), list(same)).count() == 0
-    assert warc.audit(list(same), list(hurt)).count() == 2
-    assert warc.audit(list(same), list(lost)).count() == 301 - 5
+    pages = spark.createDataFrame([(k * 10**12, f"http://x/{k}", "<p>ü" * (k % 5)) for k in range(2500)] + [(None, None, None), (3 * 10**12, "http://x/3", "again")], "page_id long, url string, html string")
+    a = warc.records(pages).cache()
+    assert a.select("shard").distinct().count() == 3 and a.filter("seq >= 1024").count() == 0
+    same, hurt = warc.tree(a), warc.tree(a.withColumn("record", F.when(F.col("page_id").isin(7 * 10**12, 2000 * 10**12), F.lit(b"x")).otherwise(F.col("record"))))
+    assert warc.audit(same, same).count() == 0 and warc.audit(same, hurt).count() == 2
+    # a replica without the end of each shard, and one that lacks a record in the middle
+    assert warc.audit(same, warc.tree(a.filter("seq < 5"))).count() == 2502 - 15
+    gap = warc.audit(same, warc.tree(a.filter("shard <> 1 or seq <> 9"))).collect()
+    assert [(r.shard, r.at, r.right_hash) for r in gap] == [(1, 9, None)]
+    assert sorted(r.at for r in warc.audit(same, warc.tree(a.filter("shard = 0"))).filter("shard = 2").collect()) == list(range(2502 - 2048))
     # trees of digests alone are those of the records
-    bare = warc.tree(a.drop("record"))
-    held = warc.records(pages, lambda r: F.when(F.col("page_id") == 7, F.lit(b"x")).otherwise(r))
-    assert warc.audit(list(same), list(bare)).count() == 0
-    assert [r.at for r in warc.audit(list(bare), warc.tree(held.drop("record"))).collect()] == [8]  # page 3 is there twice
-    assert warc.audit(warc.tree(warc.records(pages.limit(0))), warc.tree(warc.records(pages.limit(0)))).count() == 0
-    blob = b"".join(bytes(r.record) for r in a.orderBy("shard", "seq").collect())
-    (tmp_path / "a.warc").write_bytes(blob)
-    back = warc.read_warc(spark, f"file://{tmp_path}/a.warc").collect()
-    assert len(back) == 302 and hashlib.sha256(blob[back[5].offset :][:8]).hexdigest() == hashlib.sha256(b"WARC/1.0").hexdigest()
+    held = warc.records(pages, lambda r: F.when(F.col("page_id") == 7 * 10**12, F.lit(b"x")).otherwise(r), whole=False)
+    assert warc.audit(same, warc.tree(a.drop("record"))).count() == 0
+    assert [r.at for r in warc.audit(same, warc.tree(held)).collect()] == [8]  # page 3 is there twice
+    none = warc.tree(warc.records(pages.limit(0)))
+    assert warc.audit(none, none).count() == 0 and warc.audit(none, same).count() == 2502
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>ü\r\n\r\nWARC/1.0\r\n" * (k % 4)) for k in range(50)] + [(None, None, None)], "page_id long, url string, html string")
+    a = warc.records(pages)
+    for compression in ("gzip", "none"):
+        warc.write_warc(a, f"file://{tmp_path}/{compression}", compression)
+        back = warc.read_warc(spark, f"file://{tmp_path}/{compression}").collect()
+        assert sorted((r.headers["warc-target-uri"], bytes(r.body).decode()) for r in back) == sorted((u or "", h or "") for _, u, h in pages.collect())
+        assert not any(r.damaged for r in back) and all(r.headers["warc-record-id"].startswith("<urn:uuid:") and r.headers["warc-date"] == warc.DATE for r in back)
+    head = "WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: "
+    (tmp_path / "bad.warc").write_text(f"{head}x\r\n\r\nab\r\n\r\n{head}-1\r\n\r\n\r\n\r\n{head}2\r\n\r\nok\r\n\r\n{head}1\r\n\r\nlong\r\n\r\n{head}99\r\n\r\nshort", newline="")
+    got = [(bytes(r.body), r.damaged) for r in warc.read_warc(spark, f"file://{tmp_path}/bad.warc").collect()]
+    assert got == [(b"ab", True), (b"", True), (b"ok", False), (b"long", True), (b"short", True)]
 
 
 def test_without_labels_only_texts_without_letters_go(spark):
@@ -303,8 +408,223 @@ def test_an_empty_table_is_sharded(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/e")
     store.append(rows.limit(0), by="arrival")
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)
     assert store.read().columns == ["doc_id", "text"] and store.read().count() == 0
     store.append(rows.limit(0), by="arrival")
     store.append(rows, by="arrival")
     assert len(store.shards()) == 2 and [tuple(r) for r in store.read().collect()] == [(1, "a")]
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = (sharding.ShardStore(spark, f"file://{tmp_path}/s", fan_in=2) for _ in range(2))
+    rows = spark.range(10)
+    for _ in range(3):
+        one.append(rows)
+    # the other merges the run while this one is at it
+    read, merged = one._read, []
+
+    def late(shards):
+        if not merged:
+            merged.append(two.compact())
+        return read(shards)
+
+    one._read = late
+    one.compact()
+    one._read = read
+    assert merged == [1] and one.read().count() == two.read().count() == 30 and len(one.shards()) == 1
+    # what a writer has written but not yet committed stays through another's vacuum, and a crash before the commit adds nothing
+    run = "shards/mine"
+    rows.write.parquet(f"{one.root}/{run}")
+    assert two.vacuum() == 0 and two.read().count() == 30
+    one._change([one._measured(run)])
+    assert one.read().count() == 40
+    rows.write.parquet(f"{one.root}/shards/lost")
+    lost = one._measured("shards/lost")
+    two.vacuum(grace=0)
+    with pytest.raises(FileNotFoundError):
+        one._change([lost])
+    assert one.read().count() == 40
+    with pytest.raises(ValueError):
+        sharding.SAFE, safe = (), sharding.SAFE
+        try:
+            sharding.ShardStore(spark, f"file://{tmp_path}/t")
+        finally:
+            sharding.SAFE = safe
+
+
+def test_files_beyond_the_target_are_cut(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
+    store.append(spark.range(20_000).select(F.xxhash64("id").alias("x")).coalesce(1))
+    assert store.compact() == 1 and store.compact() == 0 and store.shards()[0].files > 10 and store.read().count() == 20_000
+
+
+def test_urls_at_the_borders_of_rules(spark):
+    rules = [("block", "example.org"), ("block", "/ads/"), ("allow", "good.net/ads/"), ("block", "a.b/x")]
+    urls = ["http://example.org.evil.com/", "http://www.example.org", "http://EXAMPLE.org/x", "http://any.where/ads/1", "http://good.net/ads/1", "http://ads/", "http://z.a.b/xy", "http://za.b/xy", None, "http://n/y/ads/"]
+    want = ["allow", "block", "block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"Host": F.lit("mine"), "_best": F.lit(1)})
+    for most in (url_filter.MAX_RULES, 2):
+        out = url_filter.filter_urls(df, rules, most=most)
+        assert [r.verdict for r in out.orderBy("page_id").collect()] == want and out.columns == ["page_id", "url", "_best", "host", "path", "rule", "verdict"]
+        assert {r._best for r in out.collect()} == {1}
+    assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"} and url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("name", ["_pl_cut", "_id", "_ID", "_dg", "text_", "h", "k", "_th", "_cut"])
+def test_columns_of_clashing_names_stay(spark, name):
+    texts = [t for _, t in near_copies(3, 0.0)] + ["a b c " * 30, "12 ?", None]
+    df = spark.createDataFrame([(k, t, "en", 7) for k, t in enumerate(texts)], f"doc_id long, text string, lang string, `{name}` int")
+    for out in (substring_dedup.without_repeats(df), jaccard_join.one_of_each_class(df), lang_id.with_language(df)):
+        assert out.columns == df.columns and {r[3] for r in out.collect()} == {7}
+
+
+def test_substrings_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdef", k=4))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(None, f"{' '.join(word() for _ in range(30))} {passage}") for _ in range(30)] + [(1, passage), (1, f"{word()} {passage}"), (1, passage), (2, "")]
+    out = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    # null ids come last and lose what id 1 has; id 1's second text has the passage at a later place
+    assert sorted(r.n_removed for r in out if r.doc_id is None) == [40] * 30
+    assert sorted((r.n_words, r.n_removed) for r in out if r.doc_id == 1) == [(40, 0), (40, 0), (41, 40)]
+
+
+def test_hot_windows_leave_a_task_once(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(25))
+    texts = [" ".join(word() for _ in range(2000 + k)) + " " + passage for k in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"_id": pa.array([k]), "dg": pa.array([k]), "text": [t], "hs": pa.array([hs])}) for k, t in enumerate(texts) for hs in [held_anchors(passage)]]
+    out = list(substring_dedup._extended(20)(iter(batches)))
+    first = [(d, x) for b in out for d, x in zip(b.column("_id").to_pylist(), b.column("at").to_pylist()) if x is not None and x >= 2000 + d]
+    sure = [x for b in out for x in b.column("sure").to_pylist() if x]
+    assert len(sure) == 39 and len({len(x) for x in sure}) == 1 and sorted(first) == [(0, 2000 + k) for k in range(6)]
+
+
+def held_anchors(passage):
+    words = substring_dedup.Words(pa.array([passage]))
+    at = np.arange(len(words.starts) - 7)
+    return substring_dedup.window_hashes(words.hashes(), at, substring_dedup.position_keys(8, 1)).view(np.int64).tolist()
+
+
+def test_three_hundred_languages(spark):
+    rng = random.Random(11)
+    names = [f"l{k:03d}" for k in range(300)]
+    rows = []
+    for k, name in enumerate(names):
+        own = ["".join(chr(0x4E00 + 7 * k + rng.randrange(7)) for _ in range(3)) for _ in range(6)]
+        rows += [(1000 * k + j, " ".join(rng.choices(own, k=12)), name) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.identify(df).collect()
+    right = sum(r.lang_pred == names[r.doc_id // 1000] for r in got) / len(got)
+    assert right > 0.95 and len({r.lang_pred for r in got}) > 290
+
+
+def test_scores_are_those_of_kernel_ridge(spark):
+    rng = random.Random(12)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(25))
+    rows = [(k, text(("abcdefg", "efghijk", "ijkéüaz")[k % 3]), "xyz"[k % 3]) for k in range(150)]
+    got = {r.doc_id: r for r in lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def grams(t):  # as defined, byte by byte; only the buckets are the operator's
+        data = bytes(c if c >= 0x80 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in t.encode())
+        out = set()
+        for n in range(1, 5):
+            for at in range(len(data) - n + 1):
+                code = (int.from_bytes(data[at : at + n], "big") ^ (n * 0x51ED27)) & 0xFFFFFFFF
+                out.add(((code * 0x9E3779B1) & 0xFFFFFFFF) >> 17)
+        return out
+
+    sets = {d: grams(t) for d, t, _ in rows}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    learn = [d for d, *_ in rows if lang_id.learnable(d)]
+    K = np.array([[kernel(a, b) for b in learn] for a in learn])
+    Y = np.array([[float("xyz"[d % 3] == c) for c in "xyz"] for d in learn])
+    alpha = np.linalg.solve(K + lang_id.RIDGE * len(learn) * np.eye(len(learn)), Y)
+    for d, *_ in rows:
+        scores = np.array([kernel(d, b) for b in learn]) @ alpha
+        assert got[d].lang_pred == "xyz"[int(scores.argmax())] and abs(got[d].score - min(max(scores.max(), 0), 1)) < 0.02
+
+
+def test_a_null_language_is_filled(spark):
+    rng = random.Random(13)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(20))
+    rows = [(k, text("abcd" if k % 2 else "wxyz"), None if k % 5 == 0 else "ab" if k % 2 else "wx") for k in range(80)]
+    out = lang_id.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == 80 and all(r.lang == ("ab" if r.doc_id % 2 else "wx") for r in out)
+    bare = spark.createDataFrame([(1, "x"), (2, "1")], "doc_id long, text string")
+    assert [r.doc_id for r in lang_id.with_language(bare).collect()] == [1]
+
+
+SCRIPTS = [
+    "यह एक हिन्दी वाक्य है और इसमें मात्राएँ हैं", "ภาษาไทยมีสระและวรรณยุกต์", "தமிழ் மொழி அழகு", "كَتَبَ الوَلَدُ الدَّرْسَ", "שָׁלוֹם עוֹלָם", "ΟΔΥΣΣΕΥΣ ΣΟΦΟΣ Σ", "cafe\u0301 na\u0308ive e\u0301\u0301", "❤️ 👩\u200d🚀 ok", "İstanbul Iğdır", "각\u1100\u1161\u11a8 한글",
+    "don't don\u0301t 's\u0301 it's", " \u0301 a\u00a0\u0301b\u2003c\u0301", "x\u0301" * 40, "ﬁ ß ẞ ǅ", "a\tb\u0300\nc\r\nd\u0323\u0307", "\u0344 \u0f73 \u1e9b\u0323", "12\u03013 1\u20e3",
+]
+
+
+def test_marked_scripts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(14)
+    rows = [(k, x) for k, x in enumerate(SCRIPTS)]
+    parts = [w for x in SCRIPTS for w in re.split(r"(\s)", x)] + [" ", "\n", "\u0301", "\u00a0", "'s", "Σ"]
+    rows += [(100 + k, "".join(rng.choices(parts, k=rng.randint(1, 30)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (0, 40):
+        lexicon = bpe_lexicon.compile_lexicon(bpe_lexicon.frequent_words(df, path, size) if size else [], path)
+        got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe_lexicon.encode_texts(df, path, lexicon, decode=True).collect()}
+        for d, x in rows:
+            ids = t.encode(x, add_special_tokens=False).ids
+            assert got[d] == (ids, t.decode(ids, skip_special_tokens=False)), (x, size)
+
+
+def test_marked_scripts_stay_in_the_transducer():
+    path = P.path("word_bpe_49k.json")
+    rng = random.Random(15)
+    words = [w for x in SCRIPTS[:5] for w in x.split()]
+    texts = pa.array([" ".join(rng.choices(words, k=200)) for _ in range(20)])
+    tokenizer, special, characters, merger = bpe_lexicon._tools(path)
+    pre = bpe_lexicon.PreTokens(texts, characters, special, attach=False, fold=True)
+    lexicon = bpe_lexicon.compile_lexicon(words, path)
+    asked = []
+
+    class Counting:
+        def encode(self, w, **kw):
+            asked.append(w)
+            return tokenizer.encode(w, **kw)
+
+    coded = pre.words.dictionary_encode()
+    odd = np.zeros(len(coded.dictionary), bool)
+    odd[coded.indices.to_numpy()[pre.odd]] = True
+    bpe_lexicon._word_ids(coded.dictionary, odd, lexicon, Counting(), merger)
+    assert not pre.hard.any() and pre.odd.mean() > 0.5 and len(asked) < 0.05 * len(pre.words)
+
+
+def test_blocks_of_a_benchmark_run_in_one_pass(spark):
+    bench = spark.createDataFrame([(k, f"word{k} is the text of item {k} in this small benchmark here") for k in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x word{k} is the text of item {k} in this small benchmark here y") for k in range(0, 60, 7)], "doc_id long, text string")
+    out = decontamination.find_contamination(docs, bench, block_bytes=300)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_hit, list(r.items)) for r in out.collect()} == {k: (12, [str(k)]) for k in range(0, 60, 7)}
+    assert decontamination.find_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_long_pretokens_are_counted_where_they_stand(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(1, "q" * 1000 + " " + "ab" * 300), (2, "é" * 129 + " x"), (3, "z" * 256), (4, "z" * 257)]
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert got == {d: len(t.encode(x, add_special_tokens=False).ids) for d, x in rows}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    path = P.path("word_bpe_49k.json")
+    assert bpe_lexicon.with_ids(none, path).count() == 0
+    assert substring_dedup.without_repeats(none).count() == 0 and jaccard_join.one_of_each_class(none).count() == 0
+    assert lang_id.with_language(none).count() == 0

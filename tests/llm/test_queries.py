@@ -48,6 +48,12 @@ def test_op4(spark, sf):
         assert got[d].lang_pred in ("en", "fr", "und")
 
 
+def test_sharding_layout(spark, sf):
+    out = queries.QUERIES["sharding_layout"](spark, sf).collect()
+    assert sum(r.n_rows for r in out) == len(rows()) and {r.shards_before for r in out} == {16} and len(out) < 4
+    assert queries.QUERIES["op7_sharding"](spark, sf).count() == len(rows())
+
+
 def test_op6(spark, sf):
     t = library("byte_bpe_50k.json")
     got = {tuple(r) for r in queries.QUERIES["op6_token_counts"](spark, sf).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()}
