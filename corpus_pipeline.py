@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm._shared import stored
+from pairlens.llm._shared import mark, release, stored
 from pairlens.llm.bpe_lexicon import with_ids
 from pairlens.llm.decontamination import without_contaminated
 from pairlens.llm.jaccard_join import one_of_each_class
@@ -13,7 +13,7 @@ from pairlens.llm.substring_dedup import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go; where lang is null, the predicted one takes its place."""
     return with_language(docs)
 
 
@@ -52,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What a stage has stored is deleted once its result is; what the last stage reads stays until the session's end."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs, name)
+            release(spark, since, docs)
     return docs
