@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
@@ -9,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffle files go once it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths made by this process and not yet deleted, oldest first.
 _MADE: list[str] = []
 
@@ -35,10 +38,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _without_leftovers(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage is cut, and lost executors cost no more than one stage."""
+    """Writes df as a table in the shared folder and reads it back: lineage is cut, and lost executors cost no more than one stage.
+    The shuffle files behind it go once it is written."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with _without_leftovers(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
