@@ -1,15 +1,13 @@
-"""What the operators share: ids, joins that spread hot keys, and giving back of shuffle files."""
+"""What the operators share: ids and joins that spread hot keys."""
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import mark, release, shared_dir, stored, unused
 
-__all__ = ["LAST_ID", "free_shuffles", "id_order", "joined_spread", "mark", "release", "shared_dir", "stored", "unused"]
+__all__ = ["LAST_ID", "id_order", "joined_spread", "mark", "release", "shared_dir", "stored", "unused"]
 
 #: Stands for a null id inside an operator: such rows come after all others.
 LAST_ID = (1 << 63) - 1
@@ -32,10 +30,3 @@ def joined_spread(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Da
     hot = F.broadcast(facts.filter(F.col(count) > least))
     cold = rows.join(F.broadcast(facts.filter(F.col(count) > least).select(key)), key, "left_anti")
     return rows.join(hot, key).unionByName(cold.join(facts.filter(F.col(count) <= least), key))
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the files of a shuffle when the driver has collected the plan that made it, which on a large heap may
-    come long after the plan was dropped. Asks for it once a step's result is stored, so that no two steps' files add up."""
-    gc.collect()
-    spark._jvm.System.gc()
