@@ -129,11 +129,14 @@ class ShardStore:
     def append(self, rows: DataFrame, by: str | None = None) -> int:
         """One shard, or with `by` one for each of its values (an arrival each), in one job. `by` isn't stored."""
         run = f"shards/{uuid.uuid4().hex}"
-        writer = rows.write
         if by is None:
-            writer.parquet(f"{self.root}/{run}")
+            rows.write.parquet(f"{self.root}/{run}")
             return self._change([self._measured(run)])
-        writer.partitionBy(by).parquet(f"{self.root}/{run}")
+        # directories are named after a column; a name that begins with _ would hide them
+        key, held = "by", {c.lower() for c in rows.columns}
+        while key in held:
+            key += "_"
+        rows.withColumnRenamed(by, key).write.partitionBy(key).parquet(f"{self.root}/{run}")
         parts = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{run}")) if s.isDirectory())
         added = [self._measured(f"{run}/{p}") for p in parts if "=" in p]
         if not added and not self.shards():
@@ -175,7 +178,7 @@ class ShardStore:
         top = self._path(f"{self.root}/shards")
         for run in self.fs.listStatus(top) if self.fs.exists(top) else ():
             name = f"shards/{run.getPath().getName()}"
-            parts = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory() and p.getPath().getName()[0] not in "_."]
+            parts = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory() and "=" in p.getPath().getName()]
             for x in parts or [name]:
                 if x not in live and old(self._path(f"{self.root}/{x}")):
                     self.fs.delete(self._path(f"{self.root}/{x}"), True)

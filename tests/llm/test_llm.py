@@ -348,6 +348,18 @@ def test_shards(spark, docs, tmp_path):
     assert not store.vacuum() and store.vacuum(grace=0) and store.read().count() == 124
 
 
+@pytest.mark.parametrize("by", ["_arrival", "arrival", "By"])
+def test_shards_that_are_not_merged_stay_through_vacuum(spark, tmp_path, by):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4 << 20, fan_in=3)
+    rows = spark.range(300_000).select(F.xxhash64("id").alias("x"), F.lit(1).alias("_by"), F.when(F.col("id") < 200_000, 0).otherwise(F.col("id") % 2 + 1).alias(by))
+    store.append(rows, by=by)
+    store.append(rows.drop(by).limit(5))
+    store.compact()
+    kept = store.shards()
+    store.vacuum(grace=0)
+    assert len(kept) > 1 and store.shards() == kept and store.read().count() == 300_005 and store.read().columns == ["x", "_by"]
+
+
 def test_tiers():
     shard = lambda name, size, files=1, settled=False: sharding.Shard(name, size, files, settled)
     small = [shard(f"s{k}", 900) for k in range(3)]
