@@ -39,11 +39,10 @@ _SOURCE = "CASE WHEN grouping(source) = 1 THEN 'overall' ELSE source END AS sour
 
 
 def _pairs(spark, sf_dir):
-    """Both conditions from one scan, whole texts."""
-    q = fx.qa(spark, sf_dir)
-    f1 = sc.bag_f1(q, "id", {"base_f1": ("base", "gold"), "treated_f1": ("treated", "gold")})
+    """Both conditions from one table, whole texts."""
     em = lambda c: sc.exact_match(F.col(c), F.array("gold")).alias(f"{c}_em")
-    rows = q.repartition("id").select("id", "source", em("base"), em("treated"), F.size("base").alias("base_len"), F.size("treated").alias("treated_len")).join(f1, "id")
+    keep = (F.col("source"), em("base"), em("treated"), F.size("base").alias("base_len"), F.size("treated").alias("treated_len"))
+    rows = sc.bag_f1(fx.qa(spark, sf_dir, placed=True), "id", {"base_f1": ("base", "gold"), "treated_f1": ("treated", "gold")}, keep, placed=True)
     return rows.withColumns({"delta_em": F.col("treated_em") - F.col("base_em"), "delta_f1": F.bround(F.col("treated_f1") - F.col("base_f1"), 4)})
 
 
@@ -167,7 +166,7 @@ def exact_match_multi_gold(spark, sf_dir):
 
 @query(f"{_SCORED} SELECT id, best_f1 AS f1 FROM p")
 def token_f1_multi_gold(spark, sf_dir):
-    f1 = sc.bag_f1(fx.qa(spark, sf_dir), "id", {"a": ("base", "gold"), "b": ("base", "gold2")})
+    f1 = sc.bag_f1(fx.qa(spark, sf_dir, placed=True), "id", {"a": ("base", "gold"), "b": ("base", "gold2")}, placed=True)
     return f1.select("id", F.greatest("a", "b").alias("f1"))
 
 
@@ -478,7 +477,7 @@ def _results(q):
 SELECT row_number() OVER (ORDER BY model, condition, source, example_id)::BIGINT AS row_id, example_id, model, condition, prediction = '' AS pre_labeled, CASE WHEN prediction = '' THEN 'INCORRECT' END AS judge_label FROM r""")
 def judge_input_expand(spark, sf_dir):
     questions = fx.qa(spark, sf_dir).select(F.col("id").alias("example_id"), "source", F.array_join("gold", " ").alias("question"), F.array(F.array_join("gold", " ")).alias("gold_answers"))
-    return judging.judge_inputs(questions, _results(fx.qa(spark, sf_dir))).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
+    return judging.judge_inputs(questions, _results(fx.qa(spark, sf_dir)), ["pre_labeled", "judge_label", "answer_length_bucket"]).select("row_id", "example_id", "model", "condition", "pre_labeled", "judge_label")
 
 
 _CELLS = """WITH r AS (SELECT doc_id AS example_id, m AS model, c AS condition FROM documents, (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['marked', 'plain']) AS c) WHERE doc_id % 5 <> 1 OR m = 'm1'),

@@ -33,16 +33,15 @@ def token_f1(p: Column, golds: Column) -> Column:
 
 def token_f1_exploded(rows: DataFrame, key: str, p: str, g: str) -> DataFrame:
     """key, f1 for one gold each: for texts so long that the array form's product of lengths costs more than a shuffle."""
-    bag = lambda c: rows.select(key, F.explode(c).alias("t")).groupBy(key, "t").count().withColumnRenamed("count", c)
-    common = bag(p).join(bag(g), [key, "t"]).groupBy(key).agg(F.sum(F.least(p, g)).alias("c"))
-    sizes = rows.select(key, (F.size(p) + F.size(g)).alias("n"))
-    return sizes.join(common, key, "left").select(key, F.bround(F.coalesce(2.0 * F.col("c") / F.col("n"), F.lit(0.0)), 4).alias("f1"))
+    return bag_f1(rows, key, {"f1": (p, g)})
 
 
-def bag_f1(rows: DataFrame, key: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """key (one row each) and, by name, the token F1 of each pair of columns (prediction, gold). Words are counted in time
-    linear in the texts, and only of pairs that aren't the same word for word."""
-    rows = rows.repartition(key)  # texts move once; all that is grouped by more than the key stays where it is
+def bag_f1(rows: DataFrame, key: str, pairs: dict[str, tuple[str, str]], keep: tuple[Column, ...] = (), placed: bool = False) -> DataFrame:
+    """key (one row each), what is to be kept and, by name, the token F1 of each pair of columns (prediction, gold). Words are
+    counted in time linear in the texts, and only of pairs that aren't the same word for word. placed: rows are dealt by
+    the key already, best as texts, which are far smaller than arrays of their words."""
+    if not placed:
+        rows = rows.repartition(key)  # moves once; all that is grouped by more than the key stays where it is
     sides = sorted({c for pair in pairs.values() for c in pair})
     none = F.array().cast("array<string>")
     whole = {c: F.coalesce(F.col(c), none) for c in sides}
@@ -52,9 +51,10 @@ def bag_f1(rows: DataFrame, key: str, pairs: dict[str, tuple[str, str]]) -> Data
     tagged = F.concat(*(F.transform(asked[c], side(k)) for k, c in enumerate(sides)))
     bags = rows.select(key, F.explode(tagged).alias("w")).groupBy(key, "w.t").agg(*(F.count_if(F.col("w.side") == k).alias(c) for k, c in enumerate(sides)))
     common = bags.groupBy(key).agg(*(F.sum(F.least(p, g)).alias(name) for name, (p, g) in pairs.items()))
-    sizes = rows.select(key, *(F.when(differ[name], F.size(whole[p]) + F.size(whole[g])).when(F.size(whole[p]) > 0, -1).otherwise(0).alias(f"_{name}") for name, (p, g) in pairs.items()))
+    sizes = rows.select(key, *keep, *(F.when(differ[name], F.size(whole[p]) + F.size(whole[g])).when(F.size(whole[p]) > 0, -1).otherwise(0).alias(f"_{name}") for name, (p, g) in pairs.items()))
     f1 = lambda name: F.when(F.col(f"_{name}") < 0, 1.0).when((F.col(f"_{name}") > 0) & (F.col(name) > 0), 2.0 * F.col(name) / F.col(f"_{name}")).otherwise(F.lit(0.0))
-    return sizes.join(common, key, "left").select(key, *(F.bround(f1(name), 4).alias(name) for name in pairs))
+    kept = sizes.columns[1 : 1 + len(keep)]
+    return sizes.join(common, key, "left").select(key, *kept, *(F.bround(f1(name), 4).alias(name) for name in pairs))
 
 
 def f1_level(value: Column) -> Column:

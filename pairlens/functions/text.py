@@ -25,7 +25,7 @@ def split_words(text: Column) -> Column:
 def tokens(text: Column, dialect: Dialect) -> Column:
     """Words without marks, punctuation and (Arabic) stop words, lower case. Materialise as a column before scoring."""
     bare = F.lower(strip_marks(F.coalesce(text, F.lit("")), dialect))
-    words = F.filter(F.split(F.regexp_replace(bare, NOT_WORD, " "), " "), lambda t: t != "")
+    words = F.filter(F.split(bare, NOT_WORD), lambda t: t != "")
     return F.filter(words, lambda t: ~t.isin(*dialect.stop_words)) if dialect.stop_words else words
 
 

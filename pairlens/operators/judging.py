@@ -21,14 +21,16 @@ def canonical(rows: DataFrame) -> DataFrame:
     return reject_reason(rows).filter("reject is null").drop("reject")
 
 
-def judge_inputs(questions: DataFrame, results: DataFrame) -> DataFrame:
+def judge_inputs(questions: DataFrame, results: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """questions: example_id, source, question, gold_answers (the plain question is shown for every condition); results:
-    example_id, model, condition, prediction, em, f1. Empty predictions come labelled."""
+    example_id, model, condition, prediction, em, f1. Empty predictions come labelled. keep: of the other columns those that are
+    wanted, as all that is numbered is sorted."""
     plain = questions.withColumn("answer_length_bucket", answer_length_bucket(F.col("gold_answers")))
     rows = results.join(plain, "example_id")
     empty = blank(F.col("prediction"))
     rows = rows.withColumns({"pre_labeled": empty, "judge_label": F.when(empty, "INCORRECT"), "judge_reason": F.when(empty, "empty prediction")})
-    return numbered(rows, "row_id", "model", "condition", "source", "example_id")
+    place = ["model", "condition", "source", "example_id"]
+    return numbered(rows if keep is None else rows.select(*place, *keep), "row_id", *place)
 
 
 def blinded(rows: DataFrame) -> DataFrame:

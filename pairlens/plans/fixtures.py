@@ -15,14 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(text):
-    return F.filter(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " "), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
 
 
-def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qa(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """id, source and whole texts as token arrays: golds are the plain and the marked text, in turn by id; the base prediction
-    is plain, the treated one marked, with a word more in every third row."""
-    text = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), words(text).alias("w"), words(F.translate(text, MARKED, BARE)).alias("pw"))
+    is plain, the treated one marked, with a word more in every third row. placed: dealt by id."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.repartition("id") if placed else d
+    d = d.select("id", "source", words(F.col("text")).alias("w"), words(F.translate("text", MARKED, BARE)).alias("pw"))
     even, third = F.col("id") % 2 == 0, F.col("id") % 3 == 0
     return d.select(
         "id", "source", F.when(even, F.col("pw")).otherwise(F.col("w")).alias("gold"), F.when(even, F.col("w")).otherwise(F.col("pw")).alias("gold2"), F.col("pw").alias("base"),
