@@ -6,14 +6,23 @@ import contextlib
 import functools
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting by which a query's shuffle files go once it is done.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths made by this process and not yet deleted, oldest first.
-_MADE: list[str] = []
+
+
+class _Made(threading.local):
+    """Paths made by this thread and not yet deleted, oldest first."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +43,7 @@ def _own() -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, deleted by release()."""
     path = f"{shared_dir(spark)}/pairlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _MADE.paths.append(path)
     return path
 
 
@@ -60,14 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    return len(_MADE)
+    return len(_MADE.paths)
 
 
 def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Deletes what was stored since the mark, but for the tables of `keep`. No other frame that reads them may be used again."""
+    """Deletes what this thread has stored since the mark, but for the tables of `keep`. No other frame that reads them may be
+    used again; tables of other threads stay."""
     held = {getattr(x, "_stored_at", None) for x in keep}
-    gone = [p for p in _MADE[since:] if p not in held]
-    _MADE[since:] = [p for p in _MADE[since:] if p in held]
+    gone = [p for p in _MADE.paths[since:] if p not in held]
+    _MADE.paths[since:] = [p for p in _MADE.paths[since:] if p in held]
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     for p in gone:
         path(p).getFileSystem(conf).delete(path(p), True)

@@ -140,6 +140,17 @@ def test_stored_tables_are_released(spark):
     assert storage.mark() == at
 
 
+def test_a_release_leaves_the_tables_of_other_threads(spark):
+    import threading
+
+    at, other = storage.mark(), []
+    thread = threading.Thread(target=lambda: other.append(storage.stored(spark.range(5), "other")))
+    thread.start()
+    thread.join()
+    storage.release(spark, at)
+    assert other[0].count() == 5
+
+
 def test_unused_names():
     assert storage.unused(["a"], "a") == "_a" and storage.unused(["_A", "_a_1"], "a") == "_a_2"
 
