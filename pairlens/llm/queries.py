@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_lexicon, decontamination, fill_in_middle, jaccard_join, knn_join, lang_id, sharding, substring_dedup, token_count, url_filter, warc
+from . import bpe_lexicon, decontamination, fill_in_middle, jaccard_join, knn_join, lang_id, piece_codec, sharding, substring_dedup, token_count, url_filter, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         substring_dedup.op1_substring_dedup, url_filter.op2_url_filters, jaccard_join.op3_ngram_jaccard_join, lang_id.op4_language_id, decontamination.op5_benchmark_decontamination,
         token_count.op6_token_counts, sharding.op7_sharding, sharding.sharding_layout, bpe_lexicon.op8_bpe_codec, warc.op9_warc_audit, knn_join.op10_topk_search,
-        fill_in_middle.op11_fill_in_middle,
+        fill_in_middle.op11_fill_in_middle, piece_codec.op12_sentencepiece_codec,
     )
 }
 
