@@ -4,13 +4,19 @@ provider is made once for each task."""
 from __future__ import annotations
 
 import random
+import secrets
+import socket
+import socketserver
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import chunk_pack, parse_label, parse_reason
@@ -51,16 +57,23 @@ class TokenCounter:
         return [len(self.cut(x)) if x else 0 for x in inputs]
 
 
+class Spent(Exception):
+    """The budget of calls is used up."""
+
+
 class Retrying:
-    """One call a row, with bounded concurrency; the reply after the last failure is `failed`."""
+    """One call a row, with bounded concurrency; the reply after the last failure is `failed`. A row for which the budget has
+    no call left has None."""
 
     def __init__(self, call: Callable[[str], str], tries: int = 3, workers: int = 4, wait: Callable[[int], float] = lambda k: 10 * (k + 1) + random.uniform(0, 3), failed: str = '{"label": "ERROR"}'):
         self.call, self.tries, self.workers, self.wait, self.failed = call, tries, workers, wait, failed
 
-    def one(self, x: str) -> str:
+    def one(self, x: str) -> str | None:
         for k in range(self.tries):
             try:
                 return self.call(x)
+            except Spent:
+                return None
             except Exception:  # noqa: BLE001  any failure of a remote call is retried
                 if k + 1 < self.tries:
                     time.sleep(self.wait(k))
@@ -71,8 +84,85 @@ class Retrying:
             return list(pool.map(self.one, inputs))
 
 
-def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str, batch: int = 32, kind: str = "string") -> DataFrame:
-    """frame with the provider's outputs for `column` as `name`."""
+class Budget:
+    """Calls that all tasks of a cluster may make together: `calls` in all, retries included, and `at_once` at a time. The
+    driver hands them out over a socket, with a connection for each worker, which asks before a call and tells when it is
+    done. The connection of a lost executor closes, and its places are free again; the calls it has begun count."""
+
+    def __init__(self, calls: int, at_once: int):
+        self.left, self.lock, self.places, self.token = calls, threading.Lock(), threading.Semaphore(at_once), secrets.token_hex(16)
+        budget = self
+
+        class Worker(socketserver.StreamRequestHandler):
+            def handle(self) -> None:
+                held = 0
+                try:
+                    while self.rfile.readline().strip().decode() == budget.token:
+                        budget.places.acquire()
+                        held = 1
+                        granted = budget.take()
+                        self.wfile.write(b"yes\n" if granted else b"no\n")
+                        if granted and not self.rfile.readline():
+                            break
+                        budget.places.release()
+                        held = 0
+                except OSError:
+                    pass
+                finally:
+                    for _ in range(held):
+                        budget.places.release()
+
+        self.server = socketserver.ThreadingTCPServer(("", 0), Worker)
+        self.server.daemon_threads = True
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def take(self) -> bool:
+        with self.lock:
+            granted = self.left > 0
+            self.left -= granted
+            return granted
+
+    def lease(self, spark: SparkSession) -> Lease:
+        """By what tasks reach the budget."""
+        return Lease(spark.conf.get("spark.driver.host"), self.server.server_address[1], self.token)
+
+    def close(self) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+@dataclass(frozen=True)
+class Lease:
+    """A budget's place and password."""
+
+    host: str
+    port: int
+    token: str
+
+    def limited(self, call: Callable[[str], str]) -> Callable[[str], str]:
+        """The call, made only when the budget allows it; Spent is raised when that is used up."""
+        held = threading.local()
+
+        def one(x: str) -> str:
+            if not hasattr(held, "file"):
+                held.socket = socket.create_connection((self.host, self.port))
+                held.file = held.socket.makefile("rwb")
+            held.file.write(f"{self.token}\n".encode())
+            held.file.flush()
+            if held.file.readline() != b"yes\n":
+                raise Spent
+            try:
+                return call(x)
+            finally:
+                held.file.write(b"done\n")
+                held.file.flush()
+
+        return one
+
+
+def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str, batch: int = 32, kind: str = "string", skip: bool = False) -> DataFrame:
+    """frame with the provider's outputs for `column` as `name`. skip: rows of a batch in which the provider fails are left
+    out instead of failing the task, and so are rows for which it returns None."""
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +170,14 @@ def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str
         for rows in batches:
             for lo in range(0, rows.num_rows, batch):
                 part = rows.slice(lo, batch)
-                out = provider(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kinds[kind])], [*part.schema.names, name])
+                try:
+                    out = pa.array(provider(part.column(column).to_pylist()), kinds[kind])
+                except Exception:  # noqa: BLE001  whatever a model fails with, its rows are asked for again
+                    if not skip:
+                        raise
+                    continue
+                made = pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, name])
+                yield made.filter(pc.is_valid(out)) if skip else made
 
     return frame.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), f"`{name}` {kind}"]))
 
@@ -108,8 +204,8 @@ def apply_chunks(frame: DataFrame, make: Callable[[], Provider], column: str, mo
     return frame.select(*names, chunk_pack(F.col(column), most).alias(unused(names, "chunks"))).mapInArrow(run, kinds)
 
 
-def judged(frame: DataFrame, make: Callable[[], Provider], message: str = "message") -> DataFrame:
+def judged(frame: DataFrame, make: Callable[[], Provider], message: str = "message", skip: bool = False) -> DataFrame:
     """frame with judge_label (ERROR if the reply has no valid one) and judge_reason of the provider's JSON replies."""
     reply = unused(frame.columns, "reply")
-    out = apply(frame, make, message, reply)
+    out = apply(frame, make, message, reply, skip=skip)
     return out.withColumns({"judge_label": parse_label(F.col(reply)), "judge_reason": parse_reason(F.col(reply))}).drop(reply)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.judging import LABELS
+from ..report import progress
 from ..sources.ingest import existing
+from ..storage import mark, release, scratch
 
 
 def valid_label() -> Column:
@@ -49,15 +54,53 @@ def read_ledger(spark: SparkSession, out: str, schema: str | None = None) -> Dat
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
 
 
-def resume(rows: DataFrame, out: str, step: Callable[[DataFrame], DataFrame], key: str = "id", done: Column | None = None, ready: DataFrame | None = None) -> DataFrame:
-    """One run of a stage that can be stopped and run again: rows that the ledger `out` hasn't done go through step() and are
-    appended. ready: rows that need no step (labelled before), written by the first run only. Returns the whole ledger. A
-    run that fails adds nothing, as Spark commits an append as a whole."""
-    spark = rows.sparkSession
-    started = bool(existing(spark, [out]))
-    todo = pending(rows, spark.read.parquet(out), key, done) if started else rows
-    made = step(todo)
-    if ready is not None and not started:
-        made = made.unionByName(ready)
-    made.write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+class Unfinished(RuntimeError):
+    """Rows of a stage that no batch has finished; what was finished is in the ledger."""
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame | None:
+    """All rows that the batches of a stage have finished; None before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/run=*/batch=*/*.parquet")
+    if not len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []):
+        return None
+    return spark.read.option("basePath", out).parquet(f"{out}/run=*/batch=*").drop("run", "batch")
+
+
+def resume(
+    rows: DataFrame, out: str, step: Callable[[DataFrame], DataFrame], key: str = "id", done: Column | None = None, ready: DataFrame | None = None,
+    batch: int = 1000, files: int | None = None, errors: Column | None = None, watch: Callable[[dict], None] | None = None, strict: bool = True,
+) -> DataFrame:
+    """One run of a stage that can be stopped at any time and run again; returns the whole ledger.
+
+    Rows that the ledger `out` hasn't done are queued in files of at most `batch` rows. A file stream takes `files` of them
+    at a time (as many as the cluster has cores), puts them through step() and writes what comes back to a directory of its
+    own, which is committed before the next are taken. So a driver that dies loses the batches under way and no others, a lost
+    executor has only its own files done again, and a batch that is written twice replaces itself. step() may leave rows out
+    that it couldn't do (providers.apply with skip): they are asked for again by the next run, and make this one end with
+    Unfinished if it is strict.
+
+    ready: rows that need no step (labelled before), written once. watch: called after each batch with what report.progress
+    says of this run; errors: which of the finished rows count as failed there. The counts are taken while rows are written."""
+    spark, since, started = rows.sparkSession, mark(), time.monotonic()
+    if ready is not None and not existing(spark, [f"{out}/run=ready/batch=0/_SUCCESS"]):
+        ready.write.mode("overwrite").parquet(f"{out}/run=ready/batch=0")
+    queue, at, held = scratch(spark, "queue"), scratch(spark, "queue-at"), read_batches(spark, out)
+    (rows if held is None else pending(rows, held, key, done)).write.option("maxRecordsPerFile", batch).parquet(queue)
+    total, run, counts = spark.read.schema(rows.schema).parquet(queue).count(), uuid.uuid4().hex, Counter()
+
+    def write(part: DataFrame, number: int) -> None:
+        seen = Observation()
+        made = step(part).observe(seen, F.count("*").alias("done"), (F.sum(F.lit(0)) if errors is None else F.count_if(errors)).alias("errors"))
+        made.write.mode("overwrite").parquet(f"{out}/run={run}/batch={number}")
+        counts.update({k: v or 0 for k, v in seen.get.items()})
+        if watch:
+            watch(progress(counts["done"], total, counts["errors"], time.monotonic() - started))
+
+    if total:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files or spark.sparkContext.defaultParallelism).parquet(queue)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    release(spark, since)
+    if strict and counts["done"] < total:
+        raise Unfinished(f"{total - counts['done']} of {total} rows aren't done")
+    held = read_batches(spark, out)
+    return spark.createDataFrame([], step(rows.limit(0)).schema) if held is None else held
