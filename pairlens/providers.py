@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import chunk_pack, parse_label, parse_reason
+from .functions.text import chunk_pack, chunk_pack_long, parse_label, parse_reason
 from .storage import unused
 
 
@@ -182,26 +182,69 @@ def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str
     return frame.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), f"`{name}` {kind}"]))
 
 
-def apply_chunks(frame: DataFrame, make: Callable[[], Provider], column: str, most: int, batch: int = 32) -> DataFrame:
-    """frame with `column` put through the provider in chunks of at most `most` characters, which are joined by blanks again;
-    a null stays null. All other columns are carried along."""
+#: Characters of a row's texts beyond which their chunks are dealt over tasks.
+SPREAD = 1 << 20
+
+
+def apply_chunks(frame: DataFrame, make: Callable[[], Provider], columns: str | list[str], most: int, batch: int = 32, spread: int = SPREAD) -> DataFrame:
+    """frame with `columns` put through the provider in chunks of at most `most` characters, which are joined by blanks again;
+    a null stays null. All other columns are carried along. Rows of more than `spread` characters are taken apart: their
+    chunks are dealt over all tasks, and put together again in their order, in one shuffle each way."""
+    columns = [columns] if isinstance(columns, str) else columns
+    long = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.length(columns[0]), F.lit(0))) > spread
+    return _chunks_in_place(frame.filter(~long), make, columns, most, batch).unionByName(_chunks_dealt(frame.filter(long), make, columns, most, batch))
+
+
+def _chunks_in_place(frame: DataFrame, make: Callable[[], Provider], columns: list[str], most: int, batch: int) -> DataFrame:
     names = frame.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
         for rows in batches:
-            lists = rows.column(rows.num_columns - 1).to_pylist()
-            flat = [c for x in lists for c in x]
-            done = [y for lo in range(0, len(flat), batch) for y in provider(flat[lo : lo + batch])]
-            out, at = [], 0
-            for old, x in zip(rows.column(column).to_pylist(), lists, strict=True):
-                out.append(None if old is None else " ".join(done[at : at + len(x)]))
-                at += len(x)
-            kept = [pa.array(out, pa.string()) if n == column else rows.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(kept, names)
-
-    return frame.select(*names, chunk_pack(F.col(column), most).alias(unused(names, "chunks"))).mapInArrow(run, kinds)
+            made = {}
+            for n, c in enumerate(columns):
+                lists = rows.column(len(names) + n).to_pylist()
+                flat = [x for chunks in lists for x in chunks]
+                done = [y for lo in range(0, len(flat), batch) for y in provider(flat[lo : lo + batch])]
+                out, at = [], 0
+                for old, chunks in zip(rows.column(c).to_pylist(), lists, strict=True):
+                    out.append(None if old is None else " ".join(done[at : at + len(chunks)]))
+                    at += len(chunks)
+                made[c] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([made.get(n, rows.column(n)) for n in names], names)
+
+    return frame.select(*names, *(chunk_pack(F.col(c), most).alias(unused(names, f"chunks{n}")) for n, c in enumerate(columns))).mapInArrow(run, kinds)
+
+
+def _chunks_dealt(frame: DataFrame, make: Callable[[], Provider], columns: list[str], most: int, batch: int) -> DataFrame:
+    names = frame.columns
+    # column -1 has what is carried along; its texts only tell whether they are null
+    rest = F.struct(*(F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if c in columns else F.col(c) for c in names))
+    part = lambda n, k, x, row: F.struct(n.cast("int").alias("n"), k.cast("int").alias("k"), x.cast("string").alias("x"), row.alias("row"))
+    kind = frame.select(rest).schema[0].dataType
+    no_row, no_part = F.lit(None).cast(kind), f"array<struct<n:int,k:int,x:string,row:{kind.simpleString()}>>"
+    chunks_of = lambda n, c: F.transform(chunk_pack_long(F.col(c), most), lambda x, k: part(F.lit(n), k, x, no_row))
+    chunks = [F.coalesce(chunks_of(n, c), F.array().cast(no_part)) for n, c in enumerate(columns)]
+    none = F.lit(None).cast("string")
+    parts = frame.select(F.monotonically_increasing_id().alias("id"), F.concat(F.array(part(F.lit(-1), F.lit(0), none, rest)), *chunks).alias("ps"))
+    # as many tasks as the session has shuffle partitions, however small these are: calls cost more than bytes
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.select("id", F.explode("ps").alias("p")).select("id", "p.*").repartition(tasks, "id", "n", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for rows in batches:
+            for lo in range(0, rows.num_rows, batch):
+                some = rows.slice(lo, batch)
+                texts = some.column("x").to_pylist()
+                done = iter(provider([x for x in texts if x is not None]) if any(x is not None for x in texts) else [])
+                yield some.set_column(some.schema.names.index("x"), "x", pa.array([None if x is None else next(done) for x in texts], pa.string()))
+
+    made = parts.mapInArrow(run, parts.schema)
+    whole = made.groupBy("id").agg(F.any_value("row", F.lit(True)).alias("row"), F.array_sort(F.collect_list(F.when(F.col("n") >= 0, F.struct("n", "k", "x")))).alias("xs"))
+    back = lambda n: F.array_join(F.transform(F.filter("xs", lambda x: x["n"] == n), lambda x: x["x"]), " ")
+    return whole.select(*(F.when(F.col(f"row.`{c}`").isNotNull(), back(columns.index(c))).alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in names))
 
 
 def judged(frame: DataFrame, make: Callable[[], Provider], message: str = "message", skip: bool = False) -> DataFrame:

@@ -194,20 +194,24 @@ def report_document(spark, sf_dir):
 # stages that can be stopped and run again
 
 
-@query(f"{_D} SELECT k AS id, source, md5(regexp_replace(source, '([aeiou])', '\\1{_POINT}', 'g')) AS question, CASE WHEN k % 3 <> 0 THEN md5(regexp_replace(lang || ' ' || source || '.', '([aeiou])', '\\1{_POINT}', 'g')) END AS context, 1::BIGINT AS times FROM d")
-def resumable_marking(spark, sf_dir):
-    """Texts go through a diacritizer in chunks; the first run is cut short, the second takes what is left, a third nothing."""
-    d, out, k = _docs(spark, sf_dir), scratch(spark, "marked"), F.col("k")
-    rows = d.select(k.alias("id"), "source", F.col("source").alias("question"), F.when(k % 3 != 0, F.concat("lang", F.lit(" "), "source", F.lit("."))).alias("context"))
+_CHUNKED = rf"""c AS (SELECT k, text, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM d),
+f AS (SELECT k, text, list_reduce(list_transform(ss, lambda s: {{'done': []::VARCHAR[], 'open': s, 'size': len(s) + 1}}), lambda a, x:
+  CASE WHEN a.size + x.size > 400 AND a.open <> '' THEN {{'done': list_append(a.done, a.open), 'open': x.open, 'size': x.size - 1}}
+  ELSE {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || ' ' || x.open END, 'size': a.size + x.size}} END) AS r FROM c),
+g AS (SELECT k, CASE WHEN text = '' THEN [] WHEN len(text) <= 400 THEN [text] ELSE flatten(list_transform(CASE WHEN r.open <> '' THEN list_append(r.done, r.open) ELSE r.done END, lambda c: list_transform(range(1, greatest(len(c), 1) + 1, 400), lambda k: substr(c, k, 400)))) END AS cs FROM f),
+m AS (SELECT k, regexp_replace(array_to_string(cs, ' '), '([aeiou])', '\1{_POINT}', 'g') AS marked FROM g)"""
 
-    def step(todo):
-        for c in ("question", "context"):
-            todo = providers.apply_chunks(todo, lambda: providers.Marker(_POINT), c, 400)
-        return todo
 
-    lg.resume(rows.filter("id % 2 = 0"), out, step)
-    lg.resume(rows, out, step)
-    done = lg.resume(rows, out, step)
+@query(f"{_D}, {_CHUNKED} SELECT d.k AS id, source, md5(regexp_replace(source, '([aeiou])', '\\1{_POINT}', 'g')) AS question, CASE WHEN d.k % 3 <> 0 THEN md5(marked) END AS context, 1::BIGINT AS times FROM d JOIN m ON d.k = m.k")
+def resumable_marking(spark, sf_dir):
+    """Whole texts go through a diacritizer in chunks; the first run is cut short, the second takes what is left, a third nothing.
+    Chunks of texts beyond 10,000 characters are dealt over the tasks."""
+    d, out, k = _docs(spark, sf_dir), scratch(spark, "marked"), F.col("k")
+    rows = d.select(k.alias("id"), "source", F.col("source").alias("question"), F.when(k % 3 != 0, F.col("text")).alias("context"))
+    step = lambda todo: providers.apply_chunks(todo, lambda: providers.Marker(_POINT), ["question", "context"], 400, spread=10_000)
+    lg.resume(rows.filter("id % 2 = 0"), out, step, batch=4000)
+    lg.resume(rows, out, step, batch=4000)
+    done = lg.resume(rows, out, step, batch=4000)
     return done.groupBy("id", "source").agg(F.max(F.md5("question")).alias("question"), F.max(F.md5("context")).alias("context"), F.count("*").alias("times"))
 
 
@@ -215,14 +219,50 @@ _CONV = """WITH c AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS an
 q AS (SELECT conv_id * 1000 + turn AS id, text AS question, answer FROM c WHERE role = 'user' AND nr = 'assistant')"""
 
 
-@query(f"{_CONV} SELECT id, 'ענה על השאלה הבאה בקצרה.' AS prediction, 1::BIGINT AS times FROM q")
+def _last_words(inputs: list[str]) -> list[str]:
+    """An offline model: what it is asked, from the end, on a second line."""
+    return ["  " + " ".join(reversed(x.split(" "))) + "\nthat is all" for x in inputs]
+
+
+@query(f"""{_CONV} SELECT id, md5(regexp_replace(regexp_replace(string_split(array_to_string(list_reverse(string_split(question, ' ')), ' '), chr(10))[1], '^\\s+', ''), '\\s+$', '')) AS prediction, 1::BIGINT AS times FROM q""")
 def resumable_generation(spark, sf_dir):
-    """Prompts through a model's stand-in, which repeats the first words; the first line of the reply is the prediction."""
-    q = fx.conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), tx.chat(tx.prompt(F.lit(None).cast("string"), F.col("question"), HEBREW), "{message}\n").alias("prompt"))
+    """Whole questions through a model's stand-in that dies at every seventh id in the first run: all other batches stay, and the
+    second run takes the rest. The first line of the reply is the prediction."""
+    q = fx.conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question")
     out = scratch(spark, "generated")
-    step = lambda todo: providers.apply(todo, lambda: providers.Echo(5), "prompt", "reply").select("id", tx.first_line(F.col("reply")).alias("prediction"))
-    lg.resume(q.filter("id % 3 = 0"), out, step)
-    return lg.resume(q, out, step).groupBy("id", "prediction").agg(F.count("*").alias("times"))
+
+    def step(dies):
+        def dying(inputs):
+            if any(x.startswith("!") for x in inputs):
+                raise OSError("gone")
+            return _last_words(inputs)
+
+        def run(todo):
+            asked = todo.withColumn("x", F.when(F.lit(dies) & (F.col("id") % 7 == 0), "!").otherwise(F.col("question")))
+            return providers.apply(asked, lambda: dying, "x", "reply", batch=4, skip=True).select("id", tx.first_line(F.col("reply")).alias("prediction"))
+
+        return run
+
+    lg.resume(q, out, step(True), batch=2000, strict=False)
+    return lg.resume(q, out, step(False), batch=2000).groupBy("id", F.md5("prediction").alias("prediction")).agg(F.count("*").alias("times"))
+
+
+@query(f"""{_CONV}, n AS (SELECT count(*) AS n FROM q) SELECT n AS rows, n // 2 AS first_run, n // 2 AS calls_of_first, n AS calls, n AS finished, n AS reported FROM n""")
+def budget_of_calls(spark, sf_dir):
+    """All tasks together may make as many calls as half the rows; the rest stays pending, and a second budget finishes it.
+    What the stage reported while it ran agrees with the ledger."""
+    q = fx.conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("question").alias("message"))
+    out, total, seen, made, sizes = scratch(spark, "budgeted"), q.count(), [], [], []
+    for calls in (total // 2, total):
+        budget = providers.Budget(calls, at_once=4)
+        lease = budget.lease(spark)
+        step = lambda todo: providers.judged(todo, lambda: providers.Retrying(lease.limited(_reply), wait=lambda k: 0), skip=True).select("id", "judge_label")  # noqa: B023, E731
+        sizes.append(lg.resume(q, out, step, batch=5000, errors=F.col("judge_label") == "ERROR", watch=seen.append, strict=False).select("id").distinct().count())
+        made.append(calls - budget.left)
+        budget.close()
+    last = {x["total"]: x["done"] for x in seen}
+    row = (total, sizes[0], made[0], sum(made), sizes[1], sum(last.values()))
+    return spark.createDataFrame([row], "rows long, first_run long, calls_of_first long, calls long, finished long, reported long")
 
 
 def _reply(message: str) -> str:
