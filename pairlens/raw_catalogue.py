@@ -33,46 +33,61 @@ def _out(rows, *more):
 _D = "WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS text, lang, source FROM documents)"
 
 
-@query(f"{_D} SELECT 'heq_' || k AS id, 'heq' AS source, md5(text) AS context, md5(source) AS question, lang || '|it''s' AS answers, k || '|7' AS starts FROM d WHERE k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0")
+_MARK = lambda c, mark: f"regexp_replace({c}, '([aeiou])', '\\1{mark}', 'g')"
+
+
+@query(f"""{_D} SELECT 'heq_' || k AS id, 'heq' AS source, md5(text) AS context, md5(CASE WHEN k % 11 = 0 THEN '  ' ELSE source END) AS question,
+ {_MARK("lang", _POINT)} || '|it''s' || CASE k % 4 WHEN 0 THEN '|None of "them"' WHEN 1 THEN '|True\\n' || chr(10) ELSE '' END AS answers, CASE WHEN k % 3 = 0 THEN '' ELSE k || '|7' END AS starts FROM d WHERE k % 5 <> 0 AND k % 7 <> 0""")
 def ingest_heq(spark, sf_dir):
-    """Gzipped JSON lines; answers written as Python literals; impossible, unanswered and blank questions go."""
+    """Gzipped JSON lines; answers written as Python literals, as lists and tuples, with quotes, escapes, words like None, and
+    marks, which stay; impossible and unanswered questions go, blank ones don't."""
     d, path, k = _docs(spark, sf_dir), scratch(spark, "heq"), F.col("k")
-    answers = F.when(k % 7 == 0, "{'text': [], 'answer_start': []}").otherwise(F.concat(F.lit("{'text': ['"), "lang", F.lit("', \"it's\"], 'answer_start': ['"), k.cast("string"), F.lit("', 7]}")))
-    question = F.when(k % 11 == 0, "  ").otherwise(_marked("source", _POINT))
+    more = F.when(k % 4 == 0, """, 'None of "them"'""").when(k % 4 == 1, r""", 'True\\n\n'""").otherwise("")
+    texts = F.concat(F.lit("'"), _marked("lang", _POINT), F.lit("', \"it's\""), more)
+    texts = F.when(k % 2 == 0, F.concat(F.lit("["), texts, F.lit("]"))).otherwise(F.concat(F.lit("("), texts, F.lit(")")))
+    starts = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(", 'answer_start': ['"), k.cast("string"), F.lit("', 7]")))
+    answers = F.when(k % 7 == 0, "{'text': [], 'answer_start': []}").otherwise(F.concat(F.lit("{'text': "), texts, starts, F.lit("}")))
+    question = F.when(k % 11 == 0, "  ").otherwise(_marked("source", _POINT))
     impossible = F.when(k % 5 == 0, True).when(k % 5 == 1, F.lit(None)).otherwise(False)
     raw = d.select(k.cast("string").alias("ID"), _marked("text", _POINT).alias("Context"), question.alias("Question"), impossible.alias("Is_Impossible"), F.lit("good").alias("Question_Quality"), answers.alias("Answers"))
     raw.write.option("compression", "gzip").json(path)
     return _out(ingest.heq(ingest.read_jsonl(spark, path, ingest.HEQ), HEBREW))
 
 
-@query(f"{_D} SELECT 'parashoot_train_' || k || s AS id, 'parashoot' AS source, md5(text) AS context, md5(source || s) AS question, lang AS answers, k::VARCHAR AS starts FROM d, (SELECT unnest(['a', 'b']) AS s) WHERE s = 'a' OR k % 3 <> 0")
+@query(f"""{_D} SELECT 'parashoot_' || k || s AS id, 'parashoot' AS source, md5(text) AS context, md5(CASE WHEN k % 11 = 0 THEN '' ELSE source || s END) AS question, {_MARK("lang", _POINT)} AS answers, k::VARCHAR AS starts
+ FROM d, (SELECT unnest(['a', 'b']) AS s) WHERE s = 'a' OR k % 3 <> 0""")
 def ingest_parashoot(spark, sf_dir):
-    """Documents {data: [...]} of two examples each, of which some are impossible."""
+    """Documents {data: [...]} of two examples each, of which some are impossible; answers are objects, or Python literals in a string."""
     d, path, k = _docs(spark, sf_dir), scratch(spark, "parashoot"), F.col("k")
-    one = lambda s, no: F.struct(
-        F.concat(k.cast("string"), F.lit(s)).alias("id"), _marked("text", _POINT).alias("context"), F.concat("source", F.lit(s)).alias("question"), no.alias("is_impossible"),
-        F.struct(F.array("lang").alias("text"), F.array(k.cast("int")).alias("answer_start")).alias("answers"),
-    )
-    d.select(F.array(one("a", F.lit(None).cast("boolean")), one("b", k % 3 == 0)).alias("data")).write.json(path)
-    return _out(ingest.parashoot(spark.read.schema(ingest.PARASHOOT).json(path), HEBREW, "train"))
+    answers = F.struct(F.array(_marked("lang", _POINT)).alias("text"), F.array(k.cast("int")).alias("answer_start"))
+    literal = F.concat(F.lit("{'text': ['"), _marked("lang", _POINT), F.lit("'], 'answer_start': ('"), k.cast("string"), F.lit("',)}"))
+    question = lambda s: F.when(k % 11 == 0, "").otherwise(F.concat("source", F.lit(s)))
+    one = lambda s, no, a: F.struct(F.concat(k.cast("string"), F.lit(s)).alias("id"), _marked("text", _POINT).alias("context"), question(s).alias("question"), no.alias("is_impossible"), a.alias("answers"))
+    lines = F.concat(F.lit('{"data":['), F.to_json(one("a", F.lit(None).cast("boolean"), answers)), F.lit(","), F.to_json(one("b", k % 3 == 0, literal)), F.lit("]}"))
+    d.select(lines.alias("value")).write.text(path)
+    return _out(ingest.parashoot(spark.read.schema(ingest.PARASHOOT).json(path), HEBREW))
 
 
 _MK = "lang || '|' || source || CASE WHEN k % 2 = 0 THEN '|' || k ELSE '' END"
+_TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')".format
 
 
-@query(f"{_D} SELECT 'mkqa_' || k AS id, 'mkqa' AS source, NULL::VARCHAR AS context, md5(text) AS question, {_MK} AS answers, NULL::VARCHAR AS starts FROM d WHERE trim(text) <> '' AND k % 5 <> 0")
+@query(f"""{_D} SELECT 'mkqa_' || k AS id, 'mkqa' AS source, NULL::VARCHAR AS context, md5(CASE WHEN k % 13 = 0 THEN '' ELSE {_TRIM("text")} END) AS question, {_MK} AS answers, NULL::VARCHAR AS starts FROM d WHERE (k % 13 = 0 OR {_TRIM("text")} <> '') AND k % 5 <> 0""")
 def ingest_mkqa(spark, sf_dir):
-    """Questions and answers by language; answers of other types go, aliases of answers without a text stay."""
+    """Questions and answers by language; answers of other types go, aliases of answers without a text stay. Questions are
+    trimmed; a question of nothing but marks is none of nothing but white space."""
     d, path, k = _docs(spark, sf_dir), scratch(spark, "mkqa"), F.col("k")
     answer = lambda t, text, *aliases: F.struct(t.alias("type"), text.alias("text"), F.array(*aliases).cast("array<string>").alias("aliases"))
     some = F.array(answer(F.lit("entity"), F.lit(""), F.col("lang")), answer(F.lit("short_phrase"), F.col("source")), answer(F.when(k % 2 == 0, "value").otherwise("number_with_unit"), k.cast("string")))
     none = F.array(answer(F.lit("unanswerable"), F.lit("x")))
-    raw = d.select(k.cast("string").alias("example_id"), F.create_map(F.lit("en"), F.lit("?"), F.lit("he"), _marked("text", _POINT)).alias("queries"), F.create_map(F.lit("he"), F.when(k % 5 == 0, none).otherwise(some)).alias("answers"))
+    question = F.when(k % 13 == 0, _POINT).otherwise(F.concat(F.lit(" \t"), _marked("text", _POINT), F.lit("\n ")))
+    raw = d.select(k.cast("string").alias("example_id"), F.create_map(F.lit("en"), F.lit("?"), F.lit("he"), question).alias("queries"), F.create_map(F.lit("he"), F.when(k % 5 == 0, none).otherwise(some)).alias("answers"))
     raw.write.json(path)
     return _out(ingest.mkqa(ingest.read_jsonl(spark, path, ingest.MKQA), HEBREW, "he"))
 
 
 _BOTH = "(SELECT unnest(['plain', 'marked']) AS condition)"
+_SPLIT = "CASE WHEN k % 4 = 0 THEN 'test' ELSE 'train' END"
 
 
 def _splits(rows, path):
@@ -82,17 +97,19 @@ def _splits(rows, path):
     return ingest.read_splits(rows.sparkSession, {s: f"{path}/{s}" for s in ("train", "validation", "test")})
 
 
-@query(f"""{_D} SELECT condition, 'arcd_' || CASE WHEN k % 4 = 0 THEN 'test' ELSE 'train' END || '_' || k AS id, 'arcd' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE regexp_replace(text, '([aeiou])', '\\1{_FATHA}', 'g') END) AS context,
- md5(CASE condition WHEN 'plain' THEN source ELSE regexp_replace(source, '([aeiou])', '\\1{_FATHA}', 'g') END) AS question, lang AS answers, k::VARCHAR AS starts FROM d, {_BOTH} WHERE k % 6 <> 0""")
+@query(f"""{_D} SELECT condition, 'arcd_' || {_SPLIT} || '_' || k AS id, 'arcd' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE {_MARK("text", _FATHA)} END) AS context,
+ md5(CASE condition WHEN 'plain' THEN CASE WHEN k % 9 = 0 THEN '' ELSE source END ELSE {_MARK("source", _FATHA)} END) AS question, {_MARK("lang", _FATHA)} AS answers, k::VARCHAR AS starts FROM d, {_BOTH} WHERE k % 6 <> 0""")
 def ingest_arcd(spark, sf_dir):
-    """Columnar splits, one scan to both conditions."""
+    """Columnar splits, one scan to both conditions. The plain side has stray marks, which go; a plain question of nothing but
+    marks stays, empty."""
     k = F.col("k")
-    answers = F.struct(F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array("lang")).alias("text"), F.array(k.cast("int")).alias("answer_start"))
-    raw = _docs(spark, sf_dir).select("k", k.cast("string").alias("id"), F.col("text").alias("context"), F.col("source").alias("question"), _marked("text", _FATHA).alias("context_tashkeel"), _marked("source", _FATHA).alias("question_tashkeel"), answers.alias("answers"))
-    return _out(ingest.arcd(_splits(raw, scratch(spark, "arcd"))), "condition")
+    answers = F.struct(F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(_marked("lang", _FATHA))).alias("text"), F.array(k.cast("int")).alias("answer_start"))
+    plain = F.when(k % 9 == 0, _FATHA).otherwise(F.concat("source", F.lit(_FATHA)))
+    raw = _docs(spark, sf_dir).select("k", k.cast("string").alias("id"), F.concat(F.lit(_FATHA), "text").alias("context"), plain.alias("question"), _marked("text", _FATHA).alias("context_tashkeel"), _marked("source", _FATHA).alias("question_tashkeel"), answers.alias("answers"))
+    return _out(ingest.arcd(_splits(raw, scratch(spark, "arcd")), ARABIC), "condition")
 
 
-@query(f"""{_D} SELECT condition, 'tydiqa_' || CASE WHEN k % 4 = 0 THEN 'test' ELSE 'train' END || '_' || k AS id, 'tydiqa' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE regexp_replace(text, '([aeiou])', '\\1{_FATHA}', 'g') END) AS context,
+@query(f"""{_D} SELECT condition, 'tydiqa_' || {_SPLIT} || '_' || k AS id, 'tydiqa' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE {_MARK("text", _FATHA)} END) AS context,
  md5(source) AS question, lang AS answers, NULL::VARCHAR AS starts FROM d, {_BOTH}""")
 def ingest_tydiqa(spark, sf_dir):
     k = F.col("k")
@@ -101,10 +118,13 @@ def ingest_tydiqa(spark, sf_dir):
     return _out(ingest.tydiqa(_splits(raw, scratch(spark, "tydiqa"))), "condition")
 
 
-@query(f"{_D} SELECT condition, 'mkqa_' || k AS id, 'mkqa' AS source, NULL::VARCHAR AS context, md5(CASE condition WHEN 'plain' THEN source ELSE text END) AS question, lang || '|5 m' AS answers, NULL::VARCHAR AS starts FROM d, {_BOTH} WHERE condition = 'plain' OR trim(text) <> ''")
+@query(f"""{_D} SELECT condition, 'mkqa_' || k AS id, 'mkqa' AS source, NULL::VARCHAR AS context, md5(CASE condition WHEN 'plain' THEN source ELSE CASE WHEN k % 5 = 0 THEN '' ELSE text END END) AS question, lang || '|5 m' AS answers, NULL::VARCHAR AS starts
+ FROM d, {_BOTH} WHERE k % 8 <> 0""")
 def ingest_mkqa_conditions(spark, sf_dir):
+    """A blank plain question takes both conditions away, a blank marked one none. Plain questions are trimmed and stripped."""
     answers = F.array(F.struct(F.col("lang").alias("text"), F.array().cast("array<string>").alias("aliases"), F.lit("entity").alias("type")), F.struct(F.lit("5 m").alias("text"), F.lit(None).cast("array<string>").alias("aliases"), F.lit("number_with_unit").alias("type")))
-    raw = _docs(spark, sf_dir).select("k", F.col("k").cast("string").alias("example_id"), F.col("source").alias("query_ar"), F.col("text").alias("query_ar_tashkeel"), answers.alias("answers_ar"))
+    plain = F.when(F.col("k") % 8 == 0, " \u2003\n").otherwise(F.concat(F.lit("\t"), "source", F.lit(f"{_FATHA} ")))
+    raw = _docs(spark, sf_dir).select("k", F.col("k").cast("string").alias("example_id"), plain.alias("query_ar"), F.when(F.col("k") % 5 == 0, "").otherwise(F.col("text")).alias("query_ar_tashkeel"), answers.alias("answers_ar"))
     return _out(ingest.mkqa_conditions(_splits(raw, scratch(spark, "mkqa_ar")), ARABIC), "condition")
 
 

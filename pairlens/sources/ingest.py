@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions.dialect import Dialect
-from ..functions.text import blank, flatten_answers, strip_marks
+from ..functions.text import blank, flatten_answers, strip_marks, trim_white
 
 EXAMPLE = "id string, source string, context string, question string, answers array<string>, answer_start array<int>"
-ANSWERS = "struct<text:array<string>,answer_start:array<string>>"
 HEQ = "ID string, Context string, Question string, Is_Impossible boolean, Question_Quality string, Answers string"
-PARASHOOT = "data array<struct<id:string,context:string,question:string,is_impossible:boolean,answers:struct<text:array<string>,answer_start:array<int>>>>"
+PARASHOOT = "data array<struct<id:string,context:string,question:string,is_impossible:boolean,answers:string>>"
 MKQA = "example_id string, queries map<string,string>, answers map<string,array<struct<type:string,text:string,aliases:array<string>>>>"
 PREDICTION = "id string, source string, question string, answers array<string>, prediction string, pred_len_words int, em int, f1 double"
 RUN = f"model string, data_dir string, elapsed_s double, examples array<struct<{', '.join(x.replace(' ', ':', 1) for x in PREDICTION.split(', '))}>>"
@@ -72,68 +76,94 @@ def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pilot_id", F.expr("try_cast(pilot_id as int)")).filter("pilot_id is not null")
 
 
+def _text(x) -> str | None:
+    """A value as a string that can be stored: surrogates that make a character become it, others U+FFFD."""
+    return None if x is None else str(x).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _answers(text: str | None) -> dict | None:
+    try:
+        found = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        try:
+            found = json.loads(text)
+        except (ValueError, TypeError, RecursionError):
+            return None
+    try:
+        return {"text": [_text(t) for t in found.get("text", [])], "answer_start": [int(x) for x in found.get("answer_start", [])]}
+    except (AttributeError, TypeError, ValueError, OverflowError):
+        return None
+
+
+@F.arrow_udf(StructType().add("text", ArrayType(StringType())).add("answer_start", ArrayType(LongType())))
+def _parsed(text: pa.Array) -> pa.Array:
+    return pa.array([_answers(x) for x in text.to_pylist()], pa.struct([("text", pa.list_(pa.string())), ("answer_start", pa.list_(pa.int64()))]))
+
+
 def parse_answers(text: Column) -> Column:
-    """A struct written as JSON or with Python's quotes, constants and hexadecimal escapes; null where it is neither."""
-    text = F.regexp_replace(text, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    return F.from_json(plain, ANSWERS, {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true"})
+    """text and answer_start of answers written as a Python literal, or else as JSON; lists that it lacks are empty, numbers
+    may be strings. Null where it is neither, no mapping, or has starts that are no whole numbers."""
+    return _parsed(text)
+
 
+def _unified(rows: DataFrame, key: Column, source: str, context: Column, question: Column, answers: Column, starts: Column | None = None) -> DataFrame:
+    """Examples that have an answer."""
+    none = F.lit(None).cast("array<int>")
+    rows = rows.select(key.alias("id"), F.lit(source).alias("source"), context.alias("context"), question.alias("question"), answers.alias("answers"), (none if starts is None else starts.cast("array<int>")).alias("answer_start"))
+    return rows.filter(F.size("answers") > 0)
 
-def _clean(rows: DataFrame) -> DataFrame:
-    return rows.filter((F.size("answers") > 0) & ~blank(F.col("question"))).select("id", "source", "context", "question", "answers", "answer_start")
+
+def _possible(rows: DataFrame, column: str) -> DataFrame:
+    return rows.filter(~F.coalesce(column, F.lit(False)))
 
 
 def heq(raw: DataFrame, dialect: Dialect) -> DataFrame:
-    a = parse_answers(F.col("Answers"))
-    rows = raw.filter(~F.coalesce("Is_Impossible", F.lit(False))).select(
-        F.concat(F.lit("heq_"), "ID").alias("id"), F.lit("heq").alias("source"), strip_marks(F.col("Context"), dialect).alias("context"), strip_marks(F.col("Question"), dialect).alias("question"),
-        F.transform(a["text"], lambda t: strip_marks(t, dialect)).alias("answers"), F.transform(a["answer_start"], lambda x: x.cast("int")).alias("answer_start"),
-    )
-    return _clean(rows)
+    """Marks go from the passage and the question; the answers stay as they are."""
+    rows = _possible(raw, "Is_Impossible").withColumn("_a", parse_answers(F.col("Answers")))
+    bare = lambda c: strip_marks(F.col(c), dialect)
+    return _unified(rows, F.concat(F.lit("heq_"), "ID"), "heq", bare("Context"), bare("Question"), F.col("_a.text"), F.col("_a.answer_start"))
 
 
-def parashoot(raw: DataFrame, dialect: Dialect, split: str) -> DataFrame:
-    rows = raw.select(F.inline("data")).filter(~F.coalesce("is_impossible", F.lit(False)))
-    rows = rows.select(
-        F.concat(F.lit(f"parashoot_{split}_"), "id").alias("id"), F.lit("parashoot").alias("source"), strip_marks(F.col("context"), dialect).alias("context"), strip_marks(F.col("question"), dialect).alias("question"),
-        F.transform("answers.text", lambda t: strip_marks(t, dialect)).alias("answers"), F.col("answers.answer_start").alias("answer_start"),
-    )
-    return _clean(rows)
+def parashoot(raw: DataFrame, dialect: Dialect) -> DataFrame:
+    rows = _possible(raw.select(F.inline("data")), "is_impossible").withColumn("_a", parse_answers(F.col("answers")))
+    bare = lambda c: strip_marks(F.col(c), dialect)
+    return _unified(rows, F.concat(F.lit("parashoot_"), "id"), "parashoot", bare("context"), bare("question"), F.col("_a.text"), F.col("_a.answer_start"))
 
 
 def mkqa(raw: DataFrame, dialect: Dialect, language: str) -> DataFrame:
-    rows = raw.select(
-        F.concat(F.lit("mkqa_"), "example_id").alias("id"), F.lit("mkqa").alias("source"), F.lit(None).cast("string").alias("context"), strip_marks(F.col("queries")[language], dialect).alias("question"),
-        flatten_answers(F.col("answers")[language], dialect).alias("answers"), F.lit(None).cast("array<int>").alias("answer_start"),
-    )
-    return _clean(rows)
+    """Questions of nothing but white space go; one of nothing but marks stays, empty."""
+    rows = raw.withColumn("_q", trim_white(F.col("queries")[language])).filter(~blank(F.col("_q")))
+    return _unified(rows, F.concat(F.lit("mkqa_"), "example_id"), "mkqa", F.lit(None).cast("string"), strip_marks(F.col("_q"), dialect), flatten_answers(F.col("answers")[language], dialect))
 
 
 def two_conditions(raw: DataFrame, source: str, key: Column, plain: tuple[Column, Column], marked: tuple[Column, Column], answers: Column, starts: Column | None = None) -> DataFrame:
-    """One scan to both conditions; each pair is (context, question). The column condition is plain or marked."""
+    """One scan to both conditions of examples that have an answer; each pair is (context, question). The column condition is
+    plain or marked; an example has both or none."""
     both = F.array(*(F.struct(F.lit(n).alias("condition"), c.alias("context"), q.alias("question")) for n, (c, q) in (("plain", plain), ("marked", marked))))
-    rows = raw.select(key.alias("id"), F.lit(source).alias("source"), answers.alias("answers"), (F.lit(None).cast("array<int>") if starts is None else starts).alias("answer_start"), F.inline(both))
-    return rows.filter((F.size("answers") > 0) & ~blank(F.col("question")))
+    rows = raw.select(key.alias("id"), F.lit(source).alias("source"), answers.alias("answers"), (F.lit(None) if starts is None else starts).cast("array<int>").alias("answer_start"), F.inline(both))
+    return rows.filter(F.size("answers") > 0)
 
 
 def _split_id(source: str) -> Column:
     return F.concat(F.lit(f"{source}_"), F.col("split"), F.lit("_"), F.col("id"))
 
 
-def arcd(raw: DataFrame) -> DataFrame:
-    """raw: as read_splits() gives it."""
-    c = F.col
-    return two_conditions(raw, "arcd", _split_id("arcd"), (c("context"), c("question")), (c("context_tashkeel"), c("question_tashkeel")), c("answers.text"), c("answers.answer_start"))
+def arcd(raw: DataFrame, dialect: Dialect) -> DataFrame:
+    """raw: as read_splits() gives it. The plain side is stripped, the marked side as it is."""
+    c, bare = F.col, lambda x: strip_marks(F.col(x), dialect)
+    return two_conditions(raw, "arcd", _split_id("arcd"), (bare("context"), bare("question")), (c("context_tashkeel"), c("question_tashkeel")), c("answers.text"), c("answers.answer_start"))
 
 
 def tydiqa(raw: DataFrame) -> DataFrame:
+    """The plain side comes without marks; offsets in bytes are no starts."""
     c = F.col
     return two_conditions(raw, "tydiqa", _split_id("tydiqa"), (c("passage_text_clean"), c("question_text_clean")), (c("passage_text_tashkeel"), c("question_text_tashkeel")), c("answers.text"))
 
 
 def mkqa_conditions(raw: DataFrame, dialect: Dialect) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return two_conditions(raw, "mkqa", F.concat(F.lit("mkqa_"), "example_id"), (none, F.col("query_ar")), (none, F.col("query_ar_tashkeel")), flatten_answers(F.col("answers_ar"), dialect))
+    """Whether a question is blank is asked of the plain one; both conditions go then."""
+    none, rows = F.lit(None).cast("string"), raw.withColumn("_q", trim_white(F.col("query_ar"))).filter(~blank(F.col("_q")))
+    return two_conditions(rows, "mkqa", F.concat(F.lit("mkqa_"), "example_id"), (none, strip_marks(F.col("_q"), dialect)), (none, F.col("query_ar_tashkeel")), flatten_answers(F.col("answers_ar"), dialect))
 
 
 def source_of_file(name: Column) -> Column:
