@@ -384,24 +384,32 @@ def pilot_cell_sample(spark, sf_dir):
     return sampling.cell_sample(_docs(spark, sf_dir).withColumn("f1_level", level), ARABIC.pilot_cell, ARABIC.pilot_levels, ["lang"]).select("id", "lang", "f1_level")
 
 
-@query("""WITH s AS (SELECT lang AS bucket, count(*) AS pool, min(doc_id) AS o FROM documents GROUP BY lang),
-t AS (SELECT *, sum(pool) OVER () AS total, round_even(100.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM s),
-u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
-SELECT bucket, pool, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(pool, CASE WHEN last THEN 100 - before ELSE share END) END)::BIGINT AS quota FROM u""")
+def _quotas(pool: str, size: int, name: str = "q") -> str:
+    """CTEs of the quotas over `pool` (id, bucket): a fold over the buckets, each of which takes no more than what is left."""
+    take = f"CASE WHEN {{0}}.total <= {size} THEN {{0}}.pool ELSE least(CASE WHEN {{0}}.i = {{0}}.k THEN {{1}} ELSE round_even({size}.0::DOUBLE * {{0}}.pool / {{0}}.total, 0)::BIGINT END, {{1}}, {{0}}.pool) END".format
+    first, later = take("x", f"{size}::BIGINT"), take("x", "y.rest")
+    return f"""{name}_s AS (SELECT bucket, count(*) AS pool, min(id) AS o FROM {pool} GROUP BY bucket),
+{name}_o AS (SELECT bucket, pool, row_number() OVER (ORDER BY o) AS i, count(*) OVER () AS k, (sum(pool) OVER ())::BIGINT AS total FROM {name}_s),
+{name} AS (SELECT x.i AS i, x.bucket AS bucket, x.pool AS pool, {first}::BIGINT AS quota, ({size} - ({first}))::BIGINT AS rest FROM {name}_o AS x WHERE x.i = 1
+  UNION ALL SELECT x.i, x.bucket, x.pool, ({later})::BIGINT, (y.rest - ({later}))::BIGINT FROM {name} AS y JOIN {name}_o AS x ON x.i = y.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, lang AS bucket FROM documents), e AS (SELECT doc_id AS id, doc_id % 7 AS bucket FROM documents), {_quotas('d', 100)}, {_quotas('e', 5, 'w')}
+SELECT bucket, pool, quota FROM q UNION ALL SELECT bucket::VARCHAR, pool, quota FROM w""")
 def proportional_quotas(spark, sf_dir):
-    return sampling.proportional_quotas(_docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket")), 100)
+    """By language, and by seven buckets that would share out more than there is."""
+    d = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket"))
+    small = d.withColumn("bucket", (F.col("id") % 7).cast("string"))
+    return sampling.proportional_quotas(d, 100).unionByName(sampling.proportional_quotas(small, 5))
 
 
-@query("""WITH s AS (SELECT lang AS bucket, count(*) AS pool, min(doc_id) AS o FROM documents GROUP BY lang),
-t AS (SELECT *, sum(pool) OVER () AS total, round_even(100.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM s),
-u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
-q AS (SELECT bucket, greatest(0, CASE WHEN total <= 100 THEN pool ELSE least(pool, CASE WHEN last THEN 100 - before ELSE share END) END)::BIGINT AS quota FROM u),
-r AS (SELECT doc_id AS id, lang AS bucket, md5('42:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents),
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, doc_id % 7 AS bucket FROM documents), {_quotas('d', 25)},
+r AS (SELECT id, bucket, md5('42:' || id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || id), id) AS r FROM d),
 k AS (SELECT id, r.bucket, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM r JOIN q ON r.bucket = q.bucket)
-SELECT id, bucket FROM k WHERE k <= 100""")
+SELECT id, bucket FROM k WHERE k <= 25""")
 def proportional_sample(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket"))
-    return sampling.proportional_sample(rows, 100).select("id", "bucket")
+    rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), (F.col("id") % 7).alias("bucket"))
+    return sampling.proportional_sample(rows, 25).select("id", "bucket")
 
 
 @query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
@@ -411,21 +419,18 @@ def length_bucket(spark, sf_dir):
 
 def _sampled(source: str, size: int, pool: str, name: str) -> str:
     """CTEs of a proportional sample over `pool` (id, question, bucket); the sample is `name`."""
-    return f"""{name}_s AS (SELECT bucket, count(*) AS pool, min(id) AS o FROM {pool} GROUP BY bucket),
-{name}_t AS (SELECT *, sum(pool) OVER () AS total, round_even({size}.0::DOUBLE * pool / sum(pool) OVER (), 0)::BIGINT AS share, o = max(o) OVER () AS last FROM {name}_s),
-{name}_u AS (SELECT *, coalesce(sum(share) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}_t),
-{name}_q AS (SELECT bucket, greatest(0, CASE WHEN total <= {size} THEN pool ELSE least(pool, CASE WHEN last THEN {size} - before ELSE share END) END)::BIGINT AS quota FROM {name}_u),
+    return f"""{_quotas(pool, size, f'{name}_q')},
 {name}_r AS (SELECT *, md5('42:' || id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || id), id) AS r FROM {pool}),
 {name}_k AS (SELECT x.*, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM {name}_r AS x JOIN {name}_q AS y ON x.bucket = y.bucket),
 {name} AS (SELECT id, question, bucket, '{source}' AS source FROM {name}_k WHERE k <= {size})"""
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, text AS question, source, lang AS bucket FROM documents), pa AS (SELECT min(id) AS id, question, any_value(bucket) AS bucket FROM d WHERE source = 'src1' GROUP BY question),
-{_sampled('src1', 40, 'pa', 'a')}, pb AS (SELECT min(id) AS id, question, min_by(bucket, id) AS bucket FROM d WHERE source = 'src0' AND question NOT IN (SELECT question FROM a) GROUP BY question), {_sampled('src0', 25, 'pb', 'b')}
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text AS question, source, lang AS bucket FROM documents), pa AS (SELECT min(id) AS id, question, any_value(bucket) AS bucket FROM d WHERE source = 'src1' GROUP BY question),
+{_sampled('src1', 41, 'pa', 'a')}, pb AS (SELECT min(id) AS id, question, min_by(bucket, id) AS bucket FROM d WHERE source = 'src0' AND question NOT IN (SELECT question FROM a) GROUP BY question), {_sampled('src0', 2, 'pb', 'b')}
 SELECT id, source, bucket FROM a UNION ALL SELECT id, source, bucket FROM b""")
 def sample_sources(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("text").alias("question"), "source", F.col("lang").alias("bucket"))
-    return sampling.sample_sources(rows, {"src1": 40, "src0": 25}).select("id", "source", "bucket")
+    return sampling.sample_sources(rows, {"src1": 41, "src0": 2}).select("id", "source", "bucket")
 
 
 @query(f"{_SCORED} SELECT id, CASE WHEN treated_f1 >= 0.8 THEN 'high' WHEN treated_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")

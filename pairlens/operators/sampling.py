@@ -59,16 +59,21 @@ def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
 
 
 def proportional_quotas(rows: DataFrame, size: int, bucket: str = "bucket") -> DataFrame:
-    """Quota of each bucket (in order of first appearance by ord): half-even shares, the last takes what is left."""
+    """Quota of each bucket, in order of first appearance by ord: half-even shares of `size`, the last takes what is left, and
+    none takes more than what is left. A fold over one row that has the sizes of all buckets."""
     sizes = rows.groupBy(bucket).agg(F.count("*").alias("pool"), F.min("ord").alias("_o"))
-    all_ = Window.partitionBy(F.lit(0))
-    by_order = all_.orderBy("_o")
-    total = F.sum("pool").over(all_)
-    share = F.bround(size * F.col("pool") / total).cast("long")
-    sizes = sizes.withColumns({"_total": total, "_share": share, "_last": F.col("_o") == F.max("_o").over(all_)})
-    before = F.coalesce(F.sum("_share").over(by_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = F.when(F.col("_total") <= size, F.col("pool")).otherwise(F.least("pool", F.when(F.col("_last"), size - before).otherwise(F.col("_share"))))
-    return sizes.select(bucket, "pool", F.greatest(quota, F.lit(0)).cast("long").alias("quota"))
+    kind = f"struct<{bucket}:{rows.schema[bucket].dataType.simpleString()},pool:bigint,quota:bigint>"
+    held = sizes.agg(F.array_sort(F.collect_list(F.struct("_o", F.col(bucket).alias("bucket"), "pool"))).alias("b"), F.sum("pool").alias("total"))
+    held = held.withColumn("b", F.transform("b", lambda x, i: F.struct(x["bucket"].alias("bucket"), x["pool"].alias("pool"), (i == F.size("b") - 1).alias("last"))))
+    start = F.struct(F.lit(size).cast("long").alias("left"), F.array().cast(f"array<{kind}>").alias("done"))
+
+    def taken(state, x):
+        share = F.bround(size * x["pool"] / F.col("total")).cast("long")
+        quota = F.when(F.col("total") <= size, x["pool"]).otherwise(F.least(F.when(x["last"], state["left"]).otherwise(share), state["left"], x["pool"]))
+        one = F.struct(x["bucket"].alias(bucket), x["pool"].alias("pool"), quota.alias("quota")).cast(kind)
+        return F.struct((state["left"] - quota).alias("left"), F.concat(state["done"], F.array(one)).alias("done"))
+
+    return held.select(F.inline(F.aggregate("b", start, taken, lambda state: state["done"])))
 
 
 def proportional_sample(rows: DataFrame, size: int, bucket: str = "bucket", seed: int = 42) -> DataFrame:

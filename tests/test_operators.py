@@ -105,3 +105,32 @@ def test_providers_retry(spark):
     assert providers.Retrying(lambda x: 1 / 0, wait=lambda k: 0)(["a"]) == ['{"label": "ERROR"}']
     out = providers.apply(spark.createDataFrame([("a b c",)], "t string"), lambda: providers.Echo(2), "t", "p").first()
     assert out.p == "a b"
+
+
+def test_quotas_never_share_out_more_than_there_is(spark):
+    """Against a plain loop over the buckets, with pools whose shares round up."""
+    import random
+
+    def loop(pools, size):
+        if sum(pools) <= size:
+            return pools
+        left, out = size, []
+        for k, pool in enumerate(pools):
+            target = left if k == len(pools) - 1 else min(round(size * pool / sum(pools)), pool)
+            out.append(min(target, left, pool))
+            left -= out[-1]
+        return out
+
+    rng = random.Random(0)
+    cases = [([3, 3, 3, 1], 5), ([1, 2], 3), ([5], 3), ([1] * 9, 4), ([7, 1, 1, 1, 1, 1], 6)] + [([rng.randint(1, 6) for _ in range(rng.randint(1, 8))], rng.randint(0, 25)) for _ in range(6)]
+    for pools, size in cases:
+        buckets = [f"b{(7 * k) % 10}" for k in range(len(pools))]
+        rows, at = [], 0
+        for b, n in zip(buckets, pools, strict=True):
+            rows += [(at + k, at + k, b) for k in range(n)]
+            at += n
+        df = spark.createDataFrame(rows, "id long, ord long, bucket string")
+        got = {r.bucket: r.quota for r in sampling.proportional_quotas(df, size).collect()}
+        assert [got[b] for b in buckets] == loop(pools, size), (pools, size)
+        held = {r.bucket: r["count"] for r in sampling.proportional_sample(df, size).groupBy("bucket").count().collect()}
+        assert sum(held.values()) == min(size, sum(pools)) and all(held.get(b, 0) >= got[b] for b in buckets)
