@@ -108,8 +108,10 @@ _SUMS = f"""count(*) AS n, sum(base_em)::BIGINT AS base_em_hits, sum(treated_em)
 
 @query(f"{_SCORED} SELECT {_SUMS} FROM p JOIN labels ON id = doc_id WHERE quality = 1")
 def filtered_delta(spark, sf_dir):
-    quality = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return delta.filtered_delta(_pairs(spark, sf_dir), quality, [1])
+    """Every second id is in the lookup table twice, first with the wrong quality."""
+    labels = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    twice = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit(1).alias("line"), (1 - F.col("quality")).alias("quality")), F.struct(F.lit(2).alias("line"), "quality"))).otherwise(F.array(F.struct(F.lit(1).alias("line"), "quality")))
+    return delta.filtered_delta(_pairs(spark, sf_dir), labels.select("id", F.inline(twice)), [1], "line")
 
 
 _FIGURES = ("n", "base_em_hits", "treated_em_hits", "base_f1_sum", "treated_f1_sum", "helped", "hurt")
@@ -154,9 +156,10 @@ def normalize_he(spark, sf_dir):
     return _with_marks(spark, sf_dir, "ָ").select("doc_id", F.md5(tx.normalise(F.col("marked"), HEBREW)).alias("norm"))
 
 
-@query(_NORM)
+@query(_NORM.replace("' ')) AS norm", "' ') || ' i' || chr(775) || 'stanbul') AS norm"))
 def normalize_ar(spark, sf_dir):
-    return _with_marks(spark, sf_dir, "َ").select("doc_id", F.md5(tx.normalise(F.concat("marked", F.lit(" في هذا")), ARABIC)).alias("norm"))
+    """With stop words, and a capital that is two characters in lower case, of which one is no part of a word."""
+    return _with_marks(spark, sf_dir, "َ").select("doc_id", F.md5(tx.normalise(F.concat("marked", F.lit(" في هذا İstanbul")), ARABIC)).alias("norm"))
 
 
 @query(f"WITH {_QA} SELECT id, (treated = gold OR treated = gold2)::INT AS em FROM qa")
@@ -271,7 +274,7 @@ SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'ERROR' WHEN upper
 def label_parse(spark, sf_dir):
     """Replies of a judge, some with other labels and some that aren't JSON."""
     k = F.col("conv_id") + F.col("turn")
-    label = F.when(k % 5 == 0, " correct ").when(k % 5 == 1, "INCORRECT").when(k % 5 == 2, "maybe").otherwise("Correct")
+    label = F.when(k % 5 == 0, " correct\n\u2003").when(k % 5 == 1, "INCORRECT").when(k % 5 == 2, "maybe").otherwise("Correct")
     reply = F.when(k % 7 == 0, "no JSON").otherwise(F.to_json(F.struct(label.alias("label"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("reason"))))
     return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.parse_label(reply).alias("label"), tx.parse_reason(reply).alias("reason"))
 
@@ -355,7 +358,7 @@ def fragmentation_pearson(spark, sf_dir):
 
 
 @query(f"""WITH f AS ({_FRAG}), r AS (SELECT corr(no_tok_count::DOUBLE, with_tok_count::DOUBLE) AS r FROM f UNION ALL SELECT corr(no_tok_count::DOUBLE, -with_tok_count::DOUBLE) FROM f UNION ALL SELECT NULL)
-SELECT round(r, 6) AS r, CASE WHEN r IS NULL THEN 'Undefined' WHEN r < -0.2 THEN 'Negative' WHEN abs(r) < 0.2 THEN 'None' ELSE 'Positive' END AS reading FROM r""")
+SELECT round(r, 6) AS r, CASE WHEN r IS NULL THEN 'Undefined' WHEN r < -0.5 THEN 'Strong negative' WHEN r < -0.2 THEN 'Moderate negative' WHEN abs(r) < 0.2 THEN 'None' ELSE 'Positive' END AS reading FROM r""")
 def correlation_reading(spark, sf_dir):
     points = _frag(spark, sf_dir, "bytes").withColumn("down", -F.col("with_tok_count"))
     r = [fragmentation.pearson(x, "no_tok_count", y).select("r") for x, y in ((points, "with_tok_count"), (points, "down"), (points.limit(1), "down"))]
@@ -509,7 +512,11 @@ def cells_of_all(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     r = fx.ratings(spark, sf_dir)
-    cell = F.explode(F.array(F.struct(F.lit("plain").alias("condition"), F.col("human").alias("judge_label")), F.struct(F.lit("marked").alias("condition"), F.col("judge").alias("judge_label"))))
+    """Judgments of both conditions. Some come with earlier ones of the other label, or with a later ERROR, which counts for nothing."""
+    other = lambda c: F.when(F.col(c) == "CORRECT", "INCORRECT").otherwise("CORRECT")
+    one = lambda condition, line, label: F.struct(F.lit(condition).alias("condition"), F.lit(line).alias("line"), label.alias("judge_label"))
+    again = F.when(F.col("doc_id") % 4 == 0, F.array(one("marked", 1, other("judge")), one("plain", 1, other("human")), one("plain", 3, F.lit("ERROR")))).otherwise(F.array())
+    cell = F.explode(F.concat(F.array(one("plain", 2, F.col("human")), one("marked", 2, F.col("judge"))), again))
     rows = r.select(F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model"), F.col("lang").alias("source"), F.col("doc_id").alias("example_id"), F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("answer_length_bucket"), cell.alias("c"))
     return rows.select("model", "source", "example_id", "answer_length_bucket", "c.*")
 
@@ -521,17 +528,17 @@ _MOVES = "count(*) AS n, count(*) FILTER (plain = 1 AND marked = 1) AS cc, count
 
 @query(f"{_RATED} SELECT model, source, CASE WHEN grouping(model) = 1 THEN 'all' WHEN grouping(source) = 1 THEN 'model' ELSE 'model+source' END AS level, {_MOVES} FROM p GROUP BY GROUPING SETS ((model, source), (model), ())")
 def judge_accuracy_delta(spark, sf_dir):
-    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model", "source"), ("model",), ()])
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked", "line"), [("model", "source"), ("model",), ()])
 
 
 @query(f"{_RATED} SELECT model, bucket, 'model+bucket' AS level, {_MOVES} FROM p GROUP BY model, bucket")
 def judge_delta_by_bucket(spark, sf_dir):
-    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model", "bucket")])
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked", "line"), [("model", "bucket")])
 
 
 @query(f"{_RATED} SELECT model, 'model' AS level, {_MOVES} FROM p GROUP BY model")
 def transitions(spark, sf_dir):
-    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked"), [("model",)])
+    return judging.transitions(judging.paired_labels(_judged(spark, sf_dir), "plain", "marked", "line"), [("model",)])
 
 
 @query(f"{_RATED} SELECT l.human AS human, count(*) FILTER (judge = 'CORRECT') AS \"CORRECT\", count(*) FILTER (judge = 'INCORRECT') AS \"INCORRECT\" FROM (SELECT unnest(['CORRECT', 'INCORRECT']) AS human) AS l LEFT JOIN p ON p.human = l.human GROUP BY l.human")
@@ -549,14 +556,19 @@ def confusion_of_one_label(spark, sf_dir):
 j AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'ERROR' ELSE judge END AS judge FROM p WHERE doc_id % 6 <> 0)
 SELECT h.doc_id::INT AS pilot_id, upper(trim(label)) AS human, judge FROM h JOIN j ON h.doc_id = j.doc_id WHERE judge <> 'ERROR' AND h.doc_id % 13 <> 0""")
 def judge_against_human(spark, sf_dir):
-    """Untidy human labels, some blank or of other words; judgments with errors, and duplicates under ids that are no numbers."""
+    """Untidy human labels, some blank or of other words, each after another one and before a blank one; judgments with errors, and
+    duplicates under ids that are no whole numbers."""
     r = fx.ratings(spark, sf_dir)
     k = F.col("doc_id")
     messy = F.when(k % 13 == 0, "PARTIALLY_CORRECT").when(k % 4 == 0, F.lower("human")).when(k % 4 == 1, F.concat(F.lit(" "), F.col("human"))).otherwise(F.col("human"))
-    human = r.filter(k % 9 != 0).select(k.cast("string").alias("pilot_id"), messy.alias("human_label"))
+    first = F.struct(F.lit(1).alias("line"), F.lit("CORRECT").alias("human_label"))
+    last = F.struct(F.lit(2).alias("line"), F.concat(messy, F.lit("\t\n")).alias("human_label"))
+    blank = F.struct(F.lit(3).alias("line"), F.lit(" \n").alias("human_label"))
+    human = r.filter(k % 9 != 0).select(F.concat(F.lit(" "), k.cast("string")).alias("pilot_id"), F.inline(F.array(blank, last, first)))
+    human = human.unionByName(r.select(F.concat(k.cast("string"), F.lit(".0")).alias("pilot_id"), F.lit(9).alias("line"), F.lit("CORRECT").alias("human_label")))
     dup = F.concat(k.cast("string"), F.when(k % 6 == 0, "_dup").otherwise(""))
     judge = r.select(dup.alias("pilot_id"), F.when(k % 11 == 0, "ERROR").otherwise(F.col("judge")).alias("judge_label"))
-    return agreement.paired_raters(human, judge).select("pilot_id", "human", "judge")
+    return agreement.paired_raters(human, judge, "line").select("pilot_id", "human", "judge")
 
 
 @query(f"{_RATED} SELECT doc_id::VARCHAR AS pilot_id, src AS source, source AS condition, human, judge FROM p WHERE human <> judge")
@@ -572,19 +584,21 @@ def cohen_kappa(spark, sf_dir):
     return agreement.kappa(fx.ratings(spark, sf_dir)).withColumns({"expected": F.round("expected", 9), "kappa": F.round("kappa", 9)})
 
 
-@query(f"""{_RATED}, c AS (SELECT model, count(*) AS n, count(*) FILTER (human = judge) AS agree, count(*) FILTER (human = 'CORRECT') AS h, count(*) FILTER (judge = 'CORRECT') AS j FROM p GROUP BY model),
-e AS (SELECT model, agree::DOUBLE / n AS o, (h * j + (n - h) * (n - j))::DOUBLE / (n * n)::DOUBLE AS x FROM c), k AS (SELECT model, 100 * o AS share, (o - x) / (1 - x) AS k FROM e)
-SELECT model, round(share, 6) AS agreement, CASE WHEN k >= 0.8 THEN 'almost perfect' WHEN k >= 0.6 THEN 'substantial' WHEN k >= 0.4 THEN 'moderate' WHEN k >= 0.2 THEN 'fair' ELSE 'slight' END AS band,
- CASE WHEN k >= 0.6 AND share >= 80 THEN 'PROCEED' WHEN k >= 0.4 THEN 'REFINE' ELSE 'REDESIGN' END AS decision FROM k""")
+@query(f"""{_RATED}, c AS (SELECT model, count(*) AS n, count(*) FILTER (human = judge) AS agree, count(*) FILTER (human = 'CORRECT') AS h, count(*) FILTER (judge = 'CORRECT') AS j, 100 * count(*) FILTER (doc_id % 7 <> 0)::DOUBLE / count(*) AS same FROM p GROUP BY model),
+e AS (SELECT model, same, agree::DOUBLE / n AS o, (h * j + (n - h) * (n - j))::DOUBLE / (n * n)::DOUBLE AS x FROM c), k AS (SELECT model, same, 100 * o AS share, (o - x) / (1 - x) AS k FROM e)
+SELECT model, round(share, 6) AS agreement, round(same, 6) AS consistency, CASE WHEN k >= 0.8 THEN 'almost perfect' WHEN k >= 0.6 THEN 'substantial' WHEN k >= 0.4 THEN 'moderate' ELSE 'poor' END AS band,
+ CASE WHEN k >= 0.6 AND same >= 80 THEN 'PROCEED' WHEN k >= 0.4 THEN 'REFINE' ELSE 'REDESIGN' END AS decision FROM k""")
 def agreement_reading(spark, sf_dir):
-    """Agreement in percent, kappa's band and the decision, by model."""
+    """Agreement and consistency in percent, kappa's band and the decision, by model: every seventh duplicate is judged otherwise."""
     r = fx.ratings(spark, sf_dir).withColumn("model", F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")))
-    out = None
-    for m in ("m0", "m1"):
-        k = agreement.kappa(r.filter(F.col("model") == m)).withColumn("share", 100 * F.col("agree").cast("double") / F.col("n"))
-        k = k.select(F.lit(m).alias("model"), F.round("share", 6).alias("agreement"), agreement.kappa_band(F.col("kappa")).alias("band"), agreement.decision(F.col("kappa"), F.col("share")).alias("decision"))
-        out = k if out is None else out.unionByName(k)
-    return out
+    other = F.when(F.col("judge") == "CORRECT", "INCORRECT").otherwise("CORRECT")
+    second = F.when(F.col("doc_id") % 7 == 0, other).otherwise(F.col("judge"))
+    both = F.array(F.struct(F.lit(False).alias("is_duplicate"), F.col("judge").alias("judge_label")), F.struct(F.lit(True).alias("is_duplicate"), second.alias("judge_label")))
+    same = agreement.consistency(r.select("model", F.col("doc_id").alias("pilot_id_original"), F.inline(both)), ("model",))
+    share = lambda a, n: 100 * F.col(a).cast("double") / F.col(n)
+    same = same.select("model", share("agree", "n").alias("consistency"))
+    k = agreement.kappa(r, by=("model",)).withColumn("agreement", share("agree", "n")).join(same, "model")
+    return k.select("model", F.round("agreement", 6).alias("agreement"), F.round("consistency", 6).alias("consistency"), agreement.kappa_band(F.col("kappa")).alias("band"), agreement.decision(F.col("kappa"), F.col("consistency")).alias("decision"))
 
 
 @query(f"""{_RATED}, l AS (SELECT unnest(['CORRECT', 'INCORRECT']) AS label), c AS (SELECT label, count(*) FILTER (human = label AND judge = label) AS tp, count(*) FILTER (human <> label AND judge = label) AS fp, count(*) FILTER (human = label AND judge <> label) AS fn FROM l, p GROUP BY label)
@@ -606,10 +620,20 @@ def top_disagreement_directions(spark, sf_dir):
 
 @query("WITH t AS (SELECT doc_id FROM labels ORDER BY md5('99:' || doc_id), doc_id LIMIT 15) SELECT count(*) FILTER (doc_id % 5 <> 0) AS n, count(*) FILTER (doc_id % 4 <> 0 AND doc_id % 5 <> 0) AS agree, count(*) FILTER (doc_id % 5 = 0) AS skipped FROM t")
 def consistency_duplicates(spark, sf_dir):
+    return agreement.consistency(_twice_judged(spark, sf_dir))
+
+
+def _twice_judged(spark, sf_dir):
     rows = sampling.with_duplicates(fx.ratings(spark, sf_dir).select(F.col("doc_id").alias("pilot_id"), "human"), 15)
     other = F.when(F.col("human") == "CORRECT", "INCORRECT").otherwise("CORRECT")
     label = F.when(F.col("is_duplicate") & (F.col("pilot_id_original") % 5 == 0), "ERROR").when(F.col("is_duplicate") & (F.col("pilot_id_original") % 4 == 0), other).otherwise(F.col("human"))
-    return agreement.consistency(rows.withColumn("judge_label", label))
+    return rows.withColumn("judge_label", label)
+
+
+@query("""WITH t AS (SELECT doc_id, quality FROM labels ORDER BY md5('99:' || doc_id), doc_id LIMIT 15), l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'CORRECT' ELSE 'INCORRECT' END AS a, CASE WHEN quality = 1 THEN 'INCORRECT' ELSE 'CORRECT' END AS b FROM t)
+SELECT doc_id AS pilot_id, a AS first_label, CASE WHEN doc_id % 4 = 0 THEN b ELSE a END AS second_label, doc_id % 4 <> 0 AS consistent FROM l WHERE doc_id % 5 <> 0""")
+def consistency_cases(spark, sf_dir):
+    return agreement.consistency_cases(_twice_judged(spark, sf_dir))
 
 
 _LED = "WITH l AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge_label FROM events)"
@@ -639,7 +663,7 @@ def label_histogram(spark, sf_dir):
 
 @query(f"{_RATED}, u AS (SELECT model, 'plain' AS condition, plain AS hit FROM p UNION ALL SELECT model, 'marked', marked FROM p) SELECT model, condition, count(*) AS n, count(*) FILTER (hit = 1) AS hits FROM u GROUP BY model, condition")
 def model_condition_accuracy(spark, sf_dir):
-    return judging.accuracy(_judged(spark, sf_dir), ["model", "condition"])
+    return judging.accuracy(_judged(spark, sf_dir).filter("line = 2"), ["model", "condition"])
 
 
 @query(f"{_LED} SELECT event_id, judge_label FROM l WHERE judge_label <> 'ERROR'")

@@ -37,6 +37,7 @@ class Dialect:
     extractive: str
     open_domain: str
     stop_words: tuple[str, ...] = ()
+    lower_last: bool = False
     answer_types: tuple[str, ...] = ("entity", "short_phrase", "value")
     pilot_cell: int = 5
     pilot_levels: dict[str, int] = field(default_factory=dict, hash=False)
@@ -49,6 +50,6 @@ HEBREW = Dialect(
     targets={"heq": 600, "parashoot": 500, "mkqa": 400},
 )
 ARABIC = Dialect(
-    "arabic", ARABIC_MARKS, "no_tashkeel", "with_tashkeel", ARABIC_EXTRACTIVE, ARABIC_OPEN, stop_words=STOP_WORDS, answer_types=("entity", "short_phrase", "value", "number_with_unit"),
+    "arabic", ARABIC_MARKS, "no_tashkeel", "with_tashkeel", ARABIC_EXTRACTIVE, ARABIC_OPEN, stop_words=STOP_WORDS, lower_last=True, answer_types=("entity", "short_phrase", "value", "number_with_unit"),
     pilot_cell=5, pilot_levels={"high": 2, "mid": 1, "low": 2}, targets={"arcd": 500, "tydiqa": 600, "mkqa": 400},
 )

@@ -26,8 +26,11 @@ def split_words(text: Column) -> Column:
 
 def tokens(text: Column, dialect: Dialect) -> Column:
     """Words without marks, punctuation and (Arabic) stop words, lower case. Materialise as a column before scoring."""
-    bare = F.lower(strip_marks(F.coalesce(text, F.lit("")), dialect))
-    words = F.filter(F.split(bare, NOT_WORD), lambda t: t != "")
+    bare = strip_marks(F.coalesce(text, F.lit("")), dialect)
+    # lower case may need a mark (of a dotted capital I), which is no part of a word: it matters what comes first
+    words = F.split(bare, NOT_WORD) if dialect.lower_last else F.split(F.lower(bare), NOT_WORD)
+    words = F.filter(words, lambda t: t != "")
+    words = F.transform(words, F.lower) if dialect.lower_last else words
     return F.filter(words, lambda t: ~t.isin(*dialect.stop_words)) if dialect.stop_words else words
 
 
@@ -190,7 +193,7 @@ def judge_message(question: Column, answers: Column, prediction: Column, context
 
 def parse_label(reply: Column, labels: tuple[str, ...] = ("CORRECT", "INCORRECT")) -> Column:
     """label of a JSON reply; ERROR unless it is one of labels."""
-    label = F.upper(F.trim(F.from_json(reply, "label string")["label"]))
+    label = trim_white(F.upper(F.from_json(reply, "label string")["label"]))
     return F.when(label.isin(*labels), label).otherwise("ERROR")
 
 

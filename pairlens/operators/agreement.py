@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.score import last_of_each
+from ..functions.text import trim_white
+from ..sources.ingest import whole_number
 from .judging import LABELS
 
 
 def clean_label(label: Column) -> Column:
-    return F.upper(F.trim(F.coalesce(label, F.lit(""))))
+    return F.upper(trim_white(F.coalesce(label, F.lit(""))))
 
 
-def paired_raters(human: DataFrame, judge: DataFrame) -> DataFrame:
-    """Joined on the whole-number pilot_id; others (duplicates) and invalid labels go."""
-    h = human.select(F.expr("try_cast(pilot_id as int)").alias("pilot_id"), clean_label(F.col("human_label")).alias("human"))
-    j = judge.withColumn("pilot_id", F.expr("try_cast(pilot_id as int)")).withColumn("judge", clean_label(F.col("judge_label")))
+def paired_raters(human: DataFrame, judge: DataFrame, order: str) -> DataFrame:
+    """Joined on the whole-number pilot_id; others (duplicates) and invalid labels go. Of a person's labels of one id the last
+    that isn't blank counts, by the column `order`; the judge's labels count as they are written."""
+    number = lambda x: x.withColumn("pilot_id", whole_number(F.col("pilot_id").cast("string")).cast("int")).filter("pilot_id is not null")
+    h = number(human).select("pilot_id", clean_label(F.col("human_label")).alias("human"), order).filter("human <> ''")
+    h = last_of_each(h, ["pilot_id"], order).select("pilot_id", "human")
+    j = number(judge).withColumn("judge", F.col("judge_label"))
     return h.filter(h.human.isin(*LABELS)).join(j.filter(j.judge.isin(*LABELS)), "pilot_id")
 
 
@@ -25,12 +31,12 @@ def confusion(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     return rows.agg(F.array(*(F.struct(F.lit(h).alias("human"), *(cell(h, j) for j in labels)) for h in labels)).alias("c")).select(F.inline("c"))
 
 
-def kappa(rows: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """n, agree, expected and Cohen's kappa: 0 for no rows, 1 where agreement is certain."""
+def kappa(rows: DataFrame, labels: tuple[str, ...] = LABELS, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, agree, expected and Cohen's kappa, for each group of `by`: 0 for no rows, 1 where agreement is certain."""
     is_ = lambda c, x: F.count_if(F.col(c) == x)
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("human") == F.col("judge")).alias("agree"), *(is_(c, x).alias(f"{c}_{k}") for c in ("human", "judge") for k, x in enumerate(labels)))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("human") == F.col("judge")).alias("agree"), *(is_(c, x).alias(f"{c}_{k}") for c in ("human", "judge") for k, x in enumerate(labels)))
     products = sum((F.col(f"human_{k}") * F.col(f"judge_{k}") for k in range(1, len(labels))), F.col("human_0") * F.col("judge_0"))
-    out = counts.select("n", "agree", F.try_divide(products.cast("double"), (F.col("n") * F.col("n")).cast("double")).alias("expected"))
+    out = counts.select(*by, "n", "agree", F.try_divide(products.cast("double"), (F.col("n") * F.col("n")).cast("double")).alias("expected"))
     observed = F.try_divide(F.col("agree").cast("double"), F.col("n").cast("double"))
     k = F.when(F.col("n") == 0, 0.0).when(F.col("expected") >= 1, 1.0).otherwise(F.try_divide(observed - F.col("expected"), 1 - F.col("expected")))
     return out.withColumn("kappa", k)
@@ -65,17 +71,29 @@ def top_directions(rows: DataFrame, k: int = 5) -> DataFrame:
     return disagreements(rows, []).filter("dimension = 'direction'").select(F.col("value").alias("direction"), "n").orderBy(F.desc("n"), "direction").limit(k)
 
 
-def consistency(judged: DataFrame) -> DataFrame:
-    """Duplicates against their originals: n compared, agree, skipped (a label isn't valid)."""
-    first = judged.filter("not is_duplicate").select(F.col("pilot_id_original"), F.col("judge_label").alias("first"))
-    again = judged.filter("is_duplicate").join(first, "pilot_id_original", "left")
-    ok = F.coalesce(F.col("first").isin(*LABELS) & F.col("judge_label").isin(*LABELS), F.lit(False))
-    return again.agg(F.count_if(ok).alias("n"), F.count_if(ok & (F.col("first") == F.col("judge_label"))).alias("agree"), F.count_if(~ok).alias("skipped"))
+def _checked(judged: DataFrame) -> DataFrame:
+    """Duplicates with the label of their originals, and whether both are valid."""
+    first = judged.filter("not is_duplicate").select("pilot_id_original", F.col("judge_label").alias("first_label"))
+    again = judged.filter("is_duplicate").withColumnRenamed("judge_label", "second_label").join(first, "pilot_id_original", "left")
+    return again.withColumn("valid", F.coalesce(F.col("first_label").isin(*LABELS) & F.col("second_label").isin(*LABELS), F.lit(False)))
+
+
+def consistency(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Duplicates against their originals, for each group of `by`: n compared, agree, skipped (a label isn't valid)."""
+    same = F.col("valid") & (F.col("first_label") == F.col("second_label"))
+    return _checked(judged).groupBy(*by).agg(F.count_if("valid").alias("n"), F.count_if(same).alias("agree"), F.count_if(~F.col("valid")).alias("skipped"))
+
+
+def consistency_cases(judged: DataFrame) -> DataFrame:
+    """Each duplicate that was compared: pilot_id of the original, first_label, second_label, consistent."""
+    same = F.col("first_label") == F.col("second_label")
+    return _checked(judged).filter("valid").select(F.col("pilot_id_original").alias("pilot_id"), "first_label", "second_label", same.alias("consistent"))
 
 
 def kappa_band(k: Column) -> Column:
-    return F.when(k >= 0.8, "almost perfect").when(k >= 0.6, "substantial").when(k >= 0.4, "moderate").when(k >= 0.2, "fair").otherwise("slight")
+    return F.when(k >= 0.8, "almost perfect").when(k >= 0.6, "substantial").when(k >= 0.4, "moderate").otherwise("poor")
 
 
 def decision(k: Column, consistent: Column) -> Column:
+    """From kappa and the percentage of duplicates that were judged alike."""
     return F.when((k >= 0.6) & (consistent >= 80), "PROCEED").when(k >= 0.4, "REFINE").otherwise("REDESIGN")

@@ -73,9 +73,11 @@ def score_by_source(rows: DataFrame, lengths: bool = False) -> DataFrame:
     return rolled.withColumn("source", F.when(F.col("_all") == 1, "overall").otherwise(F.col("source"))).drop("_all")
 
 
-def filtered_delta(pairs: DataFrame, quality: DataFrame, keep: list, column: str = "quality") -> DataFrame:
-    """Sums over the pairs whose quality is one of keep; rows without one go. quality (id, quality) is a lookup table."""
-    return sums(pairs.join(quality, "id", "left").filter(F.col(column).isin(*keep)))
+def filtered_delta(pairs: DataFrame, quality: DataFrame, keep: list, order: str, column: str = "quality") -> DataFrame:
+    """Sums over the pairs whose quality is one of keep; rows without one go. quality (id, quality) is a lookup table, in which
+    the last row of an id, by the column `order`, counts."""
+    lookup = last_of_each(quality.select("id", column, order), ["id"], order).filter(F.col(column).isin(*keep))
+    return sums(pairs.join(lookup.select("id"), "id", "left_semi"))
 
 
 def sums(pairs: DataFrame, *by: str) -> DataFrame:

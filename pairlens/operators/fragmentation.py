@@ -39,4 +39,4 @@ def pearson(points: DataFrame, x: str, y: str) -> DataFrame:
 
 def interpretation(r: Column) -> Column:
     """The order of the branches decides at the borders."""
-    return F.when(r.isNull(), "Undefined").when(r < -0.2, "Negative").when(F.abs(r) < 0.2, "None").otherwise("Positive")
+    return F.when(r.isNull(), "Undefined").when(r < -0.5, "Strong negative").when(r < -0.2, "Moderate negative").when(F.abs(r) < 0.2, "None").otherwise("Positive")

@@ -65,11 +65,10 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("judge_label").isin(*LABELS))
 
 
-def paired_labels(rows: DataFrame, plain: str, marked: str, order: str | None = None) -> DataFrame:
-    """model, source, example_id, plain, marked (1 for CORRECT): valid labels in both conditions, the last of each."""
-    rows = valid(rows)
-    if order:
-        rows = last_of_each(rows, ["model", "source", "example_id", "condition"], order)
+def paired_labels(rows: DataFrame, plain: str, marked: str, order: str) -> DataFrame:
+    """model, source, example_id, plain, marked (1 for CORRECT): valid labels in both conditions, the last of each by the
+    column `order`."""
+    rows = last_of_each(valid(rows), ["model", "source", "example_id", "condition"], order)
     hit = F.when(F.col("judge_label") == "CORRECT", 1).otherwise(0)
     pick = lambda c: F.max(F.when(F.col("condition") == c, hit))
     both = rows.groupBy("model", "source", "example_id").agg(F.first("answer_length_bucket").alias("bucket"), pick(plain).alias("plain"), pick(marked).alias("marked"))

@@ -366,3 +366,39 @@ def reordered_overlay(spark, sf_dir):
     t = F.regexp_replace(F.translate("text", "bdfklmnrst", "بدفكلمنرست"), "([aeiou])", _FATHA)
     rows = _docs(spark, sf_dir).select(F.col("k").alias("id"), t.alias("context"), "source")
     return rows.withColumns({"context": tx.checked_reorder(F.col("context"))}).withColumn("context", F.md5("context"))
+
+
+_REPEATED = """, l AS (SELECT k AS id, source, length(text) AS n, k % 2 = 0 AS twice FROM d)"""
+
+
+@query(f"""{_D}{_REPEATED} SELECT id::VARCHAR AS id, source, (n % 2)::INT AS base_em, (n % 3 = 0)::INT AS treated_em, (n % 10000 / 10000)::DOUBLE AS base_f1, (n % 1000 / 1000)::DOUBLE AS treated_f1,
+ ((n % 3 = 0)::INT - n % 2)::INT AS delta_em, round(n % 1000 / 1000 - n % 10000 / 10000, 4)::DOUBLE AS delta_f1 FROM l WHERE id % 5 <> 0""")
+def paired_last_lines(spark, sf_dir):
+    """Two directories of JSON lines, in which every second id stands twice on both sides, in another file or another line: the
+    last line counts. Every fifth id has no treated line."""
+    d, base, treated, k = _docs(spark, sf_dir), scratch(spark, "base"), scratch(spark, "treated"), F.col("k")
+    n = F.length("text")
+    example = lambda em, f1: d.select(k.cast("string").alias("id"), "source", em.cast("int").alias("em"), f1.alias("f1"), F.lit("p").alias("prediction"), "k")
+    sides = {base: example(n % 2, n % 10000 / 10000), treated: example(n % 3 == 0, n % 1000 / 1000).filter("k % 5 <> 0")}
+    for path, rows in sides.items():
+        wrong = rows.filter("k % 2 = 0").withColumns({"em": 1 - F.col("em"), "f1": F.lit(9.0)})
+        # a file of wrong lines, then one in which wrong and right lines of the same ids follow each other
+        report.write_examples(wrong.filter("k % 4 = 0").drop("k"), f"{path}/a_eval.jsonl")
+        both = wrong.filter("k % 4 <> 0").withColumn("nth", F.lit(1)).unionByName(rows.withColumn("nth", F.lit(2)))
+        report.write_examples(both.repartition(3, "k").sortWithinPartitions("k", "nth").drop("k", "nth"), f"{path}/b_eval.jsonl")
+    read = lambda path: ingest.read_directory(spark, path, "id string, source string, em int, f1 double, prediction string").drop("file")
+    source = lambda rows: rows.withColumn("source", F.lit("x"))  # noqa: E731  the readers name it by the file
+    pairs = delta.paired(source(read(base)), source(read(treated)), "ord")
+    return pairs.drop("base_pred", "treated_pred", "source").join(d.select(k.cast("string").alias("id"), "source"), "id")
+
+
+@query(f"{_D} SELECT 'part' AS file, k AS id, (row_number() OVER (ORDER BY k) - 1) * 2 AS line, md5(text) AS text FROM d")
+def numbered_lines(spark, sf_dir):
+    """One file of a line for each document and a blank line after it, read in many splits: every line has its number."""
+    path = scratch(spark, "lines")
+    lines = _docs(spark, sf_dir).select("k", F.concat(F.to_json(F.struct("k", "text")), F.lit("\n")).alias("value"))
+    # read in splits of this size
+    lines.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(path)
+    rows = ingest.read_lines(spark, path).filter("value <> ''")
+    one = F.from_json("value", "k long, text string")
+    return rows.select(F.lit("part").alias("file"), one["k"].alias("id"), "line", F.md5(one["text"]).alias("text"))

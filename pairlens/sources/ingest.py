@@ -6,12 +6,13 @@ import ast
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from ..functions.dialect import Dialect
 from ..functions.text import blank, flatten_answers, strip_marks, trim_white
+from ..storage import stored
 
 EXAMPLE = "id string, source string, context string, question string, answers array<string>, answer_start array<int>"
 HEQ = "ID string, Context string, Question string, Is_Impossible boolean, Question_Quality string, Answers string"
@@ -23,16 +24,38 @@ JUDGMENT = "row_id int, example_id string, source string, model string, conditio
 HUMAN = "pilot_id string, question string, context string, gold_answers string, prediction string, human_label string, human_notes string"
 
 
+def file_order() -> Column:
+    """The place of a row of a text file: the file's path, where its split begins, and a number that grows within the split.
+    Rows in this order are in the order of files by name and of lines within them; no task needs to see a whole file."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Lines that aren't JSON are dropped; gzip is read as such. file: the file's name, an ordinal of directories."""
+    """Lines that aren't JSON are dropped; gzip is read as such. file: the file's name; ord: the row's place, by which the
+    last of several rows is the last line."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"))
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), file_order().alias("ord"))
     return rows.filter("_corrupt_record is null").drop("_corrupt_record")
 
 
+#: Splits of files whose numbers are broadcast.
+SPLITS = 100_000
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file, line: the lines of text files with their numbers within the file, from 0. Two scans: the first counts the
+    lines of each split, one row for each, and what lies before a split is added to the places within it."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), file_order().alias("ord")).select("value", "file", "ord.*")
+    splits = raw.groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stored(splits.select("path", "block", (before - F.col("first")).alias("add")), "splits")
+    splits = F.broadcast(splits) if splits.count() <= SPLITS else splits
+    return raw.join(splits, ["path", "block"]).select("value", "file", (F.col("row") + F.col("add")).alias("line"))
+
+
 def read_directory(spark: SparkSession, path: str, schema: str, pattern: str = "*.jsonl") -> DataFrame:
-    """All files (or directories written as such) of a directory, by name: `file` has the name, `source` what it is of. An
-    empty directory is an error."""
+    """All files (or directories written as such) of a directory, by name: `file` has the name, `source` what it is of, `ord`
+    the place of the row. An empty directory is an error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
     if not len(found):
@@ -40,7 +63,8 @@ def read_directory(spark: SparkSession, path: str, schema: str, pattern: str = "
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json([f.getPath().toString() for f in found])
     ends = pattern.lstrip("*").replace(".", r"\.")
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+{ends})(?:/[^/]*)?$", 1)
-    return rows.select("*", name.alias("file")).filter("_corrupt_record is null").drop("_corrupt_record").withColumn("source", source_of_file(F.col("file")))
+    rows = rows.select("*", name.alias("file"), file_order().alias("ord")).filter("_corrupt_record is null").drop("_corrupt_record")
+    return rows.withColumn("source", source_of_file(F.col("file")))
 
 
 def read_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -73,7 +97,13 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 def read_human_labels(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(HUMAN).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.withColumn("pilot_id", F.expr("try_cast(pilot_id as int)")).filter("pilot_id is not null")
+    rows = rows.select("*", file_order().alias("ord"))
+    return rows.withColumn("pilot_id", whole_number(F.col("pilot_id")).cast("int")).filter("pilot_id is not null")
+
+
+def whole_number(text: Column) -> Column:
+    """The number that a text is, with white space around it and nothing else; else null."""
+    return F.when(F.rlike(text, F.lit(r"^\s*[+-]?[0-9]+\s*$")), F.trim(trim_white(text)).try_cast("long"))
 
 
 def _text(x) -> str | None:

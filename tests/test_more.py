@@ -25,7 +25,7 @@ def test_published_blocks(spark):
         labels = [("CORRECT", "CORRECT")] * cc + [("CORRECT", "INCORRECT")] * ci + [("INCORRECT", "CORRECT")] * ic + [("INCORRECT", "INCORRECT")] * ii
         rows += [(m, s, str(k), "b", c, x) for k, pair in enumerate(labels) for c, x in zip(("plain", "marked"), pair, strict=True)]
     df = spark.createDataFrame(rows, "model string, source string, example_id string, answer_length_bucket string, condition string, judge_label string")
-    got = {(r.model, r.source): report.judge_block(r.asDict()) for r in judging.transitions(judging.paired_labels(df, "plain", "marked"), [("model", "source"), ("model",)]).collect()}
+    got = {(r.model, r.source): report.judge_block(r.asDict()) for r in judging.transitions(judging.paired_labels(df.withColumn("ord", F.lit(0)), "plain", "marked", "ord"), [("model", "source"), ("model",)]).collect()}
     for key, (*_, plain, marked, d, churn) in BLOCKS.items():
         b = got[key]
         assert (b["plain"], b["marked"], b["delta"], b["net_churn"]) == (plain, marked, d, churn)

@@ -24,7 +24,7 @@ def test_transitions_reproduce_published_blocks(spark):
         for k, (a, b) in enumerate([("CORRECT", "CORRECT")] * cc + [("CORRECT", "INCORRECT")] * ci + [("INCORRECT", "CORRECT")] * ic + [("INCORRECT", "INCORRECT")] * ii):
             rows += [(m, s, str(k), "b", "plain", a), (m, s, str(k), "b", "marked", b)]
     df = spark.createDataFrame(rows, "model string, source string, example_id string, answer_length_bucket string, condition string, judge_label string")
-    got = judging.transitions(judging.paired_labels(df, "plain", "marked"), [("model", "source"), ("model",), ()]).collect()
+    got = judging.transitions(judging.paired_labels(df.withColumn("ord", F.lit(0)), "plain", "marked", "ord"), [("model", "source"), ("model",), ()]).collect()
     by = {(r.level, r.source): report.judge_block(r.asDict()) for r in got}
     for (_, s), (_, ci, ic, _, plain, marked, d) in BLOCKS.items():
         b = by["model+source", s]
