@@ -22,7 +22,7 @@ gone through as a sorted stream; hot digests are joined by broadcast.
 Defined cases: a null text or one without words has no words; a text shorter than a window loses nothing; null ids
 come after all others and count as one id, but their rows are kept apart by their texts; rows that share an id are ordered
 among themselves by position alone, so what they repeat of each other at the same position stays; repeated rows each give a
-row; an empty table gives an empty one; other columns keep their names, whatever these are.
+row, but are searched once; an empty table gives an empty one; other columns keep their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -219,33 +219,48 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select(F.when(F.col("_id") != LAST_ID, F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
-def _later_copies(rows: DataFrame) -> DataFrame:
+def _once(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row of each id and text; texts: _id, dg of the rows. Only rows that are repeated move, one of each from a task."""
+    again = stored(texts.groupBy("_id", "dg").count().filter("count > 1").select("_id", "dg"), "repeated")
+    if again.isEmpty():
+        return rows
+    some = rows.join(again, ["_id", "dg"], "left_semi").groupBy("_id", "dg").agg(F.any_value("text").alias("text"))
+    return rows.join(again, ["_id", "dg"], "left_anti").select(*rows.columns).unionByName(stored(some, "one of each"))
+
+
+def _later_copies(texts: DataFrame) -> DataFrame:
     """(_id, dg) of texts that a smaller id has, too; one row each."""
-    texts = stored(rows.filter(F.length("text") > 0).select("_id", "dg", F.unhex(F.md5("text")).alias("m")), "digests")
     first = texts.groupBy("m").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count("*").alias("c")).filter("first < last").select("m", "first", "c")
     return joined_spread(texts, first, "m", "c").filter("_id > first").select("_id", "dg").distinct()
 
 
-def _cut_rows(rows: DataFrame, window: int) -> DataFrame:
-    """rows: _id, text. Steps 1 to 3; k stands for a row's id and text where a confusion does no harm, (_id, dg) where it would."""
+def _cut_rows(rows: DataFrame, window: int, each: bool = True) -> DataFrame:
+    """rows: _id, text. Steps 1 to 3; k stands for a row's id and text where a confusion does no harm, (_id, dg) where it would.
+    each: repeated rows each give a row, else an id and text give one."""
     spark, since = rows.sparkSession, mark()
     rows = rows.withColumn("dg", F.xxhash64("text"))
     k = F.xxhash64("_id", "dg").alias("k")
+    texts = stored(rows.filter(F.length("text") > 0).select("_id", "dg", F.unhex(F.md5("text")).alias("m")), "digests")
+    # rows of one id and text repeat each other at the same places, which stay: one of them tells what goes of all
+    once = _once(rows, texts)
     repeated = rows.select("text").mapInArrow(_counted(window), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    held = rows.select(k, "text").mapInArrow(_held(window), "h long, k long").join(repeated, "h", "left_semi")
+    held = once.select(k, "text").mapInArrow(_held(window), "h long, k long").join(repeated, "h", "left_semi")
     per_row = held.groupBy("k").agg(F.collect_set("h").alias("hs"))
-    copies = _later_copies(rows).groupBy(k).agg(F.collect_set(F.struct("_id", "dg")).alias("copies"))
+    copies = _later_copies(texts).groupBy(k).agg(F.collect_set(F.struct("_id", "dg")).alias("copies"))
     facts = stored(per_row.join(copies, "k", "full_outer"), "anchors")
-    release(spark, since, facts)
+    if once is rows:
+        release(spark, since, facts)
+
+    def full(rows: DataFrame) -> DataFrame:
+        found = rows.withColumn("k", k).join(facts, "k", "left")
+        return found.withColumn("copy", F.coalesce(F.array_contains("copies", F.struct("_id", "dg")), F.lit(False)))
 
-    full = rows.withColumn("k", k).join(facts, "k", "left")
-    full = full.withColumn("copy", F.coalesce(F.array_contains("copies", F.struct("_id", "dg")), F.lit(False)))
-    windows = full.filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "dg", "text", "hs").mapInArrow(_extended(window), WINDOWS)
+    windows = full(once).filter(~F.col("copy") & (F.size("hs") > 0)).select("_id", "dg", "text", "hs").mapInArrow(_extended(window), WINDOWS)
     # within a task, all but the first of a window are known to be later: a hot window is dealt about once for each task
     dealt = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "_id", "at")
     found = dealt.mapInArrow(_later, "_id long, dg long, at binary")
     later = stored(found.groupBy(k).agg(F.collect_list(F.struct("_id", "dg", "at")).alias("later")), "later")
-    whole = full.select("k", "_id", "text", "dg", "copy").join(later, "k", "left")
+    whole = full(rows if each else once).select("k", "_id", "text", "dg", "copy").join(later, "k", "left")
     own = F.transform(F.filter("later", lambda x: (x["_id"] == F.col("_id")) & (x["dg"] == F.col("dg"))), lambda x: x["at"])
     none = F.array().cast("array<binary>")
     return whole.select("_id", "dg", "text", "copy", F.coalesce(own, none).alias("later")).mapInArrow(_cut(window), "_id long, dg long, n_words long, n_removed long, kept string")
@@ -258,8 +273,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = docs.columns
     own, dg, cut = (unused(names, c) for c in ("id", "dg", "cut"))
     given = docs.withColumns({own: id_order(), dg: F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))})
-    made = _cut_rows(given.select(F.col(own).alias("_id"), F.col("text").cast("string").alias("text")), window).filter("n_removed > 0")
-    # one text under one id is cut in one way
+    made = _cut_rows(given.select(F.col(own).alias("_id"), F.col("text").cast("string").alias("text")), window, each=False).filter("n_removed > 0")
+    # a text without words isn't stored with the digests: several rows of it may be left
     made = made.groupBy(F.col("_id").alias(own), F.col("dg").alias(dg)).agg(F.max(F.struct("n_removed", "n_words", "kept")).alias(cut))
     found = F.col(cut)
     out = given.join(made, [own, dg], "left").filter(found.isNull() | (found["n_removed"] < found["n_words"]))

@@ -640,3 +640,23 @@ def test_empty_tables(spark):
     assert bpe_lexicon.with_ids(none, path).count() == 0
     assert substring_dedup.without_repeats(none).count() == 0 and jaccard_join.one_of_each_class(none).count() == 0
     assert lang_id.with_language(none).count() == 0
+
+
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    """Of 400 equal rows under null ids one is cut into windows; rows of one id and other texts are kept apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abc", k=4))
+    one, two = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(90))
+    rows = [(None, one)] * 400 + [(None, two)] * 3 + [(4, one)] * 5 + [(5, two + " " + one)] * 2 + [(6, "short")] * 3 + [(None, None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, once = [], substring_dedup._once
+    monkeypatch.setattr(substring_dedup, "_once", lambda *a: seen.append(once(*a)) or seen[-1])
+    got = substring_dedup.dedup_substrings(frame).collect()
+    assert seen[0].filter("text is not null").count() == 5
+    kept = {(r.doc_id, r.n_words): r for r in got}
+    assert len(got) == len(rows) and sum(r.doc_id is None and r.n_words == 200 for r in got) == 400
+    # document 4 has the first text whole; 5 the other one, with the first again; the null ids come last
+    assert [kept[4, 200].n_removed, kept[5, 290].n_removed, kept[None, 200].n_removed, kept[None, 90].n_removed] == [0, 200, 200, 90]
+    assert all(len({(r.n_removed, r.kept) for r in got if (r.doc_id, r.n_words) == key}) == 1 for key in kept)
+    left = substring_dedup.without_repeats(frame).collect()
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id) == sorted([(4, one)] * 5 + [(5, two)] * 2 + [(6, "short")] * 3)
