@@ -73,11 +73,20 @@ def paired_join(spark, sf_dir):
     return delta.paired(_run(spark, sf_dir, "base"), _run(spark, sf_dir, "treated").filter("id % 7 <> 0")).drop("base_pred", "treated_pred")
 
 
-@query("SELECT doc_id AS id, 0::INT AS em, round_even(2.0::DOUBLE * 2 / (3 + 2), 4) AS f1 FROM documents")
+_SCORED_TEXTS = rf"""WITH d AS (SELECT doc_id AS id, lang, {_WORDS("coalesce(text, '')")} AS g, {_WORDS(f"translate(coalesce(text, ''), {_STRUCT}) || CASE WHEN doc_id % 2 = 0 THEN ' x' ELSE '' END")} AS p FROM documents),
+sides AS (SELECT id, 'p' AS s, unnest(p) AS t FROM d UNION ALL SELECT id, 'g', unnest(g) FROM d), bags AS (SELECT id, t, count(*) FILTER (s = 'p') AS a, count(*) FILTER (s = 'g') AS b FROM sides GROUP BY id, t), common AS (SELECT id, sum(least(a, b)) AS c FROM bags GROUP BY id),
+alone AS (SELECT id, CASE WHEN list_contains(p, lang) THEN 1 ELSE 0 END AS k, p, g, lang FROM d),
+f AS (SELECT d.id AS id, d.p AS p, d.g AS g, d.lang AS lang, coalesce(c, 0) AS c, k FROM d LEFT JOIN common ON d.id = common.id JOIN alone ON alone.id = d.id)"""
+
+
+@query(f"""{_SCORED_TEXTS} SELECT id, (p = g OR p = [lang])::INT AS em, greatest(CASE WHEN c > 0 THEN round_even(2.0::DOUBLE * c::DOUBLE / (len(p) + len(g)), 4) ELSE 0.0::DOUBLE END, CASE WHEN k > 0 THEN round_even(2.0::DOUBLE / (len(p) + 1), 4) ELSE 0.0::DOUBLE END) AS f1 FROM f""")
 def scored_texts(spark, sf_dir):
-    """Raw texts through the dialect's normalisation to scores, by the array form: of short texts, here languages and sources."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(", ", "lang", "source", "lang").alias("prediction"), F.array(F.concat_ws(" ", "source", "lang"), F.col("lang")).alias("answers"))
-    return delta.scored(d, HEBREW).select(F.col("doc_id").alias("id"), "em", "f1")
+    """Raw whole texts, with marks of a dialect, through its normalisation to scores against two answers: the text with its
+    accents, and the name of its language."""
+    d = _with_marks(spark, sf_dir, "ָ").join(fx.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    plain = F.concat(F.translate(F.coalesce("text", F.lit("")), fx.MARKED, fx.BARE), F.when(F.col("doc_id") % 2 == 0, " x").otherwise(""))
+    rows = d.select(F.col("doc_id").alias("id"), plain.alias("prediction"), F.array(F.coalesce("marked", F.lit("")), "lang").alias("answers"))
+    return delta.scored_long(rows, "id", HEBREW)
 
 
 @query(f"{_SCORED} SELECT {_SOURCE}, count(*) AS n, sum(base_em)::BIGINT AS em_hits, {_DEC('base_f1')} AS f1_sum FROM p GROUP BY ROLLUP (source)")
@@ -292,8 +301,9 @@ def unify_sources(spark, sf_dir):
     return one("documents", "doc_id", "doc_").unionByName(one("benchmark", "item_id", "bench_"))
 
 
-def _frag(spark, sf_dir, name):
-    d = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "text", F.translate("text", fx.MARKED, fx.BARE).alias("plain"))
+def _frag(spark, sf_dir, name, plain=None, marked=None):
+    plain, marked = F.translate("text", fx.MARKED, fx.BARE) if plain is None else plain, F.col("text") if marked is None else marked
+    d = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), marked.alias("text"), plain.alias("plain"))
     count = fragmentation.COUNTERS[name]
     return fragmentation.fragmentation(fragmentation.token_totals(d, count(F.col("plain"))), fragmentation.token_totals(d, count(F.col("text"))))
 
@@ -309,20 +319,25 @@ def fragmentation_by_source(spark, sf_dir):
 _COUNTED = lambda a, b: f"SELECT lang AS source, sum({a})::BIGINT AS no_tok_count, sum({b})::BIGINT AS with_tok_count, sum({b})::DOUBLE / sum({a})::DOUBLE AS frag_ratio FROM documents GROUP BY lang"
 
 
-@query(_COUNTED("length(text)", "length(text)"))
+_VOWELS = lambda after: f"regexp_replace(text, '([aeiou])', '\\1{after}', 'g')"
+
+
+@query(_COUNTED("length(text)", f"length({_VOWELS('َ')})"))
 def fragmentation_chars(spark, sf_dir):
-    return _frag(spark, sf_dir, "chars")
+    """A mark after each vowel is a character more."""
+    return _frag(spark, sf_dir, "chars", F.col("text"), F.regexp_replace("text", "([aeiou])", "$1َ"))
 
 
-_N_WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
+_N_WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))".format
 
 
-@query(_COUNTED(_N_WORDS, _N_WORDS))
+@query(_COUNTED(_N_WORDS("text"), _N_WORDS(_VOWELS(" "))))
 def fragmentation_words(spark, sf_dir):
-    return _frag(spark, sf_dir, "words")
+    """Texts against the same that are cut after each vowel."""
+    return _frag(spark, sf_dir, "words", F.col("text"), F.regexp_replace("text", "([aeiou])", "$1 "))
 
 
-@query(_COUNTED(f"strlen(translate(text, {_STRUCT})) + {_N_WORDS}", f"strlen(text) + {_N_WORDS}"))
+@query(_COUNTED(f"strlen(translate(text, {_STRUCT})) + {_N_WORDS('text')}", f"strlen(text) + {_N_WORDS('text')}"))
 def fragmentation_provider(spark, sf_dir):
     """Token counts by a provider: here a piece for each byte and one for each word's end."""
     from . import providers
@@ -493,7 +508,8 @@ n AS (SELECT model, condition, count(*) AS n, list(example_id ORDER BY example_i
 
 
 def _cells(spark, sf_dir):
-    rows = _results(fx.qa(spark, sf_dir))
+    cell = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(c).alias("condition")) for m in ("m1", "m2") for c in ("marked", "plain"))))
+    rows = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), cell.alias("r")).select("example_id", "r.*")
     return rows, rows.filter("example_id % 5 <> 1 or model = 'm1'")
 
 

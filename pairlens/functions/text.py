@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,12 @@ def tokens(text: Column, dialect: Dialect) -> Column:
 
 
 def normalise(text: Column, dialect: Dialect) -> Column:
-    return F.array_join(tokens(text, dialect), " ")
+    """The tokens, joined by blanks; made without an array of them."""
+    bare = strip_marks(F.coalesce(text, F.lit("")), dialect)
+    bare = F.lower(F.regexp_replace(bare, NOT_WORD, " ")) if dialect.lower_last else F.regexp_replace(F.lower(bare), NOT_WORD, " ")
+    if dialect.stop_words:
+        bare = F.regexp_replace(F.concat(F.lit(" "), bare, F.lit(" ")), f"(?<= )(?:{'|'.join(dialect.stop_words)}) ", "")
+    return F.trim(bare)
 
 
 def word_count(text: Column) -> Column:
@@ -76,7 +82,24 @@ def _within(codes: np.ndarray, spec: str) -> np.ndarray:
 @F.arrow_udf(StringType())
 def postfix_reorder(text: pa.Array) -> pa.Array:
     """Of each run of word characters the letters come first, then the marks, each in their order; the rest stays. One stable
-    sort of a batch's characters by run and kind, where built-in functions would make an array element of every word."""
+    sort of a MB of characters by run and kind, where built-in functions would make an array element of every word."""
+    return pa.chunked_array([_reordered(part) for part in _parts(text)], pa.string()).combine_chunks()
+
+
+#: Bytes of text that are reordered at once; a longer text is handled alone.
+PART_BYTES = 1 << 20
+
+
+def _parts(text: pa.Array) -> Iterator[pa.Array]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        yield text.slice(lo, hi - lo)
+        lo = hi
+
+
+def _reordered(text: pa.Array) -> pa.Array:
     held = pc.fill_null(text, "").to_pylist()
     codes = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([0, *map(len, held)])

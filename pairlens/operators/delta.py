@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect
-from ..functions.score import exact_match, last_of_each, token_f1
+from ..functions.score import bag_f1, exact_match, last_of_each, token_f1
 from ..functions.text import tokens
 
 
@@ -16,6 +16,17 @@ def scored(rows: DataFrame, dialect: Dialect) -> DataFrame:
     return rows.withColumns({"em": exact_match(F.col("_p"), F.col("_g")), "f1": token_f1(F.col("_p"), F.col("_g"))}).drop("_p", "_g")
 
 
+def scored_long(rows: DataFrame, key: str, dialect: Dialect) -> DataFrame:
+    """key (one row each), em and f1 of rows (key, prediction, answers), in time linear in the texts: a row for each answer,
+    whose words are counted instead of compared."""
+    held = rows.select(key, tokens(F.col("prediction"), dialect).alias("_p"), F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("answers"), F.lit(1)) - 1)).alias("_n"), "answers")
+    held = held.withColumns({"_none": F.coalesce(F.size("answers"), F.lit(0)) < 1, "_g": tokens(F.get("answers", F.col("_n")), dialect)})
+    held = held.withColumn("_one", F.struct(F.col(key), "_n"))
+    em = (~F.col("_none") & (F.col("_p") == F.col("_g"))).cast("int").alias("em")
+    ones = bag_f1(held, "_one", {"f1": ("_p", "_g")}, (F.col(key), F.col("_none"), em))
+    return ones.groupBy(key).agg(F.max("em").alias("em"), F.max(F.when(F.col("_none"), 0.0).otherwise(F.col("f1"))).alias("f1"))
+
+
 def paired(base: DataFrame, treated: DataFrame, order: str | None = None) -> DataFrame:
     """id, source, base_* and treated_* of ids in both; of an id's rows the last by `order` counts."""
     if order:

@@ -26,9 +26,10 @@ def judge_inputs(questions: DataFrame, results: DataFrame, keep: list[str] | Non
     example_id, model, condition, prediction, em, f1. Empty predictions come labelled. keep: of the other columns those that are
     wanted, as all that is numbered is sorted."""
     plain = questions.withColumn("answer_length_bucket", answer_length_bucket(F.col("gold_answers")))
-    rows = results.join(plain, "example_id")
+    # what is said of texts is found before the join, so that texts which aren't wanted stay where they are
     empty = blank(F.col("prediction"))
-    rows = rows.withColumns({"pre_labeled": empty, "judge_label": F.when(empty, "INCORRECT"), "judge_reason": F.when(empty, "empty prediction")})
+    labelled = results.withColumns({"pre_labeled": empty, "judge_label": F.when(empty, "INCORRECT"), "judge_reason": F.when(empty, "empty prediction")})
+    rows = labelled.join(plain, "example_id")
     place = ["model", "condition", "source", "example_id"]
     return numbered(rows if keep is None else rows.select(*place, *keep), "row_id", *place)
 

@@ -339,13 +339,13 @@ def progress(spark, sf_dir):
     return spark.createDataFrame([tuple(got[c.split()[0]] for c in kinds.split(", "))], kinds)
 
 
-@query("SELECT source, sum(length(text))::BIGINT AS no_tok_count, sum(length(text))::BIGINT AS with_tok_count, 1.0::DOUBLE AS frag_ratio FROM (SELECT lang AS source, text FROM documents) WHERE source <> 'de' GROUP BY source")
+@query(f"""SELECT source, sum(length(text))::BIGINT AS no_tok_count, sum(length(m))::BIGINT AS with_tok_count, sum(length(m))::DOUBLE / sum(length(text))::DOUBLE AS frag_ratio FROM (SELECT lang AS source, text, {_MARK("text", _FATHA)} AS m FROM documents) WHERE source <> 'de' GROUP BY source""")
 def paired_directories(spark, sf_dir):
-    """Two directories of files, paired by name; a file that only one of them has is left out."""
+    """Two directories of files, plain and marked, paired by name; a file that only one of them has is left out."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("source"))
     plain, marked = scratch(spark, "plain"), scratch(spark, "with_marks")
     report.mirror(d, plain)
-    report.mirror(d.filter("source <> 'de'"), marked)
+    report.mirror(d.filter("source <> 'de'").withColumn("text", _marked("text", _FATHA)), marked)
     total = lambda path: fragmentation.token_totals(ingest.read_directory(spark, path, "doc_id long, text string"), F.length("text"))
     return fragmentation.fragmentation(total(plain), total(marked))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import functools
 import re
+import shutil
 import tempfile
 import threading
 import uuid
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 @functools.cache
 def _own() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="pairlens-")
+    path = tempfile.mkdtemp(prefix="pairlens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,14 +51,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+_LOCK = threading.Lock()
+#: Of each session: how many threads write a table now, and what the setting was before the first of them.
+_WRITING: dict[SparkSession, tuple[int, str]] = {}
+
+
 @contextlib.contextmanager
 def _without_leftovers(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """The setting holds while any thread of the session writes a table; the last one puts back what was there before."""
+    with _LOCK:
+        n, before = _WRITING.get(spark, (0, spark.conf.get(_CLEANUP, "false")))
+        _WRITING[spark] = (n + 1, before)
+        spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _LOCK:
+            n, before = _WRITING.pop(spark)
+            if n > 1:
+                _WRITING[spark] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
