@@ -275,6 +275,16 @@ def judge_message_render(spark, sf_dir):
     return fx.conversations(spark, sf_dir).select("conv_id", "turn", message.alias("message"))
 
 
+_RUBRIC = 'Judge the answer. Reply {"label": "CORRECT"} or {"label": "INCORRECT"}.'
+
+
+@query(f"""{_CONV}, m AS (SELECT conv_id, turn, 'Question: ' || question || chr(10) || chr(10) || 'Gold answer(s): ' || answer || chr(10) || chr(10) || 'Candidate answer: ' || answer AS message FROM q)
+SELECT conv_id, turn, 'system' AS role, '{_RUBRIC}' AS content FROM m UNION ALL SELECT conv_id, turn, 'user', message FROM m""")
+def judge_chat_render(spark, sf_dir):
+    message = tx.judge_message(F.col("question"), F.array("answer"), F.col("answer"))
+    return fx.conversations(spark, sf_dir).select("conv_id", "turn", F.inline(tx.judge_chat(message, _RUBRIC)))
+
+
 _REPLY = "'{\"label\": \"' || l || '\", \"reason\": \"r' || turn || '\"}'"
 
 

@@ -214,6 +214,12 @@ def judge_message(question: Column, answers: Column, prediction: Column, context
     return bare if context is None else F.when(has_context(context), render(with_context, context=context, **fields)).otherwise(bare)
 
 
+def judge_chat(message: Column, rubric: str) -> Column:
+    """What a judge is sent: its rubric as the system's message, then the message of a row."""
+    one = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(one("system", F.lit(rubric)), one("user", message))
+
+
 def parse_label(reply: Column, labels: tuple[str, ...] = ("CORRECT", "INCORRECT")) -> Column:
     """label of a JSON reply; ERROR unless it is one of labels."""
     label = trim_white(F.upper(F.from_json(reply, "label string")["label"]))

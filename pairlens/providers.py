@@ -57,6 +57,31 @@ class TokenCounter:
         return [len(self.cut(x)) if x else 0 for x in inputs]
 
 
+class ByLength:
+    """A model that takes batches of token lists of one length, filled up on the left. Inputs are cut to `most` tokens and
+    dealt by length to batches of at most `budget` tokens, filling included, so that little is filled up; replies come in
+    the order of the inputs. padded, tokens: what was filled up, and what was not."""
+
+    def __init__(self, model: Callable[[list[list]], list[str]], cut: Callable[[str], list], most: int = 3072, budget: int = 16_384, fill=0):
+        self.model, self.cut, self.most, self.budget, self.fill, self.padded, self.tokens = model, cut, most, budget, fill, 0, 0
+
+    def __call__(self, inputs: list[str]) -> list[str]:
+        held = [self.cut(x or "")[: self.most] for x in inputs]
+        order, out, lo = sorted(range(len(held)), key=lambda k: len(held[k])), [""] * len(held), 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and len(held[order[hi]]) * (hi + 1 - lo) <= self.budget:
+                hi += 1
+            wide = len(held[order[hi - 1]])
+            batch = [[self.fill] * (wide - len(held[k])) + held[k] for k in order[lo:hi]]
+            self.tokens += sum(len(held[k]) for k in order[lo:hi])
+            self.padded += sum(wide - len(held[k]) for k in order[lo:hi])
+            for k, reply in zip(order[lo:hi], self.model(batch), strict=True):
+                out[k] = reply
+            lo = hi
+        return out
+
+
 class Spent(Exception):
     """The budget of calls is used up."""
 

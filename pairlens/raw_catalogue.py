@@ -10,7 +10,7 @@ from .functions.dialect import ARABIC, HEBREW
 from .operators import delta, fragmentation, judging
 from .plans import fixtures as fx
 from .registry import query
-from .sources import ingest
+from .sources import arrow_dir, ingest
 from .storage import scratch
 from .streaming import ledger as lg
 
@@ -100,13 +100,15 @@ def _splits(rows, path):
 @query(f"""{_D} SELECT condition, 'arcd_' || {_SPLIT} || '_' || k AS id, 'arcd' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE {_MARK("text", _FATHA)} END) AS context,
  md5(CASE condition WHEN 'plain' THEN CASE WHEN k % 9 = 0 THEN '' ELSE source END ELSE {_MARK("source", _FATHA)} END) AS question, {_MARK("lang", _FATHA)} AS answers, k::VARCHAR AS starts FROM d, {_BOTH} WHERE k % 6 <> 0""")
 def ingest_arcd(spark, sf_dir):
-    """Columnar splits, one scan to both conditions. The plain side has stray marks, which go; a plain question of nothing but
+    """A saved directory of Arrow splits, one scan to both conditions. The plain side has stray marks, which go; a plain question of nothing but
     marks stays, empty."""
     k = F.col("k")
     answers = F.struct(F.when(k % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(_marked("lang", _FATHA))).alias("text"), F.array(k.cast("int")).alias("answer_start"))
     plain = F.when(k % 9 == 0, _FATHA).otherwise(F.concat("source", F.lit(_FATHA)))
     raw = _docs(spark, sf_dir).select("k", k.cast("string").alias("id"), F.concat(F.lit(_FATHA), "text").alias("context"), plain.alias("question"), _marked("text", _FATHA).alias("context_tashkeel"), _marked("source", _FATHA).alias("question_tashkeel"), answers.alias("answers"))
-    return _out(ingest.arcd(_splits(raw, scratch(spark, "arcd")), ARABIC), "condition")
+    path = scratch(spark, "arcd")
+    arrow_dir.save({"train": raw.filter("k % 4 <> 0").drop("k"), "test": raw.filter("k % 4 = 0").drop("k")}, path)
+    return _out(ingest.arcd(arrow_dir.read_saved(spark, path), ARABIC), "condition")
 
 
 @query(f"""{_D} SELECT condition, 'tydiqa_' || {_SPLIT} || '_' || k AS id, 'tydiqa' AS source, md5(CASE condition WHEN 'plain' THEN text ELSE {_MARK("text", _FATHA)} END) AS context,
@@ -402,3 +404,45 @@ def numbered_lines(spark, sf_dir):
     rows = ingest.read_lines(spark, path).filter("value <> ''")
     one = F.from_json("value", "k long, text string")
     return rows.select(F.lit("part").alias("file"), one["k"].alias("id"), "line", F.md5(one["text"]).alias("text"))
+
+
+@query(f"""{_D}, s AS (SELECT lang, k, (length(text) >= 500)::INT AS base_em, (length(text) >= 800)::INT AS treated_em FROM d), a AS (SELECT lang, count(*) AS n, round(100 * sum(base_em) / count(*), 2)::DOUBLE AS em FROM s GROUP BY lang)
+SELECT 'm' AS model, k::VARCHAR AS id, lang AS source, base_em, treated_em, n, em, md5(text) AS text FROM s JOIN a USING (lang) JOIN d USING (k)""")
+def delta_document(spark, sf_dir):
+    """One document with the aggregate by source and all examples, read again."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = d.withColumns({"base_em": (F.length("text") >= 500).cast("int"), "treated_em": (F.length("text") >= 800).cast("int")})
+    found = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("base_em").alias("hits")).collect()
+    head = {"model": "m", "aggregate": [{"source": r.source, "n": r.n, "em": report.percent(r.hits, r.n)} for r in found]}
+    path = f"{scratch(spark, 'delta')}/delta.json"
+    report.write_document(spark, path, head, "per_example", rows)
+    kind = "model string, aggregate array<struct<source:string,n:long,em:double>>, per_example array<struct<id:string,source:string,text:string,base_em:int,treated_em:int>>"
+    read = spark.read.schema(kind).option("multiLine", True).json(path)
+    aggregate = read.select(F.inline("aggregate")).withColumnRenamed("source", "s")
+    rows = read.select("model", F.inline("per_example"))
+    return rows.join(F.broadcast(aggregate), F.col("source") == F.col("s")).select("model", "id", "source", "base_em", "treated_em", "n", "em", F.md5("text").alias("text"))
+
+
+@query("""WITH l AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge_label FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (judge_label <> 'ERROR')::INT DESC, ts DESC, event_id DESC) AS r FROM l) SELECT user_id, event_id, judge_label FROM r WHERE r = 1""")
+def ledger_latest_stream(spark, sf_dir):
+    """The latest valid line of each key, kept by a stream whose files come late, repeated and in two runs."""
+    base, e = scratch(spark, "latest"), fx.ledger(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("string").alias("ts"), "judge_label")
+    kind = "event_id long, user_id long, ts string, judge_label string"
+    for part in (e.filter("event_id % 3 > 0"), e.filter("event_id % 3 < 2")):
+        part.repartition(3, F.xxhash64("event_id")).write.mode("append").json(f"{base}/in")
+        lg.run_latest(spark, f"{base}/in", kind, f"{base}/out", f"{base}/at", "user_id", "ts", "event_id", files=2).awaitTermination()
+    return lg.read_latest(spark, f"{base}/out", "user_id").select("user_id", "event_id", "judge_label")
+
+
+@query("SELECT conv_id, turn, least(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), 40)::VARCHAR || ':' || list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1] AS reply FROM conversations")
+def batches_by_length(spark, sf_dir):
+    """A model that takes batches of one length: inputs are cut, dealt by length and come back in their order."""
+    class Model:
+        def __call__(self, batch):
+            assert len({len(x) for x in batch}) == 1
+            held = [[t for t in x if t] for x in batch]
+            return [f"{len(x)}:{x[0]}" if x else "0:" for x in held]
+
+    rows = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return providers.apply(rows, lambda: providers.ByLength(Model(), str.split, most=40, budget=2000, fill=""), "text", "reply", batch=500).drop("text")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import scratch
+
 
 def percent(hits: float, n: int, digits: int = 2) -> float | None:
     return round(hits / n * 100, digits) if n else None
@@ -58,6 +61,28 @@ def write_json(frame: DataFrame, path: str) -> None:
     write_text(frame.sparkSession, path, json.dumps([r.asDict(True) for r in frame.collect()], ensure_ascii=False, indent=2, default=str))
 
 
+def write_document(spark: SparkSession, path: str, head: dict, name: str, rows: DataFrame) -> None:
+    """One JSON document of `head` and, as its last entry `name`, an array of all rows. Tasks write the rows; their files are
+    strung together by the file system, a block at a time, and the document appears under its name when it is whole."""
+    hadoop, conf, parts = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration(), scratch(spark, "fragments")
+    one = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
+    rows.select(F.concat(F.lit(","), one).alias("value")).write.text(parts)
+    at, to, draft = hadoop.fs.Path(parts), hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.part")
+    system = to.getFileSystem(conf)
+    files = sorted((x for x in at.getFileSystem(conf).listStatus(at) if x.getLen() and x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+    opened = json.dumps(head, ensure_ascii=False, indent=2)[:-1].rstrip()
+    out = system.create(draft, True)
+    out.write(bytearray(f"{opened}{',' if head else ''}\n  {json.dumps(name)}: [\n".encode()))
+    for k, x in enumerate(files):
+        with contextlib.closing(x.getPath().getFileSystem(conf).open(x.getPath())) as part:
+            part.seek(int(k == 0))  # the first row has no comma before it
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+    out.write(bytearray(b"  ]\n}\n"))
+    out.close()
+    system.delete(to, False)
+    system.rename(draft, to)
+
+
 def write_examples(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
     frame.write.mode(mode).json(path)
 

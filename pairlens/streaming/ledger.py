@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.score import last_of_each
 from ..operators.judging import LABELS
 from ..report import progress
 from ..sources.ingest import existing
@@ -47,6 +48,28 @@ def run_stream(spark: SparkSession, source: str, schema: str, out: str, checkpoi
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_latest(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, key: str, *order: str, files: int = 1):
+    """latest() kept up to date: lines of the ledger's files that arrive in `source`, late or repeated, change the state of
+    their keys. After every trigger the keys that changed are written; a batch that is run again writes the same rows again."""
+    newest = F.struct(F.coalesce(valid_label(), F.lit(False)).alias("valid"), *order)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(source)
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rows.columns), newest).alias("_row")).select("_row.*")
+    stream = found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, out: str, key: str, schema: str | None = None) -> DataFrame:
+    """The view as the last trigger left it."""
+    if not existing(spark, [out]):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return last_of_each(rows, [key], "batch").drop("batch")
+
+
 def read_ledger(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
     """What has been written. Before the first batch an empty frame, for which the schema is needed."""
     if not existing(spark, [out]):
