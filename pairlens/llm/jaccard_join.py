@@ -7,8 +7,10 @@ if the Jaccard similarity of their sets is at least `least`; linked nodes are of
 A repetition begins with one token of each set, sampled by a minimum hash; nodes that share it form a bucket. A bucket of
 more than SPLIT nodes is split again by BRANCH sampled tokens, so that each node goes on along BRANCH longer paths, up
 to DEPTH tokens or until a token splits off no half of its bucket. A pair of similarity s shares the first token with
-probability s, and each further level with 1 - (1 - s) ** BRANCH; there are as many repetitions as it takes for a pair of
-similarity `least` to meet with probability `recall` even if every bucket is split to the last level (8 for 0.8 and 0.9999).
+probability s. The tokens of further levels come from a pool that all repetitions share, so a pair whose tokens in the pool
+differ is unlucky in all of them; recall_of() counts with that. There are as many repetitions, and tokens in the pool, as it
+takes for a pair of similarity `least` to meet with probability `recall` even if every bucket is split to the last level (8
+and 24 for 0.8 and 0.9999, 43 and 80 for 0.5).
 Buckets of equal members are compared once. A bucket is compared exactly, on the sets themselves, by products of presence
 matrices; it gives numbers of links and the edges of a spanning star, never pairs. A pair that shares several buckets counts
 in the first of them only.
@@ -27,6 +29,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,15 +45,39 @@ from .graph import connected_components
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.9999
 SPLIT, BRANCH, DEPTH = 256, 2, 4
-#: Sampled tokens for the levels after the first.
-LATER = 12
+#: Repetitions, at most.
+MOST = 512
 #: Nodes and shingles in one tile; profiles of a union that are decided pair by pair.
 TILE, TILE_SHINGLES, PROFILES = 2048, 1 << 20, 4096
 
 
-def repetitions(least: float, recall: float) -> int:
-    one = least * (1 - (1 - least) ** BRANCH) ** (DEPTH - 1)
-    return 1 if one >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+def recall_of(least: float, first: int, later: int) -> float:
+    """Probability that a pair of similarity `least` meets in one of `first` repetitions, when all buckets are split to the
+    last level. A branch takes its token from its own share of the pool: of these m are the same in both sets, binomially."""
+    share = later // BRANCH
+    same = np.arange(share + 1)
+    odds = np.array([math.comb(share, m) * least**m * (1 - least) ** (share - m) for m in same.tolist()])
+    on, weight = np.ones([share + 1] * BRANCH), functools.reduce(np.multiply.outer, [odds] * BRANCH)
+    for _ in range(DEPTH - 1):
+        lost = [1 - np.moveaxis(np.broadcast_to(same / share, on.shape), -1, axis) * on for axis in range(BRANCH)]
+        on = 1 - functools.reduce(np.multiply, lost)
+    return 1 - float((weight * (1 - least * on) ** first).sum())
+
+
+@functools.cache
+def sampled(least: float, recall: float) -> tuple[int, int]:
+    """First tokens (repetitions) and tokens of further levels that give the recall. A repetition is a path to be dealt, a
+    later token only a number in a signature: one is worth four of the other."""
+    first, best = MOST, None
+    for later in range(BRANCH * 4, BRANCH * 128, BRANCH * 4):
+        # more tokens in the pool never ask for more repetitions
+        while first > 1 and recall_of(least, first - 1, later) >= recall:
+            first -= 1
+        if recall_of(least, first, later) >= recall and (best is None or 4 * first + later <= 4 * best[0] + best[1]):
+            best = first, later
+    if best is None:
+        raise ValueError(f"more than {MOST} repetitions for the recall {recall} at {least}")
+    return best
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,14 +311,14 @@ def _sized(rows: DataFrame) -> DataFrame:
     return joined_spread(rows, rows.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1"), "path", "c")
 
 
-def _buckets(nodes: DataFrame, first: int) -> DataFrame:
+def _buckets(nodes: DataFrame, first: int, later: int) -> DataFrame:
     """(bucket, node): the leaves of all chosen paths; negative buckets are unions of those that cannot be split. first: number of
-    first tokens in a node's signature; the others are those of further levels."""
+    first tokens in a node's signature; the `later` others are those of further levels."""
     begun = F.transform(F.slice("sig", 1, first), lambda x, i: F.xxhash64(i, x))
     level = stored(_sized(nodes.select(F.explode(begun).alias("path"), "node")), "paths")
     leaves, dense = [level.filter(F.col("c") <= SPLIT).select("path", "node")], []
     parent = level.filter(F.col("c") > SPLIT)
-    each = LATER // BRANCH
+    each = later // BRANCH
     for depth in range(1, DEPTH):
         if parent.isEmpty():
             break
@@ -358,11 +385,11 @@ def _joined(rows: DataFrame, words: int, least: float, recall: float) -> tuple[D
     """rows: _id, text. Returns members (_id, th, node), nodes (node, m: its smallest row, c: its rows, root: of its class, null
     if it has no link) and links (node, n_links), of linked nodes only."""
     spark, since = rows.sparkSession, mark()
-    first = repetitions(least, recall)
+    first, later = sampled(least, recall)
     rows = rows.withColumn("th", F.xxhash64("text"))
-    members = stored(rows.mapInArrow(_nodes(words, first + LATER), "_id long, th long, node binary, n long, sig array<long>"), "members")
+    members = stored(rows.mapInArrow(_nodes(words, first + later), "_id long, th long, node binary, n long, sig array<long>"), "members")
     nodes = stored(members.filter("node is not null").groupBy("node").agg(F.min(F.struct("_id", "th")).alias("m"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("c")), "nodes")
-    buckets = stored(_buckets(nodes, first).join(nodes.select("node", "n"), "node"), "buckets")
+    buckets = stored(_buckets(nodes, first, later).join(nodes.select("node", "n"), "node"), "buckets")
     release(spark, since, members, nodes, buckets)
     tiled = stored(_tiled(buckets), "tiled")
     # one row for each text of an id; repeated rows meet where they are first

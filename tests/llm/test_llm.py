@@ -660,3 +660,27 @@ def test_repeated_rows_are_searched_once(spark, monkeypatch):
     assert all(len({(r.n_removed, r.kept) for r in got if (r.doc_id, r.n_words) == key}) == 1 for key in kept)
     left = substring_dedup.without_repeats(frame).collect()
     assert sorted((r.doc_id, r.text) for r in left if r.doc_id) == sorted([(4, one)] * 5 + [(5, two)] * 2 + [(6, "short")] * 3)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_recall_when_all_buckets_are_split_to_the_last_level(least):
+    """Paths of 20,000 pairs, walked as _buckets walks them, with tokens that agree as often as the sets are similar."""
+    first, later = jaccard_join.sampled(least, 0.9999)
+    assert (first, later) == ((8, 24) if least == 0.8 else (43, 80))
+    rng, share, pairs = np.random.default_rng(1), later // jaccard_join.BRANCH, 20_000
+
+    def met(first):
+        begun = rng.random((pairs, first)) < least
+        pool = rng.random((pairs, jaccard_join.BRANCH, share)) < least
+        rows, out = np.nonzero(begun)[0], np.zeros(pairs, bool)
+        for _ in range(jaccard_join.DEPTH - 1):  # every path chooses its next tokens for itself
+            rows = np.concatenate([rows[pool[rows, k, rng.integers(0, share, len(rows))]] for k in range(jaccard_join.BRANCH)])
+        out[rows] = True
+        return out.mean()
+
+    assert jaccard_join.recall_of(least, first, later) >= 0.9999 and met(first) >= 0.9996
+    # with few repetitions misses are many enough to be compared
+    for few in (1, 3):
+        assert abs(met(few) - jaccard_join.recall_of(least, few, later)) < 0.015
+    with pytest.raises(ValueError, match="repetitions"):
+        jaccard_join.sampled(0.05, 0.9999)
