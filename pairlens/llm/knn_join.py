@@ -11,16 +11,17 @@ and the summary of a cell's queries (the range of a(q), the largest r(q)) bounds
    k-th best score among them is one that the query reaches; the least of a cell's queries is the threshold of the cell.
 2. Pairs of cells whose balls (pivot and radius) can't reach the threshold are left out as a whole; of the other cells
    only the vectors whose own bound reaches the threshold of one of a group's cells are sent to that group. Neighbouring
-   cells of queries are one group, up to BLOCK queries, as each group may need its own copy of a vector.
-3. A group's vectors are dealt to as many parts as its cells' sizes call for; a task multiplies a block of queries with a
-   part, and the best k of each query's parts are ranked.
+   cells of queries are one group, up to a core's share of all queries; where bounds exclude so little that vectors would go
+   to more than SENT groups on average, groups are larger, up to BLOCK queries.
+3. A group's vectors are dealt to as many parts as its cells' sizes call for. A task multiplies the queries of a cell with
+   those of a part's vectors that can reach that cell's threshold, and the best k of each query's parts are ranked.
 
 How much is left out depends on the data: clustered vectors go to few groups; where all directions are alike (random
 vectors of many dimensions) no bound of this kind excludes much, and a vector goes to nearly every group.
 
 Defined cases: null vectors or ids, empty vectors, and vectors with null or non-finite components take no part; every other
 row is a candidate of all others, and a query if its id is, also where rows share an id; ties go to the smaller id; a vector
-of another dimension than the query's is no candidate; components beyond 63 bits are held at the limit.
+of another dimension than the query's is no candidate; components and scores beyond 63 bits are held at the limits.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,13 @@ from ._shared import stored
 K, EVERY = 20, 20
 #: Least and most pivots, vectors of a cell that queries meet first, queries in one block.
 PIVOTS, WITNESSES, BLOCK = (4, 1024), 256, 4096
+#: Least queries of a group that are worth a group of their own; groups that a vector is sent to on average.
+FEW, SENT = 32, 3
 #: Components in one part: a sixty-fourth of all, within these limits.
 PART = (1 << 19, 1 << 22)
 _SLACK = 1e-9
+#: No score is less.
+_LEAST = -(2.0**63)
 #: Rows handled at once.
 _STEP = 2048
 
@@ -90,14 +96,17 @@ def _grouped(shared, dim: int):
     return run
 
 
-def _scores(left: pa.Table, right: pa.Table, dim: int):
+def _scores(q: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of queries (a few at a time) with their exact scores."""
-    q, x = _matrix(left.column("v"), dim), _matrix(right.column("v"), dim)
-    if float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * dim < 2.0**52:
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * x.shape[1]
+    if most < 2.0**52:
         q, x = q.astype(np.float64), x.astype(np.float64)
     step = max(1, (1 << 21) // len(x))
     for lo in range(0, len(q), step):
-        yield lo, q[lo : lo + step] @ x.T
+        if most < 2.0**62:
+            yield lo, q[lo : lo + step] @ x.T
+        else:  # whole numbers of any size
+            yield lo, np.clip(q[lo : lo + step].astype(object) @ x.T.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _threshold(dim: int, k: int):
@@ -107,7 +116,7 @@ def _threshold(dim: int, k: int):
         least, cells = -math.inf, left.column("i")[:1] if left.num_rows else right.column("i")[:1]
         if left.num_rows and right.num_rows > k:
             qid, xid, found = left.column("rid").to_numpy(), right.column("rid").to_numpy(), []
-            for lo, s in _scores(left, right, dim):
+            for lo, s in _scores(_matrix(left.column("v"), dim), _matrix(right.column("v"), dim)):
                 s = np.where(xid[None, :] == qid[lo : lo + len(s), None], -np.inf, s.astype(np.float64))
                 found.append(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].min())
             least = float(min(found))
@@ -146,14 +155,24 @@ class Cells:
                     break
         return out
 
-    def groups(self) -> np.ndarray:
-        """The group of each cell with queries (else -1): neighbours together, up to BLOCK queries."""
+    def groups(self, cores: int, possible: np.ndarray) -> np.ndarray:
+        """The group of each cell with queries (else -1): neighbours together, up to a core's share of the queries. Where that
+        would send a vector to more than SENT groups on average, groups are larger, up to BLOCK queries."""
+        block = min(BLOCK, max(FEW, -(-int(self.asked.sum()) // max(1, cores))))
+        while True:
+            group = self._neighbouring(block)
+            sent = sum(int(self.held[possible[group == g].any(0)].sum()) for g in range(group.max() + 1))
+            if block >= BLOCK or sent <= SENT * int(self.held.sum()):
+                return group
+            block = min(BLOCK, 2 * block)
+
+    def _neighbouring(self, block: int) -> np.ndarray:
         group, near = np.full(len(self.held), -1), self.neighbours()
         left = set(np.flatnonzero(self.asked).tolist())
         at, number, size = (min(left) if left else None), 0, 0
         while left:
             left.discard(at)
-            if size and size + self.asked[at] > BLOCK:
+            if size and size + self.asked[at] > block:
                 number, size = number + 1, 0
             group[at], size = number, size + self.asked[at]
             if left:
@@ -165,9 +184,17 @@ class Cells:
         """Whether a vector of cell j can reach the threshold of cell i."""
         size = np.sqrt((self.pivots**2).sum(1))
         most = self.pivots @ self.pivots.T + self.reach[:, None] * size + size[:, None] * self.radius + self.reach[:, None] * self.radius
+        most = np.maximum(most, _LEAST)
         finite = np.where(np.isfinite(least), least, 0)
         return (most >= least[:, None] - _SLACK * (1 + np.abs(finite))[:, None]) & (self.held > 0) & (self.asked > 0)[:, None]
 
+    def wanted(self, x: np.ndarray, cells: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether each vector can reach the threshold of each of the cells."""
+        along, norm = x @ _units(self.pivots[cells]).T, (x * x).sum(1)
+        side = np.sqrt(np.maximum(norm[:, None] - along * along, 0)) * self.beside[cells]
+        most = np.maximum(np.maximum(along * self.low[cells], along * self.high[cells]) + side, _LEAST)
+        return most >= least[cells] - _SLACK * (1 + np.abs(most) + np.sqrt(norm)[:, None] * self.beside[cells])
+
 
 def _routed(shared, dim: int):
     """Each vector for every group (and each of its blocks) that it may matter to."""
@@ -177,15 +204,12 @@ def _routed(shared, dim: int):
         used = np.flatnonzero(group >= 0)
         used = used[np.argsort(group[used], kind="stable")]
         begin = np.searchsorted(group[used], np.arange(len(blocks)))
-        unit, low, high, beside, least, possible = _units(cells.pivots)[used], cells.low[used], cells.high[used], cells.beside[used], least[used], possible[used]
+        possible = possible[used]
         for whole in batches:
             for lo in range(0, len(whole), _STEP):
                 batch = whole.slice(lo, _STEP)
                 x = _matrix(batch.column("v"), dim).astype(np.float64)
-                along, norm = x @ unit.T, (x * x).sum(1)
-                side = np.sqrt(np.maximum(norm[:, None] - along * along, 0))
-                most = np.maximum(along * low, along * high) + side * beside
-                wanted = (most >= least - _SLACK * (1 + np.abs(most) + np.sqrt(norm)[:, None] * beside)) & possible[:, batch.column("g").to_numpy()].T
+                wanted = cells.wanted(x, used, least) & possible[:, batch.column("g").to_numpy()].T
                 row, g = np.nonzero(np.logical_or.reduceat(wanted, begin, axis=1))
                 if not len(row):
                     continue
@@ -205,23 +229,41 @@ def _routed(shared, dim: int):
     return run
 
 
-def _solved(dim: int, k: int):
+def _by_cell(own: np.ndarray, x: np.ndarray, cells: Cells, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of queries, whose cells are `own`, with the places of the vectors that can reach their thresholds: cell by cell,
+    but for cells that most vectors can reach, which are taken together."""
+    held = np.unique(own)
+    wanted = np.concatenate([cells.wanted(x[lo : lo + _STEP].astype(np.float64), held, least) for lo in range(0, len(x), _STEP)])
+    dense = wanted.mean(0) > 0.5
+    if dense.any():
+        yield np.flatnonzero(np.isin(own, held[dense])), np.flatnonzero(wanted[:, dense].any(1))
+    for n in np.flatnonzero(~dense).tolist():
+        some = np.flatnonzero(wanted[:, n])
+        if len(some):
+            yield np.flatnonzero(own == held[n]), some
+
+
+def _solved(shared, dim: int, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ("rid", "query_id", "vec_id", "other", "score")
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
+        cells, least, *_ = shared.value
         right = right.sort_by([("vec_id", "ascending"), ("rid", "ascending")])
-        qrid, qid = left.column("rid").to_numpy(), left.column("vec_id").to_numpy()
-        xrid, xid = right.column("rid").to_numpy(), right.column("vec_id").to_numpy()
-        out: list[list[np.ndarray]] = [[] for _ in names]
-        for lo, scores in _scores(left, right, dim):
-            for at, s in enumerate(scores, lo):
-                keep = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
-                keep = keep[xrid[keep] != qrid[at]]
-                keep = keep[np.argsort(-s[keep], kind="stable")[:k]]  # equal scores stay in order of ids
-                for column, x in zip(out, (np.full(len(keep), qrid[at]), np.full(len(keep), qid[at]), xid[keep], xrid[keep], s[keep].astype(np.int64)), strict=True):
-                    column.append(x)
-        return pa.table({c: np.concatenate(x) for c, x in zip(names, out, strict=True)})
+        qrid, qid, q = left.column("rid").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("v"), dim)
+        xrid, xid, x = right.column("rid").to_numpy(), right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        for asked, some in _by_cell(left.column("g").to_numpy(), x, cells, least):
+            for lo, scores in _scores(q[asked], x if len(some) == len(x) else x[some]):
+                for at, s in zip(asked[lo : lo + len(scores)].tolist(), scores, strict=True):
+                    keep = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]) if len(s) > k + 1 else np.arange(len(s))
+                    keep = keep[xrid[some[keep]] != qrid[at]]
+                    # equal scores stay in order of ids; ~ turns the order of whole numbers round without going over the limit
+                    keep = keep[np.argsort(~s[keep] if s.dtype == np.int64 else -s[keep], kind="stable")[:k]]
+                    found = some[keep]
+                    for column, v in zip(out, (np.full(len(keep), qrid[at]), np.full(len(keep), qid[at]), xid[found], xrid[found], s[keep].astype(np.int64)), strict=True):
+                        column.append(v)
+        return pa.table({c: np.concatenate(v) for c, v in zip(names, out, strict=True)})
 
     return run
 
@@ -237,8 +279,8 @@ def top_k_join(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).filter("q > 0").orderBy("dim").collect()
     out = None
     for r in sizes:
-        asked, data = _dealt(rows.filter(F.col("dim") == r.dim).select("rid", "vec_id", "v"), r.dim, r.n, k, is_query)
-        found = asked.groupBy("grp", "b", "part").cogroup(data.groupBy("grp", "b", "part")).applyInArrow(_solved(r.dim, k), "rid long, query_id long, vec_id long, other long, score long")
+        asked, data, shared = _dealt(rows.filter(F.col("dim") == r.dim).select("rid", "vec_id", "v"), r.dim, r.n, k, is_query)
+        found = asked.groupBy("grp", "b", "part").cogroup(data.groupBy("grp", "b", "part")).applyInArrow(_solved(shared, r.dim, k), "rid long, query_id long, vec_id long, other long, score long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -265,8 +307,8 @@ def _summaries(grouped: DataFrame, pivots: np.ndarray, is_query) -> Cells:
     return cells
 
 
-def _dealt(rows: DataFrame, dim: int, n: int, k: int, is_query) -> tuple[DataFrame, DataFrame]:
-    """Queries and vectors by group, block and part."""
+def _dealt(rows: DataFrame, dim: int, n: int, k: int, is_query) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """Queries and vectors by group, block and part, and what the tasks know of the cells."""
     spark = rows.sparkSession
     share = spark.sparkContext.broadcast
     pivots = _pivots(rows, dim, n)
@@ -286,17 +328,19 @@ def _dealt(rows: DataFrame, dim: int, n: int, k: int, is_query) -> tuple[DataFra
     for f in found.groupBy("i").agg(F.min("least").alias("least")).collect():
         least[f.i] = f.least
 
-    group, possible = cells.groups(), cells.possible(least)
+    possible = cells.possible(least)
+    group = cells.groups(spark.sparkContext.defaultParallelism, possible)
     count = group.max() + 1
     blocks, parts = np.ones(count, int), np.ones(count, int)
     size = min(max(PART[0], n * dim // 64), PART[1])
     for g in range(count):
         blocks[g] = max(1, -(-int(cells.asked[group == g].sum()) // BLOCK))
         parts[g] = max(1, -(-int(cells.held[possible[group == g].any(0)].sum()) * dim // size))
-    data = grouped.select("rid", "vec_id", "v", "g").mapInArrow(_routed(share((cells, least, possible, group, blocks, parts)), dim), "grp int, b int, part int, rid long, vec_id long, v binary")
+    shared = share((cells, least, possible, group, blocks, parts))
+    data = grouped.select("rid", "vec_id", "v", "g").mapInArrow(_routed(shared, dim), "grp int, b int, part int, rid long, vec_id long, v binary")
     places = spark.createDataFrame([(i, int(group[i]), int(blocks[group[i]]), int(parts[group[i]])) for i in np.flatnonzero(group >= 0).tolist()], "g int, grp int, blocks int, parts int")
     asked = grouped.filter(is_query).join(F.broadcast(places), "g")
-    return asked.select("grp", F.pmod(h, F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rid", "vec_id", "v"), data
+    return asked.select("grp", F.pmod(h, F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rid", "vec_id", "v", "g"), data, shared
 
 
 def op10_topk_search(spark, sf_dir: str) -> DataFrame:

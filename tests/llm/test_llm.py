@@ -325,9 +325,9 @@ def test_clustered_vectors_go_to_few_groups(spark, monkeypatch):
     held, dealt = [], knn_join._dealt
 
     def counted(*given):
-        asked, data = dealt(*given)
+        asked, data, *more = dealt(*given)
         held.append((data.select("grp").distinct().count(), data.count()))
-        return asked, data
+        return asked, data, *more
 
     monkeypatch.setattr(knn_join, "_dealt", counted)
     got = sorted(map(tuple, knn_join.top_k_join(df).collect()))
@@ -684,3 +684,39 @@ def test_recall_when_all_buckets_are_split_to_the_last_level(least):
         assert abs(met(few) - jaccard_join.recall_of(least, few, later)) < 0.015
     with pytest.raises(ValueError, match="repetitions"):
         jaccard_join.sampled(0.05, 0.9999)
+
+
+def test_cells_decide_inside_a_task(spark, monkeypatch):
+    """Of clustered vectors, with all constants as shipped, fewer than a third of all products are made."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(16, 24)) * 6
+    x = np.concatenate([c + rng.normal(size=(250, 24)) * 0.3 for c in centres])[rng.permutation(4000)]
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    cells, groups = [], knn_join.Cells.groups
+    monkeypatch.setattr(knn_join.Cells, "groups", lambda self, *a: cells.append((self, groups(self, *a))) or cells[-1][1])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn_join.top_k_join(frame).collect()}
+    whole = np.floor(x * 64)
+    for q in range(0, 4000, 20):
+        s = whole @ whole[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(4000), -s))[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(int(v), int(s[v])) for v in best]
+    (made, group), = cells
+    assert group.max() + 1 >= 4  # 200 queries for four cores
+    # the products of the tasks, by the same bounds on all vectors
+    near = ((whole[:, None, :] - made.pivots[None]) ** 2).sum(2).argmin(1)
+    queries = np.arange(0, 4000, 20)
+    least = np.array([min((got[q, 20][1] for q in queries[near[queries] == c]), default=np.inf) for c in range(len(made.pivots))], float)
+    pairs = list(knn_join._by_cell(near[queries], whole.astype(np.int64), made, least))
+    assert sum(len(a) for a, _ in pairs) == 200 and sum(len(a) * len(b) for a, b in pairs) < 200 * 4000 / 3
+
+
+def test_scores_beyond_63_bits_are_held_at_the_limits(spark):
+    rows = [(0, [1e9] * 4), (1, [1e9] * 4), (2, [-1e9] * 4), (3, [5e8] * 4), (4, [1e17] * 4), (5, [-1e17] * 4), (6, [1.0] * 4), (7, [1e8] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r["rank"], r.score) for r in knn_join.top_k_join(frame).collect())
+    held = {k: [int(64 * x) for x in v] for k, v in rows}
+    held = {k: [max(-(1 << 63), min((1 << 63) - 1024, x)) for x in v] for k, v in held.items()}
+    score = {k: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(held[0], held[k], strict=True)))) for k in held if k}
+    order = sorted(score, key=lambda k: (-score[k], k))
+    assert got == sorted((k, n, score[k]) for n, k in enumerate(order, 1)) and score[1] == score[4] == (1 << 63) - 1
