@@ -422,22 +422,43 @@ def _quotas(pool: str, size: int, name: str = "q") -> str:
   UNION ALL SELECT x.i, x.bucket, x.pool, ({later})::BIGINT, (y.rest - ({later}))::BIGINT FROM {name} AS y JOIN {name}_o AS x ON x.i = y.i + 1)"""
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, lang AS bucket FROM documents), e AS (SELECT doc_id AS id, doc_id % 7 AS bucket FROM documents), {_quotas('d', 100)}, {_quotas('e', 5, 'w')}
-SELECT bucket, pool, quota FROM q UNION ALL SELECT bucket::VARCHAR, pool, quota FROM w""")
-def proportional_quotas(spark, sf_dir):
-    """By language, and by seven buckets that would share out more than there is."""
-    d = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("lang").alias("bucket"))
-    small = d.withColumn("bucket", (F.col("id") % 7).cast("string"))
-    return sampling.proportional_quotas(d, 100).unionByName(sampling.proportional_quotas(small, 5))
+_LANGS, _SEVENTHS = "lang", "doc_id % 7"
+
 
+def _quota_sql(bucket: str, size: int) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {bucket} AS bucket FROM documents), {_quotas('d', size)} SELECT bucket, pool, quota FROM q"""
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, doc_id % 7 AS bucket FROM documents), {_quotas('d', 25)},
+
+def _sample_sql(bucket: str, size: int) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {bucket} AS bucket FROM documents), {_quotas('d', size)},
 r AS (SELECT id, bucket, md5('42:' || id) AS h, row_number() OVER (PARTITION BY bucket ORDER BY md5('42:' || id), id) AS r FROM d),
 k AS (SELECT id, r.bucket, row_number() OVER (ORDER BY (r <= quota)::INT DESC, h, id) AS k FROM r JOIN q ON r.bucket = q.bucket)
-SELECT id, bucket FROM k WHERE k <= 25""")
+SELECT id, bucket FROM k WHERE k <= {size}"""
+
+
+def _bucketed(spark, sf_dir, bucket):
+    return fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.expr(bucket).alias("bucket"))
+
+
+@query(_quota_sql(_LANGS, 100))
+def proportional_quotas(spark, sf_dir):
+    return sampling.proportional_quotas(_bucketed(spark, sf_dir, _LANGS), 100)
+
+
+@query(_quota_sql(_SEVENTHS, 5))
+def proportional_quotas_tight(spark, sf_dir):
+    """Seven buckets whose shares, rounded, are more than there is."""
+    return sampling.proportional_quotas(_bucketed(spark, sf_dir, _SEVENTHS), 5)
+
+
+@query(_sample_sql(_LANGS, 100))
 def proportional_sample(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), (F.col("id") % 7).alias("bucket"))
-    return sampling.proportional_sample(rows, 25).select("id", "bucket")
+    return sampling.proportional_sample(_bucketed(spark, sf_dir, _LANGS), 100).select("id", "bucket")
+
+
+@query(_sample_sql(_SEVENTHS, 5))
+def proportional_sample_tight(spark, sf_dir):
+    return sampling.proportional_sample(_bucketed(spark, sf_dir, _SEVENTHS), 5).select("id", "bucket")
 
 
 @query("SELECT doc_id AS id, CASE WHEN n <= 1 THEN 'short' WHEN n <= 5 THEN 'medium' WHEN n <= 15 THEN 'long' ELSE 'very_long' END AS bucket FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
@@ -454,11 +475,11 @@ def _sampled(source: str, size: int, pool: str, name: str) -> str:
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text AS question, source, lang AS bucket FROM documents), pa AS (SELECT min(id) AS id, question, any_value(bucket) AS bucket FROM d WHERE source = 'src1' GROUP BY question),
-{_sampled('src1', 41, 'pa', 'a')}, pb AS (SELECT min(id) AS id, question, min_by(bucket, id) AS bucket FROM d WHERE source = 'src0' AND question NOT IN (SELECT question FROM a) GROUP BY question), {_sampled('src0', 2, 'pb', 'b')}
+{_sampled('src1', 40, 'pa', 'a')}, pb AS (SELECT min(id) AS id, question, min_by(bucket, id) AS bucket FROM d WHERE source = 'src0' AND question NOT IN (SELECT question FROM a) GROUP BY question), {_sampled('src0', 25, 'pb', 'b')}
 SELECT id, source, bucket FROM a UNION ALL SELECT id, source, bucket FROM b""")
 def sample_sources(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("id", F.col("id").alias("ord"), F.col("text").alias("question"), "source", F.col("lang").alias("bucket"))
-    return sampling.sample_sources(rows, {"src1": 41, "src0": 2}).select("id", "source", "bucket")
+    return sampling.sample_sources(rows, {"src1": 40, "src0": 25}).select("id", "source", "bucket")
 
 
 @query(f"{_SCORED} SELECT id, CASE WHEN treated_f1 >= 0.8 THEN 'high' WHEN treated_f1 >= 0.2 THEN 'mid' ELSE 'low' END AS level FROM p")
