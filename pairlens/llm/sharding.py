@@ -6,12 +6,20 @@ target_bytes or more whose files are small, or far larger than target_bytes, is
 target_bytes is settled and left alone. No row is shuffled: a merge reads its run's files and writes them in fewer, or cuts
 them by numbers of records.
 
-A manifest lists the live shards of one version. It is written to a name of its own and then renamed to the version's name.
+A manifest lists the live shards of one version: those that may still be merged by themselves, settled ones in parts of up to
+PART entries that versions share. As nothing takes a settled shard out, a commit writes the open shards, the names of the parts
+and at most one part again, whatever the store holds; a plan reads the open shards alone. Only read(), shards() and vacuum() read
+all parts, in one job; the paths of all shards then pass through the driver, as those of any table of files do.
+
+A compaction merges all runs of a round at the same time, AT_ONCE jobs side by side, and commits them together. If a job fails,
+the others' merges are committed before its error is raised.
+
+A manifest is written to a name of its own and then renamed to the version's name.
 The rename must fail if that name is there, or else two writers can both believe that they were first: SAFE names the file
 systems that keep this promise, and on any other a store must be opened with single_writer. A writer that wasn't first plans
-its change again from the newer version; a compaction whose run is gone by then plans its merges again. A commit checks that
-the files it adds are there. Readers of an older version keep their files until vacuum(), which only removes what is older
-than its grace period, so that a writer can finish what it has begun.
+its change again from the newer version; merges whose run is gone by then are dropped and planned again. A commit checks that
+the files it adds are there. vacuum() removes what is older than its grace period and in no version that was the last one within
+that time, so that readers keep their files and a writer can finish what it has begun.
 
 All files are reached through Hadoop's file system.
 
@@ -24,8 +32,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +46,9 @@ from ._shared import unused
 TARGET_BYTES, FAN_IN = 128 << 20, 4
 #: File systems whose rename is atomic and refuses a name that is taken.
 SAFE = ("file", "hdfs", "viewfs", "ofs", "o3fs", "abfs", "abfss")
+#: Entries of settled shards in one part of a manifest, and merges that run at the same time.
+PART, AT_ONCE = 1000, 8
+ENTRY = "name string, bytes long, files int, settled boolean"
 #: Seconds for which vacuum() leaves what no manifest lists.
 GRACE = 24 * 3600
 
@@ -85,39 +99,68 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(at)]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        found = self.versions()
+    def _manifest(self, version: int | None = None) -> tuple[int, list[Shard], list[tuple[str, int]]]:
+        """The version (the last one; 0 if there is none), its open shards, and its parts: name and number of entries."""
         if version is None:
-            if not found:
-                return []
-            version = found[-1]
+            version = (self.versions() or [0])[-1]
+        if not version:
+            return 0, [], []
         stream = self.fs.open(self._path(f"{self.root}/manifests/v{version:012d}.json"))
-        text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        held = json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+        return version, [Shard(**s) for s in held["shards"]], [(n, k) for n, k in held.get("parts", [])]
+
+    def _listed(self, parts: Iterable[tuple[str, int]]) -> list[Shard]:
+        """The settled shards of parts, by name."""
+        paths = [f"{self.root}/{n}" for n, _ in parts]
+        rows = self.spark.read.schema(ENTRY).json(paths).collect() if paths else []
+        return sorted((Shard(**r.asDict()) for r in rows), key=lambda s: s.name)
 
-    def commit(self, version: int, shards: list[Shard]) -> None:
-        own = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        out = self.fs.create(own, False)
-        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+    def shards(self, version: int | None = None) -> list[Shard]:
+        _, live, parts = self._manifest(version)
+        return live + self._listed(parts)
+
+    def _written(self, name: str, text: str):
+        at = self._path(f"{self.root}/{name}")
+        out = self.fs.create(at, False)
+        out.write(bytearray(text.encode()))
         out.close()
+        return at
+
+    def _grown(self, parts: list[tuple[str, int]], settled: list[Shard]) -> list[tuple[str, int]]:
+        """The parts with more settled shards: only a last part that isn't full is written again."""
+        if settled and parts and parts[-1][1] < PART:
+            parts, settled = parts[:-1], self._listed(parts[-1:]) + settled
+        new = []
+        for k in range(0, len(settled), PART):
+            new.append((f"parts/{uuid.uuid4().hex}.json", len(settled[k : k + PART])))
+            self._written(new[-1][0], "\n".join(json.dumps(asdict(s)) for s in settled[k : k + PART]))
+        return parts + new
+
+    def commit(self, version: int, shards: list[Shard], parts: Iterable[tuple[str, int]] = ()) -> None:
+        own = self._written(f"manifests/.{uuid.uuid4().hex}", json.dumps({"version": version, "shards": [asdict(s) for s in shards], "parts": list(parts)}))
         to = self._path(f"{self.root}/manifests/v{version:012d}.json")
         if self.fs.exists(to) or not self.fs.rename(own, to):
             self.fs.delete(own, False)
             raise ManifestConflict(version)
 
-    def _change(self, added: list[Shard], removed: list[Shard] = ()) -> int:
-        for s in added:
+    def _change(self, added: list[Shard], merged: Iterable[tuple[list[Shard], Shard]] = ()) -> tuple[int, list[Shard]]:
+        """Commits arrivals and merges (a run and its new shard) as one version. Returns the version, and the new shards of merges
+        that it has: a run of which another writer has taken a shard isn't replaced."""
+        for s in [*added, *(new for _, new in merged)]:
             if s.files and not self._measured(s.name).files:
                 raise FileNotFoundError(f"{self.root}/{s.name}")
         while True:
-            version = (self.versions() or [0])[-1]
-            live = self.shards(version) if version else []
-            if not set(removed) <= set(live):
-                raise ManifestConflict(version)
+            version, live, parts = self._manifest()
+            there = set(live)
+            done = [(run, new) for run, new in merged if there.issuperset(run)]
+            if not added and not done:
+                return version, []
+            gone = {s for run, _ in done for s in run}
+            now = [s for s in live if s not in gone] + added + [new for _, new in done]
             try:
-                self.commit(version + 1, [s for s in live if s not in set(removed)] + added)
-                return version + 1
+                self.commit(version + 1, [s for s in now if not s.settled], self._grown(parts, [s for s in now if s.settled]))
+                return version + 1, [new for _, new in done]
             except ManifestConflict:
                 continue
 
@@ -131,7 +174,7 @@ class ShardStore:
         run = f"shards/{uuid.uuid4().hex}"
         if by is None:
             rows.write.parquet(f"{self.root}/{run}")
-            return self._change([self._measured(run)])
+            return self._change([self._measured(run)])[0]
         # directories are named after a column; a name that begins with _ would hide them
         key, held = "by", {c.lower() for c in rows.columns}
         while key in held:
@@ -141,28 +184,35 @@ class ShardStore:
         added = [self._measured(f"{run}/{p}") for p in parts if "=" in p]
         if not added and not self.shards():
             return self.append(rows.limit(0).drop(by))
-        return self._change(added)
+        return self._change(added)[0]
 
     def compact(self) -> int:
         """Merges until no tier has a run; returns the number of merges."""
         merges = 0
-        while runs := tiers(self.shards(), self.fan_in, self.target):
-            for run in runs:
-                held, name = sum(s.bytes for s in run), f"shards/{uuid.uuid4().hex}"
-                files, rows = max(1, round(held / self.target)), self._read(run)
-                if files <= sum(s.files for s in run):
-                    rows.coalesce(files).write.parquet(f"{self.root}/{name}")
-                else:  # files that are too large are cut
-                    rows.write.option("maxRecordsPerFile", max(1, -(-rows.count() // files))).parquet(f"{self.root}/{name}")
-                new = self._measured(name)
-                try:
-                    self._change([replace(new, settled=new.files > 1 or new.bytes * 2 > self.target)], run)
-                except ManifestConflict:  # another writer has merged the run: what is live now is planned anew
-                    self.fs.delete(self._path(f"{self.root}/{name}"), True)
-                    break
-                merges += 1
+        while runs := tiers(self._manifest()[1], self.fan_in, self.target):
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                tasks = [pool.submit(inheritable_thread_target(self.spark)(self._merged), run) for run in runs]
+                wait(tasks)
+            made = [(run, t.result()) for run, t in zip(runs, tasks) if not t.exception()]
+            done = set(self._change([], made)[1])
+            for _, new in made:
+                if new not in done:  # another writer has merged the run: what is live now is planned anew
+                    self.fs.delete(self._path(f"{self.root}/{new.name}"), True)
+            for t in tasks:
+                t.result()  # the error of a merge that failed
+            merges += len(done)
         return merges
 
+    def _merged(self, run: list[Shard]) -> Shard:
+        held, name = sum(s.bytes for s in run), f"shards/{uuid.uuid4().hex}"
+        files, rows = max(1, round(held / self.target)), self._read(run)
+        if files <= sum(s.files for s in run):
+            rows.coalesce(files).write.parquet(f"{self.root}/{name}")
+        else:  # files that are too large are cut
+            rows.write.option("maxRecordsPerFile", max(1, -(-rows.count() // files))).parquet(f"{self.root}/{name}")
+        new = self._measured(name)
+        return replace(new, settled=new.files > 1 or new.bytes * 2 > self.target)
+
     def _read(self, shards: list[Shard]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.root}/{s.name}" for s in shards))
 
@@ -170,25 +220,32 @@ class ShardStore:
         return self._read(self.shards(version))
 
     def vacuum(self, grace: float = GRACE) -> int:
-        """Removes shards that the last version doesn't list, and older manifests, if they are older than `grace` seconds;
-        returns how many shards."""
+        """Removes shards, parts and manifests of versions that have been replaced for `grace` seconds or longer, and files of
+        that age in no version; returns how many shards."""
         until = (time.time() - grace) * 1000
-        live, gone = {s.name for s in self.shards()}, 0
         old = lambda at: self.fs.getFileStatus(at).getModificationTime() <= until
+        manifest = lambda v: self._path(f"{self.root}/manifests/v{v:012d}.json")
+        versions = self.versions()
+        kept = [v for v, after in zip(versions, versions[1:]) if not old(manifest(after))] + versions[-1:]
+        held = [self._manifest(v) for v in kept]
+        parts = {p for _, _, ps in held for p in ps}
+        live, gone = {s.name for _, shards, _ in held for s in shards} | {s.name for s in self._listed(parts)}, 0
         top = self._path(f"{self.root}/shards")
         for run in self.fs.listStatus(top) if self.fs.exists(top) else ():
             name = f"shards/{run.getPath().getName()}"
-            parts = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory() and "=" in p.getPath().getName()]
-            for x in parts or [name]:
+            inside = [f"{name}/{p.getPath().getName()}" for p in self.fs.listStatus(run.getPath()) if p.isDirectory() and "=" in p.getPath().getName()]
+            for x in inside or [name]:
                 if x not in live and old(self._path(f"{self.root}/{x}")):
                     self.fs.delete(self._path(f"{self.root}/{x}"), True)
                     gone += 1
-            if parts and not any(p in live for p in parts) and old(run.getPath()):
+            if inside and not any(p in live for p in inside) and old(run.getPath()):
                 self.fs.delete(run.getPath(), True)
-        for v in self.versions()[:-1]:
-            at = self._path(f"{self.root}/manifests/v{v:012d}.json")
-            if old(at):
-                self.fs.delete(at, False)
+        names, top = {n for n, _ in parts}, self._path(f"{self.root}/parts")
+        for part in self.fs.listStatus(top) if self.fs.exists(top) else ():
+            if f"parts/{part.getPath().getName()}" not in names and old(part.getPath()):
+                self.fs.delete(part.getPath(), False)
+        for v in set(versions) - set(kept):
+            self.fs.delete(manifest(v), False)
         return gone
 
 

@@ -1,6 +1,8 @@
 """The training-data operators against brute force on small tables with nulls, repeats, ties and clashing names."""
 
 import hashlib
+import json
+import os
 import random
 import re
 
@@ -464,6 +466,63 @@ def test_two_writers(spark, tmp_path):
             sharding.SAFE = safe
 
 
+def test_settled_shards_are_listed_in_parts_that_versions_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
+    loose = spark.range(4000).repartition(12)
+    for _ in range(3):
+        store.append(loose)
+    before = store.versions()[-1]
+    # three runs, each a shard of small files, are one version
+    assert store.compact() == 3 and store.versions()[-1] == before + 1
+    version, live, parts = store._manifest()
+    assert not live and [k for _, k in parts] == [2, 1] and len(store.shards()) == 3 and store.read().count() == 12_000
+    # an arrival writes no part, and the next settled shard only the last one
+    store.append(loose)
+    assert store._manifest()[2] == parts
+    assert store.compact() == 1
+    grown = store._manifest()[2]
+    assert grown[0] == parts[0] and grown[1] != parts[1] and [k for _, k in grown] == [2, 2]
+    assert store.read(version).count() == 12_000 and store.read().count() == 16_000 and store.compact() == 0
+    # versions that were the last one within the grace period keep their files, however old these are
+    for f in (tmp_path / "s").rglob("*"):
+        if "manifests" not in f.parts:
+            os.utime(f, (0, 0))
+    assert store.vacuum() == 0 and store.read(1).count() == 4000
+    assert store.vacuum(grace=0) == 4 and store.versions() == [version + 2] and store.read().count() == 16_000
+    assert {f"parts/{f.name}" for f in (tmp_path / "s/parts").glob("*.json")} == {n for n, _ in grown}
+
+
+def test_a_merge_that_fails_loses_no_other(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
+    for _ in range(2):
+        store.append(spark.range(4000).repartition(12))
+    merged, bad = store._merged, store.shards()[1]
+
+    def fails(run):
+        if run == [bad]:
+            raise OSError("lost")
+        return merged(run)
+
+    monkeypatch.setattr(store, "_merged", fails)
+    with pytest.raises(OSError):
+        store.compact()
+    assert sorted(s.settled for s in store.shards()) == [False, True] and store.read().count() == 8000
+    monkeypatch.undo()
+    assert store.compact() == 1 and all(s.settled for s in store.shards()) and store.read().count() == 8000
+
+
+def test_manifests_without_parts_are_read(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
+    store.append(spark.range(4000).repartition(12))
+    store.compact()
+    shards = store.shards()
+    store._written("manifests/v000000000003.json", json.dumps({"version": 3, "shards": [vars(s) for s in shards]}))
+    assert store.shards() == shards and store.compact() == 0
+    store.append(spark.range(5))
+    assert len(store._manifest()[1]) == 1 and [k for _, k in store._manifest()[2]] == [1] and store.read().count() == 4005
+
+
 def test_files_beyond_the_target_are_cut(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
     store.append(spark.range(20_000).select(F.xxhash64("id").alias("x")).coalesce(1))
