@@ -6,10 +6,15 @@ number of common features over the geometric mean of their numbers. Kernel ridge
 rest, is solved on Nyström landmarks. The landmark part of the solution folds into one matrix, so that a batch of texts is
 scored by one product of its presence matrix with it, divided by the norms.
 
+A text of more than STRETCH bytes holds so many n-grams that nearly all buckets would be taken, whatever its language. It is cut
+into stretches of equal length, at most STRETCH bytes each; its score for a language is the mean of theirs, weighted by length.
+
 What is learned from, a bounded sample of the labelled rows: at most PER_LANGUAGE distinct texts of each language (fewer
-where there are so many languages that these would be more than SAMPLE in all), chosen by a hash of the text, copies once;
-the rows' features are computed where the rows are, and BUCKETS / 8 bytes of each go to the driver, 64 MB at most. Every
-language is learned; more than SAMPLE of them are an error. There are LANDMARKS landmarks, or four for each language.
+where there are so many languages that these would be more than SAMPLE in all), chosen by a hash of the text, copies once; of a
+long text one stretch with a letter, which that hash picks. The rows' features are computed where the rows are, and BUCKETS / 8
+bytes of each go to the driver, 64 MB at most. Every language is learned; more than LANGUAGES of them are an error, so that the
+weights, which are broadcast, have 128 MB at most and the driver solves a system of 4,096 rows at most. There are LANDMARKS
+landmarks, or four for each language.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is everything if nothing can be learned; a
 language that has no text with a letter isn't learned; a null doc_id counts as held out; repeated rows each give a row; an
@@ -30,6 +35,7 @@ from ._text import steps, text_buffer
 
 BUCKETS, GRAMS = 1 << 15, 4
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 500, 16_384, 512, 1e-4
+STRETCH, LANGUAGES = 1 << 14, 1 << 10
 NONE = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -38,34 +44,56 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _BITS = BUCKETS.bit_length() - 1
 
 
-def _presence(texts: pa.Array) -> Iterator[np.ndarray]:
-    """A boolean row of BUCKETS for each text."""
-    data, offsets = text_buffer(texts)
-    data = _FOLD[data].astype(np.uint32)
-    buckets, code = [], np.zeros(0, np.uint32)
-    for n in range(1, GRAMS + 1):
-        code = data.copy() if n == 1 else (code[:-1] << np.uint32(8)) | data[n - 1 :]
-        buckets.append((((code ^ np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)).astype(np.uint16))
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        row = np.zeros(BUCKETS, bool)
-        for n, b in enumerate(buckets, 1):
-            row[b[lo : max(lo, hi - n + 1)]] = True
-        yield row
-
-
-def _has_letter(texts: pa.Array) -> np.ndarray:
-    data, offsets = text_buffer(texts)
-    plain = (data | 0x20) - np.uint8(ord("a")) < 26
-    some = np.diff(np.concatenate([[0], np.cumsum(plain)])[offsets]) > 0
-    for k in np.flatnonzero(~some & (np.diff(offsets) > 0)).tolist():
-        some[k] = any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
-    return some
+class _Stretches:
+    """The stretches of texts: the text that each is of, and its range of bytes. A short or empty text is one."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, offsets = text_buffer(texts)
+        self.sizes = np.diff(offsets)
+        many = np.maximum(1, -(-self.sizes // STRETCH))
+        self.text = np.repeat(np.arange(len(texts)), many)
+        k, many, size = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), many[self.text], self.sizes[self.text]
+        self.start, self.end = (offsets[:-1][self.text] + size * x // many for x in (k, k + 1))
+        self.stop = offsets[1:][self.text]
+
+    def presence(self) -> Iterator[np.ndarray]:
+        """A boolean row of BUCKETS for each; n-grams that begin in a stretch are its own."""
+        data = _FOLD[self.data].astype(np.uint32)
+        buckets, code = [], np.zeros(0, np.uint32)
+        for n in range(1, GRAMS + 1):
+            code = data.copy() if n == 1 else (code[:-1] << np.uint32(8)) | data[n - 1 :]
+            buckets.append((((code ^ np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BITS)).astype(np.uint16))
+        for lo, hi, stop in zip(self.start.tolist(), self.end.tolist(), self.stop.tolist(), strict=True):
+            row = np.zeros(BUCKETS, bool)
+            for n, b in enumerate(buckets, 1):
+                row[b[lo : max(lo, min(hi, stop - n + 1))]] = True
+            yield row
+
+    def with_letter(self) -> np.ndarray:
+        plain = (self.data | 0x20) - np.uint8(ord("a")) < 26
+        total = np.concatenate([[0], np.cumsum(plain)])
+        some = total[self.end] > total[self.start]
+        for k in np.flatnonzero(~some & (self.end > self.start)).tolist():
+            # whole characters: those that begin in the stretch
+            lo, hi = (self._character(at, self.stop[k]) for at in (self.start[k], self.end[k]))
+            some[k] = any(c.isalpha() for c in self.data[lo:hi].tobytes().decode("utf-8", "replace"))
+        return some
+
+    def _character(self, at: int, stop: int) -> int:
+        while at < stop and self.data[at] & 0xC0 == 0x80:
+            at += 1
+        return at
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        keep = batch.filter(pa.array(_has_letter(batch.column("text"))))
-        packed = [np.packbits(row).tobytes() for row in _presence(keep.column("text"))]
+        cut = _Stretches(batch.column("text"))
+        some = np.flatnonzero(cut.with_letter())
+        text, first, many = np.unique(cut.text[some], return_index=True, return_counts=True)
+        hashes = batch.column("h").to_numpy()[text]
+        chosen = set(some[first + hashes % many].tolist())
+        packed = [np.packbits(row).tobytes() for k, row in enumerate(cut.presence()) if k in chosen]
+        keep = batch.take(pa.array(text))
         yield pa.RecordBatch.from_arrays([keep.column("lang"), keep.column("h"), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
 
@@ -75,11 +103,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     h = F.xxhash64("text")
     # distinct texts decide how large a part of a language is taken
     copies = rows.select("lang", h.alias("h")).distinct()
-    counts = copies.groupBy("lang").agg(F.count("*").alias("texts")).orderBy("lang").limit(SAMPLE + 1).collect()
+    counts = copies.groupBy("lang").agg(F.count("*").alias("texts")).orderBy("lang").limit(LANGUAGES + 1).collect()
     if not counts:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    if len(counts) > SAMPLE:
-        raise ValueError(f"more than {SAMPLE} languages")
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     most = min(per_language, SAMPLE // len(counts))
     # half as many again, for texts without letters
     facts = labelled.sparkSession.createDataFrame([(r.lang, min(1 << 30, int(1.5 * most / r.texts * (1 << 30)) + 1)) for r in counts], "lang string, part long")
@@ -125,15 +153,16 @@ def _scored(model):
         langs, weights = model.value
         names = np.array([*langs, NONE], object)
         for batch in steps(batches, "_text"):
-            texts = batch.column("_text")
-            letters = _has_letter(texts)
-            label, score = np.full(len(batch), len(langs)), np.zeros(len(batch))
-            rows = _presence(texts)
-            for lo in range(0, len(batch), 128) if langs else ():
-                hi = min(lo + 128, len(batch))
+            cut = _Stretches(batch.column("_text"))
+            letters = np.bincount(cut.text, cut.with_letter(), len(batch)) > 0
+            total, rows, size = np.zeros((len(batch), len(langs))), cut.presence(), cut.end - cut.start
+            for lo in range(0, len(cut.text), 128) if langs else ():
+                hi = min(lo + 128, len(cut.text))
                 x = np.array([next(rows) for _ in range(lo, hi)], np.float32)
                 out = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-                label[lo:hi], score[lo:hi] = out.argmax(1), out.max(1)
+                np.add.at(total, cut.text[lo:hi], out * size[lo:hi, None].astype(np.float64))
+            total /= np.maximum(cut.sizes, 1)[:, None]
+            label, score = (total.argmax(1), total.max(1)) if langs else (np.full(len(batch), 0), np.zeros(len(batch)))
             label[~letters], score[~letters] = len(langs), 0
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names[label], pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64))], [*rest, "lang_pred", "score"])

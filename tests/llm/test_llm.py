@@ -523,6 +523,50 @@ def test_manifests_without_parts_are_read(spark, tmp_path):
     assert len(store._manifest()[1]) == 1 and [k for _, k in store._manifest()[2]] == [1] and store.read().count() == 4005
 
 
+def test_languages_of_long_texts(spark):
+    rng = random.Random(3)
+    letters = ("abcdefgh", "cdefghij", "efghijkl")
+    vocabulary = [["".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(5000)] for a in letters]
+    write = lambda k, n: " ".join(rng.choices(vocabulary[k], k=n))
+    rows = [(d, write(d % 3, 12), "xyz"[d % 3]) for d in range(300)]
+    long = [d for d in range(1000, 1100) if not lang_id.learnable(d)][:6]
+    rows += [(d, write(d % 3, 400_000), "xyz"[d % 3]) for d in long]
+    # letters in its middle alone, and a mark that two stretches share
+    half = 3 * lang_id.STRETCH // 2
+    rows += [(5000, "1" * 200_000 + write(0, 20) + "1" * 200_000, "x"), (5001, "." * (half - 1) + "\u00e9" + "." * (half - 1), None), (5002, "1" * 300_000, "x")]
+    got = {r.doc_id: r for r in lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = {d: lang for d, _, lang in rows}
+    assert all(got[d].lang_pred == want[d] and got[d].score > 0.5 for d in long)
+    assert got[5000].lang_pred != "und" and got[5001].lang_pred != "und" and (got[5002].lang_pred, got[5002].score) == ("und", 0)
+
+
+def test_stretches_hold_each_ngram_once():
+    text = "".join(random.Random(1).choices("ab é€,", k=30_000))
+    cut = lang_id._Stretches(pa.array([text, "", None, "abc"], pa.string()))
+    rows = np.array(list(cut.presence()))
+    data, want = lang_id._FOLD[np.frombuffer(text.encode(), np.uint8)].astype(np.uint64), np.zeros(lang_id.BUCKETS, bool)
+    for n in range(1, lang_id.GRAMS + 1):
+        code = sum(data[i : len(data) - n + 1 + i] << np.uint64(8 * (n - 1 - i)) for i in range(n)).astype(np.uint32)
+        want[((code ^ np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - lang_id._BITS)] = True
+    assert (cut.end - cut.start).max() <= lang_id.STRETCH and cut.text.tolist() == [0] * (len(rows) - 3) + [1, 2, 3]
+    assert (rows[cut.text == 0].any(0) == want).all() and not rows[cut.text == 1].any() and rows[-1].sum() == 6
+
+
+def test_as_many_languages_as_may_be(spark, monkeypatch):
+    assert 4 * lang_id.BUCKETS * lang_id.LANGUAGES <= 128 << 20
+    rng = np.random.default_rng(2)
+    label = np.repeat(np.arange(lang_id.LANGUAGES), 2)
+    own = rng.integers(0, lang_id.BUCKETS, (lang_id.LANGUAGES, 60))
+    x = np.zeros((len(label), lang_id.BUCKETS), bool)
+    x[np.arange(len(label))[:, None], own[label]] = True
+    x[np.arange(len(label))[:, None], rng.integers(0, lang_id.BUCKETS, (len(label), 30))] = True
+    weights = lang_id.ridge(np.packbits(x, axis=1), label, lang_id.LANGUAGES)
+    assert weights.nbytes <= 128 << 20 and ((x.astype(np.float32) @ weights).argmax(1) == label).all()
+    monkeypatch.setattr(lang_id, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        lang_id.fit(spark.createDataFrame([(c * 9, c) for c in "abc"], "text string, lang string"))
+
+
 def test_files_beyond_the_target_are_cut(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=4000, fan_in=3)
     store.append(spark.range(20_000).select(F.xxhash64("id").alias("x")).coalesce(1))
