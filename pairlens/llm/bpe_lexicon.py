@@ -142,14 +142,18 @@ class Transducer:
         return out
 
 
-def _tools(path: str):
+def _cutters(path: str):
     tokenizer = load_tokenizer(path)
-    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], Characters(tokenizer, fold=True), Merger(path)
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], Characters(tokenizer, fold=True)
+
+
+def _tools(path: str):
+    return *_cutters(path), Merger(path)
 
 
 def _word_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, special, characters, _ = _tools(path)
+        _, special, characters = _cutters(path)
         for batch in steps(batches, limit=2 << 20):
             coded = PreTokens(batch.column("text"), characters, special, attach=False, fold=True).words.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
