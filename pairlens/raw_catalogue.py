@@ -416,11 +416,11 @@ def delta_document(spark, sf_dir):
     head = {"model": "m", "aggregate": [{"source": r.source, "n": r.n, "em": report.percent(r.hits, r.n)} for r in found]}
     path = f"{scratch(spark, 'delta')}/delta.json"
     report.write_document(spark, path, head, "per_example", rows)
-    kind = "model string, aggregate array<struct<source:string,n:long,em:double>>, per_example array<struct<id:string,source:string,text:string,base_em:int,treated_em:int>>"
-    read = spark.read.schema(kind).option("multiLine", True).json(path)
-    aggregate = read.select(F.inline("aggregate")).withColumnRenamed("source", "s")
-    rows = read.select("model", F.inline("per_example"))
-    return rows.join(F.broadcast(aggregate), F.col("source") == F.col("s")).select("model", "id", "source", "base_em", "treated_em", "n", "em", F.md5("text").alias("text"))
+    kind = "model string, aggregate array<struct<source:string,n:long,em:double>>"
+    heads, rows = ingest.read_document(spark, path, kind, "per_example", "id string, source string, text string, base_em int, treated_em int")
+    aggregate = heads.select("path", "model", F.inline("aggregate")).withColumnRenamed("source", "s")
+    rows = rows.join(F.broadcast(aggregate), (rows["path"] == aggregate["path"]) & (F.col("source") == F.col("s")))
+    return rows.select("model", "id", "source", "base_em", "treated_em", "n", "em", F.md5("text").alias("text"))
 
 
 @query("""WITH l AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 2 = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS judge_label FROM events),

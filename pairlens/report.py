@@ -62,22 +62,30 @@ def write_json(frame: DataFrame, path: str) -> None:
 
 
 def write_document(spark: SparkSession, path: str, head: dict, name: str, rows: DataFrame) -> None:
-    """One JSON document of `head` and, as its last entry `name`, an array of all rows. Tasks write the rows; their files are
-    strung together by the file system, a block at a time, and the document appears under its name when it is whole."""
-    hadoop, conf, parts = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration(), scratch(spark, "fragments")
+    """One JSON document of `head` and, as its last entry `name`, an array of all rows, each on a line of its own, as
+    ingest.read_document() reads it. Tasks write the rows; their files are strung together."""
+    parts = scratch(spark, "fragments")
     one = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
     rows.select(F.concat(F.lit(","), one).alias("value")).write.text(parts)
+    opened = json.dumps(head, ensure_ascii=False, indent=2)[:-1].rstrip()
+    # the first row has no comma before it
+    _string(spark, parts, path, f"{opened}{',' if head else ''}\n  {json.dumps(name)}: [\n", "  ]\n}\n", skip=1)
+
+
+def _string(spark: SparkSession, parts: str, path: str, head: str = "", tail: str = "", skip: int = 0) -> None:
+    """The files that tasks have written to `parts`, in their order and without the first `skip` bytes, as one file between head
+    and tail. The file system copies them, a block at a time; the file appears under its name when it is whole."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     at, to, draft = hadoop.fs.Path(parts), hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.part")
     system = to.getFileSystem(conf)
     files = sorted((x for x in at.getFileSystem(conf).listStatus(at) if x.getLen() and x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
-    opened = json.dumps(head, ensure_ascii=False, indent=2)[:-1].rstrip()
     out = system.create(draft, True)
-    out.write(bytearray(f"{opened}{',' if head else ''}\n  {json.dumps(name)}: [\n".encode()))
+    out.write(bytearray(head.encode()))
     for k, x in enumerate(files):
         with contextlib.closing(x.getPath().getFileSystem(conf).open(x.getPath())) as part:
-            part.seek(int(k == 0))  # the first row has no comma before it
+            part.seek(skip if k == 0 else 0)
             hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
-    out.write(bytearray(b"  ]\n}\n"))
+    out.write(bytearray(tail.encode()))
     out.close()
     system.delete(to, False)
     system.rename(draft, to)

@@ -72,6 +72,21 @@ def read_documents(spark: SparkSession, path: str | list[str], schema: str) -> D
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_document(spark: SparkSession, path: str | list[str], head: str, name: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as report.write_document() lays them out: a frame (path, and the columns of `head`) with one row for each, and
+    one (path, and the columns of `kind`) of the rows of their arrays `name`. A row has a line of its own, which begins with its
+    brace or a comma; so a document is read in splits, and what is left without these lines is a small document. A row that
+    isn't JSON is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), file_order().alias("ord"))
+    is_row = F.col("value").rlike(r'^,?\{"')
+    strict = {"mode": "FAILFAST"}
+    row = F.from_json(F.regexp_replace("value", "^,", ""), StructType.fromDDL(kind), strict)
+    rest = lines.filter(~is_row).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("ls"))
+    whole = F.from_json(F.array_join(F.transform("ls", lambda x: x["value"]), "\n"), StructType.fromDDL(f"{head}, `{name}` array<struct<>>"), strict)
+    heads = rest.select("path", whole.alias("d")).select("path", "d.*").drop(name)
+    return heads, lines.filter(is_row).select("path", row.alias("r")).select("path", "r.*")
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], reader: str = "parquet") -> DataFrame:
     """The splits that are there, one below the other, with their names as `split`."""
     out = None

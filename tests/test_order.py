@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairlens import report
 from pairlens.functions import text as tx
 from pairlens.functions.dialect import ARABIC, HEBREW
 from pairlens.functions.score import last_of_each
@@ -33,6 +34,24 @@ def test_lines_have_their_numbers(small_splits, tmp_path):
     assert small_splits.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 10
 
 
+@pytest.mark.parametrize("n", [0, 1, 2000])
+def test_documents_are_read_in_splits(small_splits, tmp_path, n):
+    """No task reads a whole document; what isn't a row of its array is there once, as it was written."""
+    rows = small_splits.range(n).select("id", F.concat(F.lit('{"a",\n  '), F.repeat(F.lit("é"), 40)).alias("t"), F.lit(None).cast("int").alias("x")).repartition(3)
+    head = {"model": "m {", "aggregate": [{"source": "a", "n": n}, {"source": None, "n": None}]}
+    for name in ("one", "two"):
+        report.write_document(small_splits, f"file://{tmp_path}/{name}.json", head, "per_example", rows)
+    heads, found = ingest.read_document(small_splits, f"file://{tmp_path}/*.json", "model string, aggregate array<struct<source:string,n:long>>", "per_example", "id long, t string, x int")
+    paths = {f"file://{tmp_path}/{name}.json" for name in ("one", "two")}
+    assert {r.path.replace("file:///", "file:/").replace("file:/", "file:///") for r in heads.collect()} == paths
+    assert [(r.model, [tuple(a) for a in r.aggregate]) for r in heads.collect()] == [("m {", [("a", n), (None, None)])] * 2
+    assert sorted((r.id, r.t, r.x) for r in found.collect()) == sorted([(k, '{"a",\n  ' + "é" * 40, None) for k in range(n)] * 2)
+    assert n < 2000 or found.rdd.getNumPartitions() > 10
+    (tmp_path / "torn.json").write_text('{\n  "per_example": [\n{"id": 1\n  ]\n}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest.read_document(small_splits, f"file://{tmp_path}/torn.json", "model string", "per_example", "id long")[1].collect()
+
+
 def test_the_last_line_counts(small_splits, tmp_path):
     rng, last = random.Random(2), {}
     for name in ("a_eval.jsonl", "b_eval.jsonl", "c_eval.jsonl"):
