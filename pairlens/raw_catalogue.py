@@ -397,13 +397,12 @@ def paired_last_lines(spark, sf_dir):
 @query(f"{_D} SELECT 'part' AS file, k AS id, (row_number() OVER (ORDER BY k) - 1) * 2 AS line, md5(text) AS text FROM d")
 def numbered_lines(spark, sf_dir):
     """One file of a line for each document and a blank line after it, read in many splits: every line has its number."""
-    path = scratch(spark, "lines")
+    path = f"{scratch(spark, 'lines')}/part"
     lines = _docs(spark, sf_dir).select("k", F.concat(F.to_json(F.struct("k", "text")), F.lit("\n")).alias("value"))
-    # read in splits of this size
-    lines.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(path)
+    report.write_lines(lines, path, "k")
     rows = ingest.read_lines(spark, path).filter("value <> ''")
     one = F.from_json("value", "k long, text string")
-    return rows.select(F.lit("part").alias("file"), one["k"].alias("id"), "line", F.md5(one["text"]).alias("text"))
+    return rows.select("file", one["k"].alias("id"), "line", F.md5(one["text"]).alias("text"))
 
 
 @query(f"""{_D}, s AS (SELECT lang, k, (length(text) >= 500)::INT AS base_em, (length(text) >= 800)::INT AS treated_em FROM d), a AS (SELECT lang, count(*) AS n, round(100 * sum(base_em) / count(*), 2)::DOUBLE AS em FROM s GROUP BY lang)

@@ -72,6 +72,13 @@ def write_document(spark: SparkSession, path: str, head: dict, name: str, rows:
     _string(spark, parts, path, f"{opened}{',' if head else ''}\n  {json.dumps(name)}: [\n", "  ]\n}\n", skip=1)
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """One text file of the lines `value`, in the order of the given columns, which tasks sort by ranges."""
+    parts = scratch(lines.sparkSession, "fragments")
+    lines.orderBy(*order).select("value").write.text(parts)
+    _string(lines.sparkSession, parts, path)
+
+
 def _string(spark: SparkSession, parts: str, path: str, head: str = "", tail: str = "", skip: int = 0) -> None:
     """The files that tasks have written to `parts`, in their order and without the first `skip` bytes, as one file between head
     and tail. The file system copies them, a block at a time; the file appears under its name when it is whole."""

@@ -1,12 +1,13 @@
 """The last line wins: order and numbers of lines in files that are read in many splits."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens import report
+from pairlens import report, storage
 from pairlens.functions import text as tx
 from pairlens.functions.dialect import ARABIC, HEBREW
 from pairlens.functions.score import last_of_each
@@ -52,6 +53,23 @@ def test_documents_are_read_in_splits(small_splits, tmp_path, n):
         ingest.read_document(small_splits, f"file://{tmp_path}/torn.json", "model string", "per_example", "id long")[1].collect()
 
 
+def test_one_file_of_sorted_lines_from_many_tasks(small_splits, tmp_path):
+    keys = list(range(1000))
+    random.Random(3).shuffle(keys)
+    lines = small_splits.createDataFrame([(k, f"é{k}\n") for k in keys], "k long, value string").repartition(5)
+    since, before = storage.mark(), small_splits.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    small_splits.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report.write_lines(lines, f"file://{tmp_path}/part", "k")
+    finally:
+        small_splits.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = storage._MADE.paths[-1].removeprefix("file://")
+    assert len(storage._MADE.paths) == since + 1 and len([x for x in os.listdir(parts) if x.startswith("part-")]) > 2
+    assert (tmp_path / "part").read_text() == "".join(f"é{k}\n\n" for k in range(1000))
+    rows = ingest.read_lines(small_splits, f"file://{tmp_path}/part").filter("value <> ''")
+    assert sorted((r.file, r.line, r.value) for r in rows.collect()) == sorted(("part", 2 * k, f"é{k}") for k in range(1000))
+
+
 def test_the_last_line_counts(small_splits, tmp_path):
     rng, last = random.Random(2), {}
     for name in ("a_eval.jsonl", "b_eval.jsonl", "c_eval.jsonl"):
