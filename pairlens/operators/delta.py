@@ -19,7 +19,8 @@ def scored(rows: DataFrame, dialect: Dialect) -> DataFrame:
 def scored_long(rows: DataFrame, key: str, dialect: Dialect) -> DataFrame:
     """key (one row each), em and f1 of rows (key, prediction, answers), in time linear in the texts: a row for each answer,
     whose words are counted instead of compared."""
-    held = rows.select(key, tokens(F.col("prediction"), dialect).alias("_p"), F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("answers"), F.lit(1)) - 1)).alias("_n"), "answers")
+    held = rows.select(key, tokens(F.col("prediction"), dialect).alias("_p"), "answers")
+    held = held.select(key, "_p", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("answers"), F.lit(1)) - 1)).alias("_n"), "answers")
     held = held.withColumns({"_none": F.coalesce(F.size("answers"), F.lit(0)) < 1, "_g": tokens(F.get("answers", F.col("_n")), dialect)})
     held = held.withColumn("_one", F.struct(F.col(key), "_n"))
     em = (~F.col("_none") & (F.col("_p") == F.col("_g"))).cast("int").alias("em")
