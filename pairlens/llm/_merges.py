@@ -71,7 +71,8 @@ class Pairs:
 class Merger:
     """A byte-level BPE model from a file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tokenizer=None):
+        """tokenizer: the library's, where it has been loaded from the path already."""
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -85,7 +86,7 @@ class Merger:
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.final = np.array([vocab[c + suffix] for c in letters], np.int32)
         self.strings = {i: s for s, i in vocab.items()}
-        self.letters, self.model = letters, load_tokenizer(path).model
+        self.letters, self.model = letters, (tokenizer or load_tokenizer(path)).model
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and the number of each word's ids."""

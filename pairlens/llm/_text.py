@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,20 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def tidy(run: Callable) -> Callable:
+    """run (batches to batches), after whose end the tables that it has held are given back, too."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
     """A worker is used again: what a task has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._merges import Merger
 from ._pretokens import HARD, Characters, PreTokens, load_tokenizer
 from ._shared import stored
-from ._text import ranges, steps
+from ._text import give_back, ranges, steps, tidy
 
 #: Words in the transducer, and the most bytes of each.
 LEXICON, WORD_BYTES = 16_384, 48
@@ -148,19 +148,22 @@ def _cutters(path: str):
 
 
 def _tools(path: str):
-    return *_cutters(path), Merger(path)
+    tokenizer, special, characters = _cutters(path)
+    merger = Merger(path, tokenizer)
+    give_back()  # the file as Python read it
+    return tokenizer, special, characters, merger
 
 
 def _word_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, special, characters = _cutters(path)
-        for batch in steps(batches, limit=2 << 20):
+        for batch in steps(batches):
             coded = PreTokens(batch.column("text"), characters, special, attach=False, fold=True).words.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
             rows = pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
             yield rows.filter(pc.less_equal(pc.binary_length(rows.column("word")), WORD_BYTES))
 
-    return run
+    return tidy(run)
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> list[str]:
@@ -209,7 +212,9 @@ def _encoded(path: str, packed, text: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, special, characters, merger = _tools(path)
         lexicon = Transducer.mapped(packed.value)
-        strings = pa.array([merger.strings.get(i, "") + " " for i in range(max(merger.strings) + 1)], pa.large_string())
+        strings = pa.array([merger.strings.get(i, "") + " " for i in range(max(merger.strings) + 1)], pa.large_string()) if decode else None
+        merger.strings = None
+        give_back()
         for batch in steps(batches, text):
             pre = PreTokens(batch.column(text), characters, special, attach=False, fold=True)
             coded = pre.words.dictionary_encode()
@@ -234,7 +239,7 @@ def _encoded(path: str, packed, text: str, decode: bool):
                     out.append(pa.array([tokenizer.decode(x, skip_special_tokens=False) for x in own], pa.string()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), *out], rows.schema.names)
 
-    return run
+    return tidy(run)
 
 
 def _word_ids(words: pa.Array, odd: np.ndarray, lexicon: Transducer, tokenizer, merger: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

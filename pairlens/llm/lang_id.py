@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import steps, text_buffer
+from ._text import steps, text_buffer, tidy
 
 BUCKETS, GRAMS = 1 << 15, 4
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 500, 16_384, 512, 1e-4
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
     sample = sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * most)
-    found = sample.mapInArrow(_featured, "lang string, h long, bits binary").collect()
+    found = sample.mapInArrow(tidy(_featured), "lang string, h long, bits binary").collect()
     by: dict[str, dict[int, bytes]] = {r.lang: {} for r in counts}
     for r in found:
         by[r.lang][r.h % (1 << 62)] = bytes(r.bits)
@@ -167,7 +167,7 @@ def _scored(model):
             rest = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(names[label], pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64))], [*rest, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

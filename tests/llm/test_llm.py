@@ -5,6 +5,9 @@ import json
 import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -823,3 +826,33 @@ def test_scores_beyond_63_bits_are_held_at_the_limits(spark):
     score = {k: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(held[0], held[k], strict=True)))) for k in held if k}
     order = sorted(score, key=lambda k: (-score[k], k))
     assert got == sorted((k, n, score[k]) for n, k in enumerate(order, 1)) and score[1] == score[4] == (1 << 63) - 1
+
+
+def test_workers_give_back_what_a_task_has_held():
+    """Workers are used again: the encoder's tables don't stay with them, nor are they loaded twice."""
+    code = """
+import re, sys
+import pyarrow as pa
+import public_tokenizers
+from pairlens.llm import bpe_lexicon as b
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Packed:
+    value = b.Transducer.build([b"a"], [[1]]).packed()
+
+path = public_tokenizers.path("word_bpe_49k.json")
+rows = pa.RecordBatch.from_pydict({"text": ["a few words that the lexicon lacks, %d" % k for k in range(2000)]})
+for run in (b._word_counts(path), b._encoded(path, Packed, "text", False)):
+    list(run(iter([rows.slice(0, 1)])))
+before = held()
+top = 0
+for out in b._encoded(path, Packed, "text", False)(iter([rows])):
+    top = max(top, held())
+del out
+print(before, top, held())
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout
+    before, top, after = map(float, found.split())
+    assert top - before < 90 and after < 85 and after - before < 10, found
