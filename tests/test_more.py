@@ -1,5 +1,6 @@
 """Published figures, raw readers at their edges, numbering, stages that resume, and stored tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,17 @@ def test_a_reordering_is_checked(spark):
     assert got == ["بتَُ", "پبَ", None, "", "x َ", "بَ تُ"]
 
 
+def test_a_wrong_reordering_is_an_error(monkeypatch):
+    """Checked where characters are moved, within each text: none may change, go or come to another text."""
+    words = pa.array(["بَتُ", None, "ab", "ba"])
+    check = tx.checked_reorder.func
+    assert check(words).to_pylist() == ["بتَُ", None, "ab", "ba"]
+    for wrong in (["بتَُ", None, "ab", "bb"], ["بتَُ", None, "aba", "b"], ["بتَ", None, "ab", "ba"]):
+        monkeypatch.setattr(tx, "_reordered", lambda part, wrong=wrong: pa.array(wrong))
+        with pytest.raises(ValueError, match="not reordered"):
+            check(words)
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("b", 2, 1, 1.5), ("overall", 3, 2, 2.5), ("z", 1, 1, 1.0)], "source string, n long, em_hits long, f1_sum double")
     assert [r.source for r in report.ordered(rows).collect()] == ["b", "z", "overall"]
