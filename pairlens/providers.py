@@ -9,8 +9,10 @@ import socket
 import socketserver
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sized
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext, suppress
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -92,6 +94,7 @@ class Retrying:
 
     def __init__(self, call: Callable[[str], str], tries: int = 3, workers: int = 4, wait: Callable[[int], float] = lambda k: 10 * (k + 1) + random.uniform(0, 3), failed: str = '{"label": "ERROR"}'):
         self.call, self.tries, self.workers, self.wait, self.failed = call, tries, workers, wait, failed
+        self.pool: ThreadPoolExecutor | None = None
 
     def one(self, x: str) -> str | None:
         for k in range(self.tries):
@@ -105,47 +108,68 @@ class Retrying:
         return self.failed
 
     def __call__(self, inputs: list[str]) -> list[str]:
-        with ThreadPoolExecutor(self.workers) as pool:
-            return list(pool.map(self.one, inputs))
+        self.pool = self.pool or ThreadPoolExecutor(self.workers)  # its threads, and their connections, last as long as the provider
+        out, todo = [None] * len(inputs), deque(range(len(inputs)))
+
+        def work() -> None:
+            with getattr(self.call, "several", nullcontext)(todo):
+                with suppress(IndexError):
+                    while True:
+                        k = todo.popleft()
+                        out[k] = self.one(inputs[k])
+
+        for done in [self.pool.submit(work) for _ in range(min(self.workers, len(inputs)))]:
+            done.result()
+        return out
 
 
 class Budget:
     """Calls that all tasks of a cluster may make together: `calls` in all, retries included, and `at_once` at a time. The
-    driver hands them out over a socket, with a connection for each worker, which asks before a call and tells when it is
-    done. The connection of a lost executor closes, and its places are free again; the calls it has begun count."""
+    driver hands them out over a socket, with a connection for each thread that makes calls: it is lent a place and as many
+    calls as it asks for, and tells in the end how many of them it didn't begin, which others may have. Nobody is refused
+    while calls are lent that may come back. The connection of a lost executor closes, and its places are free again; the
+    calls it was lent count. left: calls that nobody has been lent."""
 
     def __init__(self, calls: int, at_once: int):
-        self.left, self.lock, self.places, self.token = calls, threading.Lock(), threading.Semaphore(at_once), secrets.token_hex(16)
+        self.left, self.lent, self.changed, self.places, self.token = calls, 0, threading.Condition(), threading.Semaphore(at_once), secrets.token_hex(16)
         budget = self
 
         class Worker(socketserver.StreamRequestHandler):
+            disable_nagle_algorithm = True
+
             def handle(self) -> None:
-                held = 0
+                with suppress(OSError, ValueError):
+                    while (asked := self.rfile.readline().decode().split()) and asked[0] == budget.token:
+                        with budget.places:
+                            lent = self.lend(int(asked[1]))
+                        if lent:
+                            self.wfile.write(b"\n")
+
+            def lend(self, n: int) -> int:
+                lent, unused = budget.take(n), 0
                 try:
-                    while self.rfile.readline().strip().decode() == budget.token:
-                        budget.places.acquire()
-                        held = 1
-                        granted = budget.take()
-                        self.wfile.write(b"yes\n" if granted else b"no\n")
-                        if granted and not self.rfile.readline():
-                            break
-                        budget.places.release()
-                        held = 0
-                except OSError:
-                    pass
+                    self.wfile.write(b"%d\n" % lent)
+                    if lent:
+                        unused = int(self.rfile.readline())
                 finally:
-                    for _ in range(held):
-                        budget.places.release()
+                    budget.settle(lent, unused)
+                return lent
 
-        self.server = socketserver.ThreadingTCPServer(("", 0), Worker)
-        self.server.daemon_threads = True
+        self.server = _Server(("", 0), Worker)
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
 
-    def take(self) -> bool:
-        with self.lock:
-            granted = self.left > 0
-            self.left -= granted
-            return granted
+    def take(self, n: int) -> int:
+        """Lends up to n calls; none only if all have been begun."""
+        with self.changed:
+            self.changed.wait_for(lambda: self.left or not self.lent)
+            n = min(n, self.left)
+            self.left, self.lent = self.left - n, self.lent + n
+            return n
+
+    def settle(self, lent: int, unused: int) -> None:
+        with self.changed:
+            self.left, self.lent = self.left + unused, self.lent - lent
+            self.changed.notify_all()
 
     def lease(self, spark: SparkSession) -> Lease:
         """By what tasks reach the budget."""
@@ -156,6 +180,12 @@ class Budget:
         self.server.server_close()
 
 
+class _Server(socketserver.ThreadingTCPServer):
+    #: Connections that wait to be accepted: the threads of all tasks may come at once, and one that is turned away waits for seconds.
+    request_queue_size = 1024
+    daemon_threads = True
+
+
 @dataclass(frozen=True)
 class Lease:
     """A budget's place and password."""
@@ -164,25 +194,75 @@ class Lease:
     port: int
     token: str
 
-    def limited(self, call: Callable[[str], str]) -> Callable[[str], str]:
+    def limited(self, call: Callable[[str], str]) -> Limited:
         """The call, made only when the budget allows it; Spent is raised when that is used up."""
-        held = threading.local()
-
-        def one(x: str) -> str:
-            if not hasattr(held, "file"):
-                held.socket = socket.create_connection((self.host, self.port))
+        return Limited(self, call)
+
+
+class _Held(threading.local):
+    """What a thread has borrowed: how many calls, how many of them are left, and since when; size: how many it asks
+    for at most, todo: what else it has to make calls for."""
+
+    def __init__(self):
+        self.file, self.lent, self.calls, self.since, self.size, self.todo = None, 0, 0, 0.0, 1, ()
+
+
+class Limited:
+    """A limited call. It borrows one call at a time, and inside several() as many as its thread makes in SLICE seconds, so
+    that fast calls don't wait for the driver one by one, and slow ones keep none from others."""
+
+    SLICE, MOST = 0.02, 64
+
+    def __init__(self, lease: Lease, call: Callable[[str], str]):
+        self.lease, self.call, self.held, self.spent = lease, call, _Held(), False
+
+    @contextmanager
+    def several(self, todo: Sized) -> Iterator[None]:
+        """For a thread that makes calls for what is in todo, one after another; what it has borrowed goes back at the end."""
+        self.held.todo = todo
+        try:
+            yield
+        finally:
+            self.held.todo = ()
+            self.rest()
+
+    def __call__(self, x: str) -> str:
+        held, on = self.held, False
+        if not held.calls:
+            self._borrow()
+        held.calls -= 1
+        try:
+            reply = self.call(x)
+            on = held.calls > 0 and len(held.todo) > 0 and time.monotonic() - held.since < self.SLICE
+            return reply
+        finally:
+            if not on:
+                self.rest()
+
+    def _borrow(self) -> None:
+        held = self.held
+        if not self.spent:
+            if held.file is None:
+                held.socket = socket.create_connection((self.lease.host, self.lease.port))
+                held.socket.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
                 held.file = held.socket.makefile("rwb")
-            held.file.write(f"{self.token}\n".encode())
+            held.file.write(f"{self.lease.token} {min(held.size, len(held.todo) + 1)}\n".encode())
             held.file.flush()
-            if held.file.readline() != b"yes\n":
-                raise Spent
-            try:
-                return call(x)
-            finally:
-                held.file.write(b"done\n")
-                held.file.flush()
-
-        return one
+            held.lent = held.calls = int(held.file.readline() or 0)
+            held.since = time.monotonic()
+            self.spent = not held.lent  # for good: what could come back was waited for
+        if self.spent:
+            raise Spent
+
+    def rest(self) -> None:
+        """Gives back the thread's place and the calls it hasn't begun, and waits until the driver has them."""
+        held = self.held
+        if held.lent:
+            held.size = min(2 * held.size, self.MOST) if time.monotonic() - held.since < self.SLICE else max(1, held.lent - held.calls)
+            unused, held.lent, held.calls = held.calls, 0, 0
+            held.file.write(b"%d\n" % unused)
+            held.file.flush()
+            held.file.readline()
 
 
 def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str, batch: int = 32, kind: str = "string", skip: bool = False) -> DataFrame:

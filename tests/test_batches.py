@@ -3,6 +3,7 @@
 import json
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark import cloudpickle
@@ -104,3 +105,48 @@ def test_all_tasks_share_a_limit_of_calls(spark, tmp_path, calls, at_once):
     lease = more.lease(spark)
     assert ledger.resume(rows, out, step, batch=8).groupBy("id", "judge_label").count().filter("judge_label = 'CORRECT' and count = 1").count() == 64
     more.close()
+
+
+def test_fast_calls_do_not_ask_one_by_one():
+    """A provider's threads keep their connections over its batches and borrow calls in blocks; those that aren't begun come
+    back before anyone is refused, so that all are made and none beyond them."""
+    budget, asked, opened = providers.Budget(3000, 2), [], []
+    take, accept = budget.take, budget.server.get_request
+    budget.take = lambda *n: asked.append(n) or take(*n)
+    budget.server.get_request = lambda: opened.append(1) or accept()
+    lease, made = providers.Lease("127.0.0.1", budget.server.server_address[1], budget.token), []
+
+    def task(k):
+        provider = providers.Retrying(lease.limited(lambda x: made.append(x) or x), wait=lambda k: 0)
+        return [x for lo in range(0, 1600, 32) for x in provider([f"{k}:{n}" for n in range(lo, lo + 32)]) if x is not None]
+
+    with ThreadPoolExecutor(3) as pool:
+        found = [x for part in pool.map(task, range(3)) for x in part]
+    budget.close()
+    assert len(made) == 3000 and sorted(found) == sorted(made) and len(set(made)) == 3000 and budget.left == 0
+    assert len(opened) <= 12 and len(asked) < 2000
+
+
+def test_slow_calls_keep_none_from_others():
+    """After a fast start a thread has borrowed many calls when one takes long: the rest goes back, and a lost connection
+    costs what it was lent."""
+    budget = providers.Budget(40, 2)
+    lease = providers.Lease("127.0.0.1", budget.server.server_address[1], budget.token)
+    limited = lease.limited(lambda x: time.sleep(x) or f"{budget.left}")
+    todo = list(range(100))
+    with limited.several(todo):
+        for _ in range(8):
+            limited(0)
+        limited(0.1)
+        assert budget.left == 31 and budget.lent == 0
+    assert limited(0) == "30" and budget.lent == 0
+    lost = lease.limited(lambda x: None)
+    with lost.several(todo):
+        lost.held.size = 5
+        lost(0)
+        assert (budget.left, budget.lent) == (25, 5)
+        lost.held.socket.shutdown(2)
+        other = providers.Retrying(limited, wait=lambda k: 0)([0] * 30)
+        lost.held.lent = 0
+    budget.close()
+    assert sum(x is not None for x in other) == 25 and (budget.left, budget.lent) == (0, 0)
