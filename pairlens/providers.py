@@ -11,7 +11,7 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator, Sized
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
 from contextlib import contextmanager, nullcontext, suppress
 from dataclasses import dataclass
 from typing import Protocol
@@ -96,6 +96,9 @@ class Retrying:
         self.call, self.tries, self.workers, self.wait, self.failed = call, tries, workers, wait, failed
         self.pool: ThreadPoolExecutor | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pool": None}
+
     def one(self, x: str) -> str | None:
         for k in range(self.tries):
             try:
@@ -109,16 +112,20 @@ class Retrying:
 
     def __call__(self, inputs: list[str]) -> list[str]:
         self.pool = self.pool or ThreadPoolExecutor(self.workers)  # its threads, and their connections, last as long as the provider
-        out, todo = [None] * len(inputs), deque(range(len(inputs)))
+        out, todo = [None] * len(inputs), deque(enumerate(inputs))
 
         def work() -> None:
             with getattr(self.call, "several", nullcontext)(todo):
-                with suppress(IndexError):
-                    while True:
-                        k = todo.popleft()
-                        out[k] = self.one(inputs[k])
-
-        for done in [self.pool.submit(work) for _ in range(min(self.workers, len(inputs)))]:
+                while True:
+                    try:
+                        k, x = todo.popleft()
+                    except IndexError:
+                        return
+                    out[k] = self.one(x)
+
+        running = [self.pool.submit(work) for _ in range(min(self.workers, len(inputs)))]
+        wait(running)
+        for done in running:
             done.result()
         return out
 
@@ -208,8 +215,9 @@ class _Held(threading.local):
 
 
 class Limited:
-    """A limited call. It borrows one call at a time, and inside several() as many as its thread makes in SLICE seconds, so
-    that fast calls don't wait for the driver one by one, and slow ones keep none from others."""
+    """A limited call; Spent is raised also while the driver can't be reached. It borrows one call at a time, and inside
+    several() as many as its thread makes in SLICE seconds, so that fast calls don't wait for the driver one by one, and slow
+    ones keep none from others."""
 
     SLICE, MOST = 0.02, 64
 
@@ -239,19 +247,28 @@ class Limited:
             if not on:
                 self.rest()
 
-    def _borrow(self) -> None:
-        held = self.held
-        if not self.spent:
+    def _ask(self, line: str) -> bytes:
+        """The driver's answer to a line; empty if it can't be reached, and then the next line makes a new connection."""
+        held, answer = self.held, b""
+        with suppress(OSError):
             if held.file is None:
                 held.socket = socket.create_connection((self.lease.host, self.lease.port))
                 held.socket.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
-                held.file = held.socket.makefile("rwb")
-            held.file.write(f"{self.lease.token} {min(held.size, len(held.todo) + 1)}\n".encode())
-            held.file.flush()
-            held.lent = held.calls = int(held.file.readline() or 0)
+                held.file = held.socket.makefile("rwb", buffering=0)
+            held.file.write(f"{line}\n".encode())
+            answer = held.file.readline()
+        if not answer:
+            held.file = None
+        return answer
+
+    def _borrow(self) -> None:
+        held = self.held
+        if not self.spent:
+            answer = self._ask(f"{self.lease.token} {min(held.size, len(held.todo) + 1)}")
+            held.lent = held.calls = int(answer or 0)
             held.since = time.monotonic()
-            self.spent = not held.lent  # for good: what could come back was waited for
-        if self.spent:
+            self.spent = answer == b"0\n"  # for good: what could come back was waited for
+        if not held.lent:
             raise Spent
 
     def rest(self) -> None:
@@ -260,9 +277,7 @@ class Limited:
         if held.lent:
             held.size = min(2 * held.size, self.MOST) if time.monotonic() - held.since < self.SLICE else max(1, held.lent - held.calls)
             unused, held.lent, held.calls = held.calls, 0, 0
-            held.file.write(b"%d\n" % unused)
-            held.file.flush()
-            held.file.readline()
+            self._ask(f"{unused}")
 
 
 def apply(frame: DataFrame, make: Callable[[], Provider], column: str, name: str, batch: int = 32, kind: str = "string", skip: bool = False) -> DataFrame:

@@ -147,6 +147,8 @@ def test_slow_calls_keep_none_from_others():
         assert (budget.left, budget.lent) == (25, 5)
         lost.held.socket.shutdown(2)
         other = providers.Retrying(limited, wait=lambda k: 0)([0] * 30)
-        lost.held.lent = 0
+    with pytest.raises(providers.Spent):
+        lost(0)
+    assert lost.held.file is not None and lost.spent  # by a new connection
     budget.close()
     assert sum(x is not None for x in other) == 25 and (budget.left, budget.lent) == (0, 0)
